@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, mixing
+from engram.llm import chat_format, exact_dedup, language_id, mixing, quality, sentence_pieces
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
     "op3_source_mixing": mixing.query,
     "op4_exact_dedup": exact_dedup.query,
+    "op5_sentence_pieces": sentence_pieces.query,
+    "op6_quality": quality.query,
+    "op9_language_id": language_id.query,
 }
 
 ORACLE_SQL = {
