@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, language_id, mixing, quality, sentence_pieces
+from engram.llm import chat_format, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
+    "op2_lm_scoring": lm_scoring.query,
     "op3_source_mixing": mixing.query,
     "op4_exact_dedup": exact_dedup.query,
     "op5_sentence_pieces": sentence_pieces.query,
     "op6_quality": quality.query,
+    "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
 }
 
 ORACLE_SQL = {
     "op1_chat_format": chat_format.ORACLE_SQL,
+    "op2_lm_scoring": lm_scoring.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
 }

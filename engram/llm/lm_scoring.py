@@ -1,0 +1,140 @@
+"""LM scoring with stupid backoff: n-gram count tables partitioned by hash, met by the n-grams of the documents.
+
+Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; n-grams don't reach over the ends of a document. With counts f
+over all documents and N words in all, the score of word i is
+
+    S_k = f_k(i) / f_{k-1}(its context)  if f_k(i) >= min_count, else alpha * S_{k-1};  S_1 = f_1(i) / N,
+
+from k = min(order, i + 1), and a document's score is the sum of their logarithms. n-grams seen once aren't in the count
+tables of order 2 and above (``min_count`` 2), which is what backing off is for.
+
+The relational plan, with rows packed so that an n-gram of a block of documents costs some 6 bytes, not a whole row:
+
+1. Documents are dealt by a hash of the id into blocks of about BLOCK_CHARS; the number of blocks follows the input.
+2. A block explodes its n-grams, adds up equal ones and sends them on by hash: one row per block and hash partition.
+3. A hash partition of the count table adds the blocks' counts and answers each block's row with the totals. A frequent
+   n-gram has one entry for each block at most, so it can't make a partition large.
+4. A block meets its answers, looks up the counts of each word in place, and sums per document. Texts are shuffled once:
+   steps 2 and 4 read the same exchange.
+
+Defined cases: null, empty and blank texts have no words, score 0 and a null mean. Rows that repeat an id are scored
+each, and count each. A null id is dealt like any other. No rows give no rows. Only id and text are read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import zstandard
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engram.llm.common import WordHashes, id_and_text, table, windows, words_of
+
+ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+BLOCK_CHARS = 16_000_000
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Bytes of like weight together, which is what a compressor makes use of."""
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), 1)
+
+
+def _unpack(data: bytes, kind: type) -> np.ndarray:
+    raw, width = np.frombuffer(zstandard.decompress(data), dtype=np.uint8), np.dtype(kind).itemsize
+    return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
+
+
+class _Block:
+    """The words of a block of documents and the n-grams that end at each."""
+
+    def __init__(self, texts: list[str], order: int):
+        hashes = WordHashes()
+        each = [hashes.of(words_of(t)) for t in texts]
+        self.sizes = np.array([len(x) for x in each], dtype=np.int64)
+        self.words = np.concatenate(each) if each else np.empty(0, np.uint64)
+        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if each else np.empty(0, np.int64)
+        self.owner = np.repeat(np.arange(len(each)), self.sizes)
+        self.place = np.arange(len(self.words)) - np.repeat(starts, self.sizes)
+        self.keys, self.counts, self.at = {}, {}, {}
+        for k in range(1, order + 1):
+            ends = np.flatnonzero(self.place >= k - 1)
+            grams = self.words if k == 1 else windows(self.words, k)[ends - (k - 1)] if len(ends) else np.empty(0, np.uint64)
+            self.keys[k], inverse, self.counts[k] = np.unique(grams, return_inverse=True, return_counts=True)
+            self.at[k] = np.full(len(self.words), -1, dtype=np.int64)
+            self.at[k][ends] = inverse
+
+    def scores(self, totals: dict[int, np.ndarray], words: int, alpha: float, min_count: int) -> np.ndarray:
+        """Sum of log scores per document."""
+        n = len(self.words)
+        f = {k: np.where(self.at[k] >= 0, totals[k][self.at[k]], 0) if len(totals[k]) else np.zeros(n, np.int64) for k in totals}
+        log_score = np.log(f[1] / words) if n else np.zeros(0)
+        for k in range(2, max(totals) + 1):
+            context = np.concatenate(([1], f[k - 1][:-1]))
+            seen, could = f[k] >= min_count, self.place >= k - 1
+            log_score = np.where(seen, np.log(np.maximum(f[k], 1) / np.maximum(context, 1)), np.where(could, np.log(alpha) + log_score, log_score))
+        return np.bincount(self.owner, weights=log_score, minlength=len(self.sizes))
+
+
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row per document: ``doc_id, n_words, log_score, mean_log_score``."""
+    rows = id_and_text(docs, id_col, text_col)
+    chars, words = rows.select(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
+    parts, words = int(chars or 0) // block_chars + 1, int(words or 0)
+    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+
+    def explode(frame: pd.DataFrame) -> pd.DataFrame:
+        block, out = _Block(frame["text"].tolist(), order), []
+        for k, keys in block.keys.items():
+            bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending with the keys
+            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else []
+            for lo, hi in zip(first, [*first[1:], len(keys)], strict=True):
+                out.append((int(bucket[lo]), frame["block"].iat[0], k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(block.counts[k][lo:hi].astype(np.int32))))
+        return pd.DataFrame(out, columns=["bucket", "block", "k", "keys", "counts"])
+
+    def add(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for k, group in frame.groupby("k", sort=True):
+            keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
+            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            totals = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.int32) for x in group["counts"]]), minlength=len(every)).astype(np.int64)
+            ends = np.cumsum([len(x) for x in keys])
+            answers = [_pack(totals[x]) for x in np.split(inverse, ends[:-1])]
+            out.append(pd.DataFrame({"block": group["block"], "k": k, "bucket": group["bucket"], "totals": answers}))
+        return pd.concat(out)
+
+    def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        block = _Block(left["text"].tolist(), order)
+        right = right.sort_values(["k", "bucket"])
+        totals = {k: np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right["totals"][right["k"] == k])]) for k in range(1, order + 1)}
+        logs = block.scores(totals, words, alpha, min_count)
+        mean = np.divide(logs, block.sizes, out=np.full(len(logs), np.nan), where=block.sizes > 0)
+        return pd.DataFrame({"doc_id": left["doc_id"], "n_words": block.sizes, "log_score": logs, "mean_log_score": mean})
+
+    requests = dealt.groupBy("block").applyInPandas(explode, "bucket int, block int, k int, keys binary, counts binary")
+    answers = requests.groupBy("bucket").applyInPandas(add, "block int, k int, bucket int, totals binary")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "doc_id long, n_words long, log_score double, mean_log_score double")
+    return scored.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score(table(spark, sf_dir, "documents"))
+    return scored.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
+ORACLE_SQL = rf"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
+b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p),
+f1 AS (SELECT w, count(*) AS n FROM b GROUP BY w),
+f2 AS (SELECT before, w, count(*) AS n FROM b WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+s AS (SELECT b.doc_id, CASE WHEN f2.n IS NOT NULL THEN ln(f2.n / c.n)
+      WHEN b.before IS NULL THEN ln(a.n / (SELECT count(*) FROM p)) ELSE ln({ALPHA}) + ln(a.n / (SELECT count(*) FROM p)) END AS x
+  FROM b JOIN f1 a ON b.w = a.w LEFT JOIN f1 c ON b.before = c.w LEFT JOIN f2 ON b.before = f2.before AND b.w = f2.w),
+t AS (SELECT doc_id, sum(x) AS x, count(*) AS n FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.x, 0), 4) AS log_score, round(t.x / t.n, 6) AS mean_log_score
+FROM d LEFT JOIN t ON d.doc_id = t.doc_id
+"""

@@ -1,0 +1,154 @@
+"""MinHash near-dedup: one-permutation hashing with optimal densification, banded buckets, star-shaped candidates.
+
+A document's set are the hashes of its distinct five-word shingles (A-Z lower-cased; fewer words: the whole sequence as
+one; no words: empty, linked with nothing). One permutation deals the set into bins of which each keeps its smallest
+hash; an empty bin takes the value of the first full bin in its own fixed random sequence (densification), so each bin
+agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins are bucket keys: a pair of similarity
+0.75 shares no bucket with probability (1 - 0.75^5)^48, about 2e-6.
+
+1. Equal sets are one class, represented by its smallest id, so a group of copies of any size is one candidate.
+2. A bucket's smallest representative is its centre; every other member is a candidate pair with it: as many pairs as
+   members, never all pairs of a group. Pairs are confirmed on the full sets, recomputed from the whole texts.
+3. Confirmed links and copies give components. Members of a bucket that aren't in its centre's component yet are dealt
+   again, among themselves and against the members already absorbed, until every link is found (see ``_rest``).
+
+Texts meet in joins by id whose hot keys adaptive execution can split. Links and components stay in tables.
+
+Defined cases: null and empty texts have an empty set. Rows that repeat an id are one vertex: it is linked if one of
+them is, ``n_shingles`` is each row's own. A null id is linked with nothing; its component is null and it is kept.
+No rows give no rows. Only id and text are read.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from engram.llm.common import WordHashes, cut, id_and_text, mixed, packed, table, windows, words_of
+from engram.llm.components import connected_components
+
+WIDTH, PERCENT = 5, 75
+BANDS, ROWS = 48, 5
+BINS = BANDS * ROWS
+_EDGES = (np.arange(BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
+
+
+def shingles(text: str | None, hashes: WordHashes, width: int = WIDTH) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the shingles of a text."""
+    words = words_of(text)
+    if not words:
+        return np.empty(0, dtype=np.uint64)
+    return np.unique(windows(hashes.of(words), min(width, len(words))) if len(words) >= width else windows(hashes.of(words), len(words)) ^ np.uint64(len(words)))
+
+
+class _Probes:
+    """Fixed random sequence of bins for each bin, drawn as far as it is needed."""
+
+    def __init__(self) -> None:
+        self.drawn = np.empty((BINS, 0), dtype=np.int64)
+
+    def upto(self, n: int) -> np.ndarray:
+        if self.drawn.shape[1] < n:
+            step = np.arange(n, dtype=np.uint64)
+            seed = np.arange(BINS, dtype=np.uint64)[:, None] << np.uint64(32)
+            self.drawn = (mixed(seed + step + np.uint64(1)) % np.uint64(BINS)).astype(np.int64)
+        return self.drawn
+
+
+def signature(found: np.ndarray, probes: _Probes) -> np.ndarray:
+    """Densified one-permutation MinHash of a non-empty sorted set: a value per bin."""
+    at = np.searchsorted(found, _EDGES)
+    full = at < np.append(at[1:], len(found))
+    values = np.zeros(BINS, dtype=np.uint64)
+    values[full] = found[at[full]]
+    if full.all():
+        return values
+    if full.sum() == 1:
+        return np.full(BINS, found[0])
+    empty, n = np.flatnonzero(~full), 16
+    while len(empty):
+        tries = full[probes.upto(n)[empty, :n]]
+        hit = tries.any(axis=1)
+        values[empty[hit]] = values[probes.drawn[empty[hit], tries[hit].argmax(axis=1)]]
+        empty, n = empty[~hit], n * 4
+    return values
+
+
+def bands(values: np.ndarray) -> np.ndarray:
+    """A 64-bit bucket key per band."""
+    total = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in values.reshape(BANDS, ROWS).T:
+        total = mixed(total + row)
+    return total.view(np.int64)
+
+
+def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes, probes = WordHashes(), _Probes()
+    for frame in frames:
+        out = []
+        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+            found = shingles(text, hashes)
+            keys = bands(signature(found, probes)) if len(found) else np.empty(0, dtype=np.int64)
+            out.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), keys))
+        if out:
+            described = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands"])
+            yield described.assign(doc_id=described["doc_id"].astype("Int64"))
+
+
+def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs whose full sets are similar enough. Rows of one centre come together, so its set is made once."""
+    hashes, last, centre = WordHashes(), None, None
+    for frame in frames:
+        fine = np.zeros(len(frame), dtype=bool)
+        for k, (a, text_a, text_b) in enumerate(zip(frame["a"], frame["text_a"], frame["text_b"], strict=True)):
+            if last != (a, text_a):
+                last, centre = (a, text_a), shingles(text_a, hashes)
+            other = shingles(text_b, hashes)
+            small, large = sorted((len(centre), len(other)))
+            if 100 * small >= PERCENT * large > 0:
+                both = len(np.intersect1d(centre, other, assume_unique=True))
+                fine[k] = 100 * both >= PERCENT * (len(centre) + len(other) - both)
+        yield frame.loc[fine, ["a", "b"]]
+
+
+def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    return both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long").distinct()
+
+
+def _stars(rows: DataFrame, member: str = "vertex") -> DataFrame:
+    """Candidate pairs (a: centre, b: member) of the buckets of ``rows``: key, member."""
+    centres = rows.groupBy("key").agg(F.min(member).alias("a"), F.max(member).alias("most")).filter("a < most").select("key", "a")
+    return rows.join(centres, "key").filter(F.col("a") != F.col(member)).select("a", F.col(member).alias("b")).distinct()
+
+
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_shingles, set_hash, bands`` of every row."""
+    return id_and_text(docs, id_col, text_col).mapInPandas(_describe, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+
+
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
+    described = cut(describe(docs, id_col, text_col))
+    texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    sets = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    classes = sets.groupBy("set_hash", "bands").agg(F.min("doc_id").alias("vertex"))
+    rows = classes.select("vertex", F.explode("bands").alias("key"))
+    pairs = cut(_stars(rows))
+    links = cut(_confirmed(pairs, texts))
+    members = sets.select("set_hash", "doc_id").join(classes.select("set_hash", "vertex"), "set_hash").filter("doc_id <> vertex")
+    edges = links.union(members.select("doc_id", "vertex"))
+    found = connected_components(edges)
+    joined = described.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
+    component = F.coalesce("component", "doc_id")
+    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return components(table(spark, sf_dir, "documents"))
