@@ -22,9 +22,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from os.path import commonprefix
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +36,9 @@ from engram.llm.common import id_and_text, table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A block of texts is closed at so many characters; longer texts are encoded in runs of about as many.
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 4_000_000
 #: Words remembered between blocks, and compatible pairs; both are emptied when full.
-CACHED_WORDS, CACHED_PAIRS = 300_000, 500_000
+CACHED_WORDS, CACHED_PAIRS = 500_000, 500_000
 #: What an unknown character costs below the worst piece (unigram).
 UNKNOWN_PENALTY = 10.0
 
@@ -84,8 +84,15 @@ class Encoder:
         self.unknown = vocabulary.kinds.index(2)
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == 6}
         self.worst = min((vocabulary.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
+        self.coded = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
+        #: Lengths of the pieces that end in two characters, the longest first.
+        self.lengths: dict[str, tuple[int, ...]] = {}
+        for piece in self.ids:
+            if len(piece) > 1:
+                self.lengths[piece[-2:]] = tuple(sorted({*self.lengths.get(piece[-2:], ()), len(piece)}, reverse=True))
         self.words: dict[str, bytes] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.follow: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.pairs = 0
         letters = set("".join(self.ids))
         alone = "".join(c for c in "\n\t\r" if c not in letters)  # in no piece, so nothing joins them
         whole = any(MARK in p.lstrip(MARK) for p in self.ids)
@@ -110,48 +117,46 @@ class Encoder:
         return parts
 
     def _compatible(self, left: str, right: str) -> bool:
-        """``left`` is empty at the start of a word."""
-        key = (left, right)
-        known = self.pairs.get(key)
-        if known is None:
-            if len(self.pairs) >= CACHED_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self._bpe(left + right) == ([left, right] if left else [right])
+        """Whether BPE leaves the concatenation as these two; ``left`` is empty at the start of a word."""
+        known = self.follow[left][right] = self._bpe(left + right) == ([left, right] if left else [right])
+        self.pairs += 1
         return known
 
-    def _extend_bpe(self, word: str, last: list[int], at: int) -> None:
-        for length in range(min(self.longest, at), 0, -1):
-            piece = word[at - length : at]
-            if piece in self.ids or length == 1:
-                before = at - length
-                left = word[before - last[before] : before] if before else ""
-                if self._compatible(left, piece):
-                    last[at] = length
-                    return
-        raise AssertionError(f"no last piece for {word[:at]!r}")
-
-    def _extend_unigram(self, word: str, last: list[int], score: list[float], at: int) -> None:
-        best, chosen = None, 0
-        for length in range(min(self.longest, at), 0, -1):
-            i = self.ids.get(word[at - length : at])
-            gain = self.v.scores[i] if i is not None else self.worst if length == 1 else None
-            if gain is not None and (best is None or score[at - length] + gain > best):
-                best, chosen = score[at - length] + gain, length
-        last[at], score[at] = chosen, best
-
-    def _ids_of(self, word: str, last: list[int]) -> list[int]:
-        found, at = [], len(word)
-        while at:
-            piece = word[at - last[at] : at]
-            i = self.ids.get(piece)
-            if i is not None:
-                found.append(i)
-            elif self.v.byte_fallback:
-                found += [self.bytes_at[b] for b in reversed(piece.encode())]
-            elif not found or found[-1] != self.unknown:
-                found.append(self.unknown)
-            at -= last[at]
-        return found[::-1]
+    def _bpe_states(self, word: str, last: list[str], after: list[dict[str, bool]]) -> None:
+        """Extend ``last`` (last piece of each prefix; ``after``: what is known to follow it) to the whole word.
+
+        A prefix that no longer piece fits ends in one character.
+        """
+        lengths, ids, follow = self.lengths, self.ids, self.follow
+        for at in range(len(last), len(word) + 1):
+            piece = word[at - 1]
+            for length in lengths.get(word[at - 2 : at], ()) if at > 1 else ():
+                if length <= at:
+                    longer = word[at - length : at]
+                    known = after[at - length].get(longer)
+                    if known or known is None and longer in ids and self._compatible(last[at - length], longer):
+                        piece = longer
+                        break
+            last.append(piece)
+            after.append(follow[piece])
+
+    def _unigram_states(self, word: str, last: list[str], score: list[float]) -> None:
+        """Extend the best score of each prefix, and the last piece that it comes from."""
+        for at in range(len(last), len(word) + 1):
+            best, chosen = None, ""
+            for length in range(min(self.longest, at), 0, -1):
+                piece = word[at - length : at]
+                i = self.ids.get(piece)
+                gain = self.v.scores[i] if i is not None else self.worst if length == 1 else None
+                if gain is not None and (best is None or score[at - length] + gain > best):
+                    best, chosen = score[at - length] + gain, piece
+            last.append(chosen)
+            score.append(best)
+
+    def _spell(self, piece: str) -> bytes:
+        """Ids, as 32-bit integers, of a character that is no piece."""
+        found = [self.bytes_at[b] for b in piece.encode()] if self.v.byte_fallback else [self.unknown]
+        return np.array(found, dtype=np.int32).tobytes()
 
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't remembered: in sorted order, from the end of the prefix shared with the one before."""
@@ -159,17 +164,26 @@ class Encoder:
         if len(self.words) + len(fresh) > CACHED_WORDS:
             self.words.clear()
             fresh = sorted(words)
-        before, last, score = "", [0], [0.0]
+        if self.pairs > CACHED_PAIRS:
+            self.follow.clear()
+            self.pairs = 0
+        before, last, score, after = "", [""], [0.0], [self.follow[""]]
         for word in fresh:
-            shared = len(commonprefix((before, word)))
-            last[shared + 1 :] = [0] * (len(word) - shared)
-            score[shared + 1 :] = [0.0] * (len(word) - shared)
-            for at in range(shared + 1, len(word) + 1):
-                if self.v.unigram:
-                    self._extend_unigram(word, last, score, at)
-                else:
-                    self._extend_bpe(word, last, at)
-            self.words[word] = np.array(self._ids_of(word, last), dtype=np.int32).tobytes()
+            shared, most = 0, min(len(before), len(word))
+            while shared < most and before[shared] == word[shared]:
+                shared += 1
+            del last[shared + 1 :], score[shared + 1 :], after[shared + 1 :]
+            if self.v.unigram:
+                self._unigram_states(word, last, score)
+            else:
+                self._bpe_states(word, last, after)
+            parts, at = [], len(word)
+            while at:
+                piece = last[at]
+                parts.append(self.coded.get(piece) or self._spell(piece))
+                at -= len(piece)
+            parts.reverse()
+            self.words[word] = b"".join(parts)
             before = word
 
     def _runs(self, text: str) -> Iterator[list[str]]:
