@@ -19,7 +19,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", known: Da
     ends = edges.select(F.col(a).alias("vertex"), F.col(b).alias("other")).filter("vertex <> other")
     both = cut(ends.union(ends.select("other", "vertex")).distinct())
     labels = both.select("vertex").distinct().select("vertex", F.col("vertex").alias("component"))
-    if known is not None:
+    if known is not None:  # labels only ever fall, so those of a part of the edges are a fair start
         start = known.select("vertex", F.col("component").alias("before"))
         labels = labels.join(start, "vertex", "full").select("vertex", F.coalesce("before", "component").alias("component"))
     labels = cut(labels)

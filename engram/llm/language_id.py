@@ -30,6 +30,8 @@ from engram.llm.common import table
 
 DIMENSIONS, N = 1024, 3
 PER_LANGUAGE = 400
+#: Parts in which the rows of a language are ranked first, so that the last ranking reads a bounded number of rows.
+PARTS = 256
 #: n-gram vectors that a task remembers; emptied when full.
 CACHED = 40_000
 #: Texts of one matrix product, and rows whose vectors are held at once.
@@ -130,8 +132,11 @@ class Bundler:
 def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Unit vector per language from the training rows (``held_out`` ones are never read); at most ``per_language`` each."""
     seen = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = seen.withColumn("nth", nth).filter(F.col("nth") <= per_language).select("doc_id", "lang").distinct()
+    first = [F.xxhash64("doc_id"), F.col("doc_id")]
+    dealt = seen.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))  # a language may hold most rows
+    for keys in (["lang", "part"], ["lang"]):
+        dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).filter(F.col("nth") <= per_language)
+    chosen = dealt.select("doc_id", "lang").distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).filter(F.col("text").isNotNull()).select("lang", "text")
 

@@ -9,8 +9,10 @@ agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins
 1. Equal sets are one class, represented by its smallest id, so a group of copies of any size is one candidate.
 2. A bucket's smallest representative is its centre; every other member is a candidate pair with it: as many pairs as
    members, never all pairs of a group. Pairs are confirmed on the full sets, recomputed from the whole texts.
-3. Confirmed links and copies give components. Members of a bucket that aren't in its centre's component yet are dealt
-   again, among themselves and against the members already absorbed, until every link is found (see ``_rest``).
+3. Confirmed links and copies give components. A star leaves untested only pairs with a member that its centre refused
+   and whose component is still another one. These doubtful members and those who share a bucket with them are searched
+   exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, and the groups
+   of such a shingle are dealt in stars around each doubtful member in turn until none is left. No cap, no lost link.
 
 Texts meet in joins by id whose hot keys adaptive execution can split. Links and components stay in tables.
 
@@ -21,12 +23,12 @@ No rows give no rows. Only id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.llm.common import WordHashes, cut, id_and_text, mixed, packed, table, windows, words_of
@@ -87,17 +89,24 @@ def bands(values: np.ndarray) -> np.ndarray:
     return total.view(np.int64)
 
 
-def _describe(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    hashes, probes = WordHashes(), _Probes()
-    for frame in frames:
-        out = []
-        for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
-            found = shingles(text, hashes)
-            keys = bands(signature(found, probes)) if len(found) else np.empty(0, dtype=np.int64)
-            out.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), keys))
-        if out:
-            described = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands"])
-            yield described.assign(doc_id=described["doc_id"].astype("Int64"))
+def _describer(bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray]) -> Callable:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes, probes = WordHashes(), _Probes()
+        for frame in frames:
+            out = []
+            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+                found = shingles(text, hashes)
+                keys = bucket_keys(found, probes) if len(found) else np.empty(0, dtype=np.int64)
+                out.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), keys))
+            if out:
+                described = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands"])
+                yield described.assign(doc_id=described["doc_id"].astype("Int64"))
+
+    return run
+
+
+def minhash_keys(found: np.ndarray, probes: _Probes) -> np.ndarray:
+    return bands(signature(found, probes))
 
 
 def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,33 +131,101 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long").distinct()
 
 
-def _stars(rows: DataFrame, member: str = "vertex") -> DataFrame:
-    """Candidate pairs (a: centre, b: member) of the buckets of ``rows``: key, member."""
-    centres = rows.groupBy("key").agg(F.min(member).alias("a"), F.max(member).alias("most")).filter("a < most").select("key", "a")
-    return rows.join(centres, "key").filter(F.col("a") != F.col(member)).select("a", F.col(member).alias("b")).distinct()
+def _stars(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (a: centre, b: member) of the buckets in ``rows`` (key, vertex), and whether one had more than two."""
+    centres = rows.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("last"), F.count(F.lit(1)).alias("size")).filter("a < last").select("key", "a", "size")
+    met = rows.join(centres, "key").filter(F.col("a") != F.col("vertex"))
+    return met.groupBy("a", F.col("vertex").alias("b")).agg(F.max(F.col("size") > 2).alias("crowd"))
+
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs whose ends aren't in one component yet."""
+    for end in ("a", "b"):
+        label = found.select(F.col("vertex").alias(end), F.col("component").alias(f"{end}_in"))
+        pairs = pairs.join(label, end, "left")
+    return pairs.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).drop("a_in", "b_in")
 
-def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+
+def _explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    hashes = WordHashes()
+    for frame in frames:
+        for vertex, doubtful, text in zip(frame["vertex"], frame["doubtful"], frame["text"], strict=True):
+            found = shingles(text, hashes).view(np.int64)
+            yield pd.DataFrame({"vertex": vertex, "doubtful": doubtful, "n": len(found), "shingle": found})
+
+
+def _rare_groups(near: DataFrame, texts: DataFrame) -> DataFrame:
+    """``key, vertex, doubtful``: groups of the vertices that have a rare shingle of a doubtful one among their rarest.
+
+    With shingles in one global order, two sets of n and m with a similarity of 0.75 share one of their first
+    n - ceil(0.75 n) + 1 (and m likewise). The order is: shingles of one vertex or of no doubtful one, then by how many
+    vertices have them, so passages that very many share come last and make no groups.
+    """
+    every = cut(near.join(texts, near["vertex"] == texts["doc_id"]).select("vertex", "doubtful", "text").mapInPandas(_explode, "vertex long, doubtful boolean, n long, shingle long"))
+    useful = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.max("doubtful").alias("some")).filter("times > 1 AND some").select("shingle", "times")
+    shared = every.join(useful, "shingle")
+    own = Window.partitionBy("vertex")
+    ranked = shared.withColumn("nth", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("useless", F.col("n") - F.count(F.lit(1)).over(own))
+    first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("useless")
+    return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful").distinct()
+
+
+def _rest(rows: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, more: int = 8) -> DataFrame | None:
+    """Links that no star has tested; None if every bucket was tested whole. ``more``: centres of a group in each turn."""
+    refused = pairs.filter("crowd").select("a", "b").join(links, ["a", "b"], "left_anti")
+    doubtful = cut(_apart(refused, found).select(F.col("b").alias("vertex")).distinct())
+    if doubtful.isEmpty():
+        return None
+    keys = rows.join(doubtful, "vertex").select("key").distinct()
+    near = rows.join(keys, "key").select("vertex").distinct().join(doubtful.withColumn("doubtful", F.lit(True)), "vertex", "left")
+    groups = cut(_rare_groups(near.select("vertex", F.coalesce("doubtful", F.lit(False)).alias("doubtful")), texts))
+    tested, added = pairs.select("a", "b"), None
+    while not groups.filter("doubtful").isEmpty():
+        turn = Window.partitionBy("key").orderBy("vertex")
+        centres = groups.filter("doubtful").withColumn("nth", F.row_number().over(turn)).filter(F.col("nth") <= more).select("key", F.col("vertex").alias("centre"))
+        met = groups.join(centres, "key").filter(F.col("vertex") != F.col("centre"))
+        new = met.select(F.least("centre", "vertex").alias("a"), F.greatest("centre", "vertex").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
+        new = cut(_apart(new, found))
+        fresh = cut(_confirmed(new, texts))
+        tested = tested.union(new.select("a", "b"))
+        added = fresh if added is None else added.union(fresh)
+        if not fresh.isEmpty():
+            found = connected_components(links.union(added), known=found)
+        groups = cut(groups.join(centres.select("key", F.col("centre").alias("vertex")), ["key", "vertex"], "left_anti"))
+    return added
+
+
+def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys) -> DataFrame:
     """``doc_id, n_shingles, set_hash, bands`` of every row."""
-    return id_and_text(docs, id_col, text_col).mapInPandas(_describe, "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return id_and_text(docs, id_col, text_col).mapInPandas(_describer(bucket_keys), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
-    described = cut(describe(docs, id_col, text_col))
+    described = cut(describe(docs, id_col, text_col, bucket_keys))
     texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     sets = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = sets.groupBy("set_hash", "bands").agg(F.min("doc_id").alias("vertex"))
     rows = classes.select("vertex", F.explode("bands").alias("key"))
     pairs = cut(_stars(rows))
-    links = cut(_confirmed(pairs, texts))
+    links = cut(_confirmed(pairs.select("a", "b"), texts))
     members = sets.select("set_hash", "doc_id").join(classes.select("set_hash", "vertex"), "set_hash").filter("doc_id <> vertex")
     edges = links.union(members.select("doc_id", "vertex"))
     found = connected_components(edges)
+    rest = _rest(rows, pairs, links, found, texts)
+    if rest is not None:
+        found = connected_components(edges.union(rest), known=found)
     joined = described.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id is its component's, with all their columns."""
+    kept = components(docs, id_col, text_col).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.select(packed(docs).alias("row"), F.col(id_col).cast("long").alias("own_id"))
+    return rows.join(kept, F.col("own_id").eqNullSafe(F.col("kept_id")), "left_semi").select("row.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
