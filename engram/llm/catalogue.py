@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces
+from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_exact_dedup": exact_dedup.query,
     "op5_sentence_pieces": sentence_pieces.query,
     "op6_quality": quality.query,
+    "op7_fingerprints": fingerprints.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
 }
