@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces
+from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_fingerprints": fingerprints.query,
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
+    "op10_token_counts": token_counts.query,
 }
 
 ORACLE_SQL = {
