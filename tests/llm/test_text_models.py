@@ -1,0 +1,229 @@
+"""Operators in free style: LM scoring, SentencePiece, quality, language, token counts."""
+
+import base64
+import math
+import random
+from collections import Counter
+from dataclasses import replace
+from pathlib import Path
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from engram.llm import language_id, lm_scoring, quality, sentence_pieces, token_counts
+
+DATA = "/root/testdata/sf0.01"
+NEEDS_DATA = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
+CLASH = ("block", "n_words", "score", "held_out", "label", "ids", "n_tokens", "lang_pred")
+
+
+def frame(spark, rows):
+    return spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(1) for c in CLASH})
+
+
+# -- LM scoring -------------------------------------------------------------------------------------------------------
+
+
+def backoff_brute(rows, order, alpha, least):
+    words = [(t or "").encode().lower().split() for _, t in rows]
+    f = {k: Counter(tuple(w[i : i + k]) for w in words for i in range(len(w) - k + 1)) for k in range(1, order + 1)}
+    n = sum(map(len, words))
+
+    def s(w, i, k):
+        if k == 1:
+            return f[1][(w[i],)] / n
+        gram = tuple(w[i - k + 1 : i + 1])
+        return f[k][gram] / f[k - 1][gram[:-1]] if f[k][gram] >= least else alpha * s(w, i, k - 1)
+
+    return sorted((i if i is not None else -1, len(w), f"{sum(math.log(s(w, j, min(order, j + 1))) for j in range(len(w))):.4f}".replace("-0.0000", "0.0000")) for (i, _), w in zip(rows, words, strict=True))
+
+
+@pytest.mark.parametrize(("order", "chars"), [(1, 10**6), (2, 10**6), (2, 300), (3, 200)])
+def test_backoff_equals_brute_force_over_any_blocks(spark, order, chars):
+    r = random.Random(order)
+    rows = [(i, " ".join(r.choice(["a", "B", "b", "cc", "d e", "É"]) for _ in range(r.randint(0, 30)))) for i in range(80)]
+    rows += [(3, "a a a"), (3, "a a a"), (None, "b b"), (99, None), (100, ""), (101, " \t\n"), (102, "w " * 3000)]
+    got = lm_scoring.score(frame(spark, rows), order=order, block_chars=chars).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, f"{r.log_score:.4f}".replace("-0.0000", "0.0000")) for r in got) == backoff_brute(rows, order, 0.4, 2)
+    assert {r.mean_log_score for r in got if r.n_words == 0} == {None}
+
+
+def test_backoff_of_nothing(spark):
+    assert lm_scoring.score(frame(spark, [])).count() == 0
+
+
+# -- SentencePiece ----------------------------------------------------------------------------------------------------
+
+ALPHABET = [" ", "  ", "a", "b", "the", "ing", "\n", "▁", "é", "日", "😀", "aa", "0", "1", ".", ",", "\t", "er", "on", "http", "://", "    ", "\x00", "ﷺ", "S"]
+
+
+def random_texts(n, seed=1):
+    r = random.Random(seed)
+    return ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(n)]
+
+
+def test_bpe_is_what_the_library_gives(monkeypatch):
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=sentence_pieces.MODEL)
+    encoder = sentence_pieces.Encoder(sentence_pieces.Vocabulary.read())
+    texts = [*random_texts(3000), "", " ", "x" * 5000, "ab " * 4000]
+    ids = [x.tolist() for x in encoder.encode_block(texts)]
+    assert ids == library.encode(texts)
+    assert [encoder.decode(x) for x in ids] == [library.decode(x) for x in ids]
+    monkeypatch.setattr(sentence_pieces, "BLOCK_CHARS", 7)
+    monkeypatch.setattr(sentence_pieces, "CACHED_WORDS", 50)
+    monkeypatch.setattr(sentence_pieces, "CACHED_PAIRS", 20)
+    small = sentence_pieces.Encoder(sentence_pieces.Vocabulary.read())
+    assert [small.encode(t) for t in texts[:400]] == ids[:400]
+
+
+def test_unigram_finds_the_best_score():
+    r = random.Random(3)
+    pieces = ["<unk>", "<s>", "▁", *"abc", *{"".join(r.choice("▁abc") if k == 0 else r.choice("abc") for k in range(r.randint(2, 4))) for _ in range(40)}]
+    scores = [0.0, 0.0] + [-r.uniform(1, 9) for _ in pieces[2:]]
+    v = sentence_pieces.Vocabulary(tuple(pieces), tuple(scores), (2, 3) + (1,) * (len(pieces) - 2), True, True, False, " ⁇ ")
+    encoder = sentence_pieces.Encoder(v)
+
+    def best(word):
+        found = {0: 0.0}
+        for at in range(1, len(word) + 1):
+            found[at] = max(found[k] + (scores[encoder.ids[word[k:at]]] if word[k:at] in encoder.ids else encoder.worst) for k in range(at) if word[k:at] in encoder.ids or at - k == 1)
+        return found[len(word)]
+
+    for _ in range(300):
+        text = "".join(r.choice("abc ") for _ in range(r.randint(1, 25)))
+        marked = "▁" + text.replace(" ", "▁")
+        assert sum(scores[i] for i in encoder.encode(text)) == pytest.approx(best(marked))
+        assert encoder.decode(encoder.encode(text)) == text
+    assert encoder.encode("xyz") == [encoder.ids["▁"], 0]
+    with pytest.raises(IndexError):
+        replace(v, kinds=())
+        sentence_pieces.Encoder(replace(v, kinds=()))
+
+
+def test_encoding_rows(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "x"), (2, None), (3, ""), (4, "▁"), (5, "long " * 50_000)]
+    got = sentence_pieces.encode(frame(spark, rows)).collect()
+    assert len(got) == 7 and [r.round_trip for r in got] == [True] * 5 + [False, True]
+    assert [r.n_tokens for r in got][3:5] == [0, 0] and all(len(r.ids) == r.n_tokens for r in got)
+    back = sentence_pieces.decode(sentence_pieces.encode(frame(spark, rows))).collect()
+    assert [r.text for r in back] == ["a b", "a b", "x", "", "", " ", "long " * 50_000]
+    assert sentence_pieces.encode(frame(spark, [])).count() == 0
+
+
+# -- quality and language ---------------------------------------------------------------------------------------------
+
+
+@NEEDS_DATA
+def test_quality_on_held_out_labels(spark):
+    got = quality.query(spark, DATA)
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    judged = got.filter("held_out").join(labels, "doc_id").select("quality", "predicted").collect()
+    assert sum(r.quality == r.predicted for r in judged) / len(judged) > 0.95
+    good = [r for r in judged if r.quality == 1]
+    assert sum(r.predicted for r in good) / len(good) > 0.97
+    assert got.count() == 1000
+
+
+def test_quality_edges(spark):
+    rows = [(1, None), (1, ""), (None, "x y"), (7, "word " * 20_000), (8, "\x00\n\n")]
+    assert {r.score for r in quality.classify(frame(spark, rows), None).collect()} == {0.5}
+    r = random.Random(1)
+    docs = [(i, " ".join(r.choice(["Good.", "fine", "text"] if i % 2 else ["###", "!!", "$$a"]) for _ in range(90))) for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)] + [(None, 1, 0), (3, None, 0), (7, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.train(frame(spark, docs), labels)
+    got = {x.doc_id: x for x in quality.classify(frame(spark, docs), model).collect()}
+    assert all(got[i].predicted == i % 2 for i in range(60)) and got[0].held_out == (__import__("zlib").crc32(b"0") % 5 == 0)
+    scored = quality.classify(frame(spark, rows), model).collect()
+    assert len(scored) == 5 and all(0 <= x.score <= 1 for x in scored)
+    kept = quality.keep_good(frame(spark, docs), model)
+    assert kept.columns == frame(spark, docs).columns and {x.doc_id for x in kept.collect()} == {i for i in range(60) if i % 2}
+    assert quality.classify(frame(spark, []), model).count() == 0 and quality.train(frame(spark, docs), labels.limit(0)) is None
+
+
+def test_attention_gradient_is_that_of_the_loss():
+    r = np.random.default_rng(0)
+    x, sizes, y = r.normal(size=(9, quality.FEATURES)), np.array([2, 3, 4]), np.array([0.0, 1.0, 1.0])
+    before, after = quality.Model(), quality.Model()
+    after.fit(x, sizes, y)
+    loss = lambda m: -np.mean(np.log(np.where(y == 1, m.score(x, sizes), 1 - m.score(x, sizes))))
+    before.mean, before.scale = after.mean, after.scale
+    assert loss(after) < 0.1 * loss(before)
+
+
+@NEEDS_DATA
+def test_language_on_held_out_rows(spark):
+    got = language_id.query(spark, DATA).filter("held_out").join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").select("lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) / len(got) > 0.97
+
+
+def test_language_edges(spark, monkeypatch):
+    rows = [(i, "der die das und nicht" if i % 2 else "the of and this with", "de" if i % 2 else "en") for i in range(40)]
+    df = spark.createDataFrame([*rows, (50, None, "de"), (51, "123 !!", "en"), (None, "the of", None), (52, "", None)], "doc_id long, text string, lang string").withColumns({"nth": F.lit(0), "part": F.lit(0)})
+    known = language_id.profiles(df)
+    assert list(known) == ["de", "en"]
+    got = {r.doc_id: r for r in language_id.identify(df, known).collect()}
+    assert all(got[i].lang_pred == ("de" if i % 2 else "en") for i in range(40)) and got[None].lang_pred == "en"
+    assert [(got[i].lang_pred, got[i].score) for i in (50, 51, 52)] == [("und", 0.0)] * 3
+    assert {r.lang_pred for r in language_id.identify(df, {}).collect()} == {"und"}
+    assert language_id.profiles(df.limit(0)) == {} and language_id.identify(df.limit(0), known).count() == 0
+
+
+def test_bundle_is_the_sum_of_bound_ngrams_however_it_is_cut(monkeypatch):
+    text = "Hello, wörld! 12 ab" * 30
+    whole, _ = language_id.Bundler().bundle([text])
+    b = language_id.Bundler()
+    run = " " + language_id._OTHER.sub(" ", f"{text} ".lower())
+    want = sum(b._bound(tuple(map(ord, run[i : i + 3]))) for i in range(len(run) - 2))
+    assert np.array_equal(whole[0], want)
+    monkeypatch.setattr(language_id, "CACHED", 16)
+    monkeypatch.setattr(language_id, "BLOCK", 2)
+    assert np.array_equal(language_id.Bundler().bundle([text, None, text])[0][[0, 2]], [want, want])
+    monkeypatch.setattr(language_id, "RUN_CHARS", 7)
+    assert np.array_equal(language_id.Bundler().bundle([text])[0][0], want)
+
+
+# -- token counts -----------------------------------------------------------------------------------------------------
+
+
+@pytest.fixture(scope="module")
+def counter():
+    return token_counts.Counter({base64.b64decode(a): int(b) for a, b in map(bytes.split, open(token_counts.RANKS, "rb"))})
+
+
+def test_edits_count_as_encoding_anew(counter, monkeypatch):
+    r = random.Random(3)
+    letters = [" ", "  ", "a", "b", "'s", "'", "\n", "\n\n", "é", "日", "1", "23", ".", "!!", "\t", "the", " the", "ll", "'ll"]
+    draw = lambda n: "".join(r.choice(letters) for _ in range(n))
+    for _ in range(1500):
+        monkeypatch.setattr(token_counts, "LEAF", r.choice([1, 2, 3, 32]))
+        monkeypatch.setattr(token_counts, "FANOUT", r.choice([2, 3, 16]))
+        tree = token_counts.Tree(draw(r.randint(0, 60)), counter)
+        for _ in range(5):
+            start = r.randint(0, len(tree.text))
+            end, put = min(len(tree.text), start + r.choice([0, 0, 1, 2, 5, 60])), draw(r.choice([0, 1, 2, 5]))
+            want = tree.text[:start] + put + tree.text[end:]
+            tree.edit(start, end, put)
+            assert tree.text == want and tree.tokens == len(counter.encoding.encode_ordinary(want))
+            assert [x for leaf in tree.leaves for x in leaf] == [x for leaf in token_counts.Tree(want, counter).leaves for x in leaf]
+
+
+def test_an_edit_touches_little_of_a_long_text(counter):
+    tree = token_counts.Tree("some words and more " * 5000, counter)
+    before = tree.encoded
+    tree.edit(50_000, 50_003, "x")
+    assert tree.encoded - before < 10 and tree.tokens == len(counter.encoding.encode_ordinary(tree.text))
+
+
+def test_counting_rows(spark, counter):
+    rows = [(1, "a b c"), (1, "a b c"), (None, "<|endoftext|>"), (2, None), (3, ""), (4, "word " * 30_000)]
+    got = token_counts.count(frame(spark, rows)).collect()
+    assert [r.n_tokens for r in got] == [len(counter.encoding.encode_ordinary(t or "")) for _, t in rows]
+    for (_, text), row in zip(rows, got, strict=True):
+        text = text or ""
+        for start, end, put in token_counts.example_edits(text):
+            text = text[:start] + put + text[end:]
+        assert (row.edited_chars, row.edited_tokens) == (len(text), len(counter.encoding.encode_ordinary(text)))
+    assert token_counts.count(frame(spark, [])).count() == 0
