@@ -4,7 +4,7 @@ A document's set are the hashes of its distinct five-word shingles (A-Z lower-ca
 one; no words: empty, linked with nothing). One permutation deals the set into bins of which each keeps its smallest
 hash; an empty bin takes the value of the first full bin in its own fixed random sequence (densification), so each bin
 agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins are bucket keys: a pair of similarity
-0.75 shares no bucket with probability (1 - 0.75^5)^48, about 2e-6.
+0.75 shares no bucket with probability (1 - 0.75^4)^32, about 5e-6.
 
 1. Equal sets are one class, represented by its smallest id, so a group of copies of any size is one candidate.
 2. A bucket's smallest representative is its centre; every other member is a candidate pair with it: as many pairs as
@@ -35,7 +35,7 @@ from engram.llm.common import WordHashes, cut, id_and_text, mixed, packed, table
 from engram.llm.components import connected_components
 
 WIDTH, PERCENT = 5, 75
-BANDS, ROWS = 48, 5
+BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 _EDGES = (np.arange(BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
 
@@ -154,14 +154,14 @@ def _explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"vertex": vertex, "doubtful": doubtful, "n": len(found), "shingle": found})
 
 
-def _rare_groups(near: DataFrame, texts: DataFrame) -> DataFrame:
+def _rare_groups(texts: DataFrame) -> DataFrame:
     """``key, vertex, doubtful``: groups of the vertices that have a rare shingle of a doubtful one among their rarest.
 
     With shingles in one global order, two sets of n and m with a similarity of 0.75 share one of their first
     n - ceil(0.75 n) + 1 (and m likewise). The order is: shingles of one vertex or of no doubtful one, then by how many
     vertices have them, so passages that very many share come last and make no groups.
     """
-    every = cut(near.join(texts, near["vertex"] == texts["doc_id"]).select("vertex", "doubtful", "text").mapInPandas(_explode, "vertex long, doubtful boolean, n long, shingle long"))
+    every = texts.select(F.col("doc_id").alias("vertex"), "doubtful", "text").mapInPandas(_explode, "vertex long, doubtful boolean, n long, shingle long")
     useful = every.groupBy("shingle").agg(F.count(F.lit(1)).alias("times"), F.max("doubtful").alias("some")).filter("times > 1 AND some").select("shingle", "times")
     shared = every.join(useful, "shingle")
     own = Window.partitionBy("vertex")
@@ -170,29 +170,43 @@ def _rare_groups(near: DataFrame, texts: DataFrame) -> DataFrame:
     return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful").distinct()
 
 
-def _rest(rows: DataFrame, pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, more: int = 8) -> DataFrame | None:
+def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, more: int = 8) -> DataFrame | None:
     """Links that no star has tested; None if every bucket was tested whole. ``more``: centres of a group in each turn."""
     refused = pairs.filter("crowd").select("a", "b").join(links, ["a", "b"], "left_anti")
     doubtful = cut(_apart(refused, found).select(F.col("b").alias("vertex")).distinct())
     if doubtful.isEmpty():
         return None
-    keys = rows.join(doubtful, "vertex").select("key").distinct()
-    near = rows.join(keys, "key").select("vertex").distinct().join(doubtful.withColumn("doubtful", F.lit(True)), "vertex", "left")
-    groups = cut(_rare_groups(near.select("vertex", F.coalesce("doubtful", F.lit(False)).alias("doubtful")), texts))
+    crowds = pairs.filter("crowd").select("a", "b")
+    centres = crowds.join(doubtful.withColumnRenamed("vertex", "b"), "b").select("a").union(doubtful).distinct()
+    members = crowds.join(centres, "a").select(F.col("b").alias("vertex")).union(centres).distinct()  # share a bucket with a doubtful one
+    near = members.join(doubtful.withColumn("doubtful", F.lit(True)), "vertex", "left")
+    near = near.select("vertex", F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
+    texts = cut(texts.join(near, texts["doc_id"] == near["vertex"]).select("doc_id", "text", "doubtful"))
+    groups = cut(_rare_groups(texts))
     tested, added = pairs.select("a", "b"), None
-    while not groups.filter("doubtful").isEmpty():
+    while True:
+        groups = cut(_split_groups(groups, found))
+        if groups.isEmpty():
+            return added
         turn = Window.partitionBy("key").orderBy("vertex")
         centres = groups.filter("doubtful").withColumn("nth", F.row_number().over(turn)).filter(F.col("nth") <= more).select("key", F.col("vertex").alias("centre"))
         met = groups.join(centres, "key").filter(F.col("vertex") != F.col("centre"))
         new = met.select(F.least("centre", "vertex").alias("a"), F.greatest("centre", "vertex").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
         new = cut(_apart(new, found))
-        fresh = cut(_confirmed(new, texts))
-        tested = tested.union(new.select("a", "b"))
+        fresh = cut(_confirmed(new, texts.select("doc_id", "text")))
+        tested = tested.union(new)
         added = fresh if added is None else added.union(fresh)
         if not fresh.isEmpty():
             found = connected_components(links.union(added), known=found)
-        groups = cut(groups.join(centres.select("key", F.col("centre").alias("vertex")), ["key", "vertex"], "left_anti"))
-    return added
+        groups = groups.join(centres.select("key", F.col("centre").alias("vertex")), ["key", "vertex"], "left_anti")
+        more *= 2
+
+
+def _split_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
+    """The groups that still have a doubtful member and members of more than one component."""
+    label = groups.join(found, "vertex", "left").select("key", F.coalesce("component", "vertex").alias("in"), "doubtful")
+    open_keys = label.groupBy("key").agg(F.min("in").alias("low"), F.max("in").alias("high"), F.max("doubtful").alias("some")).filter("low < high AND some").select("key")
+    return groups.join(open_keys, "key")
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys) -> DataFrame:
@@ -205,14 +219,16 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     described = cut(describe(docs, id_col, text_col, bucket_keys))
     texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
     sets = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = sets.groupBy("set_hash", "bands").agg(F.min("doc_id").alias("vertex"))
+    classes = cut(sets.groupBy("set_hash", "bands").agg(F.min("doc_id").alias("vertex")))
     rows = classes.select("vertex", F.explode("bands").alias("key"))
     pairs = cut(_stars(rows))
+    ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
+    texts = cut(texts.join(ends, texts["doc_id"] == ends["end"], "left_semi"))  # all that is compared from here on
     links = cut(_confirmed(pairs.select("a", "b"), texts))
     members = sets.select("set_hash", "doc_id").join(classes.select("set_hash", "vertex"), "set_hash").filter("doc_id <> vertex")
     edges = links.union(members.select("doc_id", "vertex"))
     found = connected_components(edges)
-    rest = _rest(rows, pairs, links, found, texts)
+    rest = _rest(pairs, links, found, texts)
     if rest is not None:
         found = connected_components(edges.union(rest), known=found)
     joined = described.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
