@@ -11,8 +11,8 @@ agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins
    members, never all pairs of a group. Pairs are confirmed on the full sets, recomputed from the whole texts.
 3. Confirmed links and copies give components. A star leaves untested only pairs with a member that its centre refused
    and whose component is still another one. These doubtful members and those who share a bucket with them are searched
-   exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, and the groups
-   of such a shingle are dealt in stars around each doubtful member in turn until none is left. No cap, no lost link.
+   exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, so the doubtful
+   ones are compared in blocks with all that share such a shingle. No cap, no lost link, and no row per pair.
 
 Texts meet in joins by id whose hot keys adaptive execution can split. Links and components stay in tables.
 
@@ -170,8 +170,41 @@ def _rare_groups(texts: DataFrame) -> DataFrame:
     return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful").distinct()
 
 
-def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, more: int = 8) -> DataFrame | None:
-    """Links that no star has tested; None if every bucket was tested whole. ``more``: centres of a group in each turn."""
+def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Links between the members of a block and its visitors. Rows come sorted by block, part and role, members first."""
+    hashes, now = WordHashes(), None
+    ids, sets, index = [], [], None
+    for frame in frames:
+        out = []
+        for block, part, visits, vertex, text in frame[["block", "part", "visits", "vertex", "text"]].itertuples(index=False):
+            if now != (block, part):
+                now, ids, sets, index = (block, part), [], [], None
+            found = shingles(text, hashes)
+            if not visits:
+                ids.append(vertex)
+                sets.append(found)
+                continue
+            if index is None:
+                sizes = np.array([len(x) for x in sets])
+                every, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+                order = np.argsort(every, kind="stable")
+                index = every[order], owner[order], sizes, np.array(ids)
+            every, owner, sizes, names = index
+            low, high = np.searchsorted(every, found, "left"), np.searchsorted(every, found, "right")
+            hits = np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange((high - low).sum())
+            both = np.bincount(owner[hits], minlength=len(sizes))
+            near = names[(100 * both >= PERCENT * (sizes + len(found) - both)) & (names != vertex)]
+            out += [(min(vertex, x), max(vertex, x)) for x in near.tolist()]
+        yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, block: int = 1024, visitors: int = 4096) -> DataFrame | None:
+    """Links that no star has tested; None if every bucket was tested whole.
+
+    Doubtful members are a stated query set, compared in blocks with all that share one of their rare shingles: a block
+    holds the sets of at most about ``block`` of them, and a task streams about ``visitors`` texts past it. Only links
+    come out, so there is no row per pair.
+    """
     refused = pairs.filter("crowd").select("a", "b").join(links, ["a", "b"], "left_anti")
     doubtful = cut(_apart(refused, found).select(F.col("b").alias("vertex")).distinct())
     if doubtful.isEmpty():
@@ -182,24 +215,20 @@ def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame
     near = members.join(doubtful.withColumn("doubtful", F.lit(True)), "vertex", "left")
     near = near.select("vertex", F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
     texts = cut(texts.join(near, texts["doc_id"] == near["vertex"]).select("doc_id", "text", "doubtful"))
-    groups = cut(_rare_groups(texts))
-    tested, added = pairs.select("a", "b"), None
-    while True:
-        groups = cut(_split_groups(groups, found))
-        if groups.isEmpty():
-            return added
-        turn = Window.partitionBy("key").orderBy("vertex")
-        centres = groups.filter("doubtful").withColumn("nth", F.row_number().over(turn)).filter(F.col("nth") <= more).select("key", F.col("vertex").alias("centre"))
-        met = groups.join(centres, "key").filter(F.col("vertex") != F.col("centre"))
-        new = met.select(F.least("centre", "vertex").alias("a"), F.greatest("centre", "vertex").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        new = cut(_apart(new, found))
-        fresh = cut(_confirmed(new, texts.select("doc_id", "text")))
-        tested = tested.union(new)
-        added = fresh if added is None else added.union(fresh)
-        if not fresh.isEmpty():
-            found = connected_components(links.union(added), known=found)
-        groups = groups.join(centres.select("key", F.col("centre").alias("vertex")), ["key", "vertex"], "left_anti")
-        more *= 2
+    groups = cut(_split_groups(_rare_groups(texts), found))
+    if groups.isEmpty():
+        return None
+    sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    homes = groups.filter("doubtful").join(sizes, "key").groupBy("vertex").agg(F.max(F.struct("size", "key")).alias("home")).select("vertex", "home.key")
+    parts = homes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+    blocks = cut(homes.join(parts, "key").select("vertex", F.xxhash64("key", F.pmod(F.xxhash64("vertex"), "parts")).alias("block")))
+    calls = groups.filter("doubtful").join(blocks, "vertex").select("key", "block").distinct()
+    visits = cut(groups.join(calls, "key").select("vertex", "block").distinct())
+    shares = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("shares"))
+    hosts = blocks.join(shares, "block").select("vertex", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"), F.lit(False).alias("visits"))
+    guests = visits.join(shares, "block").select("vertex", "block", F.pmod(F.hash("vertex"), "shares").alias("part"), F.lit(True).alias("visits"))
+    told = hosts.union(guests).join(texts.select(F.col("doc_id").alias("vertex"), "text"), "vertex")
+    return cut(told.repartition("block", "part").sortWithinPartitions("block", "part", "visits").mapInPandas(_compare, "a long, b long").distinct())
 
 
 def _split_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
