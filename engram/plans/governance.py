@@ -1,0 +1,246 @@
+"""Queries: erasure with its closure and residue, retention, replay; evaluation metrics and probes."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from engram.operators.history import closure_by_doubling
+from engram.sources import views
+
+QUERIES: dict = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def shared(name: str, text: str) -> None:
+    QUERIES[name] = lambda spark, sf_dir: views.sql(spark, sf_dir, text)
+    ORACLE_SQL[name] = views.oracle(text)
+
+
+def query(name: str, oracle: str):
+    def register(f):
+        QUERIES[name], ORACLE_SQL[name] = f, views.oracle(oracle)
+        return f
+
+    return register
+
+
+# -- erasure: roots are the facts flagged to_erase, affected is their closure -------------------------------------------
+
+_AFFECTED = (
+    "WITH RECURSIVE hull AS (SELECT fact_id FROM v_facts WHERE to_erase UNION SELECT l.fact_id FROM hull JOIN v_lineage l ON l.parent_id = hull.fact_id), "
+    "affected AS (SELECT fact_id FROM hull) "
+)
+
+
+def affected(spark, sf_dir):
+    """Roots and everything derived from them."""
+    roots = views.facts(spark, sf_dir).filter("to_erase").select(F.col("fact_id").alias("root"))
+    return closure_by_doubling(views.table(spark, sf_dir, "v_lineage")).join(roots, "root", "left_semi").select("fact_id").distinct()
+
+
+def over_affected(name: str, text: str) -> None:
+    """SQL over the derived tables and ``affected``, the ids of the hull."""
+    QUERIES[name] = lambda spark, sf_dir: views.sql(spark, sf_dir, text.replace("FROM affected", "FROM {affected}").replace("JOIN affected", "JOIN {affected}"), affected=affected(spark, sf_dir))
+    ORACLE_SQL[name] = views.oracle(_AFFECTED + text)
+
+
+_EDGES = "SELECT subject_id AS src, origin_turn AS dst, fact_id, valid_to FROM v_facts"
+over_affected("erasure_derived", "SELECT f.fact_id, f.subject_id FROM v_facts f JOIN affected a ON f.fact_id = a.fact_id WHERE NOT f.to_erase")
+_TURNS = (
+    "SELECT DISTINCT f.origin_turn AS turn_id FROM v_facts f JOIN affected a ON f.fact_id = a.fact_id "
+    "WHERE f.origin_turn NOT IN (SELECT g.origin_turn FROM v_facts g WHERE g.fact_id NOT IN (SELECT fact_id FROM affected))"
+)
+_STEPS = "SELECT s.step_id FROM v_steps s WHERE s.redacted_at IS NULL AND (s.included_1 IN (SELECT fact_id FROM affected) OR s.included_2 IN (SELECT fact_id FROM affected))"
+
+
+@query("turns_to_redact", _AFFECTED + _TURNS)
+def turns_to_redact(spark, sf_dir):
+    """Turns with an erased fact and no surviving one: a semi join and an anti join."""
+    facts, gone = views.facts(spark, sf_dir).select("fact_id", "origin_turn"), affected(spark, sf_dir)
+    erased = facts.join(gone, "fact_id", "left_semi").select(F.col("origin_turn").alias("turn_id")).distinct()
+    alive = facts.join(gone, "fact_id", "left_anti").select(F.col("origin_turn").alias("turn_id")).distinct()
+    return erased.join(alive, "turn_id", "left_anti")
+
+
+def _mentioning(spark, sf_dir, gone):
+    """Steps that mention an affected fact: ids inside the steps are exploded, then one equi join (no OR)."""
+    steps = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL").select("step_id", F.explode(F.array("included_1", "included_2")).alias("fact_id"))
+    return steps.join(gone, "fact_id", "left_semi").select("step_id").distinct()
+
+
+@query("steps_mentioning_fact", _AFFECTED + _STEPS)
+def steps_mentioning_fact(spark, sf_dir):
+    return _mentioning(spark, sf_dir, affected(spark, sf_dir))
+
+
+@query(
+    "steps_via_lineage",
+    _AFFECTED + "SELECT s.step_id, s.trace_id FROM v_steps s WHERE s.trace_id IN (SELECT trace_id FROM v_lineage WHERE fact_id IN (SELECT fact_id FROM affected) UNION SELECT trace_id FROM v_lineage WHERE parent_id IN (SELECT fact_id FROM affected))",
+)
+def steps_via_lineage(spark, sf_dir):
+    """Traces of the fact's side and the parent's side, united, then one semi join."""
+    lineage, gone = views.table(spark, sf_dir, "v_lineage"), affected(spark, sf_dir)
+    own = lineage.join(gone, "fact_id", "left_semi").select("trace_id")
+    derived = lineage.join(gone.withColumnRenamed("fact_id", "parent_id"), "parent_id", "left_semi").select("trace_id")
+    return views.table(spark, sf_dir, "v_steps").join(own.union(derived).distinct(), "trace_id", "left_semi").select("step_id", "trace_id")
+
+
+shared(
+    "steps_for_subject",
+    "SELECT t.subject_id, count(*) AS steps FROM v_steps s JOIN v_traces t ON s.trace_id = t.trace_id WHERE s.redacted_at IS NULL AND t.subject_id IN (SELECT subject_id FROM v_facts WHERE to_erase) GROUP BY t.subject_id",
+)
+over_affected("edges_for_facts", f"SELECT e.src, e.dst, e.fact_id FROM ({_EDGES}) e JOIN affected a ON e.fact_id = a.fact_id")
+over_affected(
+    "rationales_to_blank",
+    "SELECT DISTINCT l.fact_id, l.op FROM (SELECT fact_id, op, fact_id AS about FROM v_lineage UNION ALL SELECT fact_id, op, parent_id FROM v_lineage WHERE parent_id IS NOT NULL) l JOIN affected a ON l.about = a.fact_id",
+)
+
+
+@query("traces_to_blank", _AFFECTED + f"SELECT t.trace_id, t.query FROM v_traces t WHERE t.query IS NOT NULL AND t.trace_id IN (SELECT s.trace_id FROM v_steps s WHERE s.step_id IN ({_STEPS}))")
+def traces_to_blank(spark, sf_dir):
+    steps = views.table(spark, sf_dir, "v_steps").join(_mentioning(spark, sf_dir, affected(spark, sf_dir)), "step_id", "left_semi").select("trace_id").distinct()
+    return views.table(spark, sf_dir, "v_traces").filter("query IS NOT NULL").join(steps, "trace_id", "left_semi").select("trace_id", "query")
+
+
+def _preview(spark, sf_dir):
+    facts, gone = views.facts(spark, sf_dir), affected(spark, sf_dir).checkpoint()
+    rows = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    parts = [
+        rows("fact", gone, "fact_id"), rows("derived", gone.join(facts.filter("to_erase"), "fact_id", "left_anti"), "fact_id"), rows("edge", gone, "fact_id"),
+        rows("step", _mentioning(spark, sf_dir, gone), "step_id"), rows("turn", turns_to_redact(spark, sf_dir), "turn_id"), rows("trace", traces_to_blank(spark, sf_dir), "trace_id"),
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    return out
+
+
+_PREVIEW = (
+    _AFFECTED + "SELECT kind, id FROM (SELECT 'fact' AS kind, fact_id AS id FROM affected UNION ALL SELECT 'derived', a.fact_id FROM affected a JOIN v_facts f ON a.fact_id = f.fact_id WHERE NOT f.to_erase "
+    f"UNION ALL SELECT 'edge', fact_id FROM affected UNION ALL SELECT 'step', step_id FROM ({_STEPS}) UNION ALL SELECT 'turn', turn_id FROM ({_TURNS}) "
+    f"UNION ALL SELECT 'trace', t.trace_id FROM v_traces t WHERE t.query IS NOT NULL AND t.trace_id IN (SELECT s.trace_id FROM v_steps s WHERE s.step_id IN ({_STEPS})))"
+)
+
+
+@query("erasure_preview", _PREVIEW)
+def erasure_preview(spark, sf_dir):
+    """Everything that an erasure would touch, by kind and id; nothing is changed."""
+    return _preview(spark, sf_dir)
+
+
+@query("erasure_counts", _PREVIEW.replace("SELECT kind, id FROM (", "SELECT kind, count(*) AS affected_rows FROM (", 1) + " GROUP BY kind")
+def erasure_counts(spark, sf_dir):
+    return _preview(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("affected_rows"))
+
+
+@query(
+    "erase_facts_projection",
+    _AFFECTED + "SELECT f.fact_id, CASE WHEN a.fact_id IS NULL THEN f.predicate END AS predicate, CASE WHEN a.fact_id IS NULL THEN f.value END AS value, CASE WHEN a.fact_id IS NULL THEN f.status ELSE 'erased' END AS status "
+    "FROM v_facts f LEFT JOIN affected a ON f.fact_id = a.fact_id",
+)
+def erase_facts_projection(spark, sf_dir):
+    """Facts after the erasure: ids and times stay, what they say is gone."""
+    facts = views.facts(spark, sf_dir).join(affected(spark, sf_dir).withColumn("gone", F.lit(True)), "fact_id", "left")
+    blank = lambda c: F.when(F.col("gone").isNull(), F.col(c)).alias(c)
+    return facts.select("fact_id", blank("predicate"), blank("value"), F.when(F.col("gone"), "erased").otherwise(F.col("status")).alias("status"))
+
+
+_STORES = (("facts", "v_facts", "predicate"), ("turns", "v_turns", "content"), ("entities", "v_entities", "name"), ("edges", "v_edges", "predicate"), ("steps", "v_steps", "input"), ("traces", "v_traces", "query"))
+_RESIDUE = " UNION ALL ".join(
+    f"SELECT '{store}' AS store, n.needle, count(*) AS found FROM (SELECT {column} AS said FROM {t}) s JOIN (SELECT 'error' AS needle UNION ALL SELECT 'in' UNION ALL SELECT '\"k\"') n ON lower(s.said) LIKE '%' || n.needle || '%' GROUP BY n.needle"
+    for store, t, column in _STORES
+)
+
+
+@query("residue_counts", _RESIDUE)
+def residue_counts(spark, sf_dir):
+    """How often each needle is still found in each store, literally and in any case."""
+    out = None
+    for store, t, column in _STORES:
+        said = views.table(spark, sf_dir, t).select(F.lit(store).alias("store"), F.lower(column).alias("said"), F.explode(F.array(F.lit("error"), F.lit("in"), F.lit('"k"'))).alias("needle"))
+        out = said if out is None else out.union(said)
+    return out.filter(F.contains("said", "needle")).groupBy("store", "needle").agg(F.count(F.lit(1)).alias("found"))
+
+
+@query(
+    "replay_diff",
+    "WITH a AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE status = 'active'), "
+    "b AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE invalidated_at IS NULL AND fact_id % 9 <> 0 OR status = 'retracted') "
+    "SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.said, b.said) AS said, CASE WHEN b.said IS NULL THEN 'only_original' WHEN a.said IS NULL THEN 'only_replay' ELSE 'unchanged' END AS side "
+    "FROM a FULL JOIN b ON a.subject_id = b.subject_id AND a.said = b.said",
+)
+def replay_diff(spark, sf_dir):
+    """Facts of the original and of the replay, keyed by what they say."""
+    said = F.concat("predicate", F.lit(" "), F.floor(F.col("value") / 10).cast("string")).alias("said")
+    facts = views.facts(spark, sf_dir)
+    original = facts.filter("status = 'active'").select("subject_id", said).distinct().withColumn("a", F.lit(True))
+    replay = facts.filter("invalidated_at IS NULL AND fact_id % 9 <> 0 OR status = 'retracted'").select("subject_id", said).distinct().withColumn("b", F.lit(True))
+    side = F.when(F.col("b").isNull(), "only_original").when(F.col("a").isNull(), "only_replay").otherwise("unchanged")
+    return original.join(replay, ["subject_id", "said"], "full_outer").select("subject_id", "said", side.alias("side"))
+
+
+# -- evaluation -------------------------------------------------------------------------------------------------------
+
+_RATES = (
+    "SELECT kind, CAST(sum(CASE WHEN outcome = 'pass' THEN 1 ELSE 0 END) AS BIGINT) AS passed, CAST(sum(CASE WHEN outcome = 'fail' THEN 1 ELSE 0 END) AS BIGINT) AS failed, "
+    "CAST(sum(CASE WHEN outcome = 'unsupported' THEN 1 ELSE 0 END) AS BIGINT) AS unsupported FROM v_probes GROUP BY kind"
+)
+_VALUE = "CASE WHEN passed + failed > 0 THEN round(CAST(CASE WHEN kind IN ('stale', 'false_retraction') THEN failed ELSE passed END AS DOUBLE) / (passed + failed), 6) END"
+shared("metric_rates", f"SELECT kind, passed, failed, unsupported, {_VALUE} AS rate FROM ({_RATES}) r")
+shared(
+    "metric_summary",
+    "SELECT " + ", ".join(f"max(CASE WHEN kind = '{k}' THEN rate END) AS {n}" for k, n in (("update_recall", "update_recall"), ("stale", "stale_rate"), ("false_retraction", "false_retraction"), ("erasure", "erasure_completeness")))
+    + f", CAST(sum(passed + failed) AS BIGINT) AS probes FROM (SELECT kind, passed, failed, {_VALUE} AS rate FROM ({_RATES}) r) s",
+)
+_PATTERN = "CASE probe_id % 5 WHEN 0 THEN 'Ersetzung' WHEN 1 THEN 'Verfeinerung' WHEN 2 THEN 'Befristung' WHEN 3 THEN 'Scheinwiderspruch' ELSE 'Widerruf' END"
+shared("by_pattern", f"SELECT pattern, outcome, count(*) AS probes FROM (SELECT {_PATTERN} AS pattern, outcome FROM v_probes) p GROUP BY pattern, outcome")
+shared(
+    "threshold_breaches",
+    f"SELECT s.kind, s.rate, t.bound, CASE WHEN s.rate IS NULL THEN false WHEN t.lower_bound THEN s.rate < t.bound ELSE s.rate > t.bound END AS breached FROM (SELECT kind, {_VALUE} AS rate FROM ({_RATES}) r) s "
+    "JOIN (SELECT 'update_recall' AS kind, CAST(0.9 AS DOUBLE) AS bound, true AS lower_bound UNION ALL SELECT 'stale', 0.1, false UNION ALL SELECT 'false_retraction', 0.05, false UNION ALL SELECT 'erasure', 1.0, true) t ON s.kind = t.kind",
+)
+_NEEDLES = "SELECT DISTINCT predicate AS needle FROM v_facts UNION SELECT 'nie gesagt'"
+_CONTEXT = "SELECT subject_id, string_agg(predicate, ' ' ORDER BY predicate) AS context FROM v_facts WHERE invalidated_at IS NULL AND status <> 'retracted' AND fact_id % 5 <> 0 GROUP BY subject_id"
+_ASKED = f"SELECT c.subject_id, c.context, n.needle FROM ({_CONTEXT}) c, ({_NEEDLES}) n"
+
+
+def _asked(spark, sf_dir):
+    """Each subject's context with every needle. Needles are few by design (of one evaluation) and go along as an array."""
+    facts = views.facts(spark, sf_dir)
+    context = facts.filter("invalidated_at IS NULL AND status <> 'retracted' AND fact_id % 5 <> 0").groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_list("predicate")), " ").alias("context"))
+    needles = facts.select("predicate").distinct().agg(F.array_append(F.sort_array(F.collect_set("predicate")), F.lit("nie gesagt")).alias("needles"))
+    return context.join(F.broadcast(needles)).select("subject_id", "context", F.explode("needles").alias("needle"))
+
+
+@query("probe_present", f"SELECT subject_id, needle, CASE WHEN contains(lower(context), lower(needle)) THEN 'pass' ELSE 'fail' END AS outcome FROM ({_ASKED})")
+def probe_present(spark, sf_dir):
+    return _asked(spark, sf_dir).select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "pass").otherwise("fail").alias("outcome"))
+
+
+@query(
+    "probe_stale",
+    f"SELECT a.subject_id, a.needle, CASE WHEN contains(lower(a.context), lower(a.needle)) THEN 'fail' WHEN EXISTS (SELECT 1 FROM v_facts f WHERE f.subject_id = a.subject_id AND f.predicate = a.needle) THEN 'pass' ELSE 'unsupported' END AS outcome FROM ({_ASKED}) a",
+)
+def probe_stale(spark, sf_dir):
+    """Delivered although outdated: fail; once stored and not delivered: pass; never stored: no basis."""
+    stored = views.facts(spark, sf_dir).select("subject_id", F.col("predicate").alias("needle")).distinct().withColumn("stored", F.lit(True))
+    rows = _asked(spark, sf_dir).join(stored, ["subject_id", "needle"], "left")
+    return rows.select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "fail").when(F.col("stored"), "pass").otherwise("unsupported").alias("outcome"))
+
+
+@query(
+    "probe_active",
+    f"SELECT a.subject_id, a.needle, CASE WHEN count(f.fact_id) = 0 THEN 'unsupported' WHEN count(f.fact_id) FILTER (f.status = 'active') > 0 THEN 'pass' ELSE 'fail' END AS outcome FROM ({_ASKED}) a "
+    "LEFT JOIN v_facts f ON f.subject_id = a.subject_id AND f.predicate = a.needle AND f.fact_id % 4 <> 0 GROUP BY a.subject_id, a.needle",
+)
+def probe_active(spark, sf_dir):
+    facts = views.facts(spark, sf_dir).filter("fact_id % 4 <> 0").groupBy("subject_id", F.col("predicate").alias("needle")).agg(F.max((F.col("status") == "active").cast("int")).alias("active"))
+    rows = _asked(spark, sf_dir).join(facts, ["subject_id", "needle"], "left")
+    return rows.select("subject_id", "needle", F.when(F.col("active").isNull(), "unsupported").when(F.col("active") == 1, "pass").otherwise("fail").alias("outcome"))
+
+
+@query("probe_preconditions", f"SELECT a.subject_id, a.needle FROM ({_ASKED}) a WHERE NOT EXISTS (SELECT 1 FROM v_facts f WHERE f.subject_id = a.subject_id AND f.predicate = a.needle)")
+def probe_preconditions(spark, sf_dir):
+    """Needles that were never stored: what a scenario meant to exercise, and didn't."""
+    stored = views.facts(spark, sf_dir).select("subject_id", F.col("predicate").alias("needle")).distinct()
+    return _asked(spark, sf_dir).select("subject_id", "needle").join(stored, ["subject_id", "needle"], "left_anti")
