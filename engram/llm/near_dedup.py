@@ -171,14 +171,26 @@ def _rare_groups(texts: DataFrame) -> DataFrame:
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Links between the members of a block and its visitors. Rows come sorted by block, part and role, members first."""
+    """Links between the members of a block and its visitors. Rows come sorted by block, part and role, members first.
+
+    A link whose ends are in one component by the links before it is left out, so a dense group gives a tree of links.
+    """
     hashes, now = WordHashes(), None
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
     ids, sets, index = [], [], None
     for frame in frames:
         out = []
         for block, part, visits, vertex, text in frame[["block", "part", "visits", "vertex", "text"]].itertuples(index=False):
             if now != (block, part):
                 now, ids, sets, index = (block, part), [], [], None
+                parent.clear()
             found = shingles(text, hashes)
             if not visits:
                 ids.append(vertex)
@@ -194,7 +206,10 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hits = np.repeat(low - np.concatenate(([0], np.cumsum(high - low)[:-1])), high - low) + np.arange((high - low).sum())
             both = np.bincount(owner[hits], minlength=len(sizes))
             near = names[(100 * both >= PERCENT * (sizes + len(found) - both)) & (names != vertex)]
-            out += [(min(vertex, x), max(vertex, x)) for x in near.tolist()]
+            for x in near.tolist():
+                if (one := root(vertex)) != (other := root(x)):
+                    parent[max(one, other)] = min(one, other)
+                    out.append((min(vertex, x), max(vertex, x)))
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
