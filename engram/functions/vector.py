@@ -88,7 +88,7 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, id_
 
 def _block_top_k(corpus: DataFrame, names: list[int], vectors: list[list[float]], k: int) -> DataFrame:
     unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    matrix = unit(np.array(vectors, dtype=np.float64).reshape(len(names), -1))
+    matrix = unit(np.array(vectors, dtype=np.float64)) if names else None
 
     def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None

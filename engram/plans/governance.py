@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from engram.evals import suite
 from engram.operators.history import closure_by_doubling
+from engram.operators.memory import ingest
+from engram.plans.decisions import _SAID
 from engram.sources import views
 
 QUERIES: dict = {}
@@ -244,3 +247,19 @@ def probe_preconditions(spark, sf_dir):
     """Needles that were never stored: what a scenario meant to exercise, and didn't."""
     stored = views.facts(spark, sf_dir).select("subject_id", F.col("predicate").alias("needle")).distinct()
     return _asked(spark, sf_dir).select("subject_id", "needle").join(stored, ["subject_id", "needle"], "left_anti")
+
+
+def memory_fold(spark, sf_dir):
+    """Stages 1 and 2 over turns made from all customers dealt to subjects, in order within each."""
+    said = views.sql(spark, sf_dir, _SAID)
+    turns = said.select((F.col("turn_id") % F.lit(97)).cast("string").alias("subject_id"), F.lit("x").alias("session_id"), "turn_id", "role", "content", "occurred_at")
+    return ingest(turns).select("subject_id", "fact_id", "content", "status", "predicate", "confidence")
+
+
+def evaluation_suite(spark, sf_dir):
+    """The metrics of both providers over the scripted scenarios."""
+    found = [suite.metrics(suite.run(spark, p)).withColumn("provider", F.lit(p)) for p in ("strict", "naive")]
+    return found[0].union(found[1])
+
+
+QUERIES |= {"memory_fold": memory_fold, "evaluation_suite": evaluation_suite}
