@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 from engram.llm.common import WordHashes, id_and_text, table, windows, words_of
 
 ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
-BLOCK_CHARS = 16_000_000
+#: Characters of a block, and blocks whose n-grams a hash partition of the count table is sized for. A larger block adds
+#: up more n-grams before the shuffle and takes more memory: on large executors, raise ``block_chars`` with the input.
+BLOCK_CHARS, BLOCKS_A_BUCKET = 8_000_000, 4
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -83,12 +85,13 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     rows = id_and_text(docs, id_col, text_col)
     chars, words = rows.select(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
     parts, words = int(chars or 0) // block_chars + 1, int(words or 0)
+    buckets = -(-parts // BLOCKS_A_BUCKET)
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
 
     def explode(frame: pd.DataFrame) -> pd.DataFrame:
         block, out = _Block(frame["text"].tolist(), order), []
         for k, keys in block.keys.items():
-            bucket = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)  # ascending with the keys
+            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending with the keys
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else []
             for lo, hi in zip(first, [*first[1:], len(keys)], strict=True):
                 out.append((int(bucket[lo]), frame["block"].iat[0], k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(block.counts[k][lo:hi].astype(np.int32))))
