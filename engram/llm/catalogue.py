@@ -22,4 +22,5 @@ ORACLE_SQL = {
     "op2_lm_scoring": lm_scoring.ORACLE_SQL,
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_near_dedup": near_dedup.ORACLE_SQL,
 }

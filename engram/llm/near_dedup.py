@@ -289,3 +289,20 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components(table(spark, sf_dir, "documents"))
+
+
+#: Exact all-pairs join on shared shingles; quadratic in groups of copies, so for small tables only.
+ORACLE_SQL = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= {WIDTH} THEN list_transform(range(1, len(ws) - {WIDTH - 2}), lambda i: array_to_string(ws[i:i + {WIDTH - 1}], ' '))
+  WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS shingle FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN c cx ON p.x = cx.doc_id JOIN c cy ON p.y = cy.doc_id WHERE 100 * k >= {PERCENT} * (cx.n + cy.n - k)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT e.y, r.root FROM r JOIN e ON r.doc_id = e.x),
+m AS (SELECT doc_id, min(root) AS component_id FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(c.n, 0)::BIGINT AS n_shingles, m.component_id, d.doc_id = m.component_id AS kept
+FROM documents d JOIN m ON d.doc_id = m.doc_id LEFT JOIN c ON d.doc_id = c.doc_id
+"""
