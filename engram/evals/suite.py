@@ -20,9 +20,28 @@ THRESHOLDS = {"update_recall": 0.90, "stale": 0.10, "false_retraction": 0.05, "e
 PROBES = "scenario string, pattern string, checkpoint string, kind string, needle string, outcome string"
 
 
-def load(path: Path = SCENARIOS, only: str = "") -> list[dict]:
-    """Scenarios whose id contains ``only``."""
-    return [s for s in json.loads(Path(path).read_text(encoding="utf-8")) if only in s["id"]]
+def load(path: str | Path = SCENARIOS, only: str = "") -> list[dict]:
+    """Scenarios whose id contains ``only``: of a JSON list, or of a folder with one YAML mapping per file, by name."""
+    path = Path(path)
+    if not path.is_dir():
+        return [s for s in json.loads(path.read_text(encoding="utf-8")) if only in s["id"]]
+    import yaml
+
+    found = [_of_yaml(file.stem, yaml.safe_load(file.read_text(encoding="utf-8"))) for file in sorted(path.glob("*.yaml"))]
+    return [s for s in found if only in s["id"]]
+
+
+def _of_yaml(stem: str, raw: dict) -> dict:
+    erasures = raw.get("erasure") or []
+    checks = [
+        {"after": c["after"], "query": c["query"], "present": c.get("expect_present", []), "absent": c.get("expect_absent", []), "active": c.get("must_stay_active", [])}
+        for c in raw.get("checkpoints", [])
+    ]
+    return {
+        "id": raw.get("id", stem), "pattern": raw.get("pattern", ""), "turns": [[str(t["at"])[:10], t["text"]] for t in raw.get("turns", [])], "checkpoints": checks,
+        "erasures": [{"after": e["after"], "matching": e.get("facts_matching"), "residue": e.get("residue", [])} for e in (erasures if isinstance(erasures, list) else [erasures])],
+        "preconditions": raw.get("preconditions", []),
+    }
 
 
 def probes_of(scenario: dict, provider: str = "strict") -> list[tuple[str, str, str, str]]:
