@@ -32,7 +32,7 @@ def test_prompts(tmp_path):
 
 
 def test_yaml_scenarios(tmp_path):
-    (tmp_path / "b.yaml").write_text("turns:\n- {at: 2026-01-01, text: Ich mag Tee.}\ncheckpoints:\n- {after: 1, query: "Was?", expect_present: [Tee], expect_absent: [Rum]}\nerasure: {after: 1, residue: [Tee]}\n")
+    (tmp_path / "b.yaml").write_text("turns:\n- {at: 2026-01-01, text: Ich mag Tee.}\ncheckpoints:\n- {after: 1, query: 'Was?', expect_present: [Tee], expect_absent: [Rum]}\nerasure: {after: 1, residue: [Tee]}\n")
     (tmp_path / "a.yaml").write_text("id: first\nturns: []\n")
     found = suite.load(tmp_path)
     assert [s["id"] for s in found] == ["first", "b"] and [s["id"] for s in suite.load(tmp_path, "fir")] == ["first"]
