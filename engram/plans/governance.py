@@ -168,7 +168,7 @@ def residue_counts(spark, sf_dir):
 @query(
     "replay_diff",
     "WITH a AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE status = 'active'), "
-    "b AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE invalidated_at IS NULL AND fact_id % 9 <> 0 OR status = 'retracted') "
+    "b AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE invalidated_at IS NULL AND value > 12 OR status = 'retracted') "
     "SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.said, b.said) AS said, CASE WHEN b.said IS NULL THEN 'only_original' WHEN a.said IS NULL THEN 'only_replay' ELSE 'unchanged' END AS side "
     "FROM a FULL JOIN b ON a.subject_id = b.subject_id AND a.said = b.said",
 )
@@ -177,7 +177,7 @@ def replay_diff(spark, sf_dir):
     said = F.concat("predicate", F.lit(" "), F.floor(F.col("value") / 10).cast("string")).alias("said")
     facts = views.facts(spark, sf_dir)
     original = facts.filter("status = 'active'").select("subject_id", said).distinct().withColumn("a", F.lit(True))
-    replay = facts.filter("invalidated_at IS NULL AND fact_id % 9 <> 0 OR status = 'retracted'").select("subject_id", said).distinct().withColumn("b", F.lit(True))
+    replay = facts.filter("invalidated_at IS NULL AND value > 12 OR status = 'retracted'").select("subject_id", said).distinct().withColumn("b", F.lit(True))
     side = F.when(F.col("b").isNull(), "only_original").when(F.col("a").isNull(), "only_replay").otherwise("unchanged")
     return original.join(replay, ["subject_id", "said"], "full_outer").select("subject_id", "said", side.alias("side"))
 
@@ -203,14 +203,14 @@ shared(
     "JOIN (SELECT 'update_recall' AS kind, CAST(0.9 AS DOUBLE) AS bound, true AS lower_bound UNION ALL SELECT 'stale', 0.1, false UNION ALL SELECT 'false_retraction', 0.05, false UNION ALL SELECT 'erasure', 1.0, true) t ON s.kind = t.kind",
 )
 _NEEDLES = "SELECT DISTINCT predicate AS needle FROM v_facts UNION SELECT 'nie gesagt'"
-_CONTEXT = "SELECT subject_id, string_agg(predicate, ' ' ORDER BY predicate) AS context FROM v_facts WHERE invalidated_at IS NULL AND status <> 'retracted' AND fact_id % 5 <> 0 GROUP BY subject_id"
+_CONTEXT = "SELECT subject_id, string_agg(predicate, ' ' ORDER BY predicate) AS context FROM v_facts WHERE invalidated_at IS NULL AND status <> 'retracted' AND value > 20 GROUP BY subject_id"
 _ASKED = f"SELECT c.subject_id, c.context, n.needle FROM ({_CONTEXT}) c, ({_NEEDLES}) n"
 
 
 def _asked(spark, sf_dir):
     """Each subject's context with every needle. Needles are few by design (of one evaluation) and go along as an array."""
     facts = views.facts(spark, sf_dir)
-    context = facts.filter("invalidated_at IS NULL AND status <> 'retracted' AND fact_id % 5 <> 0").groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_list("predicate")), " ").alias("context"))
+    context = facts.filter("invalidated_at IS NULL AND status <> 'retracted' AND value > 20").groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_list("predicate")), " ").alias("context"))
     needles = facts.select("predicate").distinct().agg(F.array_append(F.sort_array(F.collect_set("predicate")), F.lit("nie gesagt")).alias("needles"))
     return context.join(F.broadcast(needles)).select("subject_id", "context", F.explode("needles").alias("needle"))
 
@@ -234,10 +234,10 @@ def probe_stale(spark, sf_dir):
 @query(
     "probe_active",
     f"SELECT a.subject_id, a.needle, CASE WHEN count(f.fact_id) = 0 THEN 'unsupported' WHEN count(f.fact_id) FILTER (f.status = 'active') > 0 THEN 'pass' ELSE 'fail' END AS outcome FROM ({_ASKED}) a "
-    "LEFT JOIN v_facts f ON f.subject_id = a.subject_id AND f.predicate = a.needle AND f.fact_id % 4 <> 0 GROUP BY a.subject_id, a.needle",
+    "LEFT JOIN v_facts f ON f.subject_id = a.subject_id AND f.predicate = a.needle AND f.value > 5 GROUP BY a.subject_id, a.needle",
 )
 def probe_active(spark, sf_dir):
-    facts = views.facts(spark, sf_dir).filter("fact_id % 4 <> 0").groupBy("subject_id", F.col("predicate").alias("needle")).agg(F.max((F.col("status") == "active").cast("int")).alias("active"))
+    facts = views.facts(spark, sf_dir).filter("value > 5").groupBy("subject_id", F.col("predicate").alias("needle")).agg(F.max((F.col("status") == "active").cast("int")).alias("active"))
     rows = _asked(spark, sf_dir).join(facts, ["subject_id", "needle"], "left")
     return rows.select("subject_id", "needle", F.when(F.col("active").isNull(), "unsupported").when(F.col("active") == 1, "pass").otherwise("fail").alias("outcome"))
 

@@ -219,12 +219,13 @@ def undirected_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "graph_neighbourhood",
     f"WITH RECURSIVE e AS ({_FACT_EDGES}), a AS (SELECT src AS node, dst AS other FROM e UNION ALL SELECT dst, src FROM e), "
-    "n AS (SELECT CAST(1001 AS BIGINT) AS node, 0 AS hop UNION SELECT a.other, n.hop + 1 FROM n JOIN a ON n.node = a.node WHERE n.hop < 2) "
+    "n AS (SELECT entity_id AS node, 0 AS hop FROM v_entities WHERE lower(name) IN ('nation_1', 'nation_7') UNION SELECT a.other, n.hop + 1 FROM n JOIN a ON n.node = a.node WHERE n.hop < 2) "
     "SELECT fact_id, min(hop) + 1 AS hop FROM (SELECT e.fact_id, n.hop FROM e JOIN n ON e.src = n.node UNION ALL SELECT e.fact_id, n.hop FROM e JOIN n ON e.dst = n.node) GROUP BY fact_id",
 )
 def graph_neighbourhood(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = views.table(spark, sf_dir, "v_edges").withColumn("fact_id", F.col("src") * 10000 + F.col("dst"))
-    return neighbourhood(edges, spark.range(1001, 1002).withColumnRenamed("id", "node"))
+    seeds = views.table(spark, sf_dir, "v_entities").filter(F.lower("name").isin("nation_1", "nation_7")).select(F.col("entity_id").alias("node"))
+    return neighbourhood(edges, seeds)
 
 
 @query(
@@ -275,11 +276,11 @@ def close_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "seed_entities",
-    "SELECT entity_id, name, place FROM (SELECT entity_id, name, row_number() OVER (PARTITION BY kind ORDER BY lower(name) IN ('germany', 'france', 'europe', 'asia') DESC, entity_id) AS place FROM v_entities) WHERE place <= 5",
+    "SELECT entity_id, name, place FROM (SELECT entity_id, name, row_number() OVER (PARTITION BY kind ORDER BY lower(name) IN ('nation_1', 'nation_7', 'europe', 'asia') DESC, entity_id) AS place FROM v_entities) WHERE place <= 5",
 )
 def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact name hits first, then the nearest; at most five (the feature's limit)."""
-    hit = F.lower("name").isin("germany", "france", "europe", "asia")
+    hit = F.lower("name").isin("nation_1", "nation_7", "europe", "asia")
     ranked = views.table(spark, sf_dir, "v_entities").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(hit.desc(), "entity_id")).cast("long"))
     return ranked.filter("place <= 5").select("entity_id", "name", "place")
 
