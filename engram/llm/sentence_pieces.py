@@ -38,7 +38,7 @@ MARK = "▁"
 #: A block of texts is closed at so many characters; longer texts are encoded in runs of about as many.
 BLOCK_CHARS = 4_000_000
 #: Words remembered between blocks, and compatible pairs; both are emptied when full.
-CACHED_WORDS, CACHED_PAIRS = 500_000, 500_000
+CACHED_WORDS, CACHED_PAIRS = 900_000, 500_000
 #: What an unknown character costs below the worst piece (unigram).
 UNKNOWN_PENALTY = 10.0
 
@@ -74,6 +74,25 @@ class Vocabulary:
         )
 
 
+class _Lengths(dict):
+    """Lengths, from 2, of the pieces that end in a text of up to three characters, the longest first."""
+
+    def __init__(self, pieces: dict[str, int]):
+        super().__init__()
+        self.pieces = pieces
+        self.tails: dict[str, set[int]] = {}
+        for piece in pieces:
+            if len(piece) > 2:
+                self.tails.setdefault(piece[-3:], set()).add(len(piece))
+
+    def __missing__(self, tail: str) -> tuple[int, ...]:
+        if len(self) > CACHED_PAIRS:
+            self.clear()
+        two = {2} if len(tail) > 1 and tail[-2:] in self.pieces else set()
+        found = self[tail] = tuple(sorted(self.tails.get(tail, set()) | two, reverse=True))
+        return found
+
+
 class Encoder:
     """Encodes and decodes in one process."""
 
@@ -85,11 +104,7 @@ class Encoder:
         self.bytes_at = {int(p[3:5], 16): i for i, p in enumerate(vocabulary.pieces) if vocabulary.kinds[i] == 6}
         self.worst = min((vocabulary.scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.coded = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
-        #: Lengths of the pieces that end in two characters, the longest first.
-        self.lengths: dict[str, tuple[int, ...]] = {}
-        for piece in self.ids:
-            if len(piece) > 1:
-                self.lengths[piece[-2:]] = tuple(sorted({*self.lengths.get(piece[-2:], ()), len(piece)}, reverse=True))
+        self.lengths = _Lengths(self.ids)
         self.words: dict[str, bytes] = {}
         self.follow: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self.pairs = 0
@@ -122,15 +137,15 @@ class Encoder:
         self.pairs += 1
         return known
 
-    def _bpe_states(self, word: str, last: list[str], after: list[dict[str, bool]]) -> None:
-        """Extend ``last`` (last piece of each prefix; ``after``: what is known to follow it) to the whole word.
+    def _bpe_states(self, word: str, last: list[str], codes: list[bytes], after: list[dict[str, bool]]) -> None:
+        """Extend ``last`` (last piece of each prefix; ``codes``: its ids; ``after``: what may follow) to the whole word.
 
         A prefix that no longer piece fits ends in one character.
         """
-        lengths, ids, follow = self.lengths, self.ids, self.follow
+        lengths, ids, follow, coded = self.lengths, self.ids, self.follow, self.coded
         for at in range(len(last), len(word) + 1):
             piece = word[at - 1]
-            for length in lengths.get(word[at - 2 : at], ()) if at > 1 else ():
+            for length in lengths[word[at - 3 if at > 3 else 0 : at]]:
                 if length <= at:
                     longer = word[at - length : at]
                     known = after[at - length].get(longer)
@@ -138,9 +153,10 @@ class Encoder:
                         piece = longer
                         break
             last.append(piece)
+            codes.append(codes[at - len(piece)] + (coded.get(piece) or self._spell(piece)))
             after.append(follow[piece])
 
-    def _unigram_states(self, word: str, last: list[str], score: list[float]) -> None:
+    def _unigram_states(self, word: str, last: list[str], codes: list[bytes], score: list[float]) -> None:
         """Extend the best score of each prefix, and the last piece that it comes from."""
         for at in range(len(last), len(word) + 1):
             best, chosen = None, ""
@@ -151,6 +167,7 @@ class Encoder:
                 if gain is not None and (best is None or score[at - length] + gain > best):
                     best, chosen = score[at - length] + gain, piece
             last.append(chosen)
+            codes.append(codes[at - len(chosen)] + (self.coded.get(chosen) or self._spell(chosen)))
             score.append(best)
 
     def _spell(self, piece: str) -> bytes:
@@ -167,23 +184,19 @@ class Encoder:
         if self.pairs > CACHED_PAIRS:
             self.follow.clear()
             self.pairs = 0
-        before, last, score, after = "", [""], [0.0], [self.follow[""]]
+        before, last, codes, score, after = "", [""], [b""], [0.0], [self.follow[""]]
         for word in fresh:
-            shared, most = 0, min(len(before), len(word))
-            while shared < most and before[shared] == word[shared]:
-                shared += 1
-            del last[shared + 1 :], score[shared + 1 :], after[shared + 1 :]
+            shared = len(before)
+            if not word.startswith(before):
+                shared, most = 0, min(shared, len(word))
+                while shared < most and before[shared] == word[shared]:
+                    shared += 1
+            del last[shared + 1 :], codes[shared + 1 :], score[shared + 1 :], after[shared + 1 :]
             if self.v.unigram:
-                self._unigram_states(word, last, score)
+                self._unigram_states(word, last, codes, score)
             else:
-                self._bpe_states(word, last, after)
-            parts, at = [], len(word)
-            while at:
-                piece = last[at]
-                parts.append(self.coded.get(piece) or self._spell(piece))
-                at -= len(piece)
-            parts.reverse()
-            self.words[word] = b"".join(parts)
+                self._bpe_states(word, last, codes, after)
+            self.words[word] = codes[-1]
             before = word
 
     def _runs(self, text: str) -> Iterator[list[str]]:
@@ -238,6 +251,18 @@ class Encoder:
         return whole.decode("utf-8", "replace")
 
 
+_KEPT: dict[int, Encoder] = {}
+
+
+def _encoder(vocabulary: Vocabulary) -> Encoder:
+    """The encoder of this process: a Python worker runs many tasks, and what it remembers of words stays true."""
+    key = hash(vocabulary)
+    if key not in _KEPT:
+        _KEPT.clear()  # one vocabulary at a time
+        _KEPT[key] = Encoder(vocabulary)
+    return _KEPT[key]
+
+
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, text in enumerate(texts):
@@ -254,7 +279,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _blocks(texts):
@@ -279,7 +304,7 @@ def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_co
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary.value)
+        encoder = _encoder(vocabulary.value)
         for batch in batches:
             texts = [encoder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
