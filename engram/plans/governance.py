@@ -57,9 +57,9 @@ _STEPS = "SELECT s.step_id FROM v_steps s WHERE s.redacted_at IS NULL AND (s.inc
 
 
 @query("turns_to_redact", _AFFECTED + _TURNS)
-def turns_to_redact(spark, sf_dir):
+def turns_to_redact(spark, sf_dir, gone=None):
     """Turns with an erased fact and no surviving one: a semi join and an anti join."""
-    facts, gone = views.facts(spark, sf_dir).select("fact_id", "origin_turn"), affected(spark, sf_dir)
+    facts, gone = views.facts(spark, sf_dir).select("fact_id", "origin_turn"), affected(spark, sf_dir) if gone is None else gone
     erased = facts.join(gone, "fact_id", "left_semi").select(F.col("origin_turn").alias("turn_id")).distinct()
     alive = facts.join(gone, "fact_id", "left_anti").select(F.col("origin_turn").alias("turn_id")).distinct()
     return erased.join(alive, "turn_id", "left_anti")
@@ -100,8 +100,9 @@ over_affected(
 
 
 @query("traces_to_blank", _AFFECTED + f"SELECT t.trace_id, t.query FROM v_traces t WHERE t.query IS NOT NULL AND t.trace_id IN (SELECT s.trace_id FROM v_steps s WHERE s.step_id IN ({_STEPS}))")
-def traces_to_blank(spark, sf_dir):
-    steps = views.table(spark, sf_dir, "v_steps").join(_mentioning(spark, sf_dir, affected(spark, sf_dir)), "step_id", "left_semi").select("trace_id").distinct()
+def traces_to_blank(spark, sf_dir, gone=None):
+    mentioning = _mentioning(spark, sf_dir, affected(spark, sf_dir) if gone is None else gone)
+    steps = views.table(spark, sf_dir, "v_steps").join(mentioning, "step_id", "left_semi").select("trace_id").distinct()
     return views.table(spark, sf_dir, "v_traces").filter("query IS NOT NULL").join(steps, "trace_id", "left_semi").select("trace_id", "query")
 
 
@@ -110,7 +111,7 @@ def _preview(spark, sf_dir):
     rows = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
     parts = [
         rows("fact", gone, "fact_id"), rows("derived", gone.join(facts.filter("to_erase"), "fact_id", "left_anti"), "fact_id"), rows("edge", gone, "fact_id"),
-        rows("step", _mentioning(spark, sf_dir, gone), "step_id"), rows("turn", turns_to_redact(spark, sf_dir), "turn_id"), rows("trace", traces_to_blank(spark, sf_dir), "trace_id"),
+        rows("step", _mentioning(spark, sf_dir, gone), "step_id"), rows("turn", turns_to_redact(spark, sf_dir, gone), "turn_id"), rows("trace", traces_to_blank(spark, sf_dir, gone), "trace_id"),
     ]
     out = parts[0]
     for part in parts[1:]:
