@@ -38,7 +38,7 @@ MARK = "▁"
 #: A block of texts is closed at so many characters; longer texts are encoded in runs of about as many.
 BLOCK_CHARS = 4_000_000
 #: Words remembered between blocks, and compatible pairs; both are emptied when full.
-CACHED_WORDS, CACHED_PAIRS = 900_000, 500_000
+CACHED_WORDS, CACHED_PAIRS = 300_000, 300_000
 #: What an unknown character costs below the worst piece (unigram).
 UNKNOWN_PENALTY = 10.0
 
@@ -251,18 +251,6 @@ class Encoder:
         return whole.decode("utf-8", "replace")
 
 
-_KEPT: dict[int, Encoder] = {}
-
-
-def _encoder(vocabulary: Vocabulary) -> Encoder:
-    """The encoder of this process: a Python worker runs many tasks, and what it remembers of words stays true."""
-    key = hash(vocabulary)
-    if key not in _KEPT:
-        _KEPT.clear()  # one vocabulary at a time
-        _KEPT[key] = Encoder(vocabulary)
-    return _KEPT[key]
-
-
 def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for k, text in enumerate(texts):
@@ -279,7 +267,7 @@ def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col:
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary.value)
+        encoder = Encoder(vocabulary.value)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for start, end in _blocks(texts):
@@ -304,7 +292,7 @@ def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_co
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary.value)
+        encoder = Encoder(vocabulary.value)
         for batch in batches:
             texts = [encoder.decode(x or []) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
