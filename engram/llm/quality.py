@@ -35,7 +35,7 @@ HIDDEN, ATTENTION, SHAPES = 16, 8, 32
 STEPS, RATE, DECAY, SEED = 400, 0.02, 1e-3, 7
 THRESHOLD = 0.3
 #: A block of texts is closed at so many words; words remembered between blocks, emptied when full.
-BLOCK_WORDS, CACHED_WORDS = 400_000, 300_000
+BLOCK_WORDS, CACHED_WORDS = 200_000, 150_000
 _RUN = re.compile(r"(.)\1+")
 _WORD_FEATURES = 14
 FEATURES = _WORD_FEATURES + SHAPES + 4
