@@ -10,38 +10,42 @@ tables of order 2 and above (``min_count`` 2), which is what backing off is for.
 
 The relational plan, with rows packed so that an n-gram of a block of documents costs some 6 bytes, not a whole row:
 
-1. Documents are dealt by a hash of the id into blocks of about BLOCK_CHARS; the number of blocks follows the input.
+1. The documents that a task reads are gathered into blocks of about BLOCK_CHARS. A block goes on as one row of word
+   hashes: its vocabulary, most frequent first, and a place in it per word. Texts are read once and never shuffled.
 2. A block explodes its n-grams, adds up equal ones and sends them on by hash: one row per block and hash partition.
 3. A hash partition of the count table adds the blocks' counts and answers each block's row with the totals. A frequent
    n-gram has one entry for each block at most, so it can't make a partition large.
-4. A block meets its answers, looks up the counts of each word in place, and sums per document. Texts are shuffled once:
-   steps 2 and 4 read the same exchange.
+4. A block meets its answers, looks up the counts of each word in place, and sums per document. Steps 2 and 4 read the
+   same exchange of blocks.
 
 Defined cases: null, empty and blank texts have no words, score 0 and a null mean. Rows that repeat an id are scored
-each, and count each. A null id is dealt like any other. No rows give no rows. Only id and text are read.
+each, and count each. A null id is a row like any other. No rows give no rows. Only id and text are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import WordHashes, id_and_text, table, windows, words_of
 
-ORDER, ALPHA, MIN_COUNT = 2, 0.4, 2
+ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of a block, and blocks whose n-grams a hash partition of the count table is sized for. A larger block adds
 #: up more n-grams before the shuffle and takes more memory: on large executors, raise ``block_chars`` with the input.
-BLOCK_CHARS, BLOCKS_A_BUCKET = 8_000_000, 4
+BLOCK_CHARS, BLOCKS_A_BUCKET = 12_000_000, 1
 
 
 def _pack(numbers: np.ndarray) -> bytes:
     """Bytes of like weight together, which is what a compressor makes use of."""
-    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), -1).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), 1)
 
 
 def _unpack(data: bytes, kind: type) -> np.ndarray:
@@ -52,22 +56,30 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 class _Block:
     """The words of a block of documents and the n-grams that end at each."""
 
-    def __init__(self, texts: list[str], order: int):
-        hashes = WordHashes()
-        each = [hashes.of(words_of(t)) for t in texts]
-        self.sizes = np.array([len(x) for x in each], dtype=np.int64)
-        self.words = np.concatenate(each) if each else np.empty(0, np.uint64)
-        starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])) if each else np.empty(0, np.int64)
-        self.owner = np.repeat(np.arange(len(each)), self.sizes)
-        self.place = np.arange(len(self.words)) - np.repeat(starts, self.sizes)
+    def __init__(self, row: pd.Series, order: int):
+        self.ids, self.sizes = _unpack(row["ids"], np.int64), _unpack(row["sizes"], np.int64)
+        self.null = _unpack(row["null"], np.uint8).astype(bool)
+        self.words = _unpack(row["vocabulary"], np.uint64)[_unpack(row["places"], np.int32)]
+        self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
         self.keys, self.counts, self.at = {}, {}, {}
         for k in range(1, order + 1):
             ends = np.flatnonzero(self.place >= k - 1)
             grams = self.words if k == 1 else windows(self.words, k)[ends - (k - 1)] if len(ends) else np.empty(0, np.uint64)
             self.keys[k], inverse, self.counts[k] = np.unique(grams, return_inverse=True, return_counts=True)
-            self.at[k] = np.full(len(self.words), -1, dtype=np.int64)
+            self.at[k] = np.full(len(self.words), -1, dtype=np.int32)
             self.at[k][ends] = inverse
 
+    @staticmethod
+    def pack(block: int, ids: list[int | None], each: list[np.ndarray]) -> tuple:
+        vocabulary, places, times = np.unique(np.concatenate(each), return_inverse=True, return_counts=True)
+        order = np.argsort(-times, kind="stable")
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        null = np.array([i is None for i in ids])
+        numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64), null.astype(np.uint8), np.array([len(x) for x in each], dtype=np.int64)
+        return (block, *map(_pack, numbers), _pack(vocabulary[order]), _pack(rank[places]))
+
     def scores(self, totals: dict[int, np.ndarray], words: int, alpha: float, min_count: int) -> np.ndarray:
         """Sum of log scores per document."""
         n = len(self.words)
@@ -86,15 +98,33 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
     chars, words = rows.select(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
     parts, words = int(chars or 0) // block_chars + 1, int(words or 0)
     buckets = -(-parts // BLOCKS_A_BUCKET)
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(parts)).cast("int"))
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
+        ids, each, size = [], [], 0
+
+        def close() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pylist([dict(zip(schema.names, _Block.pack(task << 32 | number, ids, each), strict=True))], schema)
+
+        for batch in batches:
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                ids.append(doc_id)
+                each.append(hashes.of(words_of(text)))
+                size += len(text)
+                if size >= block_chars:
+                    yield close()
+                    ids, each, size, number = [], [], 0, number + 1
+        if ids:
+            yield close()
 
     def explode(frame: pd.DataFrame) -> pd.DataFrame:
-        block, out = _Block(frame["text"].tolist(), order), []
+        block, out = _Block(frame.iloc[0], order), []
         for k, keys in block.keys.items():
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending with the keys
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else []
-            for lo, hi in zip(first, [*first[1:], len(keys)], strict=True):
-                out.append((int(bucket[lo]), frame["block"].iat[0], k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(block.counts[k][lo:hi].astype(np.int32))))
+            for lo, hi in pairwise([*first, len(keys)]):
+                out.append((int(bucket[lo]), int(frame["block"].iat[0]), k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(block.counts[k][lo:hi].astype(np.int32))))
         return pd.DataFrame(out, columns=["bucket", "block", "k", "keys", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
@@ -109,16 +139,19 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         return pd.concat(out)
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(left["text"].tolist(), order)
+        block = _Block(left.iloc[0], order)
         right = right.sort_values(["k", "bucket"])
         totals = {k: np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right["totals"][right["k"] == k])]) for k in range(1, order + 1)}
         logs = block.scores(totals, words, alpha, min_count)
         mean = np.divide(logs, block.sizes, out=np.full(len(logs), np.nan), where=block.sizes > 0)
-        return pd.DataFrame({"doc_id": left["doc_id"], "n_words": block.sizes, "log_score": logs, "mean_log_score": mean})
-
-    requests = dealt.groupBy("block").applyInPandas(explode, "bucket int, block int, k int, keys binary, counts binary")
-    answers = requests.groupBy("bucket").applyInPandas(add, "block int, k int, bucket int, totals binary")
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "doc_id long, n_words long, log_score double, mean_log_score double")
+        doc_id = pd.Series(block.ids, dtype="Int64").mask(block.null)
+        return pd.DataFrame({"doc_id": doc_id, "n_words": block.sizes, "log_score": logs, "mean_log_score": mean})
+
+    schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "null", "sizes", "vocabulary", "places"))])
+    blocks = rows.mapInArrow(gather, "block long, ids binary, null binary, sizes binary, vocabulary binary, places binary")
+    requests = blocks.groupBy("block").applyInPandas(explode, "bucket int, block long, k int, keys binary, counts binary")
+    answers = requests.groupBy("bucket").applyInPandas(add, "block long, k int, bucket int, totals binary")
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "doc_id long, n_words long, log_score double, mean_log_score double")
     return scored.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))
 
 
@@ -131,12 +164,15 @@ ORACLE_SQL = rf"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
   '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 p AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM d),
-b AS (SELECT *, lag(w) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM p),
+b AS (SELECT *, lag(w) OVER g AS w1, lag(w, 2) OVER g AS w2 FROM p WINDOW g AS (PARTITION BY doc_id ORDER BY i)),
 f1 AS (SELECT w, count(*) AS n FROM b GROUP BY w),
-f2 AS (SELECT before, w, count(*) AS n FROM b WHERE before IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
-s AS (SELECT b.doc_id, CASE WHEN f2.n IS NOT NULL THEN ln(f2.n / c.n)
-      WHEN b.before IS NULL THEN ln(a.n / (SELECT count(*) FROM p)) ELSE ln({ALPHA}) + ln(a.n / (SELECT count(*) FROM p)) END AS x
-  FROM b JOIN f1 a ON b.w = a.w LEFT JOIN f1 c ON b.before = c.w LEFT JOIN f2 ON b.before = f2.before AND b.w = f2.w),
+f2 AS (SELECT w1, w, count(*) AS n FROM b WHERE w1 IS NOT NULL GROUP BY ALL),
+f3 AS (SELECT w2, w1, w, count(*) AS n FROM b WHERE w2 IS NOT NULL GROUP BY ALL HAVING count(*) >= {MIN_COUNT}),
+s AS (SELECT b.doc_id, CASE WHEN f3.n IS NOT NULL THEN ln(f3.n / c2.n)
+      ELSE CASE WHEN b.w2 IS NOT NULL THEN ln({ALPHA}) ELSE 0 END + CASE WHEN f2.n >= {MIN_COUNT} THEN ln(f2.n / c1.n)
+      ELSE CASE WHEN b.w1 IS NOT NULL THEN ln({ALPHA}) ELSE 0 END + ln(f1.n / (SELECT count(*) FROM p)) END END AS x
+  FROM b JOIN f1 ON b.w = f1.w LEFT JOIN f1 c1 ON b.w1 = c1.w LEFT JOIN f2 ON b.w1 = f2.w1 AND b.w = f2.w
+  LEFT JOIN f2 c2 ON b.w2 = c2.w1 AND b.w1 = c2.w LEFT JOIN f3 ON b.w2 = f3.w2 AND b.w1 = f3.w1 AND b.w = f3.w),
 t AS (SELECT doc_id, sum(x) AS x, count(*) AS n FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(t.n, 0)::BIGINT AS n_words, round(coalesce(t.x, 0), 4) AS log_score, round(t.x / t.n, 6) AS mean_log_score
 FROM d LEFT JOIN t ON d.doc_id = t.doc_id

@@ -49,6 +49,18 @@ def test_backoff_equals_brute_force_over_any_blocks(spark, order, chars):
     assert {r.mean_log_score for r in got if r.n_words == 0} == {None}
 
 
+def test_registered_scoring_backs_off_from_trigrams(spark, tmp_path):
+    rows = [(1, "a b c"), (2, "a b c"), (3, "x b c"), (4, "a b d"), (None, "c"), (6, None)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = lm_scoring.query(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, f"{r.log_score:.4f}") for r in got) == backoff_brute(rows, 3, 0.4, 2)
+
+
+def test_blocks_without_a_word(spark):
+    got = lm_scoring.score(frame(spark, [(1, None), (None, " "), (1, "")]), block_chars=1).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.log_score, r.mean_log_score) for r in got) == [("1", 0, 0.0, None)] * 2 + [("None", 0, 0.0, None)]
+
+
 def test_backoff_of_nothing(spark):
     assert lm_scoring.score(frame(spark, [])).count() == 0
 
