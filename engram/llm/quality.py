@@ -7,9 +7,9 @@ network maps it to a hidden vector h, a gated attention gives its weight
     a = softmax over the document's passages of w . (tanh(V h) * sigmoid(U h)),
 
 and the score is sigmoid(c . sum(a h) + c0). All of it is learnt from document labels alone, by full-batch Adam with a
-fixed seed, on at most ``MAX_TRAINING`` labelled documents (those with the smallest hash of their id) and, in training
-only, ``MAX_BAG`` evenly spaced passages of each. Those bounds limit what the driver gathers and the model that is
-broadcast; scoring reads every passage of every text, once, without a shuffle.
+fixed seed, on every passage of at most ``MAX_TRAINING`` labelled documents (those with the smallest hash of their id).
+That bound on rows limits what the driver gathers (some 200 bytes a passage); a step adds up the gradients of parts of
+about ``FIT_PASSAGES`` passages. Scoring reads every passage of every text, once, without a shuffle.
 
 Defined cases: null and empty texts are one passage without words. Labels with null id or quality are ignored, several
 labels of one document vote (a tie counts as 1). Without any training label every score is 0.5. Repeated rows are scored
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,9 @@ from pyspark.sql import functions as F
 from engram.llm.common import id_and_text, packed, table
 
 PASSAGE_WORDS = 64
-MAX_TRAINING, MAX_BAG = 3000, 32
+MAX_TRAINING = 3000
+#: Passages whose intermediate values training holds at once (a document's are never parted).
+FIT_PASSAGES = 50_000
 HIDDEN, ATTENTION, SHAPES = 16, 8, 32
 STEPS, RATE, DECAY, SEED = 400, 0.02, 1e-3, 7
 THRESHOLD = 0.3
@@ -132,21 +135,31 @@ class Model:
         score = 1 / (1 + np.exp(-np.clip(z @ w["c"] + w["c0"], -40, 40)))
         return {"h": h, "t": t, "g": g, "weight": weight, "z": z, "score": score}
 
-    def fit(self, x: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Model:
-        x = x.astype(np.float64)
-        self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 0.05
-        x = (x - self.mean) / self.scale
+    def _gradients(self, x: np.ndarray, sizes: np.ndarray, label: np.ndarray, n: int) -> dict[str, np.ndarray]:
+        """What some of the ``n`` documents add to the gradients of the mean loss."""
         starts, owner = np.concatenate(([0], np.cumsum(sizes)[:-1])), np.repeat(np.arange(len(sizes)), sizes)
+        f, w = self._forward(x, starts, owner), self.w
+        d = (f["score"] - label) / n
+        dz = d[:, None] * w["c"]
+        dweight = (f["h"] * dz[owner]).sum(axis=1)
+        dlogit = f["weight"] * (dweight - np.add.reduceat(f["weight"] * dweight, starts)[owner])
+        dt, dg = dlogit[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), dlogit[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
+        dh = (f["weight"][:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
+        return {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ dlogit, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+
+    def fit(self, x: np.ndarray, sizes: np.ndarray, label: np.ndarray) -> Model:
+        ends = np.cumsum(sizes)
+        bounds = np.searchsorted(ends, np.arange(0, ends[-1], FIT_PASSAGES), side="right")
+        docs = [slice(lo, hi) for lo, hi in pairwise(np.unique([*bounds, len(sizes)]))]
+        rows = [slice(ends[d.start] - sizes[d.start], ends[d.stop - 1]) for d in docs]
+        self.mean = sum(x[r].sum(axis=0, dtype=np.float64) for r in rows) / len(x)
+        self.scale = np.sqrt(sum(((x[r] - self.mean) ** 2).sum(axis=0) for r in rows) / len(x)) + 0.05
         m, v = ({k: np.zeros_like(p) for k, p in self.w.items()} for _ in range(2))
         for step in range(1, STEPS + 1):
-            f, w = self._forward(x, starts, owner), self.w
-            d = (f["score"] - label) / len(label)
-            dz = d[:, None] * w["c"]
-            dweight = (f["h"] * dz[owner]).sum(axis=1)
-            dlogit = f["weight"] * (dweight - np.add.reduceat(f["weight"] * dweight, starts)[owner])
-            dt, dg = dlogit[:, None] * w["a"] * f["g"] * (1 - f["t"] ** 2), dlogit[:, None] * w["a"] * f["t"] * f["g"] * (1 - f["g"])
-            dh = (f["weight"][:, None] * dz[owner] + dt @ w["V"].T + dg @ w["U"].T) * (1 - f["h"] ** 2)
-            grads = {"W": x.T @ dh, "b": dh.sum(axis=0), "V": f["h"].T @ dt, "U": f["h"].T @ dg, "a": (f["t"] * f["g"]).T @ dlogit, "c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+            w, grads = self.w, {k: np.zeros_like(p) for k, p in self.w.items()}
+            for part, r in zip(docs, rows, strict=True):
+                for k, grad in self._gradients((x[r] - self.mean) / self.scale, sizes[part], label[part], len(label)).items():
+                    grads[k] += grad
             for k, grad in grads.items():
                 grad = grad + DECAY * w[k] * (k not in ("b", "c0"))
                 m[k], v[k] = 0.9 * m[k] + 0.1 * grad, 0.99 * v[k] + 0.01 * grad**2
@@ -171,7 +184,6 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             rows = []
             for doc_id, label, text in zip(frame["doc_id"], frame["label"], frame["text"], strict=True):
                 x, _ = encoder.encode([text])
-                x = x[np.linspace(0, len(x) - 1, min(len(x), MAX_BAG)).astype(int)]
                 rows.append((doc_id, label, x.tobytes()))
             if rows:
                 yield pd.DataFrame(rows, columns=["doc_id", "label", "bag"])

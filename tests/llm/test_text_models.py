@@ -165,6 +165,19 @@ def test_attention_gradient_is_that_of_the_loss():
     assert loss(after) < 0.1 * loss(before)
 
 
+def test_training_reads_every_passage_and_parts_change_nothing(spark, monkeypatch):
+    seen, fit = [], quality.Model.fit
+    monkeypatch.setattr(quality.Model, "fit", lambda self, x, sizes, label: seen.append(sizes.tolist()) or fit(self, x, sizes, label))
+    monkeypatch.setattr(quality, "STEPS", 20)
+    docs = [(i, "word " * (64 * 100 + 1) if i == 1 else "!! x " * (40 * i)) for i in range(1, 9)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 9)], "doc_id long, quality int")
+    whole = quality.train(frame(spark, docs), labels)
+    assert 101 in seen[0]
+    monkeypatch.setattr(quality, "FIT_PASSAGES", 3)
+    parts = quality.train(frame(spark, docs), labels)
+    assert all(np.allclose(whole.w[k], parts.w[k]) for k in whole.w) and np.allclose(whole.scale, parts.scale)
+
+
 @NEEDS_DATA
 def test_language_on_held_out_rows(spark):
     got = language_id.query(spark, DATA).filter("held_out").join(spark.read.parquet(f"{DATA}/documents.parquet"), "doc_id").select("lang", "lang_pred").collect()
