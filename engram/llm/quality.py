@@ -49,7 +49,7 @@ def held_out(doc_id: Column, modulus: int = 5, remainder: int = 0) -> Column:
 
 
 def _shape(word: str) -> str:
-    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word[:64])
+    kinds = "".join("A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c for c in word)
     return _RUN.sub(lambda m: m[1] if m[1] in "aA0" else m[1] * min(3, len(m[0])), kinds)
 
 

@@ -165,6 +165,10 @@ def test_attention_gradient_is_that_of_the_loss():
     assert loss(after) < 0.1 * loss(before)
 
 
+def test_shape_is_that_of_the_whole_word():
+    assert quality._shape("a" * 70 + "00" + "#" * 5 + "B") == "a0###A"
+
+
 def test_training_reads_every_passage_and_parts_change_nothing(spark, monkeypatch):
     seen, fit = [], quality.Model.fit
     monkeypatch.setattr(quality.Model, "fit", lambda self, x, sizes, label: seen.append(sizes.tolist()) or fit(self, x, sizes, label))
