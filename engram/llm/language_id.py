@@ -6,7 +6,7 @@ n-grams. The profile of a language is the sum over its training texts, each scal
 stands for the language; a text gets the language whose profile has the greatest cosine with its vector.
 
 Profiles are learnt from at most ``per_language`` texts of each language (a documented bound on training rows: those
-with the smallest hash of their id), whole texts each, and only from rows that training may see. What is broadcast is
+with a letter and the smallest hash of their id), whole texts each, and only from rows that training may see. What is broadcast is
 one vector per language, and the ids of the training rows: below 60 MB for the 8,000 or so languages there are.
 Prediction reads every whole text once, without a shuffle.
 
@@ -40,6 +40,8 @@ BLOCK, ROWS = 64, 1024
 #: A text's n-grams are counted in runs of so many characters.
 RUN_CHARS = 1_000_000
 _OTHER = re.compile(r"[\W\d_]+")
+#: What isn't in _OTHER, for the engine's regexp, and code points that it doesn't know yet.
+LETTER = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
@@ -132,7 +134,8 @@ class Bundler:
 
 def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Unit vector per language from the training rows (``held_out`` ones are never read); at most ``per_language`` each."""
-    seen = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang")).filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull())
+    usable = ~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).cast("string").rlike(LETTER), F.lit(False))
+    seen = docs.filter(usable).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
     first = [F.xxhash64("doc_id"), F.col("doc_id")]
     dealt = seen.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))  # a language may hold most rows
     for keys in (["lang", "part"], ["lang"]):

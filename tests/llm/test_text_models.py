@@ -200,6 +200,13 @@ def test_language_edges(spark, monkeypatch):
     assert language_id.profiles(df.limit(0)) == {} and language_id.identify(df.limit(0), known).count() == 0
 
 
+def test_rows_without_a_letter_use_up_no_bound(spark):
+    rows = [(i, [None, "", "123 _!", "der die"][i % 4], "de") for i in range(80)] + [(None, "der", "de")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    one = language_id.profiles(df, per_language=1)
+    assert list(one) == ["de"] and np.allclose(one["de"], language_id.profiles(df)["de"])
+
+
 def test_bundle_is_the_sum_of_bound_ngrams_however_it_is_cut(monkeypatch):
     text = "Hello, wörld! 12 ab" * 30
     whole, _ = language_id.Bundler().bundle([text])
