@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.operators.asof import as_of, edges_at
@@ -136,11 +136,15 @@ shared("storage_counts", f"SELECT table_name, row_count, CAST(row_number() OVER
 _LABELS = {"active": "aktiv", "superseded": "abgelöst", "retracted": "zurückgezogen", "erased": "gelöscht"}
 
 
-@query("status_labels", "SELECT fact_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in list(_LABELS.items())[:2]) + " ELSE status END AS label FROM v_facts")
+def status_label(status: Column) -> Column:
+    labels = F.create_map(*[F.lit(x) for pair in _LABELS.items() for x in pair])
+    return F.coalesce(F.try_element_at(labels, status), status)
+
+
+@query("status_labels", "SELECT fact_id, CASE status " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _LABELS.items()) + " ELSE status END AS label FROM v_facts")
 def status_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Display labels by a map lookup; a status without a label stays as it is."""
-    labels = F.create_map(*[F.lit(x) for pair in list(_LABELS.items())[:2] for x in pair])
-    return views.facts(spark, sf_dir).select("fact_id", F.coalesce(F.try_element_at(labels, F.col("status")), "status").alias("label"))
+    return views.facts(spark, sf_dir).select("fact_id", status_label(F.col("status")).alias("label"))
 
 
 shared("purgeable", "SELECT subject_id, name FROM (SELECT subject_id, CASE WHEN subject_id % 3 = 0 THEN 'replay:' WHEN subject_id % 3 = 1 THEN 'eval:' ELSE 'user:' END || subject_id AS name "

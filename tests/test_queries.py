@@ -19,6 +19,7 @@ from engram.operators.history import closure, closure_by_doubling, neighbourhood
 from engram.operators.memory import Memory, candidates, police
 from engram.operators.retrieval import first, fuse, pack, ranks
 from engram.plans import registry
+from engram.plans.temporal import status_label
 from engram.sources.views import SPARK_TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -53,6 +54,12 @@ def test_query_equals_its_oracle(spark, duck, name):
         assert name in {"hash_embed", "memory_fold", "evaluation_suite"} and got
 
 
+def test_every_status_has_a_label_and_others_stay(spark):
+    rows = [("active",), ("superseded",), ("retracted",), ("erased",), ("unknown",), (None,)]
+    got = spark.createDataFrame(rows, "status string").select(status_label(F.col("status")).alias("label")).collect()
+    assert [r.label for r in got] == ["aktiv", "abgelöst", "zurückgezogen", "gelöscht", "unknown", None]
+
+
 @NEEDS_DATA
 @pytest.mark.parametrize("name", ["orphan_entities", "turns_to_redact", "export_history", "vector_topk_per_group", "erase_facts_projection"])
 def test_no_nested_loops(spark, name):
