@@ -242,12 +242,10 @@ def graph_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.withColumn("edges_of_src", F.count(F.lit(1)).over(Window.partitionBy("src")))
 
 
-shared(
-    "orphan_entities",
-    "SELECT e.entity_id, e.name FROM v_entities e LEFT ANTI JOIN (SELECT src AS entity_id FROM v_edges WHERE src % 7 <> 0 UNION SELECT dst FROM v_edges WHERE src % 7 <> 0) k ON e.entity_id = k.entity_id",
-)
+ORPHANS = "SELECT e.entity_id, e.name FROM v_entities e LEFT ANTI JOIN (SELECT src AS entity_id FROM v_edges UNION SELECT dst FROM v_edges) k ON e.entity_id = k.entity_id"
+shared("orphan_entities", ORPHANS)
 ORACLE_SQL["orphan_entities"] = views.oracle(
-    "SELECT e.entity_id, e.name FROM v_entities e WHERE NOT EXISTS (SELECT 1 FROM v_edges d WHERE d.src % 7 <> 0 AND (d.src = e.entity_id OR d.dst = e.entity_id))"
+    "SELECT e.entity_id, e.name FROM v_entities e WHERE NOT EXISTS (SELECT 1 FROM v_edges d WHERE d.src = e.entity_id OR d.dst = e.entity_id)"
 )
 
 

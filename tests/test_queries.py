@@ -19,7 +19,7 @@ from engram.operators.history import closure, closure_by_doubling, neighbourhood
 from engram.operators.memory import Memory, candidates, police
 from engram.operators.retrieval import first, fuse, pack, ranks
 from engram.plans import registry
-from engram.plans.temporal import status_label
+from engram.plans.temporal import ORPHANS, status_label
 from engram.sources.views import SPARK_TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -54,6 +54,15 @@ def test_query_equals_its_oracle(spark, duck, name):
         assert name in {"hash_embed", "memory_fold", "evaluation_suite"} and got
 
 
+def test_orphans_are_entities_without_any_edge(spark):
+    spark.createDataFrame([(7, "a"), (8, "b"), (9, "c"), (14, "d")], "entity_id long, name string").createOrReplaceTempView("v_entities")
+    spark.createDataFrame([(7, 8), (14, 7)], "src long, dst long").createOrReplaceTempView("v_edges")
+    got = spark.sql(ORPHANS).collect()
+    for name in ("v_entities", "v_edges"):
+        spark.catalog.dropTempView(name)
+    assert [tuple(r) for r in got] == [(9, "c")]
+
+
 def test_every_status_has_a_label_and_others_stay(spark):
     rows = [("active",), ("superseded",), ("retracted",), ("erased",), ("unknown",), (None,)]
     got = spark.createDataFrame(rows, "status string").select(status_label(F.col("status")).alias("label")).collect()
