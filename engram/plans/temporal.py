@@ -281,7 +281,7 @@ def close_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT entity_id, name, place FROM (SELECT entity_id, name, row_number() OVER (PARTITION BY kind ORDER BY lower(name) IN ('nation_1', 'nation_7', 'europe', 'asia') DESC, entity_id) AS place FROM v_entities) WHERE place <= 5",
 )
 def seed_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact name hits first, then the nearest; at most five (the feature's limit)."""
+    """Exact name hits first, then by id; at most five of a kind (the feature's limit). No vectors are compared."""
     hit = F.lower("name").isin("nation_1", "nation_7", "europe", "asia")
     ranked = views.table(spark, sf_dir, "v_entities").withColumn("place", F.row_number().over(Window.partitionBy("kind").orderBy(hit.desc(), "entity_id")).cast("long"))
     return ranked.filter("place <= 5").select("entity_id", "name", "place")
