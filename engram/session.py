@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "engram", **conf: str) -> SparkSession:
@@ -26,13 +27,44 @@ def local_session(cores: int | str = 8, partitions: int = 8, app: str = "engram"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set (tests, one machine)."""
+    """The cluster's ``spark.checkpoint.dir``; a temporary folder only on a local master, where all tasks see it."""
     context = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-    if named:
-        if context.getCheckpointDir() is None:
-            context.setCheckpointDir(named)
-        return named
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = tempfile.mkdtemp(prefix="engram-checkpoint-")
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="engram-checkpoint-"))
-    return context.getCheckpointDir()
+        context.setCheckpointDir(named)
+    return named
+
+
+class Scratch:
+    """Tables of one run in the shared checkpoint folder, each deleted when what follows from it has been written.
+
+    A written table cuts the lineage, outlives executors, is read by columns, and tells the optimizer its size.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root, self.paths = spark, f"{checkpoint_dir(spark).rstrip('/')}/engram-{uuid.uuid4().hex}", {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """Write the rows and read them again."""
+        path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
+        df.write.option("compression", "zstd").parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[path] = kept
+        return kept
+
+    def drop(self, *kept: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for path in [p for p, df in self.paths.items() if any(df is k for k in kept)]:
+            self._delete(path)
+            self.paths[path] = None
+
+    def drop_all_but(self, *kept: DataFrame) -> None:
+        self.drop(*(df for df in self.paths.values() if df is not None and not any(df is k for k in kept)))
+
+    def _delete(self, path: str) -> None:
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
