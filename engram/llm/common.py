@@ -1,4 +1,4 @@
-"""What several operators share: input columns under fixed names, tokenising, hashing, lineage cuts."""
+"""What several operators share: input columns under fixed names, tokenising, hashing."""
 
 from __future__ import annotations
 
@@ -7,8 +7,6 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.session import checkpoint_dir
-
 #: ASCII white space as the contracts write it.
 SPACES = r"[\x20\x09-\x0D]+"
 
@@ -27,12 +25,6 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared checkpoint folder, so they outlive executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

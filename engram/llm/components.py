@@ -5,29 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.llm.common import cut
+from engram.session import Scratch
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b", known: DataFrame | None = None, scratch: Scratch | None = None) -> DataFrame:
     """``vertex, component`` (the smallest vertex reachable) for every vertex of an edge.
 
-    A round gives each vertex the smallest label among its neighbours and then the label of that label, so a component
-    is done in about log2 of its diameter rounds. Both tables of each join have been written (``cut``), so adaptive
-    execution can split the rows of a vertex with very many edges; the minimum is combined before the shuffle.
-    ``known``: vertex, component of an earlier run over part of the edges, to start from. No edges give no rows.
+    A round gives each vertex the smallest label among its own and its neighbours' and then the label of that label, so
+    a component is done in about log2 of its diameter rounds. The edges have a loop at each vertex, so one aggregation
+    sees both the old label and the offers; the minimum is combined before the shuffle. Both tables of each join have
+    been written, so their sizes are known to the optimizer and adaptive execution can split the rows of a vertex with
+    very many edges. ``known``: vertex, component of an earlier run over part of the edges, to start from. No edges give
+    no rows. All but the last table are deleted from ``scratch``.
     """
+    scratch = scratch or Scratch(edges.sparkSession)
     ends = edges.select(F.col(a).alias("vertex"), F.col(b).alias("other")).filter("vertex <> other")
-    both = cut(ends.union(ends.select("other", "vertex")).distinct())
-    labels = both.select("vertex").distinct().select("vertex", F.col("vertex").alias("component"))
+    loops = F.explode(F.array(F.struct("vertex", "other"), F.struct(F.col("other").alias("vertex"), F.col("vertex").alias("other")), F.struct("vertex", F.col("vertex").alias("other")), F.struct(F.col("other").alias("vertex"), "other")))
+    both = ends.select(loops.alias("e")).select("e.*")
     if known is not None:  # labels only ever fall, so those of a part of the edges are a fair start
-        start = known.select("vertex", F.col("component").alias("before"))
-        labels = labels.join(start, "vertex", "full").select("vertex", F.coalesce("before", "component").alias("component"))
-    labels = cut(labels)
+        both = both.union(known.select("vertex", F.col("vertex").alias("other")))
+    both = scratch.keep(both.distinct())
+    labels = both.filter("vertex = other").select("vertex", F.col("vertex").alias("component"))
+    if known is not None:
+        labels = labels.join(known.select("vertex", F.col("component").alias("before")), "vertex", "left").select("vertex", F.coalesce("before", "component").alias("component"))
+    labels = scratch.keep(labels)
     while True:
         near = both.join(labels.select(F.col("vertex").alias("other"), F.col("component").alias("offer")), "other")
-        least = near.groupBy("vertex").agg(F.min("offer").alias("offer"))
-        hooked = labels.join(least, "vertex", "left").select("vertex", F.col("component").alias("old"), F.least("component", "offer").alias("hooked"))
+        hooked = near.groupBy("vertex").agg(F.min("offer").alias("hooked"), F.max(F.when(F.col("vertex") == F.col("other"), F.col("offer"))).alias("old"))
         jump = labels.select(F.col("vertex").alias("hooked"), F.col("component").alias("jumped"))
-        labels = cut(hooked.join(jump, "hooked", "left").select("vertex", F.least("hooked", "jumped").alias("component"), (F.col("old") != F.least("hooked", "jumped")).alias("changed")))
+        least = F.least("hooked", "jumped")
+        after = scratch.keep(hooked.join(jump, "hooked", "left").select("vertex", least.alias("component"), (F.col("old") != least).alias("changed")))
+        scratch.drop(labels)
+        labels = after
         if labels.filter("changed").isEmpty():
+            scratch.drop(both)
             return labels.select("vertex", "component")

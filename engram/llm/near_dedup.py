@@ -14,9 +14,14 @@ agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins
    exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, so the doubtful
    ones are compared in blocks with all that share such a shingle. No cap, no lost link, and no row per pair.
 
-Texts meet in joins by id whose hot keys adaptive execution can split. Links and components stay in tables.
+A centre meets its members in salted parts, so no task reads all members of one centre. Links and components stay in
+tables of the shared checkpoint folder, each deleted when its successor is written; the result's own table stays.
 
-Defined cases: null and empty texts have an empty set. Rows that repeat an id are one vertex: it is linked if one of
+Sets are of 64-bit hashes: two different shingles of one comparison agree with probability 2^-64 each, so even among
+10^15 pairs of shingles that are compared about one in 20,000 runs would count a shingle too many.
+
+Defined cases: null and empty texts have an empty set. A very long text is one row of any size: its set is made in one
+task (8 bytes a shingle), and in the exact search it is a block of its own. Rows that repeat an id are one vertex: it is linked if one of
 them is, ``n_shingles`` is each row's own. A null id is linked with nothing; its component is null and it is kept.
 No rows give no rows. Only id and text are read.
 """
@@ -31,12 +36,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import WordHashes, cut, id_and_text, mixed, packed, table, windows, words_of
+from engram.llm.common import WordHashes, id_and_text, mixed, packed, table, windows, words_of
 from engram.llm.components import connected_components
+from engram.session import Scratch
 
 WIDTH, PERCENT = 5, 75
 BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
+#: Shingles that a block of the exact search holds in memory (some 40 bytes each), and that a task streams past it.
+BLOCK_SHINGLES, VISIT_SHINGLES = 1_000_000, 4_000_000
+#: Members that meet one copy of their centre's text.
+SALT_MEMBERS = 1024
 _EDGES = (np.arange(BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
 
 
@@ -126,9 +136,13 @@ def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    right = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInPandas(_confirm, "a long, b long").distinct()
+    """The pairs that are alike; the text of a centre with many members goes to as many parts of them."""
+    parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("parts"))
+    centres = texts.join(parts, texts["doc_id"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("text").alias("text_a"))
+    salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    right = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.join(centres, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    return both.mapInPandas(_confirm, "a long, b long").distinct()
 
 
 def _stars(rows: DataFrame) -> DataFrame:
@@ -167,7 +181,7 @@ def _rare_groups(texts: DataFrame) -> DataFrame:
     own = Window.partitionBy("vertex")
     ranked = shared.withColumn("nth", F.row_number().over(own.orderBy("times", "shingle"))).withColumn("useless", F.col("n") - F.count(F.lit(1)).over(own))
     first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - F.col("useless")
-    return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful").distinct()
+    return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful", "n").distinct()
 
 
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -213,15 +227,15 @@ def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
-def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, block: int = 1024, visitors: int = 4096) -> DataFrame | None:
+def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame, scratch: Scratch, block_shingles: int, visit_shingles: int) -> DataFrame | None:
     """Links that no star has tested; None if every bucket was tested whole.
 
     Doubtful members are a stated query set, compared in blocks with all that share one of their rare shingles: a block
-    holds the sets of at most about ``block`` of them, and a task streams about ``visitors`` texts past it. Only links
-    come out, so there is no row per pair.
+    holds about ``block_shingles`` shingles of them (or one longer text), and a task streams about ``visit_shingles``
+    past it. Only links come out, so there is no row per pair.
     """
     refused = pairs.filter("crowd").select("a", "b").join(links, ["a", "b"], "left_anti")
-    doubtful = cut(_apart(refused, found).select(F.col("b").alias("vertex")).distinct())
+    doubtful = scratch.keep(_apart(refused, found).select(F.col("b").alias("vertex")).distinct())
     if doubtful.isEmpty():
         return None
     crowds = pairs.filter("crowd").select("a", "b")
@@ -229,21 +243,21 @@ def _rest(pairs: DataFrame, links: DataFrame, found: DataFrame, texts: DataFrame
     members = crowds.join(centres, "a").select(F.col("b").alias("vertex")).union(centres).distinct()  # share a bucket with a doubtful one
     near = members.join(doubtful.withColumn("doubtful", F.lit(True)), "vertex", "left")
     near = near.select("vertex", F.coalesce("doubtful", F.lit(False)).alias("doubtful"))
-    texts = cut(texts.join(near, texts["doc_id"] == near["vertex"]).select("doc_id", "text", "doubtful"))
-    groups = cut(_split_groups(_rare_groups(texts), found))
+    texts = scratch.keep(texts.join(near, texts["doc_id"] == near["vertex"]).select("doc_id", "text", "doubtful"))
+    groups = scratch.keep(_split_groups(_rare_groups(texts), found))
     if groups.isEmpty():
         return None
     sizes = groups.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
-    homes = groups.filter("doubtful").join(sizes, "key").groupBy("vertex").agg(F.max(F.struct("size", "key")).alias("home")).select("vertex", "home.key")
-    parts = homes.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
-    blocks = cut(homes.join(parts, "key").select("vertex", F.xxhash64("key", F.pmod(F.xxhash64("vertex"), "parts")).alias("block")))
+    homes = groups.filter("doubtful").join(sizes, "key").groupBy("vertex").agg(F.max(F.struct("size", "key")).alias("home"), F.first("n").alias("n")).select("vertex", "n", "home.key")
+    parts = homes.groupBy("key").agg(F.ceil(F.sum("n") / block_shingles).alias("parts"))
+    blocks = scratch.keep(homes.join(parts, "key").select("vertex", F.xxhash64("key", F.pmod(F.xxhash64("vertex"), "parts")).alias("block")))
     calls = groups.filter("doubtful").join(blocks, "vertex").select("key", "block").distinct()
-    visits = cut(groups.join(calls, "key").select("vertex", "block").distinct())
-    shares = visits.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / visitors).cast("int").alias("shares"))
+    visits = scratch.keep(groups.join(calls, "key").select("vertex", "n", "block").distinct())
+    shares = visits.groupBy("block").agg(F.ceil(F.sum("n") / visit_shingles).cast("int").alias("shares"))
     hosts = blocks.join(shares, "block").select("vertex", "block", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("part"), F.lit(False).alias("visits"))
     guests = visits.join(shares, "block").select("vertex", "block", F.pmod(F.hash("vertex"), "shares").alias("part"), F.lit(True).alias("visits"))
     told = hosts.union(guests).join(texts.select(F.col("doc_id").alias("vertex"), "text"), "vertex")
-    return cut(told.repartition("block", "part").sortWithinPartitions("block", "part", "visits").mapInPandas(_compare, "a long, b long").distinct())
+    return scratch.keep(told.repartition("block", "part").sortWithinPartitions("block", "part", "visits").mapInPandas(_compare, "a long, b long").distinct())
 
 
 def _split_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
@@ -258,26 +272,31 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bu
     return id_and_text(docs, id_col, text_col).mapInPandas(_describer(bucket_keys), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
-def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys) -> DataFrame:
+def components(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys,
+    block_shingles: int = BLOCK_SHINGLES, visit_shingles: int = VISIT_SHINGLES,
+) -> DataFrame:
     """One row per input row: ``doc_id, n_shingles, component_id, kept``."""
-    described = cut(describe(docs, id_col, text_col, bucket_keys))
-    texts = id_and_text(docs, id_col, text_col).filter("doc_id IS NOT NULL")
+    scratch = Scratch(docs.sparkSession)
+    described = scratch.keep(describe(docs, id_col, text_col, bucket_keys))
     sets = described.filter("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = cut(sets.groupBy("set_hash", "bands").agg(F.min("doc_id").alias("vertex")))
-    rows = classes.select("vertex", F.explode("bands").alias("key"))
-    pairs = cut(_stars(rows))
+    rows = sets.groupBy("set_hash").agg(F.min("doc_id").alias("vertex"), F.first("bands").alias("bands")).select("vertex", F.explode("bands").alias("key"))
+    pairs = scratch.keep(_stars(rows))
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
-    texts = cut(texts.join(ends, texts["doc_id"] == ends["end"], "left_semi"))  # all that is compared from here on
-    links = cut(_confirmed(pairs.select("a", "b"), texts))
-    members = sets.select("set_hash", "doc_id").join(classes.select("set_hash", "vertex"), "set_hash").filter("doc_id <> vertex")
-    edges = links.union(members.select("doc_id", "vertex"))
-    found = connected_components(edges)
-    rest = _rest(pairs, links, found, texts)
+    texts = id_and_text(docs, id_col, text_col)
+    texts = scratch.keep(texts.join(ends, texts["doc_id"] == ends["end"], "left_semi"))  # all that is compared from here on
+    links = scratch.keep(_confirmed(pairs.select("a", "b"), texts))
+    classes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("vertex"), F.max("doc_id").alias("last")).filter("vertex < last").select("set_hash", "vertex")
+    edges = scratch.keep(links.union(sets.join(classes, "set_hash").filter("doc_id <> vertex").select("doc_id", "vertex")))
+    found = connected_components(edges, scratch=scratch)
+    rest = _rest(pairs, links, found, texts, scratch, block_shingles, visit_shingles)
     if rest is not None:
-        found = connected_components(edges.union(rest), known=found)
+        found = connected_components(edges.union(rest), known=found, scratch=scratch)
     joined = described.select("doc_id", "n_shingles").join(found.withColumnRenamed("vertex", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
-    return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    result = scratch.keep(joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")))
+    scratch.drop_all_but(result)
+    return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -11,6 +11,7 @@ import corpus_pipeline
 from engram.llm import near_dedup
 from engram.llm.common import WordHashes
 from engram.llm.components import connected_components
+from engram.session import checkpoint_dir
 
 DATA = "/root/testdata/sf0.001"
 NEEDS_DATA = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -83,6 +84,23 @@ def test_no_link_is_lost_when_all_share_one_bucket(spark):
     check(near_dedup.components(df, bucket_keys=lambda found, probes: np.zeros(1, dtype=np.int64)).collect(), rows)
 
 
+def test_no_link_is_lost_over_several_blocks_and_shares(spark, monkeypatch):
+    """Everything in one bucket, blocks of one or two sets, visitors dealt over many tasks, a centre in salted parts."""
+    monkeypatch.setattr(near_dedup, "SALT_MEMBERS", 5)
+    rows = family_docs(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check(near_dedup.components(df, bucket_keys=lambda found, probes: np.zeros(1, dtype=np.int64), block_shingles=60, visit_shingles=200).collect(), rows)
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path):
+    checkpoint_dir(spark)  # set up, so that its name stays
+    root = Path(checkpoint_dir(spark).removeprefix("file:"))
+    before = set(root.glob("engram-*"))
+    near_dedup.components(spark.createDataFrame(family_docs(8), "doc_id long, text string")).count()
+    (own,) = set(root.glob("engram-*")) - before
+    assert len(list(own.iterdir())) == 1
+
+
 def test_near_dedup_edges(spark):
     long = "word%d " * 6 % tuple(range(6)) + " ".join(map(str, range(30_000)))
     rows = [(5, long), (4, long + " end"), (4, "repeated id one two three"), (9, "repeated id one two three"), (None, long), (7, None)]
