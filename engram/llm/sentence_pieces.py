@@ -10,12 +10,14 @@ the forward states of the prefix that it shares with the word before and compute
   before it. A pair is compatible when BPE leaves its concatenation as that pair; encodings are exactly the sequences of
   which all neighbours are compatible.
 
-Both are exactly what the public library gives for the same model file. Everything is per task: there is no shuffle, and
-memory is bounded by the block of texts (cut by characters) and by a cache that is emptied when it is full.
+Both are exactly what the public library gives for the same model file. A prefix keeps its last piece only; ids are read
+off backwards once a word ends. Everything is per task: there is no shuffle. Memory is a block of texts (cut by
+characters between words), caches that are emptied when full (at ``CACHED_WORDS`` words or ``CACHED_CHARS``
+code points of them), and for the longest unbroken word some 100 bytes per code point.
 
 Defined cases: null and empty texts have no ids. A character outside the vocabulary becomes its bytes, or one unknown
-id for a run of them if the model has no bytes. U+2581 in a text decodes to a space, as in the library. Repeated rows
-are encoded each; no rows give no rows. Only the id and text columns are read, or all kept by ``encode_rows``.
+id for a run of them if the model has no bytes. A very long text is encoded in runs of about ``BLOCK_CHARS``. U+2581 in a text decodes to a space, as in the library. Repeated rows
+are encoded each; no rows give no rows. Only the id and text columns are read.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ MARK = "▁"
 #: A block of texts is closed at so many characters; longer texts are encoded in runs of about as many.
 BLOCK_CHARS = 4_000_000
 #: Words remembered between blocks, and compatible pairs; both are emptied when full.
-CACHED_WORDS, CACHED_PAIRS = 300_000, 300_000
+CACHED_WORDS, CACHED_CHARS, CACHED_PAIRS = 300_000, 6_000_000, 300_000
 #: What an unknown character costs below the worst piece (unigram).
 UNKNOWN_PENALTY = 10.0
 
@@ -106,6 +108,7 @@ class Encoder:
         self.coded = {p: np.int32(i).tobytes() for p, i in self.ids.items()}
         self.lengths = _Lengths(self.ids)
         self.words: dict[str, bytes] = {}
+        self.held = 0
         self.follow: defaultdict[str, dict[str, bool]] = defaultdict(dict)
         self.pairs = 0
         letters = set("".join(self.ids))
@@ -137,12 +140,12 @@ class Encoder:
         self.pairs += 1
         return known
 
-    def _bpe_states(self, word: str, last: list[str], codes: list[bytes], after: list[dict[str, bool]]) -> None:
-        """Extend ``last`` (last piece of each prefix; ``codes``: its ids; ``after``: what may follow) to the whole word.
+    def _bpe_states(self, word: str, last: list[str], after: list[dict[str, bool]]) -> None:
+        """Extend ``last`` (last piece of each prefix; ``after``: what may follow it) to the whole word.
 
         A prefix that no longer piece fits ends in one character.
         """
-        lengths, ids, follow, coded = self.lengths, self.ids, self.follow, self.coded
+        lengths, ids, follow = self.lengths, self.ids, self.follow
         for at in range(len(last), len(word) + 1):
             piece = word[at - 1]
             for length in lengths[word[at - 3 if at > 3 else 0 : at]]:
@@ -153,10 +156,9 @@ class Encoder:
                         piece = longer
                         break
             last.append(piece)
-            codes.append(codes[at - len(piece)] + (coded.get(piece) or self._spell(piece)))
             after.append(follow[piece])
 
-    def _unigram_states(self, word: str, last: list[str], codes: list[bytes], score: list[float]) -> None:
+    def _unigram_states(self, word: str, last: list[str], score: list[float]) -> None:
         """Extend the best score of each prefix, and the last piece that it comes from."""
         for at in range(len(last), len(word) + 1):
             best, chosen = None, ""
@@ -167,9 +169,18 @@ class Encoder:
                 if gain is not None and (best is None or score[at - length] + gain > best):
                     best, chosen = score[at - length] + gain, piece
             last.append(chosen)
-            codes.append(codes[at - len(chosen)] + (self.coded.get(chosen) or self._spell(chosen)))
             score.append(best)
 
+    def _back(self, last: list[str], at: int) -> bytes:
+        """The ids of a word, read off its prefixes' last pieces from its end."""
+        pieces, coded = [], self.coded
+        while at:
+            piece = last[at]
+            pieces.append(coded.get(piece) or self._spell(piece))
+            at -= len(piece)
+        pieces.reverse()
+        return b"".join(pieces)
+
     def _spell(self, piece: str) -> bytes:
         """Ids, as 32-bit integers, of a character that is no piece."""
         found = [self.bytes_at[b] for b in piece.encode()] if self.v.byte_fallback else [self.unknown]
@@ -178,25 +189,26 @@ class Encoder:
     def learn(self, words: set[str]) -> None:
         """Encode words that aren't remembered: in sorted order, from the end of the prefix shared with the one before."""
         fresh = sorted(words - self.words.keys())
-        if len(self.words) + len(fresh) > CACHED_WORDS:
+        if len(self.words) + len(fresh) > CACHED_WORDS or self.held > CACHED_CHARS:
             self.words.clear()
-            fresh = sorted(words)
+            self.held, fresh = 0, sorted(words)
+        self.held += sum(map(len, fresh))
         if self.pairs > CACHED_PAIRS:
             self.follow.clear()
             self.pairs = 0
-        before, last, codes, score, after = "", [""], [b""], [0.0], [self.follow[""]]
+        before, last, score, after = "", [""], [0.0], [self.follow[""]]
         for word in fresh:
             shared = len(before)
             if not word.startswith(before):
                 shared, most = 0, min(shared, len(word))
                 while shared < most and before[shared] == word[shared]:
                     shared += 1
-            del last[shared + 1 :], codes[shared + 1 :], score[shared + 1 :], after[shared + 1 :]
+            del last[shared + 1 :], score[shared + 1 :], after[shared + 1 :]
             if self.v.unigram:
-                self._unigram_states(word, last, codes, score)
+                self._unigram_states(word, last, score)
             else:
-                self._bpe_states(word, last, codes, after)
-            self.words[word] = codes[-1]
+                self._bpe_states(word, last, after)
+            self.words[word] = self._back(last, len(word))
             before = word
 
     def _runs(self, text: str) -> Iterator[list[str]]:
