@@ -1,32 +1,37 @@
 r"""Edit-aware token counts: a segment tree of pre-tokens per document, re-encoding only what an edit touches.
 
 A byte-level BPE first cuts a text into pre-tokens by a pattern and then encodes each alone, so a document's token count
-is a sum over pre-tokens. The tree's leaves are runs of ``LEAF`` pre-tokens with their code points and tokens; inner
-nodes hold the sums. An edit (replace a span by a string)
+is a sum over pre-tokens. A leaf of the tree stands for a run of about ``LEAF`` pre-tokens; every node holds the sums of
+its subtree (code points, tokens, pre-tokens, leaves). An edit (replace a span by a string)
 
-1. finds the leaf of the span's start by descending the sums, and starts one pre-token before the one that the span
-   touches, since the pattern looks one character ahead;
-2. cuts and counts from there in the edited text until a cut falls on a cut of the old text behind the span. From such
-   a place the pattern gives the same pre-tokens as before, whatever follows;
-3. replaces the leaves between and updates the sums up to the root.
+1. finds the leaf that the span touches by descending the sums and begins at the leaf before it, which has the pre-token
+   before the touched one in it: the pattern looks no further ahead;
+2. cuts and counts from there in the edited text until a cut falls on the border of an old leaf behind the span. From
+   such a place the pattern gives the same pre-tokens as before, whatever stands before it;
+3. splits the tree at both places and joins what is left with the new leaves. Only nodes on the paths to those places get
+   new sums, about the logarithm of the number of leaves; subtrees behind, between and before stay as they are.
 
-So the work is that of the edit and its surroundings, not of the document, and the counts are exactly those of encoding
-the whole text anew. Each document is a row on its own: there is no shuffle; memory is one document's tree.
+So apart from copying the text itself the work is that of the edit and its surroundings, and the counts are exactly those
+of encoding the whole text anew. ``trees`` gives a table with a tree per document (its leaves' sums, about a byte for
+ten code points); ``apply`` reads such a table, applies edits, and returns the same columns, so a later edit goes on from
+there without encoding the document again. ``with_edits`` joins a table of edits to it. Each document is a row on its
+own; only that join shuffles.
 
-Defined cases: null and empty texts have no tokens; a span is cut to the text; null replacement is empty. Special tokens'
-strings in a text are ordinary text. Repeated rows are counted each. No rows give no rows. Only id and text are read.
+Defined cases: null and empty texts have no leaf and no tokens. A span is cut to the text; a null start is the end of the
+text, a null end the start of the span; a null replacement is empty. Edits of a document are applied by ``seq``, equal
+ones by start, end and replacement; edits of unknown ids do nothing, those of a null id neither. Special tokens' strings
+in a text are ordinary text. A very long text is one row: its tree takes some 10 bytes a pre-token. Repeated rows are
+counted each. No rows give no rows. Only the named columns are read.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
 
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.common import id_and_text, table
@@ -34,8 +39,11 @@ from engram.llm.common import id_and_text, table
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The published pre-token pattern of this vocabulary (a fixed value).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LEAF, FANOUT = 32, 16
+#: Pre-tokens of a leaf.
+LEAF = 32
 CACHED = 300_000
+#: Rows whose trees exist at once.
+ROWS = 256
 
 
 class Counter:
@@ -57,131 +65,216 @@ class Counter:
         return n
 
 
+class _Node:
+    """A leaf of the segment tree with the sums of all leaves under it; in the order of the text: left, own, right."""
+
+    __slots__ = ("chars", "tokens", "pieces", "leaves", "own", "left", "right")
+
+    def __init__(self, own: tuple[int, int, int], left: _Node | None = None, right: _Node | None = None):
+        self.own = own
+        self.hang(left, right)
+
+    def hang(self, left: _Node | None, right: _Node | None) -> _Node:
+        self.left, self.right = left, right
+        self.chars, self.tokens, self.pieces = self.own
+        self.leaves = 1
+        for side in (left, right):
+            if side is not None:
+                self.chars += side.chars
+                self.tokens += side.tokens
+                self.pieces += side.pieces
+                self.leaves += side.leaves
+        return self
+
+
+def _balanced(leaves: list[tuple[int, int, int]], lo: int, hi: int) -> _Node | None:
+    if lo == hi:
+        return None
+    middle = (lo + hi) // 2
+    return _Node(leaves[middle], _balanced(leaves, lo, middle), _balanced(leaves, middle + 1, hi))
+
+
 class Tree:
-    """Leaves of pre-tokens (lengths, counts) under levels of sums."""
-
-    def __init__(self, text: str, counter: Counter):
-        self.counter, self.text = counter, text
-        pieces = counter.cut.findall(text)
-        self.leaves = self._leaves([(len(p), counter(p)) for p in pieces])
-        self.encoded = len(pieces)
-        self._sum()
-
-    @staticmethod
-    def _leaves(pieces: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
-        return [pieces[i : i + LEAF] for i in range(0, len(pieces), LEAF)]
-
-    def _sum(self, first: int = 0) -> None:
-        """(Re)build the sums over the leaves from the node that holds leaf ``first`` on."""
-        if first == 0:
-            self.levels = [[]]
-        below = [(sum(p[0] for p in leaf), sum(p[1] for p in leaf)) for leaf in self.leaves[first:]]
-        level = 0
-        while True:
-            if level == len(self.levels):
-                self.levels.append([])
-                first = 0 if level and len(self.levels[level - 1]) else first
-            kept = self.levels[level][:first]
-            self.levels[level] = kept + below
-            if len(self.levels[level]) <= 1:
-                del self.levels[level + 1 :]
-                return
-            first //= FANOUT
-            nodes = self.levels[level][first * FANOUT :]
-            below = [(sum(x[0] for x in nodes[i : i + FANOUT]), sum(x[1] for x in nodes[i : i + FANOUT])) for i in range(0, len(nodes), FANOUT)]
-            level += 1
+    """Token counts of one text. ``encoded``: pre-tokens counted so far; ``touched``: nodes whose sums were set by edits."""
+
+    def __init__(self, text: str, counter: Counter, leaves: list[tuple[int, int, int]] | None = None):
+        self.text, self.counter, self.encoded, self.touched = text, counter, 0, 0
+        if leaves is None:
+            leaves = self._leaves([(len(p), counter(p)) for p in counter.cut.findall(text)])
+        self.root = _balanced(leaves, 0, len(leaves))
+
+    def _leaves(self, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+        """Leaves of about equal numbers of pre-tokens."""
+        self.encoded += len(pieces)
+        n = -(-len(pieces) // LEAF)
+        runs = [pieces[len(pieces) * k // n : len(pieces) * (k + 1) // n] for k in range(n)]
+        return [(sum(p[0] for p in run), sum(p[1] for p in run), len(run)) for run in runs]
 
     @property
     def tokens(self) -> int:
-        return self.levels[-1][0][1] if self.levels[-1] else 0
-
-    def _leaf_at(self, place: int) -> tuple[int, int]:
-        """Number and start of the leaf that holds code point ``place`` (or the last), by descending the sums."""
-        node, start = 0, 0
-        for level in reversed(self.levels[:-1]):
-            node *= FANOUT
-            while node + 1 < min(len(level), (node // FANOUT + 1) * FANOUT) and start + level[node][0] <= place:
-                start += level[node][0]
-                node += 1
-        return node, start
-
-    def edit(self, start: int, end: int, replacement: str) -> None:
+        return self.root.tokens if self.root else 0
+
+    @property
+    def pieces(self) -> int:
+        return self.root.pieces if self.root else 0
+
+    def leaves(self) -> list[tuple[int, int, int]]:
+        found, waiting, node = [], [], self.root
+        while waiting or node:
+            if node:
+                waiting.append(node)
+                node = node.left
+            else:
+                node = waiting.pop()
+                found.append(node.own)
+                node = node.right
+        return found
+
+    def _leaf(self, place: int) -> tuple[int, int]:
+        """Where the leaf with code point ``place`` (or the last) begins and ends."""
+        node, start, found = self.root, 0, (0, 0)
+        while node:
+            begin = start + (node.left.chars if node.left else 0)
+            if place < begin:
+                node = node.left
+                continue
+            found = (begin, begin + node.own[0])
+            if place < found[1]:
+                break
+            start, node = found[1], node.right
+        return found
+
+    def _split(self, node: _Node | None, place: int) -> tuple[_Node | None, _Node | None]:
+        """Leaves before and behind ``place``, the border of two leaves."""
+        if node is None:
+            return None, None
+        self.touched += 1
+        begin = node.left.chars if node.left else 0
+        if place <= begin:
+            before, behind = self._split(node.left, place)
+            return before, node.hang(behind, node.right)
+        before, behind = self._split(node.right, place - begin - node.own[0])
+        return node.hang(node.left, before), behind
+
+    def _join(self, one: _Node | None, other: _Node | None) -> _Node | None:
+        """Both one after another. The root is one of the two, drawn by their numbers of leaves, which keeps the tree flat."""
+        if one is None or other is None:
+            return one or other
+        self.touched += 1
+        draw = (one.leaves * 0x9E3779B97F4A7C15 ^ other.leaves * 0xD6E8FEB86659FD93 ^ one.chars * 0xA0761D6478BD642F) >> 13
+        if draw % (one.leaves + other.leaves) < one.leaves:
+            return one.hang(one.left, self._join(one.right, other))
+        return other.hang(self._join(one, other.left), other.right)
+
+    def edit(self, start: int | None, end: int | None, replacement: str | None) -> None:
         """Replace code points [start, end) of the text."""
-        start = max(0, min(start, len(self.text)))
-        end = max(start, min(end, len(self.text)))
-        new = self.text[:start] + replacement + self.text[end:]
-        if not self.leaves:
-            self.__init__(new, self.counter)
-            return
-        leaf, at = self._leaf_at(max(0, start - 1))
-        cuts = list(accumulate((p[0] for p in self.leaves[leaf]), initial=at))
-        touched = bisect_right(cuts, max(at, start - 1)) - 1
-        if touched == 0 and leaf:  # one pre-token before it, for what the pattern looks ahead
-            leaf -= 1
-            at -= self.levels[0][leaf][0]
-            cuts = list(accumulate((p[0] for p in self.leaves[leaf]), initial=at))
-            touched = len(self.leaves[leaf])
-        begin = max(0, touched - 1)
-        head, shift = self.leaves[leaf][:begin], len(new) - len(self.text)
-        old_leaf, old_place, old_index = leaf, cuts[begin], begin
-        fresh: list[tuple[int, int]] = []
-        place = cuts[begin]
-        tail: list[tuple[int, int]] = []
-        for match in self.counter.cut.finditer(new, place):
+        replacement, size = replacement or "", len(self.text)
+        start = size if start is None else max(0, min(start, size))
+        end = start if end is None else max(start, min(end, size))
+        new, shift = self.text[:start] + replacement + self.text[end:], len(replacement) - (end - start)
+        begin = self._leaf(max(0, start - 1))[0]
+        begin = self._leaf(begin - 1)[0] if begin else 0
+        border, fresh, place = self._leaf(max(0, end - 1))[1], [], begin
+        for match in self.counter.cut.finditer(new, begin):
             fresh.append((match.end() - match.start(), self.counter(match[0])))
             place = match.end()
-            target = place - shift
-            if place < start + len(replacement) or target < end:
-                continue
-            while old_leaf < len(self.leaves) and old_place < target:  # walk the old cuts up to here
-                if old_index == len(self.leaves[old_leaf]):
-                    old_leaf, old_index = old_leaf + 1, 0
-                    continue
-                old_place += self.leaves[old_leaf][old_index][0]
-                old_index += 1
-            if old_place == target:
-                tail = self.leaves[old_leaf][old_index:] if old_leaf < len(self.leaves) else []
-                old_leaf += 1
-                break
+            if place >= start + len(replacement) and place - shift >= end:
+                if place - shift > border:
+                    border = self._leaf(place - shift - 1)[1]
+                if place - shift == border:
+                    break
         else:
-            old_leaf = len(self.leaves)
-        self.encoded += len(fresh)
-        self.leaves[leaf:old_leaf] = self._leaves(head + fresh + tail)
+            border = size
+        before, rest = self._split(self.root, begin)
+        behind = self._split(rest, border - begin)[1]
+        leaves = self._leaves(fresh)
+        self.root = self._join(self._join(before, _balanced(leaves, 0, len(leaves))), behind)
         self.text = new
-        self._sum(min(leaf, len(self.leaves)))
 
 
-def example_edits(text: str) -> list[tuple[int, int, str]]:
-    """The edits of the registered query: a word put in at a third, a tenth (at most 200 code points) taken out at a half,
-    and the end extended; places are of the text as the edits before it left it."""
-    n = len(text)
-    put = " (edited) "
-    middle = n // 2
-    return [(n // 3, n // 3, put), (middle, middle + min(n // 10, 200), ""), (n + len(put), n + len(put), "\nThe end.")]
+_TREE = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, leaf_pieces array<int>"
+_SUMS = ("chars", "tokens", "pieces")
 
 
-def count(docs: DataFrame, edits=example_edits, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, n_chars, n_pretokens, n_tokens``, and after ``edits(text)``: ``edited_chars,
-    edited_tokens, reencoded`` (pre-tokens that the edits had counted anew)."""
+def _shared_ranks(df: DataFrame, path: str):
     with open(path, "rb") as file:
-        shared = docs.sparkSession.sparkContext.broadcast(file.read())
+        return df.sparkSession.sparkContext.broadcast(file.read())
+
+
+def _counter(ranks: bytes) -> Counter:
+    return Counter({base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())})
+
+
+def _columns(trees: list[Tree]) -> dict[str, pa.Array]:
+    leaves = [t.leaves() for t in trees]
+    return {"text": pa.array([t.text for t in trees], pa.string())} | {f"leaf_{name}": pa.array([[x[k] for x in own] for own in leaves], pa.list_(pa.int32())) for k, name in enumerate(_SUMS)}
+
+
+def trees(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: ``doc_id, text, leaf_chars, leaf_tokens, leaf_pieces``, which ``apply`` goes on from."""
+    shared = _shared_ranks(docs, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = _counter(shared.value)
+        for batch in batches:
+            for start in range(0, batch.num_rows, ROWS):
+                part = batch.slice(start, ROWS)
+                columns = _columns([Tree(text, counter) for text in part.column(1).to_pylist()])
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["doc_id", *columns])
+
+    return id_and_text(docs, id_col, text_col).mapInArrow(run, _TREE)
+
+
+def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
+    """``trees`` with the rows of ``edits`` (doc_id, seq, start, end, replacement) of each document as one array."""
+    rows = edits.filter("doc_id IS NOT NULL").select(
+        F.col("doc_id").cast("long").alias("edited_id"),
+        F.struct(F.col("seq").cast("long").alias("seq"), F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"), F.col("replacement").cast("string").alias("replacement")).alias("edit"),
+    )
+    lists = rows.groupBy("edited_id").agg(F.sort_array(F.collect_list("edit")).alias("edits"))
+    own = F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement")))
+    return trees.join(lists, trees["doc_id"] == lists["edited_id"], "left").select(*[trees[c] for c in ("doc_id", "text", *(f"leaf_{n}" for n in _SUMS))], own.alias("edits"))
+
+
+def apply(trees: DataFrame, edits_col: str = "edits", path: str = RANKS) -> DataFrame:
+    """The columns of ``trees`` after the edits in an array column of (start, end, replacement), applied in order, and
+    ``n_tokens, n_pretokens, tokens_before, pretokens_before, chars_before, reencoded`` (pre-tokens counted anew)."""
+    shared = _shared_ranks(trees, path)
+    numbers = ("n_tokens", "n_pretokens", "tokens_before", "pretokens_before", "chars_before", "reencoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter({base64.b64decode(a): int(b) for a, b in map(bytes.split, shared.value.splitlines())})
+        counter = _counter(shared.value)
         for batch in batches:
-            rows = []
-            for text in batch.column(1):
-                tree = Tree(text.as_py(), counter)
-                before = (len(tree.text), tree.encoded, tree.tokens)
-                for start, end, replacement in edits(tree.text):
-                    tree.edit(start, end, replacement or "")
-                rows.append((*before, len(tree.text), tree.tokens, tree.encoded - before[1]))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_chars", "n_pretokens", "n_tokens", "edited_chars", "edited_tokens", "reencoded"])
+            for start in range(0, batch.num_rows, ROWS):
+                part, done, rows = batch.slice(start, ROWS), [], []
+                for text, chars, tokens, pieces, edits in zip(*(part.column(k).to_pylist() for k in range(1, 6)), strict=True):
+                    tree = Tree(text, counter, list(zip(chars, tokens, pieces, strict=True)))
+                    before = (tree.tokens, tree.pieces, len(text))
+                    for edit in edits or ():
+                        tree.edit(edit["start"], edit["end"], edit["replacement"])
+                    done.append(tree)
+                    rows.append((tree.tokens, tree.pieces, *before, tree.encoded))
+                columns = _columns(done) | dict(zip(numbers, (pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), strict=True))
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["doc_id", *columns])
+
+    edits = F.col(edits_col).cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("edits")
+    read = trees.select("doc_id", "text", *(f"leaf_{name}" for name in _SUMS), edits)
+    return read.mapInArrow(run, f"{_TREE}, {', '.join(f'{n} long' for n in numbers)}")
+
 
-    rows = id_and_text(docs, id_col, text_col)
-    return rows.mapInArrow(run, "doc_id long, n_chars long, n_pretokens long, n_tokens long, edited_chars long, edited_tokens long, reencoded long")
+def example_edits(text: Column) -> Column:
+    """The edits of the registered query: a word put in at a third, a tenth taken out at a half, the end extended; places
+    are of the text as the edits before it left it."""
+    n, put = F.length(text), " (edited) "
+    third, half, tenth = (F.floor(n / k) for k in (3, 2, 10))
+    spans = [(third, third, put), (half, half + tenth, ""), (n + len(put), n + len(put), "\nThe end.")]
+    return F.array(*[F.struct(a.cast("long").alias("start"), b.cast("long").alias("end"), F.lit(new).alias("replacement")) for a, b, new in spans])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count(table(spark, sf_dir, "documents"))
+    kept = trees(table(spark, sf_dir, "documents"))
+    done = apply(kept.withColumn("edits", example_edits(F.col("text"))))
+    return done.select(
+        "doc_id", F.col("chars_before").alias("n_chars"), F.col("pretokens_before").alias("n_pretokens"), F.col("tokens_before").alias("n_tokens"),
+        F.length("text").cast("long").alias("edited_chars"), F.col("n_tokens").alias("edited_tokens"), "reencoded",
+    )

@@ -333,35 +333,71 @@ def counter():
 
 def test_edits_count_as_encoding_anew(counter, monkeypatch):
     r = random.Random(3)
-    letters = [" ", "  ", "a", "b", "'s", "'", "\n", "\n\n", "é", "日", "1", "23", ".", "!!", "\t", "the", " the", "ll", "'ll"]
+    letters = [" ", "  ", "a", "b", "'s", "'", "\n", "\n\n", "é", "日", "1", "23", ".", "!!", "\t", "the", " the", "ll", "'ll", "'r", "e"]
     draw = lambda n: "".join(r.choice(letters) for _ in range(n))
     for _ in range(1500):
         monkeypatch.setattr(token_counts, "LEAF", r.choice([1, 2, 3, 32]))
-        monkeypatch.setattr(token_counts, "FANOUT", r.choice([2, 3, 16]))
         tree = token_counts.Tree(draw(r.randint(0, 60)), counter)
-        for _ in range(5):
+        for _ in range(6):
             start = r.randint(0, len(tree.text))
             end, put = min(len(tree.text), start + r.choice([0, 0, 1, 2, 5, 60])), draw(r.choice([0, 1, 2, 5]))
             want = tree.text[:start] + put + tree.text[end:]
             tree.edit(start, end, put)
             assert tree.text == want and tree.tokens == len(counter.encoding.encode_ordinary(want))
-            assert [x for leaf in tree.leaves for x in leaf] == [x for leaf in token_counts.Tree(want, counter).leaves for x in leaf]
-
-
-def test_an_edit_touches_little_of_a_long_text(counter):
-    tree = token_counts.Tree("some words and more " * 5000, counter)
-    before = tree.encoded
-    tree.edit(50_000, 50_003, "x")
-    assert tree.encoded - before < 10 and tree.tokens == len(counter.encoding.encode_ordinary(tree.text))
-
-
-def test_counting_rows(spark, counter):
+            places, cuts = 0, {0, *(m.end() for m in counter.cut.finditer(want))}
+            for chars, tokens, pieces in tree.leaves():
+                own = counter.cut.findall(want[places : places + chars])
+                places += chars
+                assert places in cuts and 0 < pieces and (tokens == sum(map(counter, own)) if len(own) == pieces else True)
+            assert places == len(want) and tree.pieces == len(cuts) - 1
+            tree = r.choice([tree, token_counts.Tree(want, counter, tree.leaves())])
+
+
+def test_an_edit_touches_a_path_of_a_long_text(counter):
+    most = []
+    for n in (1_000, 32_000, 1_000_000):
+        text = "some words and more " * (n // 20)
+        tree = token_counts.Tree(text, counter)
+        r, before = random.Random(n), tree.encoded
+        for _ in range(20):
+            tree.touched = 0
+            at = r.choice([0, len(tree.text), r.randint(0, len(tree.text))])
+            tree.edit(at, at + 3, "x")
+            most.append((n, tree.touched))
+        assert tree.encoded - before < 20 * 5 * token_counts.LEAF
+        tree.touched, before = 0, tree.encoded
+        tree.edit(n // 4, n // 2, "")  # a long span goes without being read
+        assert tree.encoded - before < 5 * token_counts.LEAF and tree.touched < 150
+        assert tree.tokens == len(counter.encoding.encode_ordinary(tree.text))
+    assert max(t for n, t in most if n == 1_000_000) < 150
+
+
+def test_counting_rows(spark, counter, tmp_path):
     rows = [(1, "a b c"), (1, "a b c"), (None, "<|endoftext|>"), (2, None), (3, ""), (4, "word " * 30_000)]
-    got = token_counts.count(frame(spark, rows)).collect()
-    assert [r.n_tokens for r in got] == [len(counter.encoding.encode_ordinary(t or "")) for _, t in rows]
-    for (_, text), row in zip(rows, got, strict=True):
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(token_counts.query(spark, str(tmp_path)).collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0))
+    count = lambda t: len(counter.encoding.encode_ordinary(t))
+    for (_, text), row in zip(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
         text = text or ""
-        for start, end, put in token_counts.example_edits(text):
+        n = len(text)
+        assert (row.n_chars, row.n_tokens, row.n_pretokens) == (n, count(text), len(counter.cut.findall(text)))
+        for start, end, put in [(n // 3, n // 3, " (edited) "), (n // 2, n // 2 + n // 10, ""), (n + 10, n + 10, "\nThe end.")]:
             text = text[:start] + put + text[end:]
-        assert (row.edited_chars, row.edited_tokens) == (len(text), len(counter.encoding.encode_ordinary(text)))
-    assert token_counts.count(frame(spark, [])).count() == 0
+        assert (row.edited_chars, row.edited_tokens) == (len(text), count(text))
+    assert got[-1].reencoded < 0.02 * got[-1].n_pretokens
+    assert token_counts.trees(frame(spark, [])).count() == 0
+
+
+def test_kept_trees_take_a_table_of_edits(spark, counter, tmp_path):
+    rows = [(1, "one two three"), (2, "a b"), (2, "a b"), (3, None), (None, "x"), (4, "left alone")]
+    token_counts.trees(frame(spark, rows)).write.parquet(f"{tmp_path}/trees")
+    edits = [(1, 2, 0, 3, "ONE"), (1, 1, None, None, " four"), (2, 1, 1, -5, None), (2, 2, 0, 1, "zz"), (3, 1, 5, 9, "new"), (9, 1, 0, 1, "?"), (None, 1, 0, 1, "?")]
+    table = spark.createDataFrame(edits, "doc_id int, seq int, start int, end int, replacement string").withColumns({c: F.lit(1) for c in ("text", "edits", "edited_id")})
+    first = token_counts.apply(token_counts.with_edits(spark.read.parquet(f"{tmp_path}/trees"), table))
+    want = {1: "ONE two three four", 2: "zz b", 3: "new", None: "x", 4: "left alone"}
+    got = first.collect()
+    assert len(got) == 6 and all(r.text == want[r.doc_id] and r.n_tokens == len(counter.encoding.encode_ordinary(r.text)) for r in got)
+    assert {r.reencoded for r in got if r.doc_id in (4, None)} == {0}
+    again = token_counts.apply(token_counts.with_edits(first, table.filter("doc_id = 1 AND seq = 1"))).filter("doc_id = 1").first()
+    assert again.text == "ONE two three four four" and again.n_tokens == len(counter.encoding.encode_ordinary(again.text))
+    assert token_counts.apply(token_counts.with_edits(first, table.limit(0))).count() == 6
