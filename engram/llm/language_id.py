@@ -6,23 +6,30 @@ n-grams. The profile of a language is the sum over its training texts, each scal
 stands for the language; a text gets the language whose profile has the greatest cosine with its vector.
 
 Profiles are learnt from at most ``per_language`` texts of each language (a documented bound on training rows: those
-with a letter and the smallest hash of their id), whole texts each, and only from rows that training may see. What is broadcast is
-one vector per language, and the ids of the training rows: below 60 MB for the 8,000 or so languages there are.
-Prediction reads every whole text once, without a shuffle.
-
-Letters are lower-cased; every run of other characters is one space, so n-grams know where words begin and end.
-
-Defined cases: null texts and texts without a letter are ``und`` with score 0. Equal cosines: the smaller language name.
-Without any training row every text is ``und``. Repeated rows are predicted each. Null or other columns don't matter.
+with a letter and the smallest hash of their id), whole texts each, and only from rows that training may see. Rows are
+counted per language first; only those whose hash is below what makes ``per_language`` certain enough are ranked, some
+hundreds per language whatever the data. Vectors are added up per language and dimension before anything reaches the
+driver: one vector per language. That, and the ids of the training rows, is what is broadcast: below 100 MB for the 8,000
+or so languages there are. Prediction reads every whole text once, without a shuffle.
+
+Letters (Unicode category L) are lower-cased; every run of other characters is one space, so n-grams know where words
+begin and end.
+
+Defined cases: null texts and texts without a letter are ``und`` with score 0; digits, numerals such as "Ⅷ"
+and marks aren't letters. A very long text is read in runs of ``RUN_CHARS``. Equal cosines: the smaller language name.
+Rows with a null id or language aren't learnt from. Of rows that repeat a training id and language, the one with the
+smallest text is learnt from; all are predicted. Without any training row every text is ``und``. Other columns don't
+matter.
 """
 
 from __future__ import annotations
 
-import re
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,17 +38,17 @@ from engram.llm.common import table
 
 DIMENSIONS, N = 1024, 3
 PER_LANGUAGE = 400
-#: Parts in which the rows of a language are ranked first, so that the last ranking reads a bounded number of rows.
-PARTS = 256
+#: Vectors are added up as whole numbers of this fraction, so sums don't depend on the order of rows.
+UNIT = 2.0**40
 #: n-gram vectors that a task remembers; emptied when full.
 CACHED = 40_000
 #: Texts of one matrix product, and rows whose vectors are held at once.
 BLOCK, ROWS = 64, 1024
 #: A text's n-grams are counted in runs of so many characters.
 RUN_CHARS = 1_000_000
-_OTHER = re.compile(r"[\W\d_]+")
-#: What isn't in _OTHER, for the engine's regexp, and code points that it doesn't know yet.
-LETTER = r"[\p{L}\p{Nl}\p{No}\p{Cn}]"
+_OTHER = regex.compile(r"\P{L}+")
+#: A letter for the engine's regexp, and code points that it doesn't know yet.
+LETTER = r"[\p{L}\p{Cn}]"
 
 
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
@@ -135,27 +142,31 @@ class Bundler:
 def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
     """Unit vector per language from the training rows (``held_out`` ones are never read); at most ``per_language`` each."""
     usable = ~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).cast("string").rlike(LETTER), F.lit(False))
-    seen = docs.filter(usable).select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
-    first = [F.xxhash64("doc_id"), F.col("doc_id")]
-    dealt = seen.withColumn("part", F.pmod(F.hash("doc_id"), F.lit(PARTS)))  # a language may hold most rows
-    for keys in (["lang", "part"], ["lang"]):
-        dealt = dealt.withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*first))).filter(F.col("nth") <= per_language)
-    chosen = dealt.select("doc_id", "lang").distinct()
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).filter(F.col("text").isNotNull()).select("lang", "text")
+    seen = docs.filter(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
+    seen = seen.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) / F.lit(float(2**31)))
+    enough = per_language + 10 * math.sqrt(per_language) + 50  # fewer than per_language come of it about once in 10^20 times
+    shares = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(enough) / F.col("rows")).alias("share"))
+    few = seen.join(shares, "lang").filter("draw < share").select("doc_id", "lang").distinct()
+    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = few.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("doc_id", "lang")
+    texts = docs.filter(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).select("lang", "text")
 
     def bundles(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bundler, sums = Bundler(), {}
         for frame in frames:
-            vectors, any_letter = bundler.bundle(frame["text"].tolist())
-            for lang, vector in zip(frame["lang"][any_letter], vectors[any_letter], strict=True):
-                sums[lang] = sums.get(lang, 0) + vector / max(np.linalg.norm(vector), 1e-12)
+            for start in range(0, len(frame), ROWS):
+                part = frame.iloc[start : start + ROWS]
+                vectors, any_letter = bundler.bundle(part["text"].tolist())
+                for lang, vector in zip(part["lang"][any_letter], vectors[any_letter], strict=True):
+                    sums[lang] = sums.get(lang, 0) + np.rint(vector / max(np.linalg.norm(vector), 1e-12) * UNIT).astype(np.int64)
         if sums:
             yield pd.DataFrame({"lang": list(sums), "vector": [v.tolist() for v in sums.values()]})
 
-    found: dict[str, np.ndarray] = {}
-    for row in sorted(rows.mapInPandas(bundles, "lang string, vector array<double>").collect(), key=lambda r: (r["lang"], r["vector"])):
-        found[row["lang"]] = found.get(row["lang"], 0) + np.array(row["vector"])
+    parts = rows.mapInPandas(bundles, "lang string, vector array<long>").select("lang", F.posexplode("vector").alias("place", "value"))
+    summed = parts.groupBy("lang", "place").agg(F.sum("value").alias("value"))
+    whole = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("place", "value"))).alias("all")).select("lang", F.col("all.value").alias("vector"))
+    found = {row["lang"]: np.array(row["vector"], dtype=np.float64) for row in whole.collect()}
     return {lang: (v / max(np.linalg.norm(v), 1e-12)).astype(np.float32) for lang, v in sorted(found.items())}
 
 

@@ -309,6 +309,52 @@ def test_rows_without_a_letter_use_up_no_bound(spark):
     assert list(one) == ["de"] and np.allclose(one["de"], language_id.profiles(df)["de"])
 
 
+def test_only_letters_make_a_language(spark):
+    rows = [(i, "der die das" if i % 2 else "the of and", "de" if i % 2 else "en") for i in range(40)]
+    known = language_id.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    odd = [(1, "²½①Ⅷ"), (2, "١٢ 3_4"), (3, "\u0301"), (4, "²the"), (5, "ªº"), (6, "日")]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame(spark, odd), known).collect()}
+    assert [got[i] for i in (1, 2, 3)] == ["und"] * 3 and got[4] == "en" and "und" not in (got[5], got[6])
+
+
+def test_profiles_and_predictions_equal_brute_force(spark, monkeypatch):
+    """Training rows drawn by hash, repeated ids once, a long text in runs, sums per language, cosines one by one."""
+    monkeypatch.setattr(language_id, "RUN_CHARS", 50)
+    r = random.Random(8)
+    words = {"aa": ["ba", "bo", "be"], "bb": ["ki", "ko", "ba"], "cc": ["zu", "be", "ko"]}
+    rows = [(i, " ".join(r.choice(words[lang]) for _ in range(r.choice([1, 5, 400]))), lang) for i in range(300) for lang in [r.choice(list(words))]]
+    rows += [(4000, "ba " * 3000, "aa"), (4000, "ba bo", "aa"), (7, rows[7][1], rows[7][2]), (None, "zu zu", "aa"), (4001, None, "bb")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    bound = {}
+
+    def vector(text):
+        run = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        run = " ".join(run.split()).join("  ")
+        grams = [run[i : i + 3] for i in range(len(run) - 2)]
+        b = language_id.Bundler()
+        for g in set(grams) - bound.keys():
+            bound[g] = b._bound(tuple(map(ord, g))).astype(np.float64)
+        return sum(bound[g] * n for g, n in Counter(grams).items())
+
+    texts = {}
+    for i, text, lang in rows:
+        if i is not None and text and __import__("zlib").crc32(str(i).encode()) % 4 != 2:
+            texts[i, lang] = min(text, texts.get((i, lang), text))
+    sums = {}
+    for (_, lang), text in texts.items():
+        v = vector(text)
+        sums[lang] = sums.get(lang, 0) + v / np.linalg.norm(v)
+    known = language_id.profiles(df)
+    assert list(known) == sorted(sums) and all(np.allclose(known[x], sums[x] / np.linalg.norm(sums[x]), atol=1e-6) for x in sums)
+    assert len(language_id.identify(df, known).collect()) == len(rows)
+    for row in language_id.identify(df.filter("doc_id < 60"), known).collect():
+        v = vector(next(t for i, t, _ in rows if i == row.doc_id))
+        cosines = {x: float(v @ known[x] / np.linalg.norm(v)) for x in known}
+        assert row.lang_pred == max(sorted(cosines), key=cosines.get) and abs(row.score - max(cosines.values())) < 1e-5
+    few = language_id.profiles(df, per_language=1)
+    assert all(any(np.allclose(few[lang], vector(t) / np.linalg.norm(vector(t)), atol=1e-6) for (_, x), t in texts.items() if x == lang) for lang in few)
+
+
 def test_bundle_is_the_sum_of_bound_ngrams_however_it_is_cut(monkeypatch):
     text = "Hello, wörld! 12 ab" * 30
     whole, _ = language_id.Bundler().bundle([text])
