@@ -10,16 +10,20 @@ what is left after that (digests that agree in all cells) is compared directly.
 
 Likeness is the Jaccard similarity that follows from both counts and the number of recovered digests. Everything is
 built-in functions on one row. The next document comes in by a window over ranges of ids: rows of a range are sorted
-within it, and a range also gets the first row of the next range, so no window spans the table and texts are
-shuffled once. Only one id per range is broadcast, and there are at most ``MOST_RANGES``.
+within it, and a range also gets the first row of the next range, so no window spans the table, and texts are shuffled
+once, with their digests. Ranges are cut at quantiles of the ids, in two steps (of all ids, then of each coarse range's),
+so ids may lie anywhere; what is broadcast are these cuts, at most ``MOST_CUTS`` squared numbers (2 MB).
 
 Defined cases: null text is empty; it has no digests, and two texts without digests have likeness 1. Rows are ordered by
-id (null first), rows that repeat an id by text, repeated rows follow each other. A single row is its own next one.
-No rows give no rows. Only id and text are read.
+id (null first), rows that repeat an id by text, repeated rows follow each other; rows of one id are in one range. A very
+long text is one row: its digests take 8 bytes per ``PIECE`` code points, and a range of its own if it is longer than one.
+A single row is its own next one. No rows give no rows. Only id and text are read.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,7 +33,8 @@ PIECE = 128
 #: Tables of a sketch, and cells of each (a power of two).
 TABLES, CELLS = 3, 8
 ROUNDS, GROWTHS = 10, 8
-RANGE_CHARS, MOST_RANGES = 8_000_000, 200_000
+#: Characters of a range on average, and cuts of each of the two steps.
+RANGE_CHARS, MOST_CUTS = 2_000_000, 448
 _FIRST = -(2**63)
 
 
@@ -136,22 +141,44 @@ def written(cells: Column) -> Column:
     return F.array_join(F.transform(cells, lambda c: F.when(c["n"] == 0, F.lit("0")).otherwise(F.concat_ws(".", F.lower(F.hex(c["n"])), F.lower(F.hex(c["key"])), F.lower(F.hex(c["check"]))))), " ")
 
 
+def _cuts(at: Column, parts: int) -> Column:
+    """Quantiles that cut numbers into so many parts of about equal size."""
+    return F.array_distinct(F.percentile_approx(at, [k / parts for k in range(1, parts)] or [0.0], 20 * parts + 1000))
+
+
+def _behind(cuts: Column, at: Column) -> Column:
+    return F.size(F.filter(cuts, lambda c: c <= at))
+
+
+def _ranged(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``at`` (the id, null first) and ``part``, which ascends with it."""
+    rows = rows.withColumn("at", F.coalesce("doc_id", F.lit(_FIRST)))
+    chars = int(rows.select(F.sum(F.length("text"))).first()[0] or 0)
+    ranges = chars // RANGE_CHARS + 1
+    coarse = min(MOST_CUTS, max(1, round(ranges**0.5)))
+    fine = min(MOST_CUTS, -(-ranges // coarse))
+    ids = rows.select("at")
+    outer = F.array(*[F.lit(c).cast("long") for c in ids.agg(_cuts(F.col("at"), coarse)).first()[0] or ()]).cast("array<bigint>")
+    inner = ids.groupBy(_behind(outer, F.col("at")).alias("major")).agg(_cuts(F.col("at"), fine).alias("inner"))
+    told = json.dumps([r.asDict() for r in inner.collect()])  # once, so that each use of the ranges sees the same ones
+    known = rows.sparkSession.range(1).select(F.inline(F.from_json(F.lit(told), "array<struct<major:int,inner:array<bigint>>>")))
+    within = rows.withColumn("major", _behind(outer, F.col("at"))).join(F.broadcast(known), "major")
+    return within.withColumn("part", F.col("major") * (MOST_CUTS + 1) + _behind(F.col("inner"), F.col("at"))).drop("major", "inner")
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, text, next_text``: the text of the row that follows in the order of ids, of the first after the last."""
-    rows = id_and_text(docs, id_col, text_col)
-    low, high, chars = rows.select(F.min("doc_id"), F.max("doc_id"), F.sum(F.length("text"))).first()
-    ranges = min(MOST_RANGES, int(chars or 0) // RANGE_CHARS + 1)
-    width = max(1.0, (float(high or 0) - float(low or 0) + 1) / ranges)
-    part = F.coalesce(F.floor((F.col("doc_id").cast("double") - F.lit(float(low or 0))) / F.lit(width)), F.lit(0))
-    placed = rows.select("doc_id", "text", part.alias("part"), F.coalesce("doc_id", F.lit(_FIRST)).alias("at"))
+    """``doc_id, text, digests, next_text, next_digests``: also of the row that follows in the order of ids, of the first
+    after the last."""
+    placed = _ranged(id_and_text(docs, id_col, text_col))
     heads = placed.groupBy("part").agg(F.min("at").alias("at"))
     before = F.lag("part").over(Window.orderBy("part"))  # over one row per range
     last = heads.select(F.max("part").alias("last"))
     guests = heads.join(F.broadcast(last)).select("at", F.coalesce(before, "last").alias("guest_of"))
     guests = placed.select("doc_id", "text", "at").join(F.broadcast(guests), "at").select("doc_id", "text", F.col("guest_of").alias("part"), "at", F.lit(True).alias("guest"))
-    every = placed.withColumn("guest", F.lit(False)).unionByName(guests)
+    every = placed.select("doc_id", "text", "part", "at", F.lit(False).alias("guest")).unionByName(guests).withColumn("digests", digests(F.col("text")))
     order = Window.partitionBy("part").orderBy("guest", "at", "text")
-    return every.withColumn("next_text", F.lead("text").over(order)).filter("NOT guest").select("doc_id", "text", "next_text")
+    led = every.withColumn("next", F.lead(F.struct("text", "digests")).over(order)).filter("NOT guest")
+    return led.select("doc_id", "text", "digests", F.col("next.text").alias("next_text"), F.col("next.digests").alias("next_digests"))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,10 +191,10 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - half), F.substring(F.col("next_text"), F.lit(1), half))
-    rows = with_next(table(spark, sf_dir, "documents")).select("doc_id", "text", "next_text", edited.alias("edited"))
+    rows = with_next(table(spark, sf_dir, "documents")).withColumn("edited", edited)
     sets = rows.select(
         "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
-        digests(F.col("text")).alias("a"), digests(F.col("edited")).alias("b"), digests(F.col("next_text")).alias("c"),
+        F.col("digests").alias("a"), digests(F.col("edited")).alias("b"), F.col("next_digests").alias("c"),
     )
     for name in "abc":
         sets = sets.withColumn(f"s{name}", sketch(F.col(name)))

@@ -5,12 +5,15 @@ import math
 import random
 import re
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from engram.llm import chat_format, exact_dedup, fingerprints, mixing
 
+DATA = "/root/testdata/sf0.001"
+NEEDS_DATA = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -191,12 +194,41 @@ def test_next_document_over_ranges(spark, monkeypatch):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"part": F.lit(0), "guest": F.lit(True), "at": F.lit(1)})
     ordered = sorted(((i, t or "") for i, t in rows), key=lambda x: (-(2**63) if x[0] is None else x[0], x[1]))
     want = Counter((i, t, ordered[(k + 1) % len(ordered)][1]) for k, (i, t) in enumerate(ordered))
-    assert Counter(map(tuple, fingerprints.with_next(df).collect())) == want
+    assert Counter((x.doc_id, x.text, x.next_text) for x in fingerprints.with_next(df).collect()) == want
     alone = fingerprints.with_next(spark.createDataFrame([(3, "x")], "doc_id long, text string")).collect()
-    assert [tuple(x) for x in alone] == [(3, "x", "x")]
+    assert [(x.doc_id, x.text, x.next_text, x.next_digests == x.digests) for x in alone] == [(3, "x", "x", True)]
     assert fingerprints.with_next(df.limit(0)).count() == 0
 
 
+def test_ranges_follow_the_ids(spark, monkeypatch):
+    """One id far out, and ids in clumps, don't put most rows into one range."""
+    monkeypatch.setattr(fingerprints, "RANGE_CHARS", 100)
+    ids = [*range(200), *range(10**9, 10**9 + 200), 10**15, -(10**12)]
+    ranged = fingerprints._ranged(spark.createDataFrame([(i, "x" * 10) for i in ids], "doc_id long, text string"))
+    sizes = sorted(r["count"] for r in ranged.groupBy("part").count().collect())
+    assert len(sizes) > 30 and sizes[-1] <= 30 and sum(sizes) == 402
+    assert [r.doc_id for r in ranged.orderBy("part", "at").collect()] == sorted(ids)
+
+
+@NEEDS_DATA
+def test_registered_fingerprints_equal_brute_force(spark, tmp_path):
+    """Whole rows of the query, near_edited and near_next too, on documents of several shapes."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").limit(60).collect()]
+    rows += [(10**9, None), (10**9 + 1, ""), (10**9 + 2, "a\n" * 500), (10**9 + 3, "b" * 3000), (10**9 + 4, "\n"), (10**9 + 5, "é😀\nx")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows.sort()
+    got = {r.doc_id: r for r in fingerprints.query(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows)
+    for k, (i, text) in enumerate(rows):
+        text, after = text or "", rows[(k + 1) % len(rows)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        assert (got[i].n_chars, got[i].edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        assert got[i].near_edited == pytest.approx(jaccard(pieces(text), pieces(edited)))
+        assert got[i].near_next == pytest.approx(jaccard(pieces(text), pieces(after)))
+        assert (got[i].fingerprint == got[i].edited_fingerprint) == (pieces(text) == pieces(edited))
+
+
 def test_equal_texts_have_equal_fingerprints(spark):
     got = fingerprints.fingerprints(docs(spark, ["a\nb", "a\nb", "a\nc", None, ""])).orderBy("doc_id").collect()
     assert got[0].fingerprint == got[1].fingerprint != got[2].fingerprint
