@@ -34,7 +34,7 @@ PIECE = 128
 TABLES, CELLS = 3, 8
 ROUNDS, GROWTHS = 10, 8
 #: Characters of a range on average, and cuts of each of the two steps.
-RANGE_CHARS, MOST_CUTS = 2_000_000, 448
+RANGE_CHARS, MOST_CUTS = 400_000, 448
 _FIRST = -(2**63)
 
 

@@ -9,7 +9,7 @@ Profiles are learnt from at most ``per_language`` texts of each language (a docu
 with a letter and the smallest hash of their id), whole texts each, and only from rows that training may see. Rows are
 counted per language first; only those whose hash is below what makes ``per_language`` certain enough are ranked, some
 hundreds per language whatever the data. Vectors are added up per language and dimension before anything reaches the
-driver: one vector per language. That, and the ids of the training rows, is what is broadcast: below 100 MB for the 8,000
+driver: one vector per language. That, the count of each language and the ids of the training rows are what is broadcast: below 100 MB for the 8,000
 or so languages there are. Prediction reads every whole text once, without a shuffle.
 
 Letters (Unicode category L) are lower-cased; every run of other characters is one space, so n-grams know where words
@@ -146,7 +146,7 @@ def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "d
     seen = seen.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) / F.lit(float(2**31)))
     enough = per_language + 10 * math.sqrt(per_language) + 50  # fewer than per_language come of it about once in 10^20 times
     shares = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(enough) / F.col("rows")).alias("share"))
-    few = seen.join(shares, "lang").filter("draw < share").select("doc_id", "lang").distinct()
+    few = seen.join(F.broadcast(shares), "lang").filter("draw < share").select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = few.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("doc_id", "lang")
     texts = docs.filter(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
