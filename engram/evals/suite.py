@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from engram.operators.memory import Memory, matches
 
-SCENARIOS = Path(__file__).with_name("scenarios.json")
+SCENARIOS = Path(__file__).with_name("stories.json")
 #: Bounds of a passing suite; the second and third are upper bounds.
 THRESHOLDS = {"update_recall": 0.90, "stale": 0.10, "false_retraction": 0.05, "erasure": 1.0}
 PROBES = "scenario string, pattern string, checkpoint string, kind string, needle string, outcome string"

@@ -128,11 +128,11 @@ def extract(turns: DataFrame) -> DataFrame:
     rows = turns.select("turn_id", "role", "occurred_at", F.posexplode(sentences(F.col("content"))).alias("place", "sentence"))
     rows = rows.withColumns({"kind": sentence_kind(F.col("sentence")), "topic": revocation(F.col("sentence")), "objects": objects(F.col("sentence")), "folded": normalise("sentence")})
     rows = rows.withColumn("found", assertion(F.col("sentence"), F.col("objects")))
-    refused = F.when(F.col("role") != "user", "Turn stammt nicht von der betroffenen Person").when(F.col("kind") == "question", "Frage, keine Aussage").when(F.col("kind") == "greeting", "Höflichkeitsfloskel ohne Faktengehalt")
+    refused = F.when(F.col("role") != "user", "nicht selbst gesagt").when(F.col("kind") == "question", "ist eine Frage").when(F.col("kind") == "greeting", "nur ein Gruß oder Dank")
     content = F.when(F.col("topic").isNotNull(), F.format_string(REVOCATION_TEXT, "topic")).otherwise(F.col("found.content"))
     rows = rows.withColumn("content", F.when(refused.isNull(), content)).withColumn("refused", refused)
     nth = F.row_number().over(Window.partitionBy("turn_id", F.lower("content")).orderBy("place"))
-    reason = F.coalesce("refused", F.when(F.col("content").isNull(), "kein belastbarer Fakt über die betroffene Person erkennbar").when((F.col("nth") > 1) & F.col("topic").isNull(), "Dublette innerhalb desselben Turns"))
+    reason = F.coalesce("refused", F.when(F.col("content").isNull(), "kein Muster passt").when((F.col("nth") > 1) & F.col("topic").isNull(), "im selben Turn schon gesagt"))
     revoked = F.col("topic").isNotNull()
     return rows.withColumn("nth", nth).withColumn("reason", reason).select(
         "turn_id", "place", "sentence", "kind", "reason", F.when(F.col("reason").isNull(), F.col("content")).alias("content"), F.when(revoked, "retract").otherwise("assert").alias("op_hint"),
