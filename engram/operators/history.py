@@ -1,44 +1,72 @@
-"""Lineage: histories, transitive closure. Graph: neighbourhood of seeds. Frontier iteration, nothing is collected."""
+"""Lineage: histories, transitive closure. Graph: neighbourhood of seeds. Rounds over written tables, nothing is collected.
+
+A fact may have several parents (merges), and links may run in circles: every pair counts once, and every closure ends.
+Each round's new rows are written to the shared checkpoint folder, once, and never again; only the result's table stays.
+"""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from engram.session import checkpoint_dir
+from engram.session import Scratch
+
+
+def _links(lineage: DataFrame, fact: str, parent: str) -> DataFrame:
+    return lineage.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("above"), F.col(fact).alias("below")).filter("above <> below").distinct()
 
 
 def closure(lineage: DataFrame, roots: DataFrame, root: str = "root", fact: str = "fact_id", parent: str = "parent_id") -> DataFrame:
-    """``root, fact_id``: every root and all its descendants by ``parent_id``; cycles and shared descendants count once.
+    """``root, fact_id``: every root and all its descendants. A frontier moves down one level per round from the roots."""
+    return _descend(_links(lineage, fact, parent), roots.select(F.col(root).alias("root"), F.col(root).alias("fact_id")).distinct(), ["root"])
 
-    A frontier moves down one level per round and only new pairs stay, so work follows the number of pairs, not of
-    paths. Each round is written to the checkpoint folder: plans don't grow with the depth.
-    """
-    checkpoint_dir(lineage.sparkSession)
-    links = lineage.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("above"), F.col(fact).alias("below")).distinct()
-    seen = roots.select(F.col(root).alias("root"), F.col(root).alias("fact_id")).distinct().checkpoint()
-    frontier = seen
+
+def descendants(lineage: DataFrame, roots: DataFrame, root: str = "root", fact: str = "fact_id", parent: str = "parent_id") -> DataFrame:
+    """``fact_id``: the roots and everything below any of them, each once. Work follows the number of facts found."""
+    return _descend(_links(lineage, fact, parent), roots.select(F.col(root).alias("fact_id")).distinct(), [])
+
+
+def _descend(links: DataFrame, start: DataFrame, keys: list[str]) -> DataFrame:
+    scratch, all_keys = Scratch(links.sparkSession), [*keys, "fact_id"]
+    links = scratch.keep(links)
+    found = [scratch.keep(start)]
     while True:
-        below = frontier.join(links, frontier["fact_id"] == links["above"]).select("root", F.col("below").alias("fact_id")).distinct()
-        frontier = below.join(seen, ["root", "fact_id"], "left_anti").checkpoint()
-        if frontier.isEmpty():
-            return seen
-        seen = seen.union(frontier).checkpoint()
+        below = found[-1].join(links, F.col("fact_id") == F.col("above")).select(*keys, F.col("below").alias("fact_id")).distinct()
+        new = scratch.keep(below.join(reduce(DataFrame.union, found), all_keys, "left_anti"))
+        if new.isEmpty():
+            break
+        found.append(new)
+    whole = scratch.keep(reduce(DataFrame.union, found))
+    scratch.drop_all_but(whole)
+    return whole
 
 
-def closure_by_doubling(lineage: DataFrame, fact: str = "fact_id", parent: str = "parent_id") -> DataFrame:
-    """``root, fact_id`` for a forest (one parent at most): every fact under each of its ancestors and itself.
+def closure_by_doubling(lineage: DataFrame, facts: DataFrame, fact: str = "fact_id", parent: str = "parent_id") -> DataFrame:
+    """``root, fact_id`` of all ``facts`` (and of what the links name): each under all its ancestors and itself.
 
-    Ancestor tables of distance 2^k are joined to themselves, so a chain of n links takes log2(n) rounds, not n.
+    After round k the pairs of all walks shorter than 2^k are known, and ``hops`` has those of exactly 2^k links. A chain
+    of n links takes log2(n) rounds. A round without a new pair is the last: nothing is further away.
     """
-    checkpoint_dir(lineage.sparkSession)
-    hops = lineage.filter(F.col(parent).isNotNull()).select(F.col(parent).alias("root"), F.col(fact).alias("fact_id")).checkpoint()
-    seen = lineage.select(F.col(fact).alias("root"), F.col(fact).alias("fact_id")).union(lineage.filter(F.col(parent).isNotNull()).select(parent, parent)).distinct().checkpoint()
-    while not hops.isEmpty():
-        further = seen.join(hops.select(F.col("root").alias("up"), F.col("fact_id").alias("root")), "root").select(F.col("up").alias("root"), "fact_id")
-        seen = seen.union(further).distinct().checkpoint()
-        hops = hops.join(hops.select(F.col("root").alias("up"), F.col("fact_id").alias("root")), "root").select(F.col("up").alias("root"), "fact_id").checkpoint()
-    return seen
+    scratch = Scratch(lineage.sparkSession)
+    links = _links(lineage, fact, parent)
+    hops = scratch.keep(links)
+    ids = facts.select(F.col(fact).alias("fact_id")).union(hops.select("above")).union(hops.select("below")).distinct()
+    found = [scratch.keep(ids.select(F.col("fact_id").alias("root"), "fact_id"))]
+    while True:
+        seen = reduce(DataFrame.union, found)
+        further = seen.join(hops, F.col("root") == F.col("below")).select(F.col("above").alias("root"), "fact_id").distinct()
+        new = scratch.keep(further.join(seen, ["root", "fact_id"], "left_anti"))
+        if new.isEmpty():
+            break
+        found.append(new)
+        twice = hops.select("above", F.col("below").alias("middle")).join(hops.select(F.col("above").alias("middle"), "below"), "middle").select("above", "below").distinct()
+        before, hops = hops, scratch.keep(twice)
+        scratch.drop(before)
+    whole = scratch.keep(reduce(DataFrame.union, found))
+    scratch.drop_all_but(whole)
+    return whole
 
 
 def adjacency(edges: DataFrame) -> DataFrame:

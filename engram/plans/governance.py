@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.evals import suite
-from engram.operators.history import closure_by_doubling
+from engram.operators.history import descendants
 from engram.operators.memory import ingest
 from engram.plans.decisions import _SAID
 from engram.sources import views
@@ -30,15 +33,15 @@ def query(name: str, oracle: str):
 # -- erasure: roots are the facts flagged to_erase, affected is their closure -------------------------------------------
 
 _AFFECTED = (
-    "WITH RECURSIVE hull AS (SELECT fact_id FROM v_facts WHERE to_erase UNION SELECT l.fact_id FROM hull JOIN v_lineage l ON l.parent_id = hull.fact_id), "
+    "WITH RECURSIVE hull AS (SELECT fact_id FROM v_facts WHERE to_erase UNION SELECT l.fact_id FROM hull JOIN v_derivations l ON l.parent_id = hull.fact_id), "
     "affected AS (SELECT fact_id FROM hull) "
 )
 
 
 def affected(spark, sf_dir):
-    """Roots and everything derived from them."""
+    """Roots and everything derived from them, found from the roots; merges and circles are followed once."""
     roots = views.facts(spark, sf_dir).filter("to_erase").select(F.col("fact_id").alias("root"))
-    return closure_by_doubling(views.table(spark, sf_dir, "v_lineage")).join(roots, "root", "left_semi").select("fact_id").distinct()
+    return descendants(views.table(spark, sf_dir, "v_derivations"), roots)
 
 
 def over_affected(name: str, text: str) -> None:
@@ -53,7 +56,13 @@ _TURNS = (
     "SELECT DISTINCT f.origin_turn AS turn_id FROM v_facts f JOIN affected a ON f.fact_id = a.fact_id "
     "WHERE f.origin_turn NOT IN (SELECT g.origin_turn FROM v_facts g WHERE g.fact_id NOT IN (SELECT fact_id FROM affected))"
 )
-_STEPS = "SELECT s.step_id FROM v_steps s WHERE s.redacted_at IS NULL AND (s.included_1 IN (SELECT fact_id FROM affected) OR s.included_2 IN (SELECT fact_id FROM affected))"
+_STEPS = (
+    "SELECT DISTINCT s.step_id FROM (SELECT step_id, CAST(unnest(regexp_extract_all(output, '[0-9]+')) AS BIGINT) AS about FROM v_steps WHERE redacted_at IS NULL) s "
+    "WHERE s.about IN (SELECT fact_id FROM affected)"
+)
+_VIA = "SELECT trace_id FROM v_lineage WHERE fact_id IN (SELECT fact_id FROM affected) UNION SELECT trace_id FROM v_lineage WHERE parent_id IN (SELECT fact_id FROM affected)"
+#: What a step's JSON says about facts: ids that were included, fused, or compared with.
+OUTPUT = "included array<bigint>, fused array<struct<fact_id:bigint>>, neighbours array<struct<id:bigint>>"
 
 
 @query("turns_to_redact", _AFFECTED + _TURNS)
@@ -66,9 +75,11 @@ def turns_to_redact(spark, sf_dir, gone=None):
 
 
 def _mentioning(spark, sf_dir, gone):
-    """Steps that mention an affected fact: ids inside the steps are exploded, then one equi join (no OR)."""
-    steps = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL").select("step_id", F.explode(F.array("included_1", "included_2")).alias("fact_id"))
-    return steps.join(gone, "fact_id", "left_semi").select("step_id").distinct()
+    """Steps whose JSON contains an affected fact: its ids are exploded, then one equi join (no containment per pair)."""
+    said = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL").select("step_id", F.from_json("output", OUTPUT).alias("o"))
+    nothing = F.array().cast("array<bigint>")
+    ids = F.array_distinct(F.concat(*[F.coalesce(F.col(c), nothing) for c in ("o.included", "o.fused.fact_id", "o.neighbours.id")]))
+    return said.select("step_id", F.explode(ids).alias("fact_id")).join(gone, "fact_id", "left_semi").select("step_id").distinct()
 
 
 @query("steps_mentioning_fact", _AFFECTED + _STEPS)
@@ -78,14 +89,18 @@ def steps_mentioning_fact(spark, sf_dir):
 
 @query(
     "steps_via_lineage",
-    _AFFECTED + "SELECT s.step_id, s.trace_id FROM v_steps s WHERE s.trace_id IN (SELECT trace_id FROM v_lineage WHERE fact_id IN (SELECT fact_id FROM affected) UNION SELECT trace_id FROM v_lineage WHERE parent_id IN (SELECT fact_id FROM affected))",
+    _AFFECTED + f"SELECT s.step_id, s.trace_id FROM v_steps s WHERE s.trace_id IN ({_VIA})",
 )
 def steps_via_lineage(spark, sf_dir):
     """Traces of the fact's side and the parent's side, united, then one semi join."""
-    lineage, gone = views.table(spark, sf_dir, "v_lineage"), affected(spark, sf_dir)
+    return views.table(spark, sf_dir, "v_steps").join(_traces_of(spark, sf_dir, affected(spark, sf_dir)), "trace_id", "left_semi").select("step_id", "trace_id")
+
+
+def _traces_of(spark, sf_dir, gone):
+    """Traces in which an affected fact, or one derived from it, came about."""
+    lineage = views.table(spark, sf_dir, "v_lineage")
     own = lineage.join(gone, "fact_id", "left_semi").select("trace_id")
-    derived = lineage.join(gone.withColumnRenamed("fact_id", "parent_id"), "parent_id", "left_semi").select("trace_id")
-    return views.table(spark, sf_dir, "v_steps").join(own.union(derived).distinct(), "trace_id", "left_semi").select("step_id", "trace_id")
+    return own.union(lineage.join(gone.withColumnRenamed("fact_id", "parent_id"), "parent_id", "left_semi").select("trace_id")).distinct()
 
 
 shared(
@@ -100,28 +115,44 @@ over_affected(
 
 
 @query("traces_to_blank", _AFFECTED + f"SELECT t.trace_id, t.query FROM v_traces t WHERE t.query IS NOT NULL AND t.trace_id IN (SELECT s.trace_id FROM v_steps s WHERE s.step_id IN ({_STEPS}))")
-def traces_to_blank(spark, sf_dir, gone=None):
-    mentioning = _mentioning(spark, sf_dir, affected(spark, sf_dir) if gone is None else gone)
+def traces_to_blank(spark, sf_dir):
+    return _traces_to_blank(spark, sf_dir, _mentioning(spark, sf_dir, affected(spark, sf_dir)))
+
+
+def _traces_to_blank(spark, sf_dir, mentioning):
+    """Traces with a stored question and a step that mentions an affected fact."""
     steps = views.table(spark, sf_dir, "v_steps").join(mentioning, "step_id", "left_semi").select("trace_id").distinct()
     return views.table(spark, sf_dir, "v_traces").filter("query IS NOT NULL").join(steps, "trace_id", "left_semi").select("trace_id", "query")
 
 
+#: What an erasure touches, in the order of a report.
+KINDS = ("fact", "derived", "edge", "step", "turn", "entity", "rationale", "trace")
+_NODES = f"SELECT src AS node, fact_id FROM ({_EDGES}) e1 UNION ALL SELECT dst, fact_id FROM ({_EDGES}) e2"
+
+
 def _preview(spark, sf_dir):
-    facts, gone = views.facts(spark, sf_dir), affected(spark, sf_dir).checkpoint()
+    facts, gone = views.facts(spark, sf_dir), affected(spark, sf_dir)
     rows = lambda kind, df, c: df.select(F.lit(kind).alias("kind"), F.col(c).cast("long").alias("id"))
+    open_steps = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL")
+    traces = _traces_of(spark, sf_dir, gone)
+    mentioning = _mentioning(spark, sf_dir, gone)
+    nodes = facts.select(F.explode(F.array("subject_id", "origin_turn")).alias("node"), "fact_id")
+    alive = nodes.join(gone, "fact_id", "left_anti").select("node").distinct()
+    orphans = nodes.join(gone, "fact_id", "left_semi").select("node").distinct().join(alive, "node", "left_anti")
     parts = [
         rows("fact", gone, "fact_id"), rows("derived", gone.join(facts.filter("to_erase"), "fact_id", "left_anti"), "fact_id"), rows("edge", gone, "fact_id"),
-        rows("step", _mentioning(spark, sf_dir, gone), "step_id"), rows("turn", turns_to_redact(spark, sf_dir, gone), "turn_id"), rows("trace", traces_to_blank(spark, sf_dir, gone), "trace_id"),
+        rows("step", mentioning.union(open_steps.join(traces, "trace_id", "left_semi").select("step_id")).distinct(), "step_id"),
+        rows("turn", turns_to_redact(spark, sf_dir, gone), "turn_id"), rows("entity", orphans, "node"), rows("rationale", traces, "trace_id"),
+        rows("trace", _traces_to_blank(spark, sf_dir, mentioning), "trace_id"),
     ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.union(part)
-    return out
+    return reduce(DataFrame.union, parts)
 
 
 _PREVIEW = (
     _AFFECTED + "SELECT kind, id FROM (SELECT 'fact' AS kind, fact_id AS id FROM affected UNION ALL SELECT 'derived', a.fact_id FROM affected a JOIN v_facts f ON a.fact_id = f.fact_id WHERE NOT f.to_erase "
-    f"UNION ALL SELECT 'edge', fact_id FROM affected UNION ALL SELECT 'step', step_id FROM ({_STEPS}) UNION ALL SELECT 'turn', turn_id FROM ({_TURNS}) "
+    f"UNION ALL SELECT 'edge', fact_id FROM affected UNION ALL SELECT 'step', s.step_id FROM v_steps s WHERE s.redacted_at IS NULL AND (s.step_id IN ({_STEPS}) OR s.trace_id IN ({_VIA})) "
+    f"UNION ALL SELECT 'turn', turn_id FROM ({_TURNS}) UNION ALL SELECT 'entity', node FROM (SELECT node FROM ({_NODES}) n GROUP BY node HAVING bool_and(fact_id IN (SELECT fact_id FROM affected))) o "
+    f"UNION ALL SELECT 'rationale', trace_id FROM ({_VIA}) v "
     f"UNION ALL SELECT 'trace', t.trace_id FROM v_traces t WHERE t.query IS NOT NULL AND t.trace_id IN (SELECT s.trace_id FROM v_steps s WHERE s.step_id IN ({_STEPS})))"
 )
 
@@ -132,9 +163,15 @@ def erasure_preview(spark, sf_dir):
     return _preview(spark, sf_dir)
 
 
-@query("erasure_counts", _PREVIEW.replace("SELECT kind, id FROM (", "SELECT kind, count(*) AS affected_rows FROM (", 1) + " GROUP BY kind")
+@query(
+    "erasure_counts",
+    _PREVIEW.replace("SELECT kind, id FROM (", f"SELECT k.kind, count(p.id) AS affected_rows FROM (SELECT unnest({list(KINDS)}) AS kind) k LEFT JOIN (", 1) + " p ON k.kind = p.kind GROUP BY k.kind",
+)
 def erasure_counts(spark, sf_dir):
-    return _preview(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("affected_rows"))
+    """The eight numbers of a preview; a kind that isn't touched has 0."""
+    kinds = spark.range(1).select(F.explode(F.array(*map(F.lit, KINDS))).alias("kind"))
+    found = _preview(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return kinds.join(F.broadcast(found), "kind", "left").select("kind", F.coalesce("n", F.lit(0)).cast("long").alias("affected_rows"))
 
 
 @query(
@@ -151,19 +188,20 @@ def erase_facts_projection(spark, sf_dir):
 
 _STORES = (("facts", "v_facts", "predicate"), ("turns", "v_turns", "content"), ("entities", "v_entities", "name"), ("edges", "v_edges", "predicate"), ("steps", "v_steps", "input"), ("traces", "v_traces", "query"))
 _RESIDUE = " UNION ALL ".join(
-    f"SELECT '{store}' AS store, n.needle, count(*) AS found FROM (SELECT {column} AS said FROM {t}) s JOIN (SELECT 'error' AS needle UNION ALL SELECT 'in' UNION ALL SELECT '\"k\"') n ON lower(s.said) LIKE '%' || n.needle || '%' GROUP BY n.needle"
+    f"SELECT '{store}' AS store, n.needle, (SELECT count(*) FROM {t} s WHERE lower(s.{column}) LIKE '%' || n.needle || '%') AS found FROM (SELECT unnest(['error', 'in', '\"k\"', 'nie gesagt']) AS needle) n"
     for store, t, column in _STORES
 )
 
 
 @query("residue_counts", _RESIDUE)
 def residue_counts(spark, sf_dir):
-    """How often each needle is still found in each store, literally and in any case."""
-    out = None
-    for store, t, column in _STORES:
-        said = views.table(spark, sf_dir, t).select(F.lit(store).alias("store"), F.lower(column).alias("said"), F.explode(F.array(F.lit("error"), F.lit("in"), F.lit('"k"'))).alias("needle"))
-        out = said if out is None else out.union(said)
-    return out.filter(F.contains("said", "needle")).groupBy("store", "needle").agg(F.count(F.lit(1)).alias("found"))
+    """How often each needle is still found in each store, literally and in any case; 0 where it isn't."""
+    needles = F.array(*map(F.lit, ("error", "in", '"k"', "nie gesagt")))
+    grid = spark.range(1).select(F.explode(F.array(*[F.lit(s[0]) for s in _STORES])).alias("store"), F.lit(0).alias("n"), needles.alias("needles"))
+    said_in = lambda column: F.filter(needles, lambda x: F.contains(F.lower(column), x))
+    hits = [views.table(spark, sf_dir, t).select(F.lit(store).alias("store"), F.lit(1).alias("n"), said_in(column).alias("needles")) for store, t, column in _STORES]
+    every = reduce(DataFrame.union, [grid, *hits]).select("store", "n", F.explode("needles").alias("needle"))
+    return every.groupBy("store", "needle").agg(F.sum("n").alias("found"))
 
 
 @query(

@@ -21,6 +21,11 @@ SQL = {
     "LEAD(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS succ_ts FROM events) e",
     "v_lineage": "SELECT event_id AS fact_id, LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS parent_id, "
     "CASE WHEN LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS NULL THEN 'add' ELSE 'update' END AS op, event_id AS trace_id FROM events",
+    # what each fact was derived from: its predecessor, for some also the one before it (merges), and circles of two
+    "v_derivations": "SELECT fact_id, parent_id FROM (SELECT event_id AS fact_id, LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS parent_id FROM events "
+    "UNION ALL SELECT event_id, CASE WHEN event_id % 4 = 0 THEN LAG(event_id, 2) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) END FROM events "
+    "UNION ALL SELECT event_id, CASE WHEN user_id % 10 = 0 AND LAG(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS NULL "
+    "THEN LEAD(event_id) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) END FROM events) d WHERE parent_id IS NOT NULL",
     "v_edges": "SELECT 1000000 + c_custkey AS src, 'lives_in' AS predicate, CAST(1000 + c_nationkey AS BIGINT) AS dst FROM customer "
     "UNION ALL SELECT 2000000 + s_suppkey, 'based_in', 1000 + s_nationkey FROM supplier UNION ALL SELECT 1000 + n_nationkey, 'part_of', 1 + n_regionkey FROM nation",
     "v_entities": "SELECT 1000000 + c_custkey AS entity_id, c_name AS name, 'person' AS kind FROM customer UNION ALL SELECT 2000000 + s_suppkey, s_name, 'organisation' FROM supplier "
@@ -29,7 +34,8 @@ SQL = {
     "v_traces": "SELECT event_id AS trace_id, user_id AS subject_id, CASE WHEN event_id % 3 = 0 THEN 'read' ELSE 'write' END AS kind, "
     "CASE WHEN event_id % 3 = 0 THEN event_type END AS query, ts AS started_at FROM events",
     "v_steps": "SELECT event_id AS step_id, event_id AS trace_id, 1 + event_id % 4 AS stage, props AS input, CASE WHEN event_id % 10 = 0 THEN ts END AS redacted_at, "
-    "event_id AS included_1, event_id - event_id % 10 AS included_2 FROM events",
+    "chr(123) || '\"included\": [' || event_id || '], \"fused\": [' || chr(123) || '\"fact_id\": ' || (event_id - event_id % 10) || chr(125) || '], \"neighbours\": [' || "
+    "chr(123) || '\"id\": ' || (event_id - event_id % 7) || chr(125) || ']' || chr(125) AS output FROM events",
     "v_probes": "SELECT doc_id AS probe_id, CASE doc_id % 4 WHEN 0 THEN 'update_recall' WHEN 1 THEN 'stale' WHEN 2 THEN 'false_retraction' ELSE 'erasure' END AS kind, "
     "CASE WHEN toxic = 1 THEN 'unsupported' WHEN quality = 1 THEN 'pass' ELSE 'fail' END AS outcome FROM labels",
 }

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,11 +16,12 @@ from engram.functions.vector import embed_text, embedder, l2, top_k
 from engram.operators import consolidation as C
 from engram.operators import extraction as E
 from engram.operators.asof import as_of
-from engram.operators.history import closure, closure_by_doubling, neighbourhood
+from engram.operators.history import closure, closure_by_doubling, descendants, neighbourhood
 from engram.operators.memory import Memory, candidates, police
 from engram.operators.retrieval import first, fuse, pack, ranks
 from engram.plans import registry
-from engram.plans.temporal import ORPHANS, status_label
+from engram.plans.temporal import ORPHANS, SEED_QUESTION, status_label
+from engram.sources import views
 from engram.sources.views import SPARK_TABLES
 
 DATA = "/root/testdata/sf0.001"
@@ -51,7 +53,22 @@ def test_query_equals_its_oracle(spark, duck, name):
         want = sorted(tuple(cell(r[names.index(c)]) for c in columns) for r in found.fetchall())
         assert got == want
     else:
-        assert name in {"hash_embed", "memory_fold", "evaluation_suite"} and got
+        assert name in {"hash_embed", "memory_fold", "evaluation_suite", "seed_entities"} and got
+
+
+@NEEDS_DATA
+def test_seeds_equal_brute_force(spark):
+    entities = views.table(spark, DATA, "v_entities").collect()
+    words, asked = {w.casefold() for w in re.findall(r"\w{2,}", SEED_QUESTION)}, embed_text(SEED_QUESTION, 256, {})
+    near = lambda e: round(float(embed_text(e.name, 256, {}).astype(np.float32).astype(float) @ asked), 6)
+    got = registry.QUERIES["seed_entities"](spark, DATA).collect()
+    for kind in {e.kind for e in entities}:
+        own = {e.entity_id: e for e in entities if e.kind == kind}
+        rows = sorted((r for r in got if r.entity_id in own), key=lambda r: r.place)
+        ranked = sorted((e.name.lower() not in words, -near(e) if e.name.lower() not in words else 0, e.entity_id) for e in own.values())[:5]
+        assert [r.name.lower() in words for r in rows] == [not miss for miss, *_ in ranked]
+        assert [r.similarity for r in rows] == pytest.approx([near(own[i]) for *_, i in ranked], abs=2e-6)
+    assert {r.name for r in got if r.place == 1} >= {"ASIA", "NATION_1"}
 
 
 def test_orphans_are_entities_without_any_edge(spark):
@@ -103,7 +120,13 @@ def test_closure_stops_on_cycles_and_counts_shared_descendants_once(spark):
     got = {(r.root, r.fact_id) for r in closure(dag, spark.createDataFrame([(1,), (9,)], "root long")).collect()}
     assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (9, 9)}
     chain = spark.createDataFrame([(i, i - 1 if i else None) for i in range(40)], "fact_id long, parent_id long")
-    assert {(r.root, r.fact_id) for r in closure_by_doubling(chain).collect()} == {(a, b) for a in range(40) for b in range(a, 40)}
+    assert {(r.root, r.fact_id) for r in closure_by_doubling(chain, chain).collect()} == {(a, b) for a in range(40) for b in range(a, 40)}
+    circle = {(a, b) for a in (1, 2, 3, 4) for b in (1, 2, 3, 4)} | {(9, 9)}
+    assert {(r.root, r.fact_id) for r in closure_by_doubling(dag, dag).collect()} == circle
+    two = spark.createDataFrame([(1, 2), (2, 1), (3, 3), (7, 2)], "fact_id long, parent_id long")
+    rows = closure_by_doubling(two, two.select("fact_id")).collect()
+    assert sorted((r.root, r.fact_id) for r in rows) == [(1, 1), (1, 2), (1, 7), (2, 1), (2, 2), (2, 7), (3, 3), (7, 7)]
+    assert [sorted(r.fact_id for r in descendants(d, spark.createDataFrame(ids, "root long")).collect()) for d, ids in ((dag, [(2,), (2,), (9,)]), (two, [(7,)]), (dag.limit(0), [(5,)]))] == [[1, 2, 3, 4, 9], [7], [5]]
     again = closure(chain, closure(chain, spark.createDataFrame([(30,)], "root long")).select(F.col("fact_id").alias("root")))
     assert {r.fact_id for r in again.collect()} == set(range(30, 40))
 
