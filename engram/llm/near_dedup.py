@@ -14,7 +14,8 @@ agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins
    exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, so the doubtful
    ones are compared in blocks with all that share such a shingle. No cap, no lost link, and no row per pair.
 
-A centre meets its members in salted parts, so no task reads all members of one centre. Links and components stay in
+Where both sides of a join grow with the input, the plan says merge join, so it is the same at every size and nothing of
+that kind is broadcast. A centre meets its members in salted parts, so no task reads all members of one centre. Links and components stay in
 tables of the shared checkpoint folder, each deleted when its successor is written; the result's own table stays.
 
 Sets are of 64-bit hashes: two different shingles of one comparison agree with probability 2^-64 each, so even among
@@ -140,15 +141,15 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     parts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT_MEMBERS).cast("int").alias("parts"))
     centres = texts.join(parts, texts["doc_id"] == parts["a"]).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "parts", F.col("text").alias("text_a"))
     salted = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
-    right = salted.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = right.join(centres, ["a", "part"]).select("a", "b", "text_a", "text_b")
+    right = salted.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = right.hint("merge").join(centres, ["a", "part"]).select("a", "b", "text_a", "text_b")
     return both.mapInPandas(_confirm, "a long, b long").distinct()
 
 
 def _stars(rows: DataFrame) -> DataFrame:
     """Candidate pairs (a: centre, b: member) of the buckets in ``rows`` (key, vertex), and whether one had more than two."""
-    centres = rows.groupBy("key").agg(F.min("vertex").alias("a"), F.max("vertex").alias("last"), F.count(F.lit(1)).alias("size")).filter("a < last").select("key", "a", "size")
-    met = rows.join(centres, "key").filter(F.col("a") != F.col("vertex"))
+    centres = rows.groupBy("key").agg(F.min("vertex").alias("a"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    met = rows.join(centres.hint("merge"), "key").filter(F.col("a") != F.col("vertex"))
     return met.groupBy("a", F.col("vertex").alias("b")).agg(F.max(F.col("size") > 2).alias("crowd"))
 
 
@@ -284,7 +285,7 @@ def components(
     pairs = scratch.keep(_stars(rows))
     ends = pairs.select(F.col("a").alias("end")).union(pairs.select("b")).distinct()
     texts = id_and_text(docs, id_col, text_col)
-    texts = scratch.keep(texts.join(ends, texts["doc_id"] == ends["end"], "left_semi"))  # all that is compared from here on
+    texts = scratch.keep(texts.join(ends.hint("merge"), texts["doc_id"] == ends["end"], "left_semi"))  # all that is compared from here on
     links = scratch.keep(_confirmed(pairs.select("a", "b"), texts))
     classes = sets.groupBy("set_hash").agg(F.min("doc_id").alias("vertex"), F.max("doc_id").alias("last")).filter("vertex < last").select("set_hash", "vertex")
     edges = scratch.keep(links.union(sets.join(classes, "set_hash").filter("doc_id <> vertex").select("doc_id", "vertex")))
