@@ -8,9 +8,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.settings import SETTINGS
+
 OPS = ("add", "update", "retract", "noop", "merge")
-#: Least confidence of each decision.
-ADD_MIN, UPDATE_MIN, RETRACT_MIN = 0.35, 0.55, 0.75
+#: Least confidence of each decision.
+ADD_MIN, UPDATE_MIN, RETRACT_MIN = SETTINGS.add_min, SETTINGS.update_min, SETTINGS.retract_min
 #: Predicates with one active value, pairs that contradict each other, what counts as the same.
 SINGLE_VALUED = ("wohnt_in", "arbeitet_bei", "heisst", "status")
 POLARITY = {"mag": "mag_nicht", "mag_nicht": "mag"}

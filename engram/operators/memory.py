@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
 
@@ -22,8 +22,11 @@ from engram.functions.vector import embed_text
 from engram.operators import consolidation as C
 from engram.operators import extraction as E
 from engram.operators.retrieval import BUDGET, HEADER, LIMIT, PER_SOURCE, RRF_K
+from engram.settings import SETTINGS
 
-NEIGHBOURS, FLOOR, HOPS, SEEDS = 8, 0.35, 2, 5
+NEIGHBOURS, FLOOR, HOPS, SEEDS = SETTINGS.consolidate_neighbours, SETTINGS.similarity_floor, SETTINGS.graph_hops, 5
+#: Vectors that a memory keeps beside its facts, emptied when full.
+VECTORS = 4096
 ERASED = "(gelöscht)"
 _PATTERNS = tuple((re.compile(p, re.IGNORECASE), *rest) for p, *rest in E.PATTERNS)
 _REVOCATIONS = tuple(re.compile(p, re.IGNORECASE) for p in E.REVOCATIONS)
@@ -114,6 +117,32 @@ def naive(candidate: dict, near: list[dict]) -> tuple[str, list[int], float]:
 PROVIDERS = {"strict": strict, "naive": naive}
 
 
+def scripted(answers: dict[str, tuple[str, list[int], float]], otherwise: Callable = strict) -> Callable:
+    """A provider for tests: what to decide for each candidate by its content."""
+
+    def decide(candidate: dict, near: list[dict]) -> tuple[str, list[int], float]:
+        return answers[candidate["content"]] if candidate["content"] in answers else otherwise(candidate, near)
+
+    return decide
+
+
+def by_model(ask: Callable[[str, str], str], system: str, otherwise: Callable = strict) -> Callable:
+    """A provider that asks a model, ``ask(system, user)`` -> JSON text; what can't be used is decided by ``otherwise``."""
+
+    def decide(candidate: dict, near: list[dict]) -> tuple[str, list[int], float]:
+        shown = [{"id": n["id"], "content": n["content"], "similarity": round(n["similarity"], 3)} for n in near]
+        try:
+            said = json.loads(ask(system, json.dumps({"candidate": candidate["content"], "neighbours": shown}, ensure_ascii=False)))
+            op = str(said["op"]).strip().lower()
+            targets = [int(t) for t in said.get("targets") or []]
+            sure = float(said.get("confidence", candidate["confidence"]))
+        except (AttributeError, KeyError, TypeError, ValueError):
+            return otherwise(candidate, near)
+        return (op if op in C.OPS else "add"), targets, min(1.0, max(0.0, sure)) if sure == sure else candidate["confidence"]
+
+    return decide
+
+
 def police(op: str, targets: list[int], confidence: float, seen: set[int]) -> tuple[str, list[int]]:
     """The policy of stage 2, row by row; the same table as ``consolidation.policy``."""
     targets = [t for t in dict.fromkeys(targets) if t in seen]
@@ -130,7 +159,7 @@ class Memory:
 
     subject_id: str
     provider: str = "strict"
-    dim: int = 1024
+    dim: int = SETTINGS.embedding_dim
     on_late: str = "raise"
     turns: list[dict] = field(default_factory=list)
     facts: list[dict] = field(default_factory=list)
@@ -138,6 +167,15 @@ class Memory:
     edges: list[dict] = field(default_factory=list)
     steps: list[dict] = field(default_factory=list)
 
+    def use(self, provider: str | Callable) -> Memory:
+        """Decide by a provider's name or by a function (candidate, neighbours) -> (op, targets, confidence)."""
+        if callable(provider):
+            self.provider, self.__dict__["_decide"] = getattr(provider, "__name__", "own"), provider
+        else:
+            self.provider = provider
+            self.__dict__.pop("_decide", None)
+        return self
+
     def to_json(self) -> str:
         return json.dumps(asdict(self), ensure_ascii=False)
 
@@ -146,7 +184,13 @@ class Memory:
         return Memory(**json.loads(text))
 
     def _vector(self, text: str) -> np.ndarray:
-        return embed_text(text, self.dim, self.__dict__.setdefault("_buckets", {}))
+        """A text is embedded once, not once for each candidate that is compared with it."""
+        known = self.__dict__.setdefault("_vectors", {})
+        if text not in known:
+            if len(known) >= VECTORS:
+                known.clear()
+            known[text] = embed_text(text, self.dim, self.__dict__.setdefault("_buckets", {}))
+        return known[text]
 
     # -- write path -----------------------------------------------------------------------------------------------
 
@@ -164,7 +208,7 @@ class Memory:
         for n in anchored:
             n["anchored"] = True
         near = [n for n in near[:NEIGHBOURS] if n["similarity"] >= FLOOR or n["anchored"]] + [n for n in near[NEIGHBOURS:] if n["anchored"]]
-        proposed, targets, confidence = PROVIDERS[self.provider](c, near) if near else ("add", [], c["confidence"])
+        proposed, targets, confidence = self.__dict__.get("_decide", PROVIDERS.get(self.provider, strict))(c, near) if near else ("add", [], c["confidence"])
         op, targets = police(proposed, targets, confidence, {n["id"] for n in near})
         self.steps.append({"id": len(self.steps) + 1, "turn_id": turn["id"], "stage": 2, "mentions": [n["id"] for n in near], "text": c["content"], "redacted": False})
         log = lambda fact, parent: self.lineage.append({"fact_id": fact, "parent_id": parent, "op": op, "proposed": proposed if proposed != op else None, "turn_id": turn["id"]})
@@ -335,11 +379,11 @@ def turn_of(row) -> dict:
     return {"session_id": str(row.session_id), "role": row.role, "content": row.content, "occurred_at": pd.Timestamp(row.occurred_at).isoformat()}
 
 
-def ingest(turns: DataFrame, provider: str = "strict", on_late: str = "clamp") -> DataFrame:
+def ingest(turns: DataFrame, provider: str | Callable = "strict", on_late: str = "clamp") -> DataFrame:
     """Facts after all turns, folded in order within each subject: ``subject_id, session_id, role, content, occurred_at, turn_id``."""
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        memory = Memory(str(key[0]), provider, on_late=on_late)
+        memory = Memory(str(key[0]), on_late=on_late).use(provider)
         for row in frame.sort_values(["occurred_at", "turn_id"]).itertuples():
             memory.ingest(turn_of(row))
         return facts_frame(memory)

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions.text import token_estimate
+from engram.settings import SETTINGS
 
-RRF_K, PER_SOURCE, LIMIT, BUDGET = 60, 24, 12, 512
+RRF_K, PER_SOURCE, LIMIT, BUDGET = SETTINGS.rrf_k, SETTINGS.candidates_per_source, SETTINGS.retrieval_limit, SETTINGS.injection_token_budget
 HEADER = "Bekannte Fakten:"
 
 

@@ -196,7 +196,9 @@ def neighbour_search(spark, sf_dir):
     near = _same_label(spark, sf_dir, 8).select("query_id", F.col("vec_id").alias("fact_id"), "similarity")
     docs = views.table(spark, sf_dir, "v_docs").select("doc_id", "label", "source", "lang")
     asked = docs.filter("doc_id % 20 = 0").withColumnRenamed("doc_id", "query_id")
-    met = asked.join(docs.withColumnRenamed("doc_id", "fact_id"), ["label", "source", "lang"])
+    last = Window.partitionBy("label", "source", "lang").orderBy(F.desc("doc_id"))  # the 8 that any query of the group can get
+    offered = docs.withColumn("n", F.row_number().over(last)).filter("n <= 8").select("label", "source", "lang", F.col("doc_id").alias("fact_id"))
+    met = asked.join(offered, ["label", "source", "lang"])
     anchored = met.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("fact_id")))).filter("n <= 8").select("query_id", "fact_id", F.lit("anchor").alias("anchor"))
     both = near.withColumn("vector", F.lit("vector")).join(anchored, ["query_id", "fact_id"], "full_outer")
     return both.select("query_id", "fact_id", "similarity", F.concat_ws("+", "vector", "anchor").alias("matched_by"))
@@ -233,7 +235,7 @@ _HITS = (
 def _ranked(spark, sf_dir):
     """Three sources for each query document: nearest vectors, term occurrences, same source; ranked within each."""
     docs = views.table(spark, sf_dir, "v_docs")
-    near = docs.select("doc_id", "label", l2(F.col("embedding")).alias("unit"))
+    near = docs.filter("embedding IS NOT NULL").select("doc_id", "label", l2(F.col("embedding")).alias("unit"))
     asked = near.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label", F.col("unit").alias("query_unit"))
     vector = asked.join(near, "label").select("query_id", F.lit("vector").alias("source"), F.col("doc_id").alias("fact_id"), (-F.round(cosine(F.col("query_unit"), F.col("unit")), 6)).alias("score"))
     said = docs.select("doc_id", "label", F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("t")).groupBy("doc_id", "label", "t").agg(F.count(F.lit(1)).alias("n"))
@@ -241,7 +243,9 @@ def _ranked(spark, sf_dir):
     fulltext = terms.join(said, ["label", "t"]).groupBy("query_id", "doc_id").agg((-F.sum("n")).cast("double").alias("score"))
     fulltext = fulltext.select("query_id", F.lit("fulltext").alias("source"), F.col("doc_id").alias("fact_id"), "score")
     own = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label", F.col("source").alias("from"))
-    graph = own.join(docs.select(F.col("doc_id").alias("fact_id"), "label", F.col("source").alias("from")), ["label", "from"]).select("query_id", F.lit("graph").alias("source"), "fact_id", F.lit(1.0).alias("score"))
+    first_ids = Window.partitionBy("label", "source").orderBy("doc_id")  # hits of this source are equally good, so these are all that rank
+    offered = docs.select("doc_id", "label", "source").withColumn("n", F.row_number().over(first_ids)).filter(F.col("n") <= PER_SOURCE)
+    graph = own.join(offered.select(F.col("doc_id").alias("fact_id"), "label", F.col("source").alias("from")), ["label", "from"]).select("query_id", F.lit("graph").alias("source"), "fact_id", F.lit(1.0).alias("score"))
     return ranks(vector.union(fulltext).union(graph), F.col("score"))
 
 

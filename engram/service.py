@@ -20,7 +20,7 @@ _RECALL = "subject_id string, query string, tx string, valid string, text string
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, root: str, provider: str = "strict", on_late: str = "raise"):
+    def __init__(self, spark: SparkSession, root: str, provider: str | Callable = "strict", on_late: str = "raise"):
         self.spark, self.store, self.provider, self.on_late = spark, Store(spark, root), provider, on_late
 
     # -- write path -----------------------------------------------------------------------------------------------
@@ -30,7 +30,7 @@ class Engine:
         provider, on_late = self.provider, self.on_late
 
         def run(key: tuple, new: pd.DataFrame, stored: pd.DataFrame) -> pd.DataFrame:
-            memory = Memory.from_json(stored["memory"].iat[0]) if len(stored) else Memory(str(key[0]), provider, on_late=on_late)
+            memory = (Memory.from_json(stored["memory"].iat[0]) if len(stored) else Memory(str(key[0]), on_late=on_late)).use(provider)
             for row in new.sort_values(["occurred_at", "turn_id"]).itertuples():
                 memory.ingest(turn_of(row))
             return pd.DataFrame({"subject_id": [memory.subject_id], "memory": [_dump(memory)]})
@@ -150,7 +150,6 @@ class Engine:
 
 
 def _dump(memory: Memory) -> str:
-    memory.__dict__.pop("_buckets", None)
     return memory.to_json()
 
 

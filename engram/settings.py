@@ -29,3 +29,7 @@ class Settings:
     def from_environment(prefix: str = "ENGRAM_") -> Settings:
         given = {f.name: type(f.default)(os.environ[prefix + f.name.upper()]) for f in fields(Settings) if prefix + f.name.upper() in os.environ}
         return replace(Settings(), **given)
+
+
+#: What this process runs with; set the environment of the driver and the executors alike.
+SETTINGS = Settings.from_environment()

@@ -1,7 +1,8 @@
 """Versioned Parquet storage of subject memories: copy on write per bucket, one manifest per version, one writer.
 
-A commit writes the touched buckets into a new version folder and then renames a manifest into place; readers hold the
-manifest that they opened, so a read is one snapshot. ``vacuum`` deletes what no current manifest names, which is what
+A commit writes the touched buckets into a new version folder and then creates its manifest, which fails if another
+writer has created that version; readers hold the manifest that they opened (the newest that is whole), so a read is one
+snapshot. The first commit fixes the number of buckets by its number of subjects. ``vacuum`` deletes what no current manifest names, which is what
 makes an erasure physical. All file access goes through Hadoop's file system, so any store that Spark reads will do.
 """
 
@@ -9,22 +10,25 @@ from __future__ import annotations
 
 import json
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BUCKETS = 16
+#: Least number of buckets, and subjects of a bucket on average when a store is made.
+BUCKETS, SUBJECTS = 16, 2000
 _SCHEMA = "subject_id string, memory string, bucket int"
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+    def __init__(self, spark: SparkSession, root: str, buckets: int | None = None):
         self.spark, self.root = spark, root.rstrip("/")
         jvm = spark.sparkContext._jvm
         self._path = jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
         self._io = jvm.org.apache.commons.io.IOUtils
         found = self.manifest()
-        self.buckets = found["buckets"] if found else buckets
+        self.fixed = found is not None or buckets is not None
+        self.buckets = found["buckets"] if found else buckets or BUCKETS
 
     def manifest(self) -> dict | None:
         """The newest manifest: version and, for each bucket that has rows, the version that wrote it."""
@@ -32,13 +36,15 @@ class Store:
         if not self._fs.exists(folder):
             return None
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(folder) if s.getPath().getName().endswith(".json"))
-        if not names:
-            return None
-        stream = self._fs.open(self._path(f"{self.root}/manifest/{names[-1]}"))
-        try:
-            return json.loads(self._io.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
+        for name in reversed(names):
+            stream = self._fs.open(self._path(f"{self.root}/manifest/{name}"))
+            try:
+                return json.loads(self._io.toString(stream, "UTF-8"))
+            except ValueError:  # being written, or left by a writer that was lost
+                continue
+            finally:
+                stream.close()
+        return None
 
     def bucket(self, subject: str = "subject_id"):
         return F.pmod(F.xxhash64(subject), F.lit(self.buckets)).cast("int")
@@ -54,8 +60,12 @@ class Store:
 
     def commit(self, changed: DataFrame) -> int:
         """Replace or add the memories of subjects (``subject_id, memory``); a null memory removes the subject."""
-        changed = changed.select("subject_id", "memory").withColumn("bucket", self.bucket()).persist()
+        held = changed.select("subject_id", "memory").persist()
+        changed = held
         try:
+            if not self.fixed:
+                self.buckets, self.fixed = max(BUCKETS, changed.count() // SUBJECTS), True
+            changed = changed.withColumn("bucket", self.bucket())
             touched = [r.bucket for r in changed.select("bucket").distinct().collect()]  # at most ``buckets`` numbers
             before = self.manifest() or {"version": 0, "files": {}}
             version = before["version"] + 1
@@ -68,16 +78,16 @@ class Store:
             self._publish({"version": version, "buckets": self.buckets, "files": files})
             return version
         finally:
-            changed.unpersist()
+            held.unpersist()
 
     def _publish(self, manifest: dict) -> None:
         final = self._path(f"{self.root}/manifest/{manifest['version']:012d}.json")
-        draft = self._path(f"{self.root}/manifest/.{manifest['version']}.draft")
-        stream = self._fs.create(draft, True)
+        try:
+            stream = self._fs.create(final, False)  # never overwrites
+        except Py4JJavaError as problem:
+            raise RuntimeError(f"version {manifest['version']} was committed by another writer") from problem
         stream.write(bytearray(json.dumps(manifest).encode()))
         stream.close()
-        if not self._fs.rename(draft, final):
-            raise RuntimeError(f"version {manifest['version']} was committed by another writer")
 
     def vacuum(self) -> None:
         """Delete old manifests and all data that the newest one doesn't name."""

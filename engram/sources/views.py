@@ -30,7 +30,7 @@ SQL = {
     "UNION ALL SELECT 2000000 + s_suppkey, 'based_in', 1000 + s_nationkey FROM supplier UNION ALL SELECT 1000 + n_nationkey, 'part_of', 1 + n_regionkey FROM nation",
     "v_entities": "SELECT 1000000 + c_custkey AS entity_id, c_name AS name, 'person' AS kind FROM customer UNION ALL SELECT 2000000 + s_suppkey, s_name, 'organisation' FROM supplier "
     "UNION ALL SELECT 1000 + n_nationkey, n_name, 'ort' FROM nation UNION ALL SELECT 1 + r_regionkey, r_name, 'region' FROM region",
-    "v_docs": "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, e.embedding, e.label FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id",
+    "v_docs": "SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, e.embedding, coalesce(e.label, CAST(d.doc_id % 10 AS INTEGER)) AS label FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id",
     "v_traces": "SELECT event_id AS trace_id, user_id AS subject_id, CASE WHEN event_id % 3 = 0 THEN 'read' ELSE 'write' END AS kind, "
     "CASE WHEN event_id % 3 = 0 THEN event_type END AS query, ts AS started_at FROM events",
     "v_steps": "SELECT event_id AS step_id, event_id AS trace_id, 1 + event_id % 4 AS stage, props AS input, CASE WHEN event_id % 10 = 0 THEN ts END AS redacted_at, "

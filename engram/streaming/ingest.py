@@ -17,13 +17,15 @@ TURNS_SCHEMA = "subject_id string, session_id string, turn_id long, role string,
 
 
 def stream_facts(turns: DataFrame, provider: str = "strict") -> DataFrame:
-    """All facts of every subject that a batch touched, as they are after it (update mode)."""
+    """Facts that a batch added or changed, as they are after it (update mode)."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         memory = Memory.from_json(state.get[0]) if state.exists else Memory(str(key[0]), provider, on_late="clamp")
+        before, links = [dict(f) for f in memory.facts], len(memory.lineage)
         memory = fold_batches(key, frames, memory)
-        memory.__dict__.pop("_buckets", None)
         state.update((memory.to_json(),))
-        yield facts_frame(memory)
+        changed = {f["id"] for n, f in enumerate(memory.facts) if n >= len(before) or f != before[n]} | {x["fact_id"] for x in memory.lineage[links:]}
+        every = facts_frame(memory)
+        yield every[every["fact_id"].isin(changed)]
 
     return turns.groupBy("subject_id").applyInPandasWithState(run, FACTS_SCHEMA, "memory string", "update", GroupStateTimeout.NoTimeout)

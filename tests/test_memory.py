@@ -7,8 +7,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from engram.evals import suite
+from engram.operators import memory
 from engram.operators.memory import Memory, candidates, ingest, police
 from engram.service import Engine
+from engram.sources.store import Store
 
 
 def told(*said, provider="strict", **options):
@@ -159,6 +161,27 @@ def test_streaming_equals_batch(spark, tmp_path):
     assert batch <= latest and ("a", 1, "superseded") in batch
 
 
+def test_providers_by_script_and_by_model(spark):
+    rows = [("a", "2025-01-01", "Ich wohne in Ulm."), ("a", "2025-01-02", "Ich mag Tee."), ("a", "2025-01-03", "Ich wohne in Trier.")]
+    status = lambda provider: {r.content: r.status for r in ingest(turns_frame(spark, rows), provider).collect()}
+    assert status("strict")["Wohnt in Ulm."] == "superseded"
+    assert status(memory.scripted({"Wohnt in Trier.": ("add", [], 0.9)}))["Wohnt in Ulm."] == "active"
+    answers = iter(['{"op": "Update", "targets": ["1"], "confidence": 7}', "no JSON", '{"op": "update", "targets": 3}', "[]"])
+    decide = memory.by_model(lambda system, user: next(answers), "decide")
+    near = [{"id": 1, "content": "x", "similarity": 0.5, "triple": None}]
+    candidate = {"content": "y", "confidence": 0.8, "op_hint": "assert", "triple": {"src": "a", "predicate": "mag", "dst": "z"}, "predicates": [], "terms": []}
+    assert decide(candidate, near) == ("update", [1], 1.0) and [decide(candidate, near)[0] for _ in range(3)] == ["add"] * 3
+
+
+def test_two_writers_of_one_version(spark, tmp_path):
+    one, other = Store(spark, str(tmp_path / "s")), Store(spark, str(tmp_path / "s"))
+    one.commit(spark.createDataFrame([("a", "{}")], "subject_id string, memory string"))
+    with pytest.raises(RuntimeError):
+        other._publish({"version": 1, "buckets": 16, "files": {}})
+    (tmp_path / "s" / "manifest" / "000000000002.json").write_text('{"vers')
+    assert Store(spark, str(tmp_path / "s")).manifest()["version"] == 1
+
+
 def test_evaluation_suite(spark):
     scenarios = suite.load()
     assert len(scenarios) == 14 and len({s["pattern"] for s in scenarios}) == 8
