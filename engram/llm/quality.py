@@ -41,9 +41,9 @@ HIDDEN, ATTENTION, SHAPES, LEXICON = 16, 8, 32, 128
 STEPS, RATE, DECAY, SEED = 300, 0.02, 1e-3, 7
 THRESHOLD = 0.3
 #: A block of texts is closed at so many words; words remembered between blocks, emptied when full; code points cut at once.
-BLOCK_WORDS, CACHED_WORDS, RUN_CHARS = 200_000, 150_000, 2_000_000
+BLOCK_WORDS, CACHED_WORDS, RUN_CHARS = 200_000, 100_000, 1_000_000
 #: Passages whose features exist at once.
-PART = 2048
+PART = 512
 _SPACE = re.compile(r"\s")
 _LOOKS = 14
 _OF_WORDS = _LOOKS + SHAPES
