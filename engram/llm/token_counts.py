@@ -4,23 +4,23 @@ A byte-level BPE first cuts a text into pre-tokens by a pattern and then encodes
 is a sum over pre-tokens. A leaf of the tree stands for a run of about ``LEAF`` pre-tokens; every node holds the sums of
 its subtree (code points, tokens, pre-tokens, leaves). An edit (replace a span by a string)
 
-1. finds the leaf that the span touches by descending the sums and begins at the leaf before it, which has the pre-token
-   before the touched one in it: the pattern looks no further ahead;
-2. cuts and counts from there in the edited text until a cut falls on the border of an old leaf behind the span. From
-   such a place the pattern gives the same pre-tokens as before, whatever stands before it;
+1. finds the pre-token that the span touches by descending the sums and begins at the one before it: the pattern looks no
+   further ahead;
+2. cuts and counts from there in the edited text until a cut falls on an old cut behind the span. From such a place the
+   pattern gives the same pre-tokens as before, whatever stands before it;
 3. splits the tree at both places and joins what is left with the new leaves. Only nodes on the paths to those places get
    new sums, about the logarithm of the number of leaves; subtrees behind, between and before stay as they are.
 
 So apart from copying the text itself the work is that of the edit and its surroundings, and the counts are exactly those
-of encoding the whole text anew. ``trees`` gives a table with a tree per document (its leaves' sums, about a byte for
-ten code points); ``apply`` reads such a table, applies edits, and returns the same columns, so a later edit goes on from
+of encoding the whole text anew. ``trees`` gives a table with a tree per document (code points and tokens of its
+pre-tokens); ``apply`` reads such a table, applies edits, and returns the same columns, so a later edit goes on from
 there without encoding the document again. ``with_edits`` joins a table of edits to it. Each document is a row on its
 own; only that join shuffles.
 
 Defined cases: null and empty texts have no leaf and no tokens. A span is cut to the text; a null start is the end of the
 text, a null end the start of the span; a null replacement is empty. Edits of a document are applied by ``seq``, equal
 ones by start, end and replacement; edits of unknown ids do nothing, those of a null id neither. Special tokens' strings
-in a text are ordinary text. A very long text is one row: its tree takes some 10 bytes a pre-token. Repeated rows are
+in a text are ordinary text. A very long text is one row: its tree takes some 100 bytes a pre-token. Repeated rows are
 counted each. No rows give no rows. Only the named columns are read.
 """
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 import base64
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -66,18 +67,21 @@ class Counter:
 
 
 class _Node:
-    """A leaf of the segment tree with the sums of all leaves under it; in the order of the text: left, own, right."""
+    """A leaf of the segment tree with the sums of all leaves under it; in the order of the text: left, own, right.
 
-    __slots__ = ("chars", "tokens", "pieces", "leaves", "own", "left", "right")
+    ``own`` are the leaf's pre-tokens as (code points, tokens).
+    """
 
-    def __init__(self, own: tuple[int, int, int], left: _Node | None = None, right: _Node | None = None):
-        self.own = own
+    __slots__ = ("chars", "tokens", "pieces", "leaves", "own", "sums", "left", "right")
+
+    def __init__(self, own: list[tuple[int, int]], left: _Node | None = None, right: _Node | None = None):
+        self.own, self.sums = own, (sum(p[0] for p in own), sum(p[1] for p in own))
         self.hang(left, right)
 
     def hang(self, left: _Node | None, right: _Node | None) -> _Node:
         self.left, self.right = left, right
-        self.chars, self.tokens, self.pieces = self.own
-        self.leaves = 1
+        self.chars, self.tokens = self.sums
+        self.pieces, self.leaves = len(self.own), 1
         for side in (left, right):
             if side is not None:
                 self.chars += side.chars
@@ -87,29 +91,30 @@ class _Node:
         return self
 
 
-def _balanced(leaves: list[tuple[int, int, int]], lo: int, hi: int) -> _Node | None:
+def _balanced(leaves: list[list[tuple[int, int]]], lo: int, hi: int) -> _Node | None:
     if lo == hi:
         return None
     middle = (lo + hi) // 2
     return _Node(leaves[middle], _balanced(leaves, lo, middle), _balanced(leaves, middle + 1, hi))
 
 
+def _leaves(pieces: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """Leaves of about equal numbers of pre-tokens."""
+    n = -(-len(pieces) // LEAF)
+    return [pieces[len(pieces) * k // n : len(pieces) * (k + 1) // n] for k in range(n)]
+
+
 class Tree:
     """Token counts of one text. ``encoded``: pre-tokens counted so far; ``touched``: nodes whose sums were set by edits."""
 
-    def __init__(self, text: str, counter: Counter, leaves: list[tuple[int, int, int]] | None = None):
+    def __init__(self, text: str, counter: Counter, pieces: list[tuple[int, int]] | None = None):
         self.text, self.counter, self.encoded, self.touched = text, counter, 0, 0
-        if leaves is None:
-            leaves = self._leaves([(len(p), counter(p)) for p in counter.cut.findall(text)])
+        if pieces is None:
+            pieces = [(len(p), counter(p)) for p in counter.cut.findall(text)]
+            self.encoded = len(pieces)
+        leaves = _leaves(pieces)
         self.root = _balanced(leaves, 0, len(leaves))
 
-    def _leaves(self, pieces: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-        """Leaves of about equal numbers of pre-tokens."""
-        self.encoded += len(pieces)
-        n = -(-len(pieces) // LEAF)
-        runs = [pieces[len(pieces) * k // n : len(pieces) * (k + 1) // n] for k in range(n)]
-        return [(sum(p[0] for p in run), sum(p[1] for p in run), len(run)) for run in runs]
-
     @property
     def tokens(self) -> int:
         return self.root.tokens if self.root else 0
@@ -118,7 +123,8 @@ class Tree:
     def pieces(self) -> int:
         return self.root.pieces if self.root else 0
 
-    def leaves(self) -> list[tuple[int, int, int]]:
+    def every(self) -> list[tuple[int, int]]:
+        """Code points and tokens of all pre-tokens."""
         found, waiting, node = [], [], self.root
         while waiting or node:
             if node:
@@ -126,24 +132,34 @@ class Tree:
                 node = node.left
             else:
                 node = waiting.pop()
-                found.append(node.own)
+                found += node.own
                 node = node.right
         return found
 
-    def _leaf(self, place: int) -> tuple[int, int]:
-        """Where the leaf with code point ``place`` (or the last) begins and ends."""
-        node, start, found = self.root, 0, (0, 0)
+    def _leaf(self, place: int) -> tuple[int, list[tuple[int, int]]]:
+        """Where the leaf with code point ``place`` (or the last) begins, and its pre-tokens."""
+        node, start, found = self.root, 0, (0, [])
         while node:
             begin = start + (node.left.chars if node.left else 0)
             if place < begin:
                 node = node.left
                 continue
-            found = (begin, begin + node.own[0])
-            if place < found[1]:
+            found = (begin, node.own)
+            if place < begin + node.sums[0]:
                 break
-            start, node = found[1], node.right
+            start, node = begin + node.sums[0], node.right
         return found
 
+    def _piece(self, place: int) -> tuple[int, int]:
+        """Where the pre-token with code point ``place`` (or the last) begins and ends."""
+        end, own = self._leaf(place)
+        begin = end
+        for chars, _ in own:
+            begin, end = end, end + chars
+            if place < end:
+                break
+        return begin, end
+
     def _split(self, node: _Node | None, place: int) -> tuple[_Node | None, _Node | None]:
         """Leaves before and behind ``place``, the border of two leaves."""
         if node is None:
@@ -153,7 +169,7 @@ class Tree:
         if place <= begin:
             before, behind = self._split(node.left, place)
             return before, node.hang(behind, node.right)
-        before, behind = self._split(node.right, place - begin - node.own[0])
+        before, behind = self._split(node.right, place - begin - node.sums[0])
         return node.hang(node.left, before), behind
 
     def _join(self, one: _Node | None, other: _Node | None) -> _Node | None:
@@ -172,28 +188,44 @@ class Tree:
         start = size if start is None else max(0, min(start, size))
         end = start if end is None else max(start, min(end, size))
         new, shift = self.text[:start] + replacement + self.text[end:], len(replacement) - (end - start)
-        begin = self._leaf(max(0, start - 1))[0]
-        begin = self._leaf(begin - 1)[0] if begin else 0
-        border, fresh, place = self._leaf(max(0, end - 1))[1], [], begin
+        begin = self._piece(max(0, start - 1))[0]
+        begin = self._piece(begin - 1)[0] if begin else 0
+        border, fresh, place = self._piece(max(0, end - 1))[1], [], begin
         for match in self.counter.cut.finditer(new, begin):
             fresh.append((match.end() - match.start(), self.counter(match[0])))
             place = match.end()
             if place >= start + len(replacement) and place - shift >= end:
                 if place - shift > border:
-                    border = self._leaf(place - shift - 1)[1]
+                    border = self._piece(place - shift - 1)[1]
                 if place - shift == border:
                     break
         else:
             border = size
-        before, rest = self._split(self.root, begin)
-        behind = self._split(rest, border - begin)[1]
-        leaves = self._leaves(fresh)
-        self.root = self._join(self._join(before, _balanced(leaves, 0, len(leaves))), behind)
+        self.encoded += len(fresh)
+        self._replace(begin, border, fresh)
         self.text = new
 
-
-_TREE = "doc_id long, text string, leaf_chars array<int>, leaf_tokens array<int>, leaf_pieces array<int>"
-_SUMS = ("chars", "tokens", "pieces")
+    def _replace(self, begin: int, border: int, fresh: list[tuple[int, int]]) -> None:
+        """Put new pre-tokens between two old cuts. The leaves at both ends keep what lies outside."""
+        first, head = self._leaf(begin)
+        last, tail = self._leaf(max(0, border - 1))
+        end = last + sum(p[0] for p in tail)
+        kept, at = [], first
+        while at < begin:
+            kept.append(head[len(kept)])
+            at += kept[-1][0]
+        behind, at = [], end
+        while at > border:
+            behind.append(tail[-1 - len(behind)])
+            at -= behind[-1][0]
+        before, rest = self._split(self.root, first)
+        after = self._split(rest, end - first)[1]
+        leaves = _leaves(kept + fresh + behind[::-1])
+        self.root = self._join(self._join(before, _balanced(leaves, 0, len(leaves))), after)
+
+
+_TREE = "doc_id long, text string, piece_chars array<int>, piece_tokens array<int>"
+_PIECES = ("piece_chars", "piece_tokens")
 
 
 def _shared_ranks(df: DataFrame, path: str):
@@ -206,12 +238,14 @@ def _counter(ranks: bytes) -> Counter:
 
 
 def _columns(trees: list[Tree]) -> dict[str, pa.Array]:
-    leaves = [t.leaves() for t in trees]
-    return {"text": pa.array([t.text for t in trees], pa.string())} | {f"leaf_{name}": pa.array([[x[k] for x in own] for own in leaves], pa.list_(pa.int32())) for k, name in enumerate(_SUMS)}
+    pieces = [t.every() for t in trees]
+    offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int32))
+    flat = np.array([x for own in pieces for x in own], dtype=np.int32).reshape(-1, 2)
+    return {"text": pa.array([t.text for t in trees], pa.string())} | {name: pa.ListArray.from_arrays(offsets, pa.array(flat[:, k].copy())) for k, name in enumerate(_PIECES)}
 
 
 def trees(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, text, leaf_chars, leaf_tokens, leaf_pieces``, which ``apply`` goes on from."""
+    """One row per document: ``doc_id, text, piece_chars, piece_tokens``, which ``apply`` goes on from."""
     shared = _shared_ranks(docs, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +267,7 @@ def with_edits(trees: DataFrame, edits: DataFrame) -> DataFrame:
     )
     lists = rows.groupBy("edited_id").agg(F.sort_array(F.collect_list("edit")).alias("edits"))
     own = F.transform("edits", lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement")))
-    return trees.join(lists, trees["doc_id"] == lists["edited_id"], "left").select(*[trees[c] for c in ("doc_id", "text", *(f"leaf_{n}" for n in _SUMS))], own.alias("edits"))
+    return trees.join(lists, trees["doc_id"] == lists["edited_id"], "left").select(*[trees[c] for c in ("doc_id", "text", *_PIECES)], own.alias("edits"))
 
 
 def apply(trees: DataFrame, edits_col: str = "edits", path: str = RANKS) -> DataFrame:
@@ -247,8 +281,8 @@ def apply(trees: DataFrame, edits_col: str = "edits", path: str = RANKS) -> Data
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part, done, rows = batch.slice(start, ROWS), [], []
-                for text, chars, tokens, pieces, edits in zip(*(part.column(k).to_pylist() for k in range(1, 6)), strict=True):
-                    tree = Tree(text, counter, list(zip(chars, tokens, pieces, strict=True)))
+                for text, chars, tokens, edits in zip(*(part.column(k).to_pylist() for k in range(1, 5)), strict=True):
+                    tree = Tree(text, counter, list(zip(chars, tokens, strict=True)))
                     before = (tree.tokens, tree.pieces, len(text))
                     for edit in edits or ():
                         tree.edit(edit["start"], edit["end"], edit["replacement"])
@@ -258,7 +292,7 @@ def apply(trees: DataFrame, edits_col: str = "edits", path: str = RANKS) -> Data
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns.values()], names=["doc_id", *columns])
 
     edits = F.col(edits_col).cast("array<struct<start:bigint,end:bigint,replacement:string>>").alias("edits")
-    read = trees.select("doc_id", "text", *(f"leaf_{name}" for name in _SUMS), edits)
+    read = trees.select("doc_id", "text", *_PIECES, edits)
     return read.mapInArrow(run, f"{_TREE}, {', '.join(f'{n} long' for n in numbers)}")
 
 
