@@ -44,7 +44,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 LEAF = 32
 CACHED = 300_000
 #: Rows whose trees exist at once.
-ROWS = 256
+ROWS = 32
 
 
 class Counter:
