@@ -43,10 +43,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Pre-tokens of a leaf.
 LEAF = 32
 CACHED = 300_000
+#: A pre-token is one number: code points above, tokens in the lower half.
+HALF = 32
+TOKENS = (1 << HALF) - 1
 #: Rows whose trees exist at once.
 ROWS = 32
 
 
+class _Known(dict):
+    """Code points and tokens of each pre-token, as one number so that both add up at once; emptied when full."""
+
+    def __init__(self, encode):
+        super().__init__()
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> int:
+        if len(self) >= CACHED:
+            self.clear()
+        found = self[piece] = len(piece) << HALF | len(self.encode(piece))
+        return found
+
+
 class Counter:
     """Tokens of a pre-token, in one process; remembered up to a bound."""
 
@@ -55,27 +72,23 @@ class Counter:
 
         self.encoding = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.cut = regex.compile(pattern)
-        self.known: dict[str, int] = {}
+        self.known = _Known(self.encoding.encode_ordinary)
 
     def __call__(self, piece: str) -> int:
-        n = self.known.get(piece)
-        if n is None:
-            if len(self.known) >= CACHED:
-                self.known.clear()
-            n = self.known[piece] = len(self.encoding.encode_ordinary(piece))
-        return n
+        return self.known[piece] & TOKENS
 
 
 class _Node:
     """A leaf of the segment tree with the sums of all leaves under it; in the order of the text: left, own, right.
 
-    ``own`` are the leaf's pre-tokens as (code points, tokens).
+    ``own`` are the leaf's pre-tokens, packed.
     """
 
     __slots__ = ("chars", "tokens", "pieces", "leaves", "own", "sums", "left", "right")
 
-    def __init__(self, own: list[tuple[int, int]], left: _Node | None = None, right: _Node | None = None):
-        self.own, self.sums = own, (sum(p[0] for p in own), sum(p[1] for p in own))
+    def __init__(self, own: list[int], left: _Node | None = None, right: _Node | None = None):
+        total = sum(own)
+        self.own, self.sums = own, (total >> HALF, total & TOKENS)
         self.hang(left, right)
 
     def hang(self, left: _Node | None, right: _Node | None) -> _Node:
@@ -91,14 +104,14 @@ class _Node:
         return self
 
 
-def _balanced(leaves: list[list[tuple[int, int]]], lo: int, hi: int) -> _Node | None:
+def _balanced(leaves: list[list[int]], lo: int, hi: int) -> _Node | None:
     if lo == hi:
         return None
     middle = (lo + hi) // 2
     return _Node(leaves[middle], _balanced(leaves, lo, middle), _balanced(leaves, middle + 1, hi))
 
 
-def _leaves(pieces: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+def _leaves(pieces: list[int]) -> list[list[int]]:
     """Leaves of about equal numbers of pre-tokens."""
     n = -(-len(pieces) // LEAF)
     return [pieces[len(pieces) * k // n : len(pieces) * (k + 1) // n] for k in range(n)]
@@ -107,12 +120,14 @@ def _leaves(pieces: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
 class Tree:
     """Token counts of one text. ``encoded``: pre-tokens counted so far; ``touched``: nodes whose sums were set by edits."""
 
-    def __init__(self, text: str, counter: Counter, pieces: list[tuple[int, int]] | None = None):
+    def __init__(self, text: str, counter: Counter, pieces: list | None = None):
         self.text, self.counter, self.encoded, self.touched = text, counter, 0, 0
         if pieces is None:
-            pieces = [(len(p), counter(p)) for p in counter.cut.findall(text)]
-            self.encoded = len(pieces)
-        leaves = _leaves(pieces)
+            packed = list(map(counter.known.__getitem__, counter.cut.findall(text)))
+            self.encoded = len(packed)
+        else:
+            packed = [x if isinstance(x, int) else x[0] << HALF | x[1] for x in pieces]
+        leaves = _leaves(packed)
         self.root = _balanced(leaves, 0, len(leaves))
 
     @property
@@ -125,6 +140,9 @@ class Tree:
 
     def every(self) -> list[tuple[int, int]]:
         """Code points and tokens of all pre-tokens."""
+        return [(x >> HALF, x & TOKENS) for x in self.packed()]
+
+    def packed(self) -> list[int]:
         found, waiting, node = [], [], self.root
         while waiting or node:
             if node:
@@ -136,7 +154,7 @@ class Tree:
                 node = node.right
         return found
 
-    def _leaf(self, place: int) -> tuple[int, list[tuple[int, int]]]:
+    def _leaf(self, place: int) -> tuple[int, list[int]]:
         """Where the leaf with code point ``place`` (or the last) begins, and its pre-tokens."""
         node, start, found = self.root, 0, (0, [])
         while node:
@@ -154,8 +172,8 @@ class Tree:
         """Where the pre-token with code point ``place`` (or the last) begins and ends."""
         end, own = self._leaf(place)
         begin = end
-        for chars, _ in own:
-            begin, end = end, end + chars
+        for piece in own:
+            begin, end = end, end + (piece >> HALF)
             if place < end:
                 break
         return begin, end
@@ -192,7 +210,7 @@ class Tree:
         begin = self._piece(begin - 1)[0] if begin else 0
         border, fresh, place = self._piece(max(0, end - 1))[1], [], begin
         for match in self.counter.cut.finditer(new, begin):
-            fresh.append((match.end() - match.start(), self.counter(match[0])))
+            fresh.append(self.counter.known[match[0]])
             place = match.end()
             if place >= start + len(replacement) and place - shift >= end:
                 if place - shift > border:
@@ -205,19 +223,19 @@ class Tree:
         self._replace(begin, border, fresh)
         self.text = new
 
-    def _replace(self, begin: int, border: int, fresh: list[tuple[int, int]]) -> None:
+    def _replace(self, begin: int, border: int, fresh: list[int]) -> None:
         """Put new pre-tokens between two old cuts. The leaves at both ends keep what lies outside."""
         first, head = self._leaf(begin)
         last, tail = self._leaf(max(0, border - 1))
-        end = last + sum(p[0] for p in tail)
+        end = last + (sum(tail) >> HALF)
         kept, at = [], first
         while at < begin:
             kept.append(head[len(kept)])
-            at += kept[-1][0]
+            at += kept[-1] >> HALF
         behind, at = [], end
         while at > border:
             behind.append(tail[-1 - len(behind)])
-            at -= behind[-1][0]
+            at -= behind[-1] >> HALF
         before, rest = self._split(self.root, first)
         after = self._split(rest, end - first)[1]
         leaves = _leaves(kept + fresh + behind[::-1])
@@ -238,10 +256,18 @@ def _counter(ranks: bytes) -> Counter:
 
 
 def _columns(trees: list[Tree]) -> dict[str, pa.Array]:
-    pieces = [t.every() for t in trees]
+    pieces = [t.packed() for t in trees]
     offsets = pa.array(np.concatenate(([0], np.cumsum([len(p) for p in pieces]))).astype(np.int32))
-    flat = np.array([x for own in pieces for x in own], dtype=np.int32).reshape(-1, 2)
-    return {"text": pa.array([t.text for t in trees], pa.string())} | {name: pa.ListArray.from_arrays(offsets, pa.array(flat[:, k].copy())) for k, name in enumerate(_PIECES)}
+    flat = np.concatenate([np.array(p, dtype=np.int64) for p in pieces]) if pieces else np.empty(0, np.int64)
+    halves = (flat >> HALF).astype(np.int32), (flat & TOKENS).astype(np.int32)
+    return {"text": pa.array([t.text for t in trees], pa.string())} | {name: pa.ListArray.from_arrays(offsets, pa.array(half)) for name, half in zip(_PIECES, halves, strict=True)}
+
+
+def _read(chars: pa.ListArray, tokens: pa.ListArray) -> list[list[int]]:
+    """The packed pre-tokens of each row."""
+    flat = (chars.flatten().to_numpy().astype(np.int64) << HALF | tokens.flatten().to_numpy()).tolist()
+    ends = np.cumsum(chars.value_lengths().to_numpy()).tolist()
+    return [flat[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
 
 
 def trees(docs: DataFrame, path: str = RANKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -281,8 +307,8 @@ def apply(trees: DataFrame, edits_col: str = "edits", path: str = RANKS) -> Data
         for batch in batches:
             for start in range(0, batch.num_rows, ROWS):
                 part, done, rows = batch.slice(start, ROWS), [], []
-                for text, chars, tokens, edits in zip(*(part.column(k).to_pylist() for k in range(1, 5)), strict=True):
-                    tree = Tree(text, counter, list(zip(chars, tokens, strict=True)))
+                for text, pieces, edits in zip(part.column(1).to_pylist(), _read(part.column(2), part.column(3)), part.column(4).to_pylist(), strict=True):
+                    tree = Tree(text, counter, pieces)
                     before = (tree.tokens, tree.pieces, len(text))
                     for edit in edits or ():
                         tree.edit(edit["start"], edit["end"], edit["replacement"])
