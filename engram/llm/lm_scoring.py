@@ -24,7 +24,7 @@ each, and count each. A null id is a row like any other. No rows give no rows. O
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import pairwise
 
 import numpy as np
@@ -54,21 +54,25 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
 
 
 class _Block:
-    """The words of a block of documents and the n-grams that end at each."""
+    """The words of a block of documents. n-grams of one length exist at a time: memory doesn't grow with the order."""
 
-    def __init__(self, row: pd.Series, order: int):
+    def __init__(self, row: pd.Series):
         self.ids, self.sizes = _unpack(row["ids"], np.int64), _unpack(row["sizes"], np.int64)
         self.null = _unpack(row["null"], np.uint8).astype(bool)
         self.words = _unpack(row["vocabulary"], np.uint64)[_unpack(row["places"], np.int32)]
-        self.owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
         self.place = np.arange(len(self.words)) - np.repeat(np.cumsum(self.sizes) - self.sizes, self.sizes)
-        self.keys, self.counts, self.at = {}, {}, {}
-        for k in range(1, order + 1):
-            ends = np.flatnonzero(self.place >= k - 1)
-            grams = self.words if k == 1 else windows(self.words, k)[ends - (k - 1)] if len(ends) else np.empty(0, np.uint64)
-            self.keys[k], inverse, self.counts[k] = np.unique(grams, return_inverse=True, return_counts=True)
-            self.at[k] = np.full(len(self.words), -1, dtype=np.int32)
-            self.at[k][ends] = inverse
+
+    def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where n-grams of k words end, and the n-grams."""
+        ends = np.flatnonzero(self.place >= k - 1)
+        return ends, windows(self.words, k)[ends - (k - 1)] if len(ends) and k > 1 else self.words[ends]
+
+    def counts(self, k: int, totals: np.ndarray) -> np.ndarray:
+        """For each word the count of the n-gram that ends there, 0 without one; ``totals`` ascend by n-gram."""
+        found, (ends, grams) = np.zeros(len(self.words), dtype=np.int64), self.grams(k)
+        if len(ends):
+            found[ends] = totals[np.unique(grams, return_inverse=True)[1]]
+        return found
 
     @staticmethod
     def pack(block: int, ids: list[int | None], each: list[np.ndarray]) -> tuple:
@@ -80,16 +84,19 @@ class _Block:
         numbers = np.array([0 if i is None else i for i in ids], dtype=np.int64), null.astype(np.uint8), np.array([len(x) for x in each], dtype=np.int64)
         return (block, *map(_pack, numbers), _pack(vocabulary[order]), _pack(rank[places]))
 
-    def scores(self, totals: dict[int, np.ndarray], words: int, alpha: float, min_count: int) -> np.ndarray:
+    def scores(self, totals: Callable[[int], np.ndarray], order: int, words: int, alpha: float, min_count: int) -> np.ndarray:
         """Sum of log scores per document."""
-        n = len(self.words)
-        f = {k: np.where(self.at[k] >= 0, totals[k][self.at[k]], 0) if len(totals[k]) else np.zeros(n, np.int64) for k in totals}
-        log_score = np.log(f[1] / words) if n else np.zeros(0)
-        for k in range(2, max(totals) + 1):
-            context = np.concatenate(([1], f[k - 1][:-1]))
-            seen, could = f[k] >= min_count, self.place >= k - 1
-            log_score = np.where(seen, np.log(np.maximum(f[k], 1) / np.maximum(context, 1)), np.where(could, np.log(alpha) + log_score, log_score))
-        return np.bincount(self.owner, weights=log_score, minlength=len(self.sizes))
+        context = self.counts(1, totals(1))
+        log_score = np.log(context / words) if len(context) else np.zeros(0)
+        for k in range(2, order + 1):
+            found = self.counts(k, totals(k))
+            seen, backs_off = found >= max(min_count, 1), self.place >= k - 1
+            log_score[backs_off] += np.log(alpha)
+            ends = np.flatnonzero(seen)
+            log_score[ends] = np.log(found[ends] / context[ends - 1])
+            context = found
+        owner = np.repeat(np.arange(len(self.sizes), dtype=np.int32), self.sizes)
+        return np.bincount(owner, weights=log_score, minlength=len(self.sizes))
 
 
 def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -119,30 +126,36 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
             yield close()
 
     def explode(frame: pd.DataFrame) -> pd.DataFrame:
-        block, out = _Block(frame.iloc[0], order), []
-        for k, keys in block.keys.items():
+        block, out = _Block(frame.iloc[0]), []
+        for k in range(1, order + 1):
+            keys, counts = np.unique(block.grams(k)[1], return_counts=True)
             bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending with the keys
             first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else []
             for lo, hi in pairwise([*first, len(keys)]):
-                out.append((int(bucket[lo]), int(frame["block"].iat[0]), k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(block.counts[k][lo:hi].astype(np.int32))))
+                out.append((int(bucket[lo]), int(frame["block"].iat[0]), k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(counts[lo:hi].astype(np.int32))))
         return pd.DataFrame(out, columns=["bucket", "block", "k", "keys", "counts"])
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
         for k, group in frame.groupby("k", sort=True):
             keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
-            every, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            totals = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.int32) for x in group["counts"]]), minlength=len(every)).astype(np.int64)
             ends = np.cumsum([len(x) for x in keys])
+            keys = np.concatenate(keys)
+            inverse = np.unique(keys, return_inverse=True)[1]
+            del keys
+            totals = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.int32) for x in group["counts"]])).astype(np.int64)
             answers = [_pack(totals[x]) for x in np.split(inverse, ends[:-1])]
             out.append(pd.DataFrame({"block": group["block"], "k": k, "bucket": group["bucket"], "totals": answers}))
         return pd.concat(out)
 
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        block = _Block(left.iloc[0], order)
+        block = _Block(left.iloc[0])
         right = right.sort_values(["k", "bucket"])
-        totals = {k: np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right["totals"][right["k"] == k])]) for k in range(1, order + 1)}
-        logs = block.scores(totals, words, alpha, min_count)
+
+        def totals(k: int) -> np.ndarray:
+            return np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right["totals"][right["k"] == k])])
+
+        logs = block.scores(totals, order, words, alpha, min_count)
         mean = np.divide(logs, block.sizes, out=np.full(len(logs), np.nan), where=block.sizes > 0)
         doc_id = pd.Series(block.ids, dtype="Int64").mask(block.null)
         return pd.DataFrame({"doc_id": doc_id, "n_words": block.sizes, "log_score": logs, "mean_log_score": mean})
