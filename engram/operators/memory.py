@@ -166,6 +166,7 @@ class Memory:
     lineage: list[dict] = field(default_factory=list)
     edges: list[dict] = field(default_factory=list)
     steps: list[dict] = field(default_factory=list)
+    receipts: list[dict] = field(default_factory=list)
 
     def use(self, provider: str | Callable) -> Memory:
         """Decide by a provider's name or by a function (candidate, neighbours) -> (op, targets, confidence)."""
@@ -340,7 +341,9 @@ class Memory:
             self.turns[i - 1].update(content=ERASED, redacted=True)
         for i in plan["steps"]:
             self.steps[i - 1].update(text=None, redacted=True)
-        return {"subject_id": self.subject_id, "scope": "subject" if fact_ids is None else "facts", "reason": reason, **plan}
+        receipt = {"id": len(self.receipts) + 1, "scope": "subject" if fact_ids is None else "facts", "reason": reason, **plan}
+        self.receipts.append(receipt)
+        return {"subject_id": self.subject_id, **receipt}
 
     def residue(self, needle: str) -> list[str]:
         """Stores in which the needle is still found."""

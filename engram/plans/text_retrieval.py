@@ -9,6 +9,7 @@ from engram.functions import text as T
 from engram.functions.vector import cosine, embedder, l2, top_k
 from engram.operators.retrieval import BUDGET, HEADER, LIMIT, PER_SOURCE, RRF_K, first, fuse, line, pack, ranks
 from engram.sources import views
+from engram.sources.text_index import postings
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -74,6 +75,13 @@ def fulltext_search(spark, sf_dir):
     return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), F.desc("doc_id")).limit(PER_SOURCE)
 
 
+@query("fulltext_index", f"SELECT t AS term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM ({_TERMS}) GROUP BY t")
+def fulltext_index(spark, sf_dir):
+    """What the stored index holds, per term."""
+    rows = postings(_docs(spark, sf_dir, "doc_id", "text"))
+    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("occurrences").alias("occurrences"))
+
+
 @query("sentence_split", f"SELECT doc_id, CAST(len({_SENTENCES}) AS BIGINT) AS sentences, sha256(array_to_string({_SENTENCES}, '|')) AS cut FROM documents")
 def sentence_split(spark, sf_dir):
     rows = _docs(spark, sf_dir, "doc_id", "text").withColumn("s", T.sentences(F.col("text")))

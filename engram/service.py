@@ -16,6 +16,9 @@ from engram.operators.memory import FACTS_SCHEMA, Memory, facts_frame, turn_of
 from engram.sources.store import Store
 
 REPLAYED = "replay:"
+#: Most rows of each list in a report; parts of a memory.
+CAPS = {"facts": 10_000, "turns": 10_000, "receipts": 1_000}
+PARTS = ("turns", "facts", "lineage", "edges", "steps", "receipts")
 _RECALL = "subject_id string, query string, tx string, valid string, text string, included array<long>, dropped array<long>, tokens_used long, memory string"
 
 
@@ -92,12 +95,46 @@ class Engine:
         """Operations per turn."""
         return self.lineage().groupBy("subject_id", "turn_id", "op").agg(F.count(F.lit(1)).alias("changes"))
 
+    def receipts(self) -> DataFrame:
+        """Erasures that were carried out: numbers and ids, never texts."""
+        return self._parts("receipts", "id:bigint,scope:string,reason:string,facts:array<bigint>,turns:array<bigint>,steps:array<bigint>")
+
     def export(self, subject: str) -> DataFrame:
-        """Facts that aren't erased, with the turn that they come from and the number of their lineage entries."""
+        """Facts that aren't erased, with the turn that they come from and their history: own entries, and what took
+        their place. Only lineage of delivered facts is grouped."""
         origin = self.turns().select("subject_id", F.col("id").alias("origin_turn"), F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")).alias("source"))
-        entries = self.lineage().groupBy("subject_id", "fact_id").agg(F.count(F.lit(1)).alias("entries"))
         own = self.facts().filter((F.col("subject_id") == subject) & (F.col("status") != "erased"))
-        return own.join(origin, ["subject_id", "origin_turn"], "left").join(entries, ["subject_id", "fact_id"], "left")
+        lineage = self.lineage().filter(F.col("subject_id") == subject)
+        entry = [F.col("turn_id"), F.col("fact_id").alias("by_fact")]
+        of_fact = lineage.select(F.col("fact_id").alias("about"), F.struct(*entry, F.col("op").alias("note")).alias("entry"))
+        of_parent = lineage.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("about"), F.struct(*entry, F.lit("superseded").alias("note")).alias("entry"))
+        delivered = of_fact.union(of_parent).join(own.select(F.col("fact_id").alias("about")), "about", "left_semi")
+        history = delivered.groupBy(F.col("about").alias("fact_id")).agg(F.array_sort(F.collect_list("entry")).alias("history"))
+        return own.join(origin, ["subject_id", "origin_turn"], "left").join(history, "fact_id", "left")
+
+    def report(self, subject: str, caps: dict[str, int] | None = None) -> dict:
+        """All that is stored of a subject, as a JSON document: facts with history, turns, receipts; each list up to its
+        cap, which ``truncated`` names if there is more. ``export``, ``turns`` and ``receipts`` have all rows."""
+        caps, out, truncated = CAPS | (caps or {}), {}, []
+        turns = self.turns().withColumn("content", F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")))
+        for name, rows, by in (("facts", self.export(subject), "fact_id"), ("turns", turns, "id"), ("receipts", self.receipts(), "id")):
+            found = rows.filter(F.col("subject_id") == subject).orderBy(by).limit(caps[name] + 1).toJSON().collect()  # at most cap + 1
+            truncated += [name] if len(found) > caps[name] else []
+            out[name] = [json.loads(x) for x in found[: caps[name]]]
+        return {"subject_id": subject, "complete": not truncated, "truncated": truncated, **out}
+
+    def subjects(self) -> DataFrame:
+        """Active facts and the last instant per subject."""
+        active = self.facts().filter("status = 'active'").groupBy("subject_id").agg(F.count(F.lit(1)).alias("facts"))
+        last = self.turns().groupBy("subject_id").agg(F.count(F.lit(1)).alias("turns"), F.max("occurred_at").alias("last_turn"))
+        return last.join(active, "subject_id", "left").fillna(0, ["facts"])
+
+    def storage(self) -> DataFrame:
+        """Rows and bytes of each part of the store, largest first."""
+        parts = [F.struct(F.lit(p).alias("part"), F.get_json_object("memory", f"$.{p}").alias("x")) for p in PARTS]
+        rows = self.store.read().select(F.explode(F.array(*parts)).alias("p")).select("p.part", "p.x")
+        sums = F.coalesce(F.sum(F.json_array_length("x")), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.octet_length("x")), F.lit(0)).alias("bytes")
+        return rows.groupBy("part").agg(*sums).orderBy(F.desc("bytes"), "part")
 
     # -- governance -----------------------------------------------------------------------------------------------
 

@@ -14,6 +14,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.sources import migrations
+
 #: Least number of buckets, and subjects of a bucket on average when a store is made.
 BUCKETS, SUBJECTS = 16, 2000
 _SCHEMA = "subject_id string, memory string, bucket int"
@@ -58,7 +60,22 @@ class Store:
         rows = self.spark.read.schema("subject_id string, memory string").parquet(*paths)
         return rows.withColumn("bucket", self.bucket())
 
-    def commit(self, changed: DataFrame) -> int:
+    def applied(self) -> dict[str, str]:
+        """Migration steps that the stored memories have, with their checksums; a new store has all."""
+        found = self.manifest()
+        return found.get("applied", {}) if found else migrations.checksums()
+
+    def migrate(self) -> list[str]:
+        """Apply the steps that are pending to all memories; their names."""
+        names = migrations.pending(self.applied())
+        if names:
+            rows = self.read().select("subject_id", "memory")
+            for name in names:
+                rows = rows.withColumn("memory", F.expr(migrations.STEPS[name]))
+            self.commit(rows, self.applied() | migrations.checksums())
+        return names
+
+    def commit(self, changed: DataFrame, applied: dict[str, str] | None = None) -> int:
         """Replace or add the memories of subjects (``subject_id, memory``); a null memory removes the subject."""
         held = changed.select("subject_id", "memory").persist()
         changed = held
@@ -75,7 +92,7 @@ class Store:
             names = [s.getPath().getName() for s in self._fs.listStatus(self._path(f"{self.root}/data/v{version}"))]
             there = {n.split("=")[1] for n in names if n.startswith("bucket=")}
             files = {b: v for b, v in before["files"].items() if int(b) not in touched} | dict.fromkeys(sorted(there), version)
-            self._publish({"version": version, "buckets": self.buckets, "files": files})
+            self._publish({"version": version, "buckets": self.buckets, "files": files, "applied": applied or self.applied()})
             return version
         finally:
             held.unpersist()

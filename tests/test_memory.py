@@ -144,6 +144,52 @@ def test_service_over_the_store(spark, tmp_path):
     left = b"".join(p.read_bytes() for p in (tmp_path / "store").rglob("*") if p.is_file())
     assert not any(x in left for x in ("Köln".encode(), b"Leipzig")) and len(list((tmp_path / "store/manifest").glob("*.json"))) == 1
     assert [r.content for r in engine.export("b").collect()] == ["Mag Kaffee."]
+    assert engine.report("a")["facts"] == [] and engine.report("a")["receipts"][0]["facts"] == [1, 2]
+    sizes = engine.storage().collect()
+    assert {r.part: r.rows for r in sizes}["receipts"] == 1 and [r.bytes for r in sizes] == sorted((r.bytes for r in sizes), reverse=True)
+
+
+def test_export_has_history_and_says_when_it_is_cut(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(turns_frame(spark, [("a", *MOVE[0]), ("a", *MOVE[1]), ("b", "2026-02-01", "Ich mag Kaffee.")]))
+    found = {r.fact_id: [(e.turn_id, e.by_fact, e.note) for e in r.history] for r in engine.export("a").collect()}
+    assert found == {1: [(1, 1, "add"), (2, 2, "superseded")], 2: [(2, 2, "update")]}
+    report = engine.report("a")
+    assert report["complete"] and len(report["turns"]) == 2 and report["facts"][0]["source"] == MOVE[0][1]
+    cut = engine.report("a", {"turns": 1})
+    assert cut["truncated"] == ["turns"] and not cut["complete"] and len(cut["turns"]) == 1 and len(cut["facts"]) == 2
+    assert {(r.subject_id, r.facts, r.turns) for r in engine.subjects().collect()} == {("a", 1, 2), ("b", 1, 1)}
+
+
+def test_migration_steps_are_applied_once_and_checked(spark, tmp_path):
+    from engram.sources import migrations
+    from engram.sources.store import Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    store.commit(spark.createDataFrame([("a", '{"turns": [1]}')], "subject_id string, memory string"), {"0_older": "x"})
+    assert store.migrate() == ["1_receipts"] and store.migrate() == []
+    assert json.loads(store.read().first().memory) == {"turns": [1], "receipts": []}
+    assert store.applied() == {"0_older": "x", **migrations.checksums()}
+    with pytest.raises(ValueError, match="1_receipts"):
+        migrations.pending({"1_receipts": "another"})
+    assert Store(spark, str(tmp_path / "new")).applied() == migrations.checksums()
+
+
+def test_text_index_finds_what_a_scan_finds_and_reads_only_its_terms(spark, tmp_path):
+    from collections import Counter
+
+    from engram.sources.text_index import TextIndex
+
+    texts = {1: "Rot und blau, rot.", 2: "Blau", 3: None, 4: "", 5: "grün und GRÜN und rot"}
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.build(spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    words = {i: Counter((t or "").lower().replace(",", "").replace(".", "").split()) for i, t in texts.items()}
+    expected = {i: c["rot"] + c["und"] for i, c in words.items() if c["rot"] + c["und"]}
+    assert {r.doc_id: r.score for r in index.search(["Rot", "und", "fehlt"]).collect()} == expected
+    assert [(r.doc_id, r.score) for r in index.search(["rot", "blau"], k=2).collect()] == [(1, 3), (5, 1)]
+    assert index.search([]).count() == 0
+    plan = index.search(["rot"])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: []" not in plan
 
 
 def test_streaming_equals_batch(spark, tmp_path):
