@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces, token_counts
+from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces, simhash, token_counts
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_near_dedup": near_dedup.query,
     "op9_language_id": language_id.query,
     "op10_token_counts": token_counts.query,
+    "op11_simhash_dedup": simhash.query,
 }
 
 ORACLE_SQL = {
