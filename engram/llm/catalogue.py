@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lm_scoring, mixing, near_dedup, quality, sentence_pieces, simhash, token_counts, vector_codes
+from engram.llm import chat_format, exact_dedup, fingerprints, language_id, lexical_search, lm_scoring, mixing, near_dedup, quality, sentence_pieces, simhash, token_counts, vector_codes
 
 QUERIES = {
     "op1_chat_format": chat_format.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_language_id": language_id.query,
     "op10_token_counts": token_counts.query,
     "op11_simhash_dedup": simhash.query,
+    "op12_lexical_search": lexical_search.query,
     "op13_vector_codes": vector_codes.query,
 }
 
@@ -25,5 +26,6 @@ ORACLE_SQL = {
     "op3_source_mixing": mixing.ORACLE_SQL,
     "op4_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_near_dedup": near_dedup.ORACLE_SQL,
+    "op12_lexical_search": lexical_search.ORACLE_SQL,
     "op13_vector_codes": vector_codes.ORACLE_SQL,
 }
