@@ -9,7 +9,7 @@ from engram.functions import text as T
 from engram.functions.vector import cosine, embedder, l2, top_k
 from engram.operators.retrieval import BUDGET, HEADER, LIMIT, PER_SOURCE, RRF_K, first, fuse, line, pack, ranks
 from engram.sources import views
-from engram.sources.text_index import postings
+from engram.sources.text_index import COVER, TextIndex
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -70,16 +70,37 @@ _QUERY = ("the", "of", "und", "que", "les")
     f"SELECT doc_id, score FROM (SELECT doc_id, CAST(len(list_filter({_TOKENS}, lambda t: t IN {_QUERY})) AS BIGINT) AS score FROM documents) WHERE score > 0 ORDER BY score DESC, doc_id DESC LIMIT {PER_SOURCE}",
 )
 def fulltext_search(spark, sf_dir):
-    """Occurrences of any of the terms; the best of all documents (a top-k)."""
-    score = F.size(F.filter(T.tokens(F.col("text")), lambda t: F.lower(t).isin(*_QUERY))).cast("long")
-    return _docs(spark, sf_dir, "doc_id", "text").select("doc_id", score.alias("score")).filter("score > 0").orderBy(F.desc("score"), F.desc("doc_id")).limit(PER_SOURCE)
+    """Occurrences of any of the terms, from the stored index; the best of all documents (a top-k)."""
+    return TextIndex.stored(_docs(spark, sf_dir, "doc_id", "text")).search(list(_QUERY), PER_SOURCE)
+
+
+#: Queries of every benchmark item: its first five distinct words, as (first or second) and (third or fourth) and fifth.
+_ITEM_WORDS = f"SELECT item_id, t, CAST(row_number() OVER (PARTITION BY item_id ORDER BY min(i)) AS INTEGER) AS n FROM (SELECT item_id, unnest({_TOKENS}) AS t, generate_subscripts({_TOKENS}, 1) AS i FROM benchmark) GROUP BY item_id, t"
+
+
+@query(
+    "fulltext_cover_rank",
+    f"WITH q AS (SELECT item_id, t, (n - 1) // 2 AS g FROM ({_ITEM_WORDS}) WHERE n <= 5), e AS (SELECT q.item_id, d.doc_id, d.i, q.g FROM ({_TERMS}) d JOIN q ON d.t = q.t), "
+    # from each entry forward to the first of every group, then the latest start for each end: the mirror image of the engine's sweep
+    "g AS (SELECT DISTINCT item_id, g FROM q), p AS (SELECT DISTINCT item_id, doc_id, i FROM e), "
+    "f AS (SELECT p.item_id, p.doc_id, p.i AS s, g.g, min(CASE WHEN e.g IS NOT NULL THEN p.i END) OVER (PARTITION BY p.item_id, p.doc_id, g.g ORDER BY p.i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nxt "
+    "FROM p JOIN g ON p.item_id = g.item_id LEFT JOIN e ON e.item_id = p.item_id AND e.doc_id = p.doc_id AND e.i = p.i AND e.g = g.g), "
+    "c AS (SELECT item_id, doc_id, max(s) AS s, z FROM (SELECT item_id, doc_id, s, max(nxt) AS z FROM f GROUP BY item_id, doc_id, s HAVING count(nxt) = count(*)) GROUP BY item_id, doc_id, z), "
+    "w AS (SELECT c.item_id, c.doc_id, c.s, c.z, count(*) AS n FROM c JOIN p ON p.item_id = c.item_id AND p.doc_id = c.doc_id AND p.i BETWEEN c.s AND c.z GROUP BY ALL), "
+    f"r AS (SELECT item_id AS query_id, doc_id, CAST(sum({COVER} // (1 + z - s - (n - 1))) AS BIGINT) / 1e9 AS score, count(*) AS covers FROM w GROUP BY ALL) "
+    f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id DESC) AS place FROM r) WHERE place <= {PER_SOURCE}",
+)
+def fulltext_cover_rank(spark, sf_dir):
+    """Ranked conjunctions by cover density: every benchmark item asks all documents through the stored index."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.posexplode(T.terms(F.col("text"), 5)).alias("n", "term"))
+    queries = items.select("query_id", F.floor(F.col("n") / 2).cast("int").alias("nth"), "term")
+    return TextIndex.stored(_docs(spark, sf_dir, "doc_id", "text")).rank(queries, PER_SOURCE)
 
 
 @query("fulltext_index", f"SELECT t AS term, count(DISTINCT doc_id) AS documents, count(*) AS occurrences FROM ({_TERMS}) GROUP BY t")
 def fulltext_index(spark, sf_dir):
     """What the stored index holds, per term."""
-    rows = postings(_docs(spark, sf_dir, "doc_id", "text"))
-    return rows.groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("occurrences").alias("occurrences"))
+    return TextIndex.stored(_docs(spark, sf_dir, "doc_id", "text")).terms()
 
 
 @query("sentence_split", f"SELECT doc_id, CAST(len({_SENTENCES}) AS BIGINT) AS sentences, sha256(array_to_string({_SENTENCES}, '|')) AS cut FROM documents")
