@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.evals import suite
-from engram.operators.history import descendants
 from engram.operators.memory import ingest
 from engram.plans.decisions import _SAID
+from engram.plans.temporal import derivations
 from engram.sources import views
 
 QUERIES: dict = {}
@@ -39,9 +39,9 @@ _AFFECTED = (
 
 
 def affected(spark, sf_dir):
-    """Roots and everything derived from them, found from the roots; merges and circles are followed once."""
+    """Roots and everything derived from them: ranges of the chain index, whatever the number of versions."""
     roots = views.facts(spark, sf_dir).filter("to_erase").select(F.col("fact_id").alias("root"))
-    return descendants(views.table(spark, sf_dir, "v_derivations"), roots)
+    return derivations(spark, sf_dir).descendants(roots)
 
 
 def over_affected(name: str, text: str) -> None:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from engram.functions.vector import cosine, embed_text, embedder
 from engram.operators.asof import as_of, edges_at
-from engram.operators.history import adjacency, closure_by_doubling, neighbourhood
+from engram.operators.chains import ChainIndex
+from engram.operators.history import adjacency, neighbourhood
 from engram.sources import views
 
 TX, VALID = "2024-01-15 00:00:00", "2024-01-12 00:00:00"
@@ -192,8 +193,13 @@ def export_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     "WITH RECURSIVE c AS (SELECT event_id AS root, event_id AS fact_id FROM events UNION SELECT c.root, l.fact_id FROM c JOIN v_derivations l ON l.parent_id = c.fact_id) SELECT root, fact_id FROM c",
 )
 def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fact with all that was derived from it, over merges and circles too."""
-    return closure_by_doubling(views.table(spark, sf_dir, "v_derivations"), views.table(spark, sf_dir, "events").select(F.col("event_id").alias("fact_id")))
+    """Every fact with all that was derived from it, over merges and circles too, from the stored chain index."""
+    return derivations(spark, sf_dir).closure(views.table(spark, sf_dir, "events").select(F.col("event_id").alias("root")))
+
+
+def derivations(spark: SparkSession, sf_dir: str) -> ChainIndex:
+    """The chain index of what was derived from what; built when the table of events has none yet."""
+    return ChainIndex.stored(views.table(spark, sf_dir, "v_derivations"), "derivations")
 
 
 shared(

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = 8, partitions: int = 8, app: str = "engram", **conf: str) -> SparkSession:
@@ -39,10 +42,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def stored(df: DataFrame, what: str, build: Callable[[str], None]) -> str:
+    """Folder of what ``build(path)`` derives from the files that ``df`` reads, in the shared checkpoint folder.
+
+    It is named by ``what`` and by these files' names, sizes and times, and built when there is none yet.
+    """
+    spark = df.sparkSession
+    files, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    seen = [what]
+    for name in sorted(df.inputFiles()):
+        status = files.Path(name).getFileSystem(conf).getFileStatus(files.Path(name))
+        seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/engram-{what.split()[0]}-{hashlib.sha256(chr(10).join(seen).encode()).hexdigest()[:24]}"
+    target = files.Path(path)
+    store = target.getFileSystem(conf)
+    if not store.exists(target):
+        own = f"{path}-{uuid.uuid4().hex[:8]}"
+        build(own)
+        if store.exists(target) or not store.rename(files.Path(own), target):  # another session was first
+            store.delete(files.Path(own), True)
+    return path
+
+
 class Scratch:
     """Tables of one run in the shared checkpoint folder, each deleted when what follows from it has been written.
 
-    A written table cuts the lineage, outlives executors, is read by columns, and tells the optimizer its size.
+    A written table cuts the lineage, outlives executors, is read by columns, and tells the optimizer its size. What is
+    left goes with ``with Scratch(spark) as scratch`` at its end, else when the session's JVM ends.
     """
 
     def __init__(self, spark: SparkSession):
@@ -53,9 +79,20 @@ class Scratch:
         path = f"{self.root}/{len(self.paths)}-{uuid.uuid4().hex[:8]}"
         df.write.option("compression", "zstd").parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
+        if not self.paths:
+            self._files(self.root)[0].deleteOnExit(self._files(self.root)[1])
         self.paths[path] = kept
         return kept
 
+    def keep_new(self, df: DataFrame) -> DataFrame | None:
+        """As ``keep``; None if there are no rows, which the writing itself counts."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        if seen.get.get("n", 0):
+            return kept
+        self.drop(kept)
+        return None
+
     def drop(self, *kept: DataFrame) -> None:
         """Delete tables that nothing reads any more."""
         for path in [p for p, df in self.paths.items() if any(df is k for k in kept)]:
@@ -65,6 +102,16 @@ class Scratch:
     def drop_all_but(self, *kept: DataFrame) -> None:
         self.drop(*(df for df in self.paths.values() if df is not None and not any(df is k for k in kept)))
 
-    def _delete(self, path: str) -> None:
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.drop_all_but()
+
+    def _files(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(target, True)
+        return target.getFileSystem(self.spark._jsc.hadoopConfiguration()), target
+
+    def _delete(self, path: str) -> None:
+        store, target = self._files(path)
+        store.delete(target, True)

@@ -19,14 +19,11 @@ count words of two or more characters. A query without groups, and one with a gr
 
 from __future__ import annotations
 
-import hashlib
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as T
-from engram.session import checkpoint_dir
+from engram.session import stored
 
 BUCKETS, SPREAD = 64, 8
 #: Worth of a cover without foreign words, in 1e-9 (fixed value: a tenth).
@@ -77,20 +74,7 @@ class TextIndex:
     def stored(cls, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS) -> TextIndex:
         """The index of a table of files, in the shared checkpoint folder; built when these very files have none yet."""
         spark = docs.sparkSession
-        files = spark._jvm.org.apache.hadoop.fs
-        seen = []
-        for name in sorted(docs.inputFiles()):
-            status = files.Path(name).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(files.Path(name))
-            seen.append(f"{name} {status.getLen()} {status.getModificationTime()}")
-        key = hashlib.sha256("\n".join([id_col, text_col, str(buckets), *seen]).encode()).hexdigest()[:24]
-        path = f"{checkpoint_dir(spark).rstrip('/')}/engram-text-{key}"
-        target = files.Path(path)
-        store = target.getFileSystem(spark._jsc.hadoopConfiguration())
-        if not store.exists(target):
-            built = cls(spark, f"{path}-{uuid.uuid4().hex[:8]}", buckets)
-            built.build(docs, id_col, text_col)
-            if store.exists(target) or not store.rename(files.Path(built.path), target):  # another session was first
-                store.delete(files.Path(built.path), True)
+        path = stored(docs, f"text {id_col} {text_col} {buckets}", lambda own: cls(spark, own, buckets).build(docs, id_col, text_col))
         return cls(spark, path, buckets)
 
     def _bucket(self, term: Column) -> Column:
