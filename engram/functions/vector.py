@@ -1,4 +1,4 @@
-"""Vectors: normalising, hashed embedding, exact top-k of a stated query set."""
+"""Vectors: normalising, hashed embedding, exact top-k of a stated query set by blocks."""
 
 from __future__ import annotations
 
@@ -8,15 +8,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
 from engram.functions.text import fold
+from engram.operators import nearest
 
 WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1.0, 0.35, 4
-#: Queries of one block; a block's vectors are all that is sent to the tasks at once.
-BLOCK = 1024
 _TOKEN = re.compile(r"\w+")
 
 
@@ -69,37 +68,9 @@ def embedder(dim: int = 1024):
     return embed
 
 
-def top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = BLOCK, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """``query_id, vec_id, similarity, place``: the k nearest of all rows for each query, exact, ties by id.
-
-    The stated query set goes over the corpus in blocks; a task keeps its k best per query, so what is shuffled is
-    k rows per query and task.
-    """
-    ids = queries.select(F.col(id_col).alias("query_id"), F.col(vector_col).alias("vector"))
-    total = ids.count()
-    found = None
-    for start in range(0, max(total, 1), block):
-        rows = ids.orderBy("query_id").offset(start).limit(block).collect()
-        part = _block_top_k(corpus.select(F.col(id_col).alias("vec_id"), F.col(vector_col).alias("vector")), [r[0] for r in rows], [r[1] for r in rows], k)
-        found = part if found is None else found.union(part)
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return found.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k)
-
-
-def _block_top_k(corpus: DataFrame, names: list[int], vectors: list[list[float]], k: int) -> DataFrame:
-    unit = lambda m: m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-    matrix = unit(np.array(vectors, dtype=np.float64)) if names else None
-
-    def nearest(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        best = None
-        for frame in frames:
-            if not len(frame) or not names:
-                continue
-            near = np.round(unit(np.array(frame["vector"].tolist(), dtype=np.float64)) @ matrix.T, 6)
-            now = pd.DataFrame({"query_id": np.tile(names, len(frame)), "vec_id": np.repeat(frame["vec_id"].to_numpy(), len(names)), "similarity": near.ravel()})
-            now = now if best is None else pd.concat((best, now))
-            best = now.sort_values(["similarity", "vec_id"], ascending=[False, True]).groupby("query_id").head(k)
-        if best is not None:
-            yield best
-
-    return corpus.mapInPandas(nearest, "query_id long, vec_id long, similarity double")
+def top_k(queries: DataFrame, corpus: DataFrame, k: int, block: int = nearest.BLOCK_ROWS, id_col: str = "vec_id", vector_col: str = "embedding", group_col: str | None = None) -> DataFrame:
+    """``query_id, vec_id, similarity, place``: the k nearest of all rows (or of its group's) for each query, exact, ties by id."""
+    group = F.lit("") if group_col is None else F.col(group_col)
+    rows = lambda df: df.select(F.col(id_col).alias("id"), group.alias("group"), F.col(vector_col).alias("payload"))
+    found = nearest.top_k(rows(queries), rows(corpus), k, block_rows=block, part_queries=4 * block)
+    return found.withColumnRenamed("score", "similarity")

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as T
 from engram.functions.vector import cosine, embedder, l2, top_k
+from engram.operators.nearest import IvfIndex, by_occurrences
+from engram.operators.nearest import top_k as block_top_k
 from engram.operators.retrieval import BUDGET, HEADER, LIMIT, PER_SOURCE, RRF_K, first, fuse, line, pack, ranks
+from engram.session import stored
 from engram.sources import views
 from engram.sources.text_index import COVER, TextIndex
 
@@ -190,12 +193,19 @@ def vector_topk_per_group(spark, sf_dir):
 
 
 def _same_label(spark, sf_dir, k):
-    """Nearest rows of a query's own subject: an equi join, k best kept before and after the shuffle."""
-    rows = _embeddings(spark, sf_dir).select("vec_id", l2(F.col("embedding")).alias("unit"), "label")
-    asked = rows.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("unit").alias("query_unit"), "label")
-    near = asked.join(rows, "label").select("query_id", "vec_id", F.round(cosine(F.col("query_unit"), F.col("unit")), 6).alias("similarity"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")
-    return near.withColumn("place", F.row_number().over(order).cast("long")).filter(F.col("place") <= k)
+    """Nearest rows of a query's own subject, by blocks of the subject."""
+    rows = _embeddings(spark, sf_dir)
+    return top_k(rows.filter("vec_id % 20 = 0"), rows, k, group_col="label")
+
+
+def vector_ivf(spark, sf_dir):
+    """The same query set over an inverted file: approximate, so without an oracle; a test measures its recall."""
+    rows = _embeddings(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("embedding").alias("payload"))
+    path = stored(rows, "ivf embeddings", lambda own: IvfIndex(spark, own).build(rows))
+    return IvfIndex(spark, path).search(rows.filter("id % 20 = 0"), 10).select("query_id", "vec_id", F.col("score").alias("similarity"), "place")
+
+
+QUERIES["vector_ivf"] = vector_ivf
 
 
 @query(
@@ -264,13 +274,13 @@ _HITS = (
 def _ranked(spark, sf_dir):
     """Three sources for each query document: nearest vectors, term occurrences, same source; ranked within each."""
     docs = views.table(spark, sf_dir, "v_docs")
-    near = docs.filter("embedding IS NOT NULL").select("doc_id", "label", l2(F.col("embedding")).alias("unit"))
-    asked = near.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label", F.col("unit").alias("query_unit"))
-    vector = asked.join(near, "label").select("query_id", F.lit("vector").alias("source"), F.col("doc_id").alias("fact_id"), (-F.round(cosine(F.col("query_unit"), F.col("unit")), 6)).alias("score"))
-    said = docs.select("doc_id", "label", F.explode(F.transform(T.tokens(F.col("text")), F.lower)).alias("t")).groupBy("doc_id", "label", "t").agg(F.count(F.lit(1)).alias("n"))
-    terms = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label", F.explode(T.terms(F.col("text"))).alias("t"))
-    fulltext = terms.join(said, ["label", "t"]).groupBy("query_id", "doc_id").agg((-F.sum("n")).cast("double").alias("score"))
-    fulltext = fulltext.select("query_id", F.lit("fulltext").alias("source"), F.col("doc_id").alias("fact_id"), "score")
+    asked = docs.filter("doc_id % 20 = 0")
+    rows = lambda df, payload: df.select(F.col("doc_id").alias("id"), F.col("label").alias("group"), payload.alias("payload"))
+    hits = lambda found, source: found.select("query_id", F.lit(source).alias("source"), F.col("vec_id").alias("fact_id"), (-F.col("score")).alias("score"))
+    vector = hits(block_top_k(rows(asked, F.col("embedding")), rows(docs, F.col("embedding")), PER_SOURCE), "vector")
+    hashed = lambda words: F.transform(words, lambda t: F.xxhash64(F.lower(t)))
+    said, terms = rows(docs, hashed(T.tokens(F.col("text")))), rows(asked, hashed(T.terms(F.col("text"))))
+    fulltext = hits(block_top_k(terms, said, PER_SOURCE, by_occurrences), "fulltext")
     own = docs.filter("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "label", F.col("source").alias("from"))
     first_ids = Window.partitionBy("label", "source").orderBy("doc_id")  # hits of this source are equally good, so these are all that rank
     offered = docs.select("doc_id", "label", "source").withColumn("n", F.row_number().over(first_ids)).filter(F.col("n") <= PER_SOURCE)
