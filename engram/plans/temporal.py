@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from engram.functions.vector import cosine, embed_text, embedder
+from engram.operators import intervals
 from engram.operators.asof import as_of, edges_at
 from engram.operators.chains import ChainIndex
 from engram.operators.history import adjacency, neighbourhood
@@ -99,6 +100,37 @@ def close_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# -- interval joins ---------------------------------------------------------------------------------------------------
+
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
+@query(
+    "facts_at_turns",
+    "SELECT t.turn_id, count(*) AS facts, min(f.fact_id) AS first_fact, max(f.fact_id) AS last_fact FROM v_turns t JOIN v_facts f ON f.valid_from <= t.occurred_at AND (f.valid_to IS NULL OR f.valid_to > t.occurred_at) GROUP BY t.turn_id",
+)
+def facts_at_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What was true when each turn was said, over all subjects: an interval join of two tables without an equal key."""
+    turns = views.table(spark, sf_dir, "v_turns").select("turn_id", _micros("occurred_at").alias("at"))
+    facts = views.facts(spark, sf_dir).select("fact_id", _micros("valid_from").alias("start"), _micros("valid_to").alias("end"))
+    met = intervals.valid_at(turns, facts)
+    return met.groupBy(F.col("point.turn_id").alias("turn_id")).agg(F.count(F.lit(1)).alias("facts"), F.min("interval.fact_id").alias("first_fact"), F.max("interval.fact_id").alias("last_fact"))
+
+
+@query(
+    "facts_side_by_side",
+    "SELECT a.subject_id, a.predicate AS one, b.predicate AS other, count(*) AS pairs FROM v_facts a JOIN v_facts b ON a.subject_id = b.subject_id AND a.predicate < b.predicate "
+    "AND (b.valid_to IS NULL OR a.valid_from < b.valid_to) AND (a.valid_to IS NULL OR b.valid_from < a.valid_to) AND (a.valid_to IS NULL OR a.valid_from < a.valid_to) AND (b.valid_to IS NULL OR b.valid_from < b.valid_to) "
+    "GROUP BY a.subject_id, a.predicate, b.predicate",
+)
+def facts_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often two slots of a subject held at the same time: an interval join within each subject."""
+    facts = views.facts(spark, sf_dir).select("subject_id", "predicate", _micros("valid_from").alias("start"), _micros("valid_to").alias("end"))
+    met = intervals.overlapping(facts, facts, keys=("subject_id",)).filter("a.predicate < b.predicate")
+    return met.groupBy("a.subject_id", F.col("a.predicate").alias("one"), F.col("b.predicate").alias("other")).agg(F.count(F.lit(1)).alias("pairs"))
+
+
 # -- turns, traces, steps ---------------------------------------------------------------------------------------------
 
 shared("turns_projection", "SELECT turn_id, subject_id, session_id, role, content, coalesce(occurred_at, TIMESTAMP '2024-01-01 00:00:00') AS occurred_at FROM v_turns")
