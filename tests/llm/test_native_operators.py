@@ -99,6 +99,46 @@ def test_mixing_equals_brute_force(spark):
     assert [k.mix_key for k in keys] == sorted(k.mix_key for k in keys) or len({k.p for k in keys}) > 1
 
 
+def test_mixing_at_a_rate_of_a_million(spark):
+    rows = [(i, "x" * 1000, "big") for i in range(100)] + [(1000 + i, "y", "tiny") for i in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {"tiny": 0.95}
+    rate = 0.95 * (100_000 + 2) / 2 * 20
+    table = {r.mix_group: r for r in mixing.rates(df, weights, epochs=20.0).collect()}
+    assert abs(table["tiny"].rate - rate) < 1e-6 and rate > 900_000 and len(table["tiny"].cdf) < 21 * math.sqrt(rate)
+    assert table["tiny"].cdf[0] < 1e-15 and abs(table["tiny"].cdf[-1] - 1) < 1e-12
+    got = mixing.mix(df, weights, epochs=20.0).filter("source = 'tiny'").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("mix_copy").alias("copies"), F.max("mix_copies").alias("told")).collect()
+    for r in got:
+        assert r.n == r.copies == r.told and abs(r.n - rate) < 6 * math.sqrt(rate)
+        u = int(hashlib.md5(f"{mixing.SEED}|{r.doc_id}".encode()).hexdigest()[:13], 16) / 16**13
+        below = math.fsum(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)) for k in range(int(rate - 12 * math.sqrt(rate)), r.n))
+        assert abs(below - u) < 0.01 / math.sqrt(rate) + math.exp(r.n * math.log(rate) - rate - math.lgamma(r.n + 1))
+
+
+@pytest.mark.parametrize("rate", [0.3, 7.0, 499.0, 501.0, 40_000.0])
+def test_distribution(spark, rate):
+    row = mixing._distributions(spark.createDataFrame([(None, rate)], "mix_group string, rate double")).first()
+    exact, below = [], 0.0
+    for k in range(row.low + len(row.cdf)):
+        below += math.exp(k * math.log(rate) - rate - math.lgamma(k + 1))
+        exact.append(below)
+    assert max(abs(a - b) for a, b in zip(row.cdf, exact[row.low :], strict=True)) < 1e-9 and (row.low == 0) == (rate < 500)
+    if rate < 500:
+        assert max(abs(a - b) for a, b in zip(row.cdf, exact, strict=True)) < 1e-12
+
+
+def test_copies_without_an_id_are_spread(spark):
+    rows = [(None, f"text {i}", "s") for i in range(400)] + [(None, "the same", "s")] * 400
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(df, {"other": 0.1}, epochs=3.0).withColumn("p", F.spark_partition_id())
+    keys = got.filter("text <> 'the same' AND mix_copy = 1").select("text", "mix_key").distinct().collect()
+    assert len({r.mix_key for r in keys}) == len(keys) > 300
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(mix_key" in plan and "salt" in plan
+    long = mixing.mix(spark.createDataFrame([(1, "x" * 3_000_000, "s")], df.schema), {"other": 0.1}, epochs=2.0).select(F.length("text").alias("n"))
+    assert {r.n for r in long.collect()} <= {3_000_000}
+
+
 def test_mixing_reaches_its_weights_and_refuses_impossible_ones(spark):
     df = spark.createDataFrame([(i, "x" * 20, f"s{i % 2}") for i in range(20_000)], "doc_id long, text string, source string")
     got = {r.source: r["count"] for r in mixing.mix(df, {"s0": 0.8}).groupBy("source").count().collect()}
