@@ -13,12 +13,16 @@ The relational plan, with rows packed so that an n-gram of a block of documents
 1. The documents that a task reads are gathered into blocks of about BLOCK_CHARS. A block goes on as one row of word
    hashes: its vocabulary, most frequent first, and a place in it per word. Texts are read once and never shuffled.
 2. A block explodes its n-grams, adds up equal ones and sends them on by hash: one row per block and hash partition.
-3. A hash partition of the count table adds the blocks' counts and answers each block's row with the totals. A frequent
-   n-gram has one entry for each block at most, so it can't make a partition large.
+   Beyond FAN_OUT partitions that is done in levels: a block sends to at most FAN_OUT ranges of the hash, as many blocks
+   are added up within a range, and the sum is sent on to the parts of the range. A block so has at most FAN_OUT rows,
+   however many blocks and partitions there are; every level adds a passage of the (ever fewer) distinct n-grams.
+3. A hash partition of the count table adds the blocks' counts and answers each row that it got with the totals, which
+   go back the same way. A frequent n-gram has one entry for each sender at most, so it can't make a partition large.
 4. A block meets its answers, looks up the counts of each word in place, and sums per document. Steps 2 and 4 read the
    same exchange of blocks.
 
-Defined cases: null, empty and blank texts have no words, score 0 and a null mean. Rows that repeat an id are scored
+Defined cases: null, empty and blank texts have no words, score 0 and a null mean. A very long text isn't cut: the block
+that it ends is as long as it is, so a task takes some 60 bytes a character of the longest text. Rows that repeat an id are scored
 each, and count each. A null id is a row like any other. No rows give no rows. Only id and text are read.
 """
 
@@ -35,12 +39,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import WordHashes, id_and_text, table, windows, words_of
+from engram.llm.common import WordHashes, id_and_text, mixed, table, windows, words_of
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of a block, and blocks whose n-grams a hash partition of the count table is sized for. A larger block adds
 #: up more n-grams before the shuffle and takes more memory: on large executors, raise ``block_chars`` with the input.
 BLOCK_CHARS, BLOCKS_A_BUCKET = 12_000_000, 1
+#: Rows that a block sends per order at most, and senders whose rows are added up at once.
+FAN_OUT = 256
 
 
 def _pack(numbers: np.ndarray) -> bytes:
@@ -53,6 +59,28 @@ def _unpack(data: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
 
 
+_REQUEST = ["node", "owner", "k", "path", "keys", "counts"]
+
+
+def _kind(level: int) -> type:
+    """Counts of one block fit 32 bits, sums over blocks may not."""
+    return np.int32 if level == 1 else np.int64
+
+
+def _plan(blocks: int, buckets: int, fan_out: int) -> tuple[int, int, list[int]]:
+    """How many levels, ranges per level, and groups of senders on each level (from 1; one on the last)."""
+    levels = 1
+    while fan_out**levels < buckets:
+        levels += 1
+    wide = 1
+    while wide**levels < buckets:
+        wide += 1
+    groups = [blocks]
+    for _ in range(levels - 1):
+        groups.append(-(-groups[-1] // max(wide, 2)))
+    return levels, wide, [*groups, 1]
+
+
 class _Block:
     """The words of a block of documents. n-grams of one length exist at a time: memory doesn't grow with the order."""
 
@@ -99,12 +127,12 @@ class _Block:
         return np.bincount(owner, weights=log_score, minlength=len(self.sizes))
 
 
-def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, fan_out: int = FAN_OUT) -> DataFrame:
     """One row per document: ``doc_id, n_words, log_score, mean_log_score``."""
     rows = id_and_text(docs, id_col, text_col)
     chars, words = rows.select(F.sum(F.length("text")), F.sum(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")))).first()
     parts, words = int(chars or 0) // block_chars + 1, int(words or 0)
-    buckets = -(-parts // BLOCKS_A_BUCKET)
+    levels, wide, groups = _plan(parts, -(-parts // BLOCKS_A_BUCKET), fan_out)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, task, number = WordHashes(), TaskContext.get().partitionId(), 0
@@ -125,32 +153,64 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
         if ids:
             yield close()
 
+    def split(owner: int, group: int, k: int, keys: np.ndarray, counts: np.ndarray, level: int) -> Iterator[tuple]:
+        """A row for each range of the hash on a level; ranges ascend with the keys."""
+        path = (((keys >> np.uint64(32)) * np.uint64(wide**levels)) >> np.uint64(32)) // np.uint64(wide ** (levels - level))
+        first = np.flatnonzero(np.concatenate(([True], path[1:] != path[:-1]))) if len(keys) else []
+        for lo, hi in pairwise([*first, len(keys)]):
+            yield group * wide**level + int(path[lo]), owner, k, int(path[lo]), _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(counts[lo:hi].astype(_kind(level)))
+
     def explode(frame: pd.DataFrame) -> pd.DataFrame:
-        block, out = _Block(frame.iloc[0]), []
+        block, owner, out = _Block(frame.iloc[0]), int(frame["block"].iat[0]), []
+        group = int(mixed(np.array([owner], dtype=np.uint64))[0]) % groups[1]
         for k in range(1, order + 1):
             keys, counts = np.unique(block.grams(k)[1], return_counts=True)
-            bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)  # ascending with the keys
-            first = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1]))) if len(keys) else []
-            for lo, hi in pairwise([*first, len(keys)]):
-                out.append((int(bucket[lo]), int(frame["block"].iat[0]), k, _pack(np.diff(keys[lo:hi], prepend=np.uint64(0))), _pack(counts[lo:hi].astype(np.int32))))
-        return pd.DataFrame(out, columns=["bucket", "block", "k", "keys", "counts"])
+            out += split(owner, group, k, keys, counts, 1)
+        return pd.DataFrame(out, columns=_REQUEST)
+
+    def added(rows: pd.DataFrame, level: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """Distinct keys, their counts, and for each row where its keys are among them."""
+        keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in rows["keys"]]
+        ends = np.cumsum([len(x) for x in keys])
+        distinct, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        del keys
+        totals = np.bincount(inverse, weights=np.concatenate([_unpack(x, _kind(level)) for x in rows["counts"]])).astype(np.int64)
+        return distinct, totals, np.split(inverse, ends[:-1])
+
+    def answers_to(rows: pd.DataFrame, totals: np.ndarray, places: list[np.ndarray]) -> pd.DataFrame:
+        return pd.DataFrame({"owner": rows["owner"], "k": rows["k"], "path": rows["path"], "totals": [_pack(totals[x]) for x in places]})
+
+    def pass_on(level: int) -> Callable:
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            node, out = int(frame["node"].iat[0]), []
+            group = node // wide**level * groups[level + 1] // groups[level]
+            for k, rows in frame.groupby("k", sort=True):
+                keys, counts, _ = added(rows, level)
+                out += split(node, group, k, keys, counts, level + 1)
+            return pd.DataFrame(out, columns=_REQUEST)
+
+        return run
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         out = []
-        for k, group in frame.groupby("k", sort=True):
-            keys = [np.cumsum(_unpack(x, np.uint64), dtype=np.uint64) for x in group["keys"]]
-            ends = np.cumsum([len(x) for x in keys])
-            keys = np.concatenate(keys)
-            inverse = np.unique(keys, return_inverse=True)[1]
-            del keys
-            totals = np.bincount(inverse, weights=np.concatenate([_unpack(x, np.int32) for x in group["counts"]])).astype(np.int64)
-            answers = [_pack(totals[x]) for x in np.split(inverse, ends[:-1])]
-            out.append(pd.DataFrame({"block": group["block"], "k": k, "bucket": group["bucket"], "totals": answers}))
+        for _, rows in frame.groupby("k", sort=True):
+            _, totals, places = added(rows, levels)
+            out.append(answers_to(rows, totals, places))
         return pd.concat(out)
 
+    def pass_back(level: int) -> Callable:
+        def run(frame: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+            out, told = [], told.sort_values(["k", "path"])
+            for k, rows in frame.groupby("k", sort=True):
+                totals = np.concatenate([_unpack(x, np.int64) for x in told["totals"][told["k"] == k]])
+                out.append(answers_to(rows, totals, added(rows, level)[2]))
+            return pd.concat(out)
+
+        return run
+
     def look_up(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         block = _Block(left.iloc[0])
-        right = right.sort_values(["k", "bucket"])
+        right = right.sort_values(["k", "path"])
 
         def totals(k: int) -> np.ndarray:
             return np.concatenate([np.empty(0, np.int64), *(_unpack(x, np.int64) for x in right["totals"][right["k"] == k])])
@@ -162,9 +222,14 @@ def score(docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, min_count:
 
     schema = pa.schema([("block", pa.int64()), *((c, pa.binary()) for c in ("ids", "null", "sizes", "vocabulary", "places"))])
     blocks = rows.mapInArrow(gather, "block long, ids binary, null binary, sizes binary, vocabulary binary, places binary")
-    requests = blocks.groupBy("block").applyInPandas(explode, "bucket int, block long, k int, keys binary, counts binary")
-    answers = requests.groupBy("bucket").applyInPandas(add, "block long, k int, bucket int, totals binary")
-    scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(look_up, "doc_id long, n_words long, log_score double, mean_log_score double")
+    request, answer = "node long, owner long, k int, path long, keys binary, counts binary", "owner long, k int, path long, totals binary"
+    sent = [blocks.groupBy("block").applyInPandas(explode, request)]
+    for level in range(1, levels):
+        sent.append(sent[-1].groupBy("node").applyInPandas(pass_on(level), request))
+    answers = sent.pop().groupBy("node").applyInPandas(add, answer)
+    for level in range(levels - 1, 0, -1):
+        answers = sent.pop().groupBy("node").cogroup(answers.groupBy("owner")).applyInPandas(pass_back(level), answer)
+    scored = blocks.groupBy("block").cogroup(answers.groupBy("owner")).applyInPandas(look_up, "doc_id long, n_words long, log_score double, mean_log_score double")
     return scored.withColumn("mean_log_score", F.nanvl("mean_log_score", F.lit(None).cast("double")))
 
 

@@ -52,6 +52,21 @@ def test_backoff_equals_brute_force_over_any_blocks(spark, order, chars):
     assert {r.mean_log_score for r in got if r.n_words == 0} == {None}
 
 
+@pytest.mark.parametrize(("fan_out", "chars"), [(2, 120), (3, 40), (2, 5)])
+def test_backoff_in_levels_equals_brute_force(spark, fan_out, chars):
+    r = random.Random(chars)
+    rows = [(i, " ".join(r.choice(["a", "B", "cc", "d", "É"]) for _ in range(r.randint(0, 12)))) for i in range(40)] + [(50, "w " * 60), (None, None)]
+    got = lm_scoring.score(frame(spark, rows), block_chars=chars, fan_out=fan_out).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, f"{r.log_score:.4f}".replace("-0.0000", "0.0000")) for r in got) == backoff_brute(rows, 3, 0.4, 2)
+
+
+@pytest.mark.parametrize("blocks", [1, 2, 256, 257, 2_500, 83_000, 8_300_000])
+def test_a_block_sends_no_more_rows_however_many_blocks_there_are(blocks):
+    levels, wide, groups = lm_scoring._plan(blocks, blocks, lm_scoring.FAN_OUT)
+    assert wide <= lm_scoring.FAN_OUT and wide**levels >= blocks and groups[0] == blocks and groups[levels] == 1 and len(groups) == levels + 1
+    assert all(groups[n] <= wide * groups[n + 1] for n in range(levels)) and (levels == 1) == (blocks <= lm_scoring.FAN_OUT)
+
+
 def test_registered_scoring_backs_off_from_trigrams(spark, tmp_path):
     rows = [(1, "a b c"), (2, "a b c"), (3, "x b c"), (4, "a b d"), (None, "c"), (6, None)]
     frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
