@@ -2,36 +2,59 @@
 
 from __future__ import annotations
 
-import json
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-MAX_DEPTH = 32
+#: Levels that a redacted text keeps, and levels that are searched for ids.
+MAX_DEPTH, LEVELS = 32, 4
 
 
-def redacted(value, depth: int = 0):
-    """All leaves null, keys and lengths kept; what is deeper than the bound is null."""
-    if depth > MAX_DEPTH:
-        return None
-    if isinstance(value, dict):
-        return {k: redacted(v, depth + 1) for k, v in value.items()}
-    return [redacted(v, depth + 1) for v in value] if isinstance(value, list) else None
+_KEY, _TEXT = r'"[^"\\]*+(?:\\.[^"\\]*+)*+"\s*:', r'"[^"\\]*+(?:\\.[^"\\]*+)*+"'
+_TOKEN = rf"({_KEY}|{_TEXT}|[{{}}\[\],]|[^\s{{}}\[\],\":]+)"
 
 
-@F.pandas_udf(StringType())
-def redact(text: pd.Series) -> pd.Series:
-    """Redacted JSON text; null and what isn't JSON become null."""
+def redact(text: Column | str) -> Column:
+    """JSON text with all leaves null; keys (in their order) and lengths stay. Values below MAX_DEPTH levels are null.
 
-    def one(x: str) -> str | None:
-        try:
-            return json.dumps(redacted(json.loads(x)), ensure_ascii=False)
-        except ValueError:
-            return None
+    Null, what isn't JSON and an object that repeats a key become null, so nothing is left of what can't be read.
+    """
+    text = F.col(text) if isinstance(text, str) else text
+    tokens = F.regexp_extract_all(text, F.lit(f"(?s){_TOKEN}"), F.lit(1))
+    is_key = lambda t: F.startswith(t, F.lit('"')) & F.endswith(t, F.lit(":"))
+    kept = lambda t: F.when(t == ",", ", ").when(is_key(t), F.concat(F.regexp_replace(t, r"\s*:$", ""), F.lit(": "))).when(t.isin("{", "}", "[", "]"), t).otherwise("null")
 
-    return text.map(one, na_action="ignore")
+    def step(acc: Column, t: Column) -> Column:
+        opens, closes = t.isin("{", "["), t.isin("}", "]")
+        inside = acc["depth"] + opens.cast("int")
+        told = F.when(inside <= MAX_DEPTH, kept(t)).when(opens & (inside == MAX_DEPTH + 1), "null").otherwise("")
+        return F.struct((inside - closes.cast("int")).alias("depth"), F.concat(acc["told"], told).alias("told"), F.greatest(acc["most"], inside).alias("most"))
+
+    shallow = F.array_join(F.transform(tokens, kept), "")
+    opened = F.size(F.filter(tokens, lambda t: t.isin("{", "[")))
+    deep = F.aggregate(tokens, F.struct(F.lit(0).alias("depth"), F.lit("").alias("told"), F.lit(0).alias("most")), step, lambda acc: acc["told"])
+    # the parser stops after a first value; only one value fits both into a list and into an object
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"x":'), text, F.lit("}"))).isNotNull()
+    return F.when(one & (F.size(tokens) > 0), F.when(opened <= MAX_DEPTH, shallow).otherwise(deep))
+
+
+def named_ids(steps: DataFrame, json: str, names: tuple[str, ...], key: str = "step_id", levels: int = LEVELS) -> DataFrame:
+    """``<key>, id``: whole numbers anywhere in a JSON column under one of the ``names`` (or in a list under it), each once.
+
+    Level by level through the VARIANT's members, without Python and without a schema; a member of a list goes by the
+    list's name. Members below ``levels`` aren't read. What isn't JSON, or repeats a key, names nothing.
+    """
+    spark = steps.sparkSession
+    level = steps.select(F.col(key).alias("_key"), F.lit(None).cast("string").alias("_name"), F.try_parse_json(F.col(json)).alias("_value")).filter("_value IS NOT NULL")
+    found = []
+    for _ in range(levels):
+        members = spark.sql("SELECT _key, coalesce(m.key, _name) AS _name, m.value AS _value FROM {level}, LATERAL variant_explode(_value) AS m", level=level)
+        kind = F.schema_of_variant("_value")
+        nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
+        found.append(members.filter(F.col("_name").isin(*names) & (kind == "BIGINT")).select(F.col("_key").alias(key), F.variant_get("_value", "$", "bigint").alias("id")))
+        level = members.filter(nested)
+    return reduce(DataFrame.union, found).distinct()
 
 
 def model_object(text: Column) -> Column:

@@ -56,6 +56,8 @@ TOPICS: dict[str, tuple[str, ...]] = {
 #: How a fact is worded, and objects that say nothing.
 WORDING = {"wohnt_in": "Wohnt in %s.", "arbeitet_bei": "Arbeitet bei %s.", "heisst": "Heißt %s.", "mag": "Mag %s.", "mag_nicht": "Mag kein %s.", "hat": "Hat %s.", "ist": "Ist %s.", "status": "Ist zurzeit %s."}
 EMPTY_OBJECTS = ("das", "es", "dies", "hier", "da", "so", "it", "that", "this")
+#: Predicates of passing states.
+TEMPORARY = ("status",)
 MAX_OBJECT, MAX_CONTENT, REVOKED, HEDGED = 120, 500, 0.9, 0.25
 #: Month names (folded).
 MONTHS = {
@@ -136,6 +138,6 @@ def extract(turns: DataFrame) -> DataFrame:
     revoked = F.col("topic").isNotNull()
     return rows.withColumn("nth", nth).withColumn("reason", reason).select(
         "turn_id", "place", "sentence", "kind", "reason", F.when(F.col("reason").isNull(), F.col("content")).alias("content"), F.when(revoked, "retract").otherwise("assert").alias("op_hint"),
-        F.when(~revoked, F.col("found.predicate")).alias("predicate"), F.when(~revoked, F.col("found.object")).alias("object"), F.when(~revoked, F.col("found.object_kind")).alias("object_kind"),
+        F.when(~revoked, F.col("found.predicate")).alias("predicate"), F.coalesce(~revoked & F.col("found.predicate").isin(*TEMPORARY), F.lit(False)).alias("temporary"), F.when(~revoked, F.col("found.object")).alias("object"), F.when(~revoked, F.col("found.object_kind")).alias("object_kind"),
         F.when(revoked, F.lit(REVOKED)).otherwise(F.col("found.confidence")).alias("confidence"), since(F.col("sentence"), F.col("folded"), F.col("occurred_at").cast("date")).alias("valid_from"), "topic",
     )

@@ -9,6 +9,7 @@ from engram.functions.json_text import model_object, redact
 from engram.functions.text import normalise
 from engram.operators import consolidation as C
 from engram.operators import extraction as E
+from engram.operators.extraction_udtf import extract_table
 from engram.sources import views
 
 QUERIES: dict = {}
@@ -34,8 +35,7 @@ _SAID = (
 )
 
 
-@query(
-    "extract_assertions",
+_CANDIDATES = (
     f"WITH s AS ({_SAID}) SELECT turn_id, predicate, content, confidence FROM ("
     "SELECT turn_id, role, 'wohnt_in' AS predicate, 'Wohnt in ' || n_name || '.' AS content, 0.85::DOUBLE AS confidence FROM s WHERE turn_id % 8 = 0 "
     "UNION ALL SELECT turn_id, role, 'arbeitet_bei', 'Arbeitet bei ' || c_name || '.', 0.85 FROM s WHERE turn_id % 8 = 1 "
@@ -43,14 +43,23 @@ _SAID = (
     "UNION ALL SELECT turn_id, role, 'wohnt_in', 'Wohnt in ' || n_name || '.', 0.6 FROM s WHERE turn_id % 8 = 3 "
     "UNION ALL SELECT turn_id, role, NULL, 'Widerruf: Angaben zu „meinen Arbeitgeber“ sollen vergessen werden.', 0.9 FROM s WHERE turn_id % 8 = 4 "
     "UNION ALL SELECT turn_id, role, 'status', 'Ist zurzeit ' || n_name || '.', 0.85 FROM s WHERE turn_id % 8 = 5 "
-    "UNION ALL SELECT turn_id, role, 'heisst', 'Heißt ' || c_name || '; Ich liebe es.', 0.85 FROM s WHERE turn_id % 8 = 7) WHERE role = 'user'",
+    "UNION ALL SELECT turn_id, role, 'heisst', 'Heißt ' || c_name || '; Ich liebe es.', 0.85 FROM s WHERE turn_id % 8 = 7) WHERE role = 'user'"
 )
+
+
+@query("extract_assertions", _CANDIDATES)
 def extract_assertions(spark, sf_dir):
     """Sentences made from all customers, through the pattern table."""
     found = E.extract(views.sql(spark, sf_dir, _SAID))
     return found.filter("reason IS NULL").select("turn_id", "predicate", "content", "confidence")
 
 
+@query("extract_candidates", f"SELECT *, predicate IS NOT DISTINCT FROM 'status' AS temporary FROM ({_CANDIDATES})")
+def extract_candidates(spark, sf_dir):
+    """The same turns through the Arrow table function, with the flag of passing states."""
+    return extract_table(views.sql(spark, sf_dir, _SAID)).select("turn_id", "predicate", "content", "confidence", "temporary")
+
+
 _SINCE = (
     "SELECT o_orderkey AS id, o_orderdate AS reference, CASE o_orderkey % 5 WHEN 0 THEN 'Ich wohne seit ' || CASE o_orderkey % 3 WHEN 0 THEN 'März' WHEN 1 THEN 'Dezember' ELSE 'dem Mai' END || ' hier' "
     "WHEN 1 THEN 'since ' || CASE o_orderkey % 2 WHEN 0 THEN 'June' ELSE 'October' END || ' ' || (1990 + o_orderkey % 30) WHEN 2 THEN 'seit ' || (1990 + o_orderkey % 30) WHEN 3 THEN 'seit gestern' ELSE 'ohne Angabe' END AS sentence FROM orders"

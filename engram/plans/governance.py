@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from engram.evals import suite
+from engram.functions.json_text import named_ids
 from engram.operators.memory import ingest
 from engram.plans.decisions import _SAID
 from engram.plans.temporal import derivations
@@ -61,8 +62,8 @@ _STEPS = (
     "WHERE s.about IN (SELECT fact_id FROM affected)"
 )
 _VIA = "SELECT trace_id FROM v_lineage WHERE fact_id IN (SELECT fact_id FROM affected) UNION SELECT trace_id FROM v_lineage WHERE parent_id IN (SELECT fact_id FROM affected)"
-#: What a step's JSON says about facts: ids that were included, fused, or compared with.
-OUTPUT = "included array<bigint>, fused array<struct<fact_id:bigint>>, neighbours array<struct<id:bigint>>"
+#: Under what a step's JSON names facts: those that were included, fused, or compared with.
+NAMES = ("included", "fact_id", "id")
 
 
 @query("turns_to_redact", _AFFECTED + _TURNS)
@@ -75,11 +76,9 @@ def turns_to_redact(spark, sf_dir, gone=None):
 
 
 def _mentioning(spark, sf_dir, gone):
-    """Steps whose JSON contains an affected fact: its ids are exploded, then one equi join (no containment per pair)."""
-    said = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL").select("step_id", F.from_json("output", OUTPUT).alias("o"))
-    nothing = F.array().cast("array<bigint>")
-    ids = F.array_distinct(F.concat(*[F.coalesce(F.col(c), nothing) for c in ("o.included", "o.fused.fact_id", "o.neighbours.id")]))
-    return said.select("step_id", F.explode(ids).alias("fact_id")).join(gone, "fact_id", "left_semi").select("step_id").distinct()
+    """Steps whose JSON names an affected fact: its ids are exploded, then one equi join (no containment per pair)."""
+    said = views.table(spark, sf_dir, "v_steps").filter("redacted_at IS NULL")
+    return named_ids(said, "output", NAMES).withColumnRenamed("id", "fact_id").join(gone, "fact_id", "left_semi").select("step_id").distinct()
 
 
 @query("steps_mentioning_fact", _AFFECTED + _STEPS)
