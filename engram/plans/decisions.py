@@ -134,7 +134,7 @@ _FINAL = (
 _TARGET = "CASE WHEN op = 'retract' OR (final = op AND op IN ('noop', 'update', 'merge')) THEN parent_id END"
 
 
-def _policed(spark, sf_dir):
+def policed(spark, sf_dir):
     rows = views.sql(spark, sf_dir, _DECIDED)
     targets = F.array_compact(F.array("parent_id"))
     return rows.withColumn("p", C.policy(F.col("op"), targets, F.col("confidence"), targets))
@@ -142,7 +142,7 @@ def _policed(spark, sf_dir):
 
 @query("policy_gate", f"SELECT fact_id, final AS op, {_TARGET} AS target, CASE WHEN final <> op THEN op END AS proposed FROM ({_FINAL})")
 def policy_gate(spark, sf_dir):
-    return _policed(spark, sf_dir).select("fact_id", "p.op", F.try_element_at("p.targets", F.lit(1)).alias("target"), "p.proposed")
+    return policed(spark, sf_dir).select("fact_id", "p.op", F.try_element_at("p.targets", F.lit(1)).alias("target"), "p.proposed")
 
 
 @query(
@@ -154,7 +154,7 @@ def policy_gate(spark, sf_dir):
 )
 def apply_decisions(spark, sf_dir):
     """The rows that each decision writes: inserts, closes, lineage."""
-    rows = _policed(spark, sf_dir).select(F.col("fact_id").alias("decided"), F.explode(C.written(F.col("p.op"), F.col("p.targets"), F.col("fact_id"))).alias("w"))
+    rows = policed(spark, sf_dir).select(F.col("fact_id").alias("decided"), F.explode(C.written(F.col("p.op"), F.col("p.targets"), F.col("fact_id"))).alias("w"))
     return rows.select("decided", "w.action", F.col("w.fact_id").alias("written"), "w.target")
 
 

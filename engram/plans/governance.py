@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 
 from engram.evals import suite
 from engram.functions.json_text import named_ids
+from engram.operators.digests import DigestedTable, differences
 from engram.operators.memory import ingest
-from engram.plans.decisions import _SAID
+from engram.operators.needles import holding
+from engram.plans.decisions import _FINAL, _TARGET, policed
+from engram.plans.decisions import _SAID as _TOLD
 from engram.plans.temporal import derivations
+from engram.session import Scratch
 from engram.sources import views
 
 QUERIES: dict = {}
@@ -203,21 +207,53 @@ def residue_counts(spark, sf_dir):
     return every.groupBy("store", "needle").agg(F.sum("n").alias("found"))
 
 
+_SAID = "f.predicate || ' ' || CAST(floor(f.value / 10) AS BIGINT)"
+_REPLAYED = (
+    f"WITH d AS (SELECT fact_id, final, {_TARGET} AS target FROM ({_FINAL})), a AS (SELECT DISTINCT f.subject_id, {_SAID} AS said FROM v_facts f WHERE f.status = 'active'), "
+    f"b AS (SELECT DISTINCT f.subject_id, {_SAID} AS said FROM v_facts f JOIN d ON f.fact_id = d.fact_id WHERE d.final IN ('add', 'update', 'merge') "
+    "AND NOT EXISTS (SELECT 1 FROM d c WHERE c.target = f.fact_id AND c.final IN ('update', 'merge', 'retract'))) "
+)
+
+
+def _statements(rows):
+    """What facts say, by subject and day: the keys of a comparison."""
+    said = F.concat("predicate", F.lit(" "), F.floor(F.col("value") / 10).cast("string")).alias("said")
+    return rows.select("subject_id", said, F.date_format("valid_from", "yyyy-MM-dd").alias("bucket"))
+
+
 @query(
     "replay_diff",
-    "WITH a AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE status = 'active'), "
-    "b AS (SELECT DISTINCT subject_id, predicate || ' ' || CAST(floor(value / 10) AS BIGINT) AS said FROM v_facts WHERE invalidated_at IS NULL AND value > 12 OR status = 'retracted') "
-    "SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.said, b.said) AS said, CASE WHEN b.said IS NULL THEN 'only_original' WHEN a.said IS NULL THEN 'only_replay' ELSE 'unchanged' END AS side "
+    _REPLAYED + "SELECT coalesce(a.subject_id, b.subject_id) AS subject_id, coalesce(a.said, b.said) AS said, CASE WHEN b.said IS NULL THEN 'only_original' WHEN a.said IS NULL THEN 'only_replay' ELSE 'unchanged' END AS side "
     "FROM a FULL JOIN b ON a.subject_id = b.subject_id AND a.said = b.said",
 )
 def replay_diff(spark, sf_dir):
-    """Facts of the original and of the replay, keyed by what they say."""
-    said = F.concat("predicate", F.lit(" "), F.floor(F.col("value") / 10).cast("string")).alias("said")
+    """Facts on record against those of a replay of all decisions through the policy, compared by digests."""
     facts = views.facts(spark, sf_dir)
-    original = facts.filter("status = 'active'").select("subject_id", said).distinct().withColumn("a", F.lit(True))
-    replay = facts.filter("invalidated_at IS NULL AND value > 12 OR status = 'retracted'").select("subject_id", said).distinct().withColumn("b", F.lit(True))
-    side = F.when(F.col("b").isNull(), "only_original").when(F.col("a").isNull(), "only_replay").otherwise("unchanged")
-    return original.join(replay, ["subject_id", "said"], "full_outer").select("subject_id", "said", side.alias("side"))
+    decided = policed(spark, sf_dir).select("fact_id", "p.op", "p.targets")
+    inserted = decided.filter(F.col("op").isin("add", "update", "merge")).select("fact_id")
+    closed = decided.filter(F.col("op").isin("update", "merge", "retract")).select(F.explode("targets").alias("fact_id"))
+    replayed = facts.join(inserted, "fact_id", "left_semi").join(closed, "fact_id", "left_anti")
+    scratch = Scratch(spark)
+    tables = []
+    for name, rows in (("original", facts.filter("status = 'active'")), ("replay", replayed)):
+        tables.append(DigestedTable(spark, scratch.folder(name)))
+        tables[-1].build(_statements(rows))
+    apart = scratch.keep(differences(*tables))
+    same = tables[0].rows().select("subject_id", "said").join(apart.filter("side = 'only_original'"), ["subject_id", "said"], "left_anti")
+    return apart.union(same.select("subject_id", "said", F.lit("unchanged")))
+
+
+@query(
+    "residue_of_names",
+    "WITH n AS (SELECT DISTINCT name FROM v_entities WHERE name IS NOT NULL) SELECT store, name, count(*) AS found FROM ("
+    + " UNION ALL ".join(f"SELECT '{store}' AS store, n.name FROM {t} s JOIN n ON contains(lower(s.{column}), lower(n.name))" for store, t, column in _STORES)
+    + ") GROUP BY store, name",
+)
+def residue_of_names(spark, sf_dir):
+    """In which stores the names of all entities are still found, and how often: thousands of needles in one pass."""
+    texts = [views.table(spark, sf_dir, t).select(F.lit(store).alias("id"), F.col(column).alias("text")) for store, t, column in _STORES]
+    found = holding(reduce(DataFrame.union, texts), views.table(spark, sf_dir, "v_entities").select(F.col("name").alias("needle")))
+    return found.groupBy(F.col("id").alias("store"), F.col("needle").alias("name")).agg(F.count(F.lit(1)).alias("found"))
 
 
 # -- evaluation -------------------------------------------------------------------------------------------------------
@@ -289,7 +325,7 @@ def probe_preconditions(spark, sf_dir):
 
 def memory_fold(spark, sf_dir):
     """Stages 1 and 2 over turns made from all customers dealt to subjects, in order within each."""
-    said = views.sql(spark, sf_dir, _SAID)
+    said = views.sql(spark, sf_dir, _TOLD)
     turns = said.select((F.col("turn_id") % F.lit(97)).cast("string").alias("subject_id"), F.lit("x").alias("session_id"), "turn_id", "role", "content", "occurred_at")
     return ingest(turns).select("subject_id", "fact_id", "content", "status", "predicate", "confidence")
 

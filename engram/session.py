@@ -73,6 +73,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root, self.paths = spark, f"{checkpoint_dir(spark).rstrip('/')}/engram-{uuid.uuid4().hex}", {}
+        self.folders: list[str] = []
 
     def keep(self, df: DataFrame) -> DataFrame:
         """Write the rows and read them again."""
@@ -84,6 +85,13 @@ class Scratch:
         self.paths[path] = kept
         return kept
 
+    def folder(self, name: str) -> str:
+        """A folder of this run for what isn't a single table; it goes with the rest."""
+        path = f"{self.root}/{name}"
+        self._files(self.root)[0].deleteOnExit(self._files(self.root)[1])
+        self.folders.append(path)
+        return path
+
     def keep_new(self, df: DataFrame) -> DataFrame | None:
         """As ``keep``; None if there are no rows, which the writing itself counts."""
         seen = Observation()
@@ -107,6 +115,8 @@ class Scratch:
 
     def __exit__(self, *_: object) -> None:
         self.drop_all_but()
+        for path in self.folders:
+            self._delete(path)
 
     def _files(self, path: str):
         target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
