@@ -4,17 +4,19 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.evals import suite
 from engram.functions.json_text import named_ids
+from engram.operators.asof import as_of
 from engram.operators.digests import DigestedTable, differences
 from engram.operators.memory import ingest
 from engram.operators.needles import holding
+from engram.operators.retrieval import LIMIT
 from engram.plans.decisions import _FINAL, _TARGET, policed
 from engram.plans.decisions import _SAID as _TOLD
-from engram.plans.temporal import derivations
+from engram.plans.temporal import TX, derivations
 from engram.session import Scratch
 from engram.sources import views
 
@@ -276,51 +278,116 @@ shared(
     f"SELECT s.kind, s.rate, t.bound, CASE WHEN s.rate IS NULL THEN false WHEN t.lower_bound THEN s.rate < t.bound ELSE s.rate > t.bound END AS breached FROM (SELECT kind, {_VALUE} AS rate FROM ({_RATES}) r) s "
     "JOIN (SELECT 'update_recall' AS kind, CAST(0.9 AS DOUBLE) AS bound, true AS lower_bound UNION ALL SELECT 'stale', 0.1, false UNION ALL SELECT 'false_retraction', 0.05, false UNION ALL SELECT 'erasure', 1.0, true) t ON s.kind = t.kind",
 )
-_NEEDLES = "SELECT DISTINCT predicate AS needle FROM v_facts UNION SELECT 'nie gesagt'"
-_CONTEXT = "SELECT subject_id, string_agg(predicate, ' ' ORDER BY predicate) AS context FROM v_facts WHERE invalidated_at IS NULL AND status <> 'retracted' AND value > 20 GROUP BY subject_id"
-_ASKED = f"SELECT c.subject_id, c.context, n.needle FROM ({_CONTEXT}) c, ({_NEEDLES}) n"
+#: What was delivered: the latest facts visible at an earlier instant, up to the retrieval limit. Asked for is what a subject
+#: and the one after it ever said.
+_SPOKEN = "predicate || ' ' || CAST(floor(value / 10) AS BIGINT)"
+_STATED = f"SELECT DISTINCT subject_id, {_SPOKEN} AS said FROM v_facts"
+_CONTEXT = (
+    f"SELECT subject_id, string_agg(said, ' | ' ORDER BY said) AS context FROM (SELECT subject_id, {_SPOKEN} AS said, row_number() OVER (PARTITION BY subject_id ORDER BY valid_from DESC, fact_id DESC) AS n FROM v_facts "
+    f"WHERE recorded_at <= TIMESTAMP '{TX}' AND (invalidated_at IS NULL OR invalidated_at > TIMESTAMP '{TX}')) WHERE n <= {LIMIT} GROUP BY subject_id"
+)
+_ASKED = (
+    f"SELECT n.subject_id, coalesce(c.context, '') AS context, n.needle FROM (SELECT subject_id, said AS needle FROM ({_STATED}) UNION SELECT subject_id - 1, said FROM ({_STATED})) n "
+    f"JOIN (SELECT DISTINCT subject_id FROM v_facts) k ON n.subject_id = k.subject_id LEFT JOIN ({_CONTEXT}) c ON n.subject_id = c.subject_id"
+)
+
+
+def _spoken(facts):
+    return F.concat("predicate", F.lit(" "), F.floor(F.col("value") / 10).cast("string"))
 
 
 def _asked(spark, sf_dir):
-    """Each subject's context with every needle. Needles are few by design (of one evaluation) and go along as an array."""
+    """Every needle of a subject with the context that was delivered to it."""
+    facts = views.facts(spark, sf_dir)
+    latest = Window.partitionBy("subject_id").orderBy(F.desc("valid_from"), F.desc("fact_id"))
+    delivered = facts.filter(as_of(TX)).withColumn("n", F.row_number().over(latest)).filter(F.col("n") <= LIMIT)
+    context = delivered.groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_list(_spoken(delivered))), " | ").alias("context"))
+    own = facts.select("subject_id", _spoken(facts).alias("needle"))
+    needles = own.union(own.select(F.col("subject_id") - 1, "needle")).distinct().join(facts.select("subject_id").distinct(), "subject_id", "left_semi")
+    return needles.join(context, "subject_id", "left").select("subject_id", F.coalesce("context", F.lit("")).alias("context"), "needle")
+
+
+def _stored(spark, sf_dir):
+    """``subject_id, needle, active``: what was ever stored, and whether it still holds."""
     facts = views.facts(spark, sf_dir)
-    context = facts.filter("invalidated_at IS NULL AND status <> 'retracted' AND value > 20").groupBy("subject_id").agg(F.array_join(F.sort_array(F.collect_list("predicate")), " ").alias("context"))
-    needles = facts.select("predicate").distinct().agg(F.array_append(F.sort_array(F.collect_set("predicate")), F.lit("nie gesagt")).alias("needles"))
-    return context.join(F.broadcast(needles)).select("subject_id", "context", F.explode("needles").alias("needle"))
+    return facts.groupBy("subject_id", _spoken(facts).alias("needle")).agg(F.max(F.col("status") == "active").alias("active"))
+
+
+_IN_STORE = f"SELECT subject_id, {_SPOKEN} AS said, count(*) FILTER (status = 'active') AS active FROM v_facts GROUP BY ALL"
+_PROBED = f"SELECT a.*, f.active FROM ({_ASKED}) a LEFT JOIN ({_IN_STORE}) f ON f.subject_id = a.subject_id AND f.said = a.needle"
 
 
-@query("probe_present", f"SELECT subject_id, needle, CASE WHEN contains(lower(context), lower(needle)) THEN 'pass' ELSE 'fail' END AS outcome FROM ({_ASKED})")
+@query("probe_present", f"SELECT subject_id, needle, CASE WHEN contains(lower(context), lower(needle)) THEN 'pass' ELSE 'fail' END AS outcome FROM ({_PROBED}) WHERE active > 0")
 def probe_present(spark, sf_dir):
-    return _asked(spark, sf_dir).select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "pass").otherwise("fail").alias("outcome"))
+    """What holds must have been delivered."""
+    rows = _asked(spark, sf_dir).join(_stored(spark, sf_dir).filter("active"), ["subject_id", "needle"], "left_semi")
+    return rows.select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "pass").otherwise("fail").alias("outcome"))
 
 
 @query(
     "probe_stale",
-    f"SELECT a.subject_id, a.needle, CASE WHEN contains(lower(a.context), lower(a.needle)) THEN 'fail' WHEN EXISTS (SELECT 1 FROM v_facts f WHERE f.subject_id = a.subject_id AND f.predicate = a.needle) THEN 'pass' ELSE 'unsupported' END AS outcome FROM ({_ASKED}) a",
+    f"SELECT subject_id, needle, CASE WHEN contains(lower(context), lower(needle)) THEN 'fail' WHEN active IS NULL THEN 'unsupported' ELSE 'pass' END AS outcome FROM ({_PROBED}) WHERE coalesce(active, 0) = 0",
 )
 def probe_stale(spark, sf_dir):
-    """Delivered although outdated: fail; once stored and not delivered: pass; never stored: no basis."""
-    stored = views.facts(spark, sf_dir).select("subject_id", F.col("predicate").alias("needle")).distinct().withColumn("stored", F.lit(True))
-    rows = _asked(spark, sf_dir).join(stored, ["subject_id", "needle"], "left")
-    return rows.select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "fail").when(F.col("stored"), "pass").otherwise("unsupported").alias("outcome"))
+    """Delivered although it holds no longer: fail; once stored and not delivered: pass; never stored: no basis."""
+    rows = _asked(spark, sf_dir).join(_stored(spark, sf_dir), ["subject_id", "needle"], "left").filter("NOT coalesce(active, false)")
+    return rows.select("subject_id", "needle", F.when(F.contains(F.lower("context"), F.lower("needle")), "fail").when(F.col("active").isNotNull(), "pass").otherwise("unsupported").alias("outcome"))
 
 
-@query(
-    "probe_active",
-    f"SELECT a.subject_id, a.needle, CASE WHEN count(f.fact_id) = 0 THEN 'unsupported' WHEN count(f.fact_id) FILTER (f.status = 'active') > 0 THEN 'pass' ELSE 'fail' END AS outcome FROM ({_ASKED}) a "
-    "LEFT JOIN v_facts f ON f.subject_id = a.subject_id AND f.predicate = a.needle AND f.value > 5 GROUP BY a.subject_id, a.needle",
-)
+@query("probe_active", f"SELECT subject_id, needle, CASE WHEN active IS NULL THEN 'unsupported' WHEN active > 0 THEN 'pass' ELSE 'fail' END AS outcome FROM ({_PROBED})")
 def probe_active(spark, sf_dir):
-    facts = views.facts(spark, sf_dir).filter("value > 5").groupBy("subject_id", F.col("predicate").alias("needle")).agg(F.max((F.col("status") == "active").cast("int")).alias("active"))
-    rows = _asked(spark, sf_dir).join(facts, ["subject_id", "needle"], "left")
-    return rows.select("subject_id", "needle", F.when(F.col("active").isNull(), "unsupported").when(F.col("active") == 1, "pass").otherwise("fail").alias("outcome"))
+    """Whether what was said is still stored as active."""
+    rows = _asked(spark, sf_dir).join(_stored(spark, sf_dir), ["subject_id", "needle"], "left")
+    return rows.select("subject_id", "needle", F.when(F.col("active").isNull(), "unsupported").when(F.col("active"), "pass").otherwise("fail").alias("outcome"))
 
 
-@query("probe_preconditions", f"SELECT a.subject_id, a.needle FROM ({_ASKED}) a WHERE NOT EXISTS (SELECT 1 FROM v_facts f WHERE f.subject_id = a.subject_id AND f.predicate = a.needle)")
+@query("probe_preconditions", f"SELECT a.subject_id, a.needle FROM ({_ASKED}) a WHERE NOT EXISTS (SELECT 1 FROM v_facts f WHERE f.subject_id = a.subject_id AND f.predicate || ' ' || CAST(floor(f.value / 10) AS BIGINT) = a.needle)")
 def probe_preconditions(spark, sf_dir):
     """Needles that were never stored: what a scenario meant to exercise, and didn't."""
-    stored = views.facts(spark, sf_dir).select("subject_id", F.col("predicate").alias("needle")).distinct()
-    return _asked(spark, sf_dir).select("subject_id", "needle").join(stored, ["subject_id", "needle"], "left_anti")
+    return _asked(spark, sf_dir).select("subject_id", "needle").join(_stored(spark, sf_dir), ["subject_id", "needle"], "left_anti")
+
+
+#: Facts that an export has per subject at most (the feature's limit); the report says when it cut.
+EXPORT_CAP = 50
+
+
+@query(
+    "export_report",
+    f"WITH f AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY recorded_at, fact_id) AS n FROM v_facts WHERE status <> 'erased'), "
+    "h AS (SELECT about, count(*) AS entries FROM (SELECT fact_id AS about FROM v_lineage UNION ALL SELECT parent_id FROM v_lineage WHERE parent_id IS NOT NULL) GROUP BY about), "
+    "r AS (SELECT subject_id, count(*) AS receipts, max(recorded_at) AS last_receipt FROM v_facts WHERE to_erase GROUP BY subject_id) "
+    f"SELECT f.subject_id, count(*) AS facts, count(*) FILTER (n <= {EXPORT_CAP}) AS exported, count(*) <= {EXPORT_CAP} AS complete, count(*) FILTER (n <= {EXPORT_CAP} AND status = 'active') AS active, "
+    f"CAST(coalesce(sum(h.entries) FILTER (n <= {EXPORT_CAP}), 0) AS BIGINT) AS history, coalesce(any_value(r.receipts), 0) AS receipts, any_value(r.last_receipt) AS last_receipt "
+    "FROM f LEFT JOIN h ON f.fact_id = h.about LEFT JOIN r ON f.subject_id = r.subject_id GROUP BY f.subject_id",
+)
+def export_report(spark, sf_dir):
+    """What an export of every subject holds: facts up to the cap, their history, receipts, and whether the cap cut it."""
+    facts = views.facts(spark, sf_dir).filter("status <> 'erased'")
+    order = Window.partitionBy("subject_id").orderBy("recorded_at", "fact_id")
+    placed = facts.withColumn("inside", F.row_number().over(order) <= EXPORT_CAP)
+    lineage = views.table(spark, sf_dir, "v_lineage")
+    about = lineage.select(F.col("fact_id").alias("about")).union(lineage.select("parent_id")).filter("about IS NOT NULL").groupBy("about").agg(F.count(F.lit(1)).alias("entries"))
+    met = placed.join(about, F.col("fact_id") == F.col("about"), "left")
+    inside = lambda c: F.coalesce(F.sum(F.when(F.col("inside"), c)), F.lit(0)).cast("long")
+    kept = met.groupBy("subject_id").agg(
+        F.count(F.lit(1)).alias("facts"), inside(F.lit(1)).alias("exported"), (F.count(F.lit(1)) <= EXPORT_CAP).alias("complete"), inside((F.col("status") == "active").cast("int")).alias("active"), inside(F.col("entries")).alias("history"),
+        F.sum(F.col("to_erase").cast("long")).alias("receipts"), F.max(F.when(F.col("to_erase"), F.col("recorded_at"))).alias("last_receipt"),
+    )
+    return kept
+
+
+_WEIGHED = (("turns", "v_turns", "content"), ("entities", "v_entities", "name"), ("edges", "v_edges", "predicate"), ("steps", "v_steps", "input"), ("outputs", "v_steps", "output"), ("documents", "documents", "text"))
+
+
+@query("storage_report", " UNION ALL ".join(f"SELECT '{n}' AS store, count(*) AS row_count, CAST(coalesce(sum(strlen({c})), 0) AS BIGINT) AS bytes, CAST(coalesce(max(strlen({c})), 0) AS BIGINT) AS largest FROM {t}" for n, t, c in _WEIGHED))
+def storage_report(spark, sf_dir):
+    """Rows and bytes of text per store."""
+    size = lambda c: F.octet_length(F.col(c)).cast("long")
+    parts = [
+        views.table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(size(c)), F.lit(0)).alias("bytes"), F.coalesce(F.max(size(c)), F.lit(0)).alias("largest")).select(F.lit(n).alias("store"), "row_count", "bytes", "largest")
+        for n, t, c in _WEIGHED
+    ]
+    return reduce(DataFrame.union, parts)
 
 
 def memory_fold(spark, sf_dir):

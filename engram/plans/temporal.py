@@ -138,6 +138,11 @@ shared(
     "list_turns",
     "SELECT turn_id, subject_id, role, occurred_at, CAST(row_number() OVER (PARTITION BY subject_id ORDER BY occurred_at, turn_id) AS BIGINT) AS place FROM v_turns",
 )
+#: A page: so many rows after so many (the feature's limit).
+PAGE, AFTER = 50, 100
+shared("list_turns_page", f"SELECT turn_id, subject_id, role, occurred_at FROM v_turns ORDER BY occurred_at, turn_id LIMIT {PAGE} OFFSET {AFTER}")
+shared("list_facts_page", f"SELECT {_FACT}, recorded_at FROM v_facts WHERE status <> 'erased' ORDER BY recorded_at, fact_id LIMIT {PAGE} OFFSET {AFTER}")
+shared("list_traces_page", f"SELECT trace_id, subject_id, kind, query, started_at FROM v_traces WHERE kind = 'read' ORDER BY started_at DESC, trace_id DESC LIMIT {PAGE} OFFSET {AFTER}")
 shared(
     "list_traces",
     "SELECT trace_id, subject_id, kind, query, started_at, CAST(row_number() OVER (PARTITION BY subject_id, kind ORDER BY started_at DESC, trace_id DESC) AS BIGINT) AS place FROM v_traces",
@@ -283,10 +288,13 @@ def graph_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edges.withColumn("edges_of_src", F.count(F.lit(1)).over(Window.partitionBy("src")))
 
 
+#: Edges that an erasure leaves: those of persons whose account is overdrawn go.
+_LEFT = "SELECT e.src, e.dst FROM v_edges e LEFT ANTI JOIN (SELECT 1000000 + c_custkey AS src FROM customer WHERE c_acctbal < 0) g ON e.src = g.src"
 ORPHANS = "SELECT e.entity_id, e.name FROM v_entities e LEFT ANTI JOIN (SELECT src AS entity_id FROM v_edges UNION SELECT dst FROM v_edges) k ON e.entity_id = k.entity_id"
-shared("orphan_entities", ORPHANS)
+shared("orphan_entities", ORPHANS.replace("FROM v_edges", f"FROM ({_LEFT}) l"))
 ORACLE_SQL["orphan_entities"] = views.oracle(
-    "SELECT e.entity_id, e.name FROM v_entities e WHERE NOT EXISTS (SELECT 1 FROM v_edges d WHERE d.src = e.entity_id OR d.dst = e.entity_id)"
+    "SELECT e.entity_id, e.name FROM v_entities e WHERE NOT EXISTS (SELECT 1 FROM v_edges d WHERE (d.src = e.entity_id OR d.dst = e.entity_id) "
+    "AND d.src NOT IN (SELECT 1000000 + c_custkey FROM customer WHERE c_acctbal < 0))"
 )
 
 
