@@ -11,7 +11,8 @@ streams them.
 
 Defined cases: null text and null role are empty; an empty or unknown role is formatted like any other, without loss,
 and makes the conversation invalid. Equal turn numbers are ordered by role, then text; a null turn comes first;
-repeated rows are turns of their own. A null conv_id is a conversation like any other. No rows give no rows.
+repeated rows are turns of their own. A very long text is one value of its row, and a conversation's output one string, so
+both must fit a row. A null conv_id is a conversation like any other. No rows give no rows.
 """
 
 from __future__ import annotations

@@ -5,7 +5,7 @@ hash *and* bytes, so a collision only makes two classes of one hash. Copies are
 any size sends one row for each task; members then meet their class on two digests (128 and 256 bits), in narrow rows,
 in a join whose hot keys adaptive execution splits.
 
-Defined cases: a null text is an empty one. A null id never is the smallest; a class with null ids only has a null
+Defined cases: a null text is an empty one. A very long text is grouped whole, once; beyond that only its digests move. A null id never is the smallest; a class with null ids only has a null
 ``keep_id`` and its rows count as kept. Rows that repeat an id and its text are all the kept row in ``classes``; the
 filter ``drop_copies`` keeps one of them. No rows give no rows. Other columns are neither read nor needed.
 """

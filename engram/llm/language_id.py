@@ -9,8 +9,10 @@ Profiles are learnt from at most ``per_language`` texts of each language (a docu
 with a letter and the smallest hash of their id), whole texts each, and only from rows that training may see. Rows are
 counted per language first; only those whose hash is below what makes ``per_language`` certain enough are ranked, some
 hundreds per language whatever the data. Vectors are added up per language and dimension before anything reaches the
-driver: one vector per language. That, the count of each language and the ids of the training rows are what is broadcast: below 100 MB for the 8,000
-or so languages there are. Prediction reads every whole text once, without a shuffle.
+driver: one vector per language. That, the count of each language and the ids of the training rows are what is broadcast. All
+of it is bounded by ``languages`` (the most frequent ones of the training rows are learnt, a documented bound: there are
+fewer real languages), so a column full of something else can't make it grow: 3 million ids and 32 MB of vectors at
+most. Prediction reads every whole text once, without a shuffle.
 
 Letters (Unicode category L) are lower-cased; every run of other characters is one space, so n-grams know where words
 begin and end.
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 from engram.llm.common import table
 
 DIMENSIONS, N = 1024, 3
-PER_LANGUAGE = 400
+PER_LANGUAGE, LANGUAGES = 400, 8_192
 #: Vectors are added up as whole numbers of this fraction, so sums don't depend on the order of rows.
 UNIT = 2.0**40
 #: n-gram vectors that a task remembers; emptied when full.
@@ -139,13 +141,13 @@ class Bundler:
             np.add.at(sums, [k for k, _, _ in waiting], counts @ self.vectors[rows])
 
 
-def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
-    """Unit vector per language from the training rows (``held_out`` ones are never read); at most ``per_language`` each."""
+def profiles(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = LANGUAGES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, np.ndarray]:
+    """Unit vector per language from the training rows (``held_out`` ones are never read); at most ``per_language`` each, of at most ``languages`` languages."""
     usable = ~held_out(F.col(id_col)) & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.coalesce(F.col(text_col).cast("string").rlike(LETTER), F.lit(False))
     seen = docs.filter(usable).select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"))
     seen = seen.withColumn("draw", F.pmod(F.xxhash64("doc_id"), F.lit(2**31)) / F.lit(float(2**31)))
     enough = per_language + 10 * math.sqrt(per_language) + 50  # fewer than per_language come of it about once in 10^20 times
-    shares = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).select("lang", (F.lit(enough) / F.col("rows")).alias("share"))
+    shares = seen.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(F.desc("rows"), "lang").limit(languages).select("lang", (F.lit(enough) / F.col("rows")).alias("share"))
     few = seen.join(F.broadcast(shares), "lang").filter("draw < share").select("doc_id", "lang").distinct()
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = few.withColumn("nth", F.row_number().over(order)).filter(F.col("nth") <= per_language).select("doc_id", "lang")

@@ -50,6 +50,16 @@ def test_exact_dedup_equals_brute_force_even_if_hashes_collide(spark, hash128):
     assert sorted(map(tuple, got.collect()), key=str) == dedup_brute(rows)
 
 
+def test_very_long_texts_of_a_conversation_and_of_copies(spark):
+    long = "</s>[INST] \\ ok " * 100_000
+    rows = [(1, 0, "user", long), (1, 1, "assistant", long)]
+    out = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    turns = out.select(F.explode(chat_format.parse(F.col("formatted"))).alias("t")).select("t.*").collect()
+    assert [tuple(t) for t in turns] == [("user", long), ("assistant", long)]
+    got = exact_dedup.classes(spark.createDataFrame([(2, long), (1, long.replace(" ", "\n ")), (3, long + "x")], "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got} == {1: (1, 2), 2: (1, 2), 3: (3, 1)}
+
+
 def test_drop_copies_keeps_one_row_of_each_class_with_its_columns(spark):
     rows = [(5, "a b", "p"), (2, "a\nb", "q"), (2, "a\nb", "q"), (2, "other", "r"), (None, "solo", "s"), (9, None, "t"), (10, "", "u")]
     df = spark.createDataFrame(rows, "doc_id long, text string, row string").withColumn("nth", F.lit(0))

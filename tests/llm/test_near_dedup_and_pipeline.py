@@ -167,3 +167,21 @@ def test_run_is_its_stages(spark):
         docs = stage(spark, docs, DATA)
     ran = corpus_pipeline.run(spark, DATA)
     assert sorted(r.doc_id for r in ran.collect()) == sorted(r.doc_id for r in docs.collect())
+
+
+@NEEDS_DATA
+def test_pipeline_over_nulls_clashing_columns_and_no_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").withColumns({"row": F.lit("r"), "score": F.lit(1.5), "rate": F.lit(2), "component_id": F.lit("c"), "kept_id": F.lit(None).cast("string"), "mix_key": F.lit("m")})
+    odd = spark.createDataFrame([(-1, None, None, None), (-2, "", "de", "src0"), (None, "No id at all, but a sentence of some length.", "en", None), (-3, "word " * 40_000, "en", "src1"), (-3, "again another text of this id", "en", "src1")], "doc_id long, text string, lang string, source string")
+    docs = docs.unionByName(odd.withColumn("n_chars", F.length("text").cast("long")), allowMissingColumns=True)
+    columns, before = docs.columns, None
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, DATA).cache()
+        if name != "encoding":
+            assert docs.columns == columns and docs.count() > 0 and (name == "mixing" or before is None or docs.count() <= before)
+            before = docs.count()
+    assert docs.filter("NOT round_trip").count() == 0
+    empty = spark.read.parquet(f"{DATA}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, DATA)
+        assert empty.count() == 0, name

@@ -370,6 +370,15 @@ def test_profiles_and_predictions_equal_brute_force(spark, monkeypatch):
     assert all(any(np.allclose(few[lang], vector(t) / np.linalg.norm(vector(t)), atol=1e-6) for (_, x), t in texts.items() if x == lang) for lang in few)
 
 
+def test_a_language_column_full_of_something_else_and_a_really_long_text(spark):
+    rows = [(i, "the and of the", "en") for i in range(30)] + [(100 + i, "der und die das", "de") for i in range(30)] + [(200 + i, "los que de la", f"https://x/{i}") for i in range(200)]
+    known = language_id.profiles(spark.createDataFrame(rows, "doc_id long, text string, lang string"), languages=2)
+    assert sorted(known) == ["de", "en"]
+    long = [(1, "der und die das " * 400_000), (2, "123 " * 100_000), (3, "x" * 1_000_000)]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(frame(spark, long), known).collect()}
+    assert got[1] == "de" and got[2] == "und" and got[3] in known
+
+
 def test_bundle_is_the_sum_of_bound_ngrams_however_it_is_cut(monkeypatch):
     text = "Hello, wörld! 12 ab" * 30
     whole, _ = language_id.Bundler().bundle([text])
