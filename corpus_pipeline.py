@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and returns the columns of
 ``documents``; the last returns ids of pieces per row. ``run`` applies them to the table ``documents`` and writes what
 each but the last returns to the shared checkpoint folder, so a lost executor never means starting over.
+
+Defined cases: null and empty texts are scored by the classifier like any other and go if it rejects them; those that
+stay are one class of equal texts, of which the smallest id stays. Rows without an id are never copies of one another by
+id, only by text. Rows that repeat an id and differ in text are both kept until near-dedup, where they are one vertex. A
+very long text is one row throughout. Further columns of the documents come along under their own names, whatever those
+are. Without documents, or without labels to learn from, every stage gives what it can: no rows, or all of them.
 """
 
 from __future__ import annotations
