@@ -66,45 +66,45 @@ class Engine:
             self.store.commit(out.groupBy("subject_id").agg(F.max("memory").alias("memory")))
         return out.drop("memory")
 
-    def facts(self) -> DataFrame:
-        """All facts of all subjects, whatever their status; the columns that ``as_of`` asks for."""
+    def facts(self, subject: str | None = None) -> DataFrame:
+        """All facts of all subjects or of one, whatever their status; the columns that ``as_of`` asks for."""
 
         def rows(frames):
             for frame in frames:
                 for text in frame["memory"]:
                     yield facts_frame(Memory.from_json(text))
 
-        return self.store.read().select("memory").mapInPandas(rows, FACTS_SCHEMA)
+        return self.store.read_subject(subject).select("memory").mapInPandas(rows, FACTS_SCHEMA)
 
-    def _parts(self, name: str, schema: str) -> DataFrame:
-        """One of the state's lists as rows, parsed by Spark."""
+    def _parts(self, name: str, schema: str, subject: str | None = None) -> DataFrame:
+        """One of the state's lists as rows, parsed by Spark; of one subject, only its bucket is read."""
         item = f"array<struct<{schema}>>"
         parsed = F.from_json(F.get_json_object("memory", f"$.{name}"), item)
-        return self.store.read().select("subject_id", F.explode(parsed).alias("x")).select("subject_id", "x.*")
+        return self.store.read_subject(subject).select("subject_id", F.explode(parsed).alias("x")).select("subject_id", "x.*")
 
-    def turns(self) -> DataFrame:
-        return self._parts("turns", "id:bigint,session_id:string,role:string,content:string,occurred_at:string,redacted:boolean")
+    def turns(self, subject: str | None = None) -> DataFrame:
+        return self._parts("turns", "id:bigint,session_id:string,role:string,content:string,occurred_at:string,redacted:boolean", subject)
 
-    def lineage(self) -> DataFrame:
-        return self._parts("lineage", "fact_id:bigint,parent_id:bigint,op:string,proposed:string,turn_id:bigint")
+    def lineage(self, subject: str | None = None) -> DataFrame:
+        return self._parts("lineage", "fact_id:bigint,parent_id:bigint,op:string,proposed:string,turn_id:bigint", subject)
 
-    def graph(self) -> DataFrame:
-        return self._parts("edges", "src:string,predicate:string,dst:string,fact_id:bigint,valid_from:string,valid_to:string")
+    def graph(self, subject: str | None = None) -> DataFrame:
+        return self._parts("edges", "src:string,predicate:string,dst:string,fact_id:bigint,valid_from:string,valid_to:string", subject)
 
     def timeline(self) -> DataFrame:
         """Operations per turn."""
         return self.lineage().groupBy("subject_id", "turn_id", "op").agg(F.count(F.lit(1)).alias("changes"))
 
-    def receipts(self) -> DataFrame:
+    def receipts(self, subject: str | None = None) -> DataFrame:
         """Erasures that were carried out: numbers and ids, never texts."""
-        return self._parts("receipts", "id:bigint,scope:string,reason:string,facts:array<bigint>,turns:array<bigint>,steps:array<bigint>")
+        return self._parts("receipts", "id:bigint,scope:string,reason:string,facts:array<bigint>,turns:array<bigint>,steps:array<bigint>", subject)
 
     def export(self, subject: str) -> DataFrame:
         """Facts that aren't erased, with the turn that they come from and their history: own entries, and what took
         their place. Only lineage of delivered facts is grouped."""
-        origin = self.turns().select("subject_id", F.col("id").alias("origin_turn"), F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")).alias("source"))
-        own = self.facts().filter((F.col("subject_id") == subject) & (F.col("status") != "erased"))
-        lineage = self.lineage().filter(F.col("subject_id") == subject)
+        origin = self.turns(subject).select("subject_id", F.col("id").alias("origin_turn"), F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")).alias("source"))
+        own = self.facts(subject).filter("status <> 'erased'")
+        lineage = self.lineage(subject)
         entry = [F.col("turn_id"), F.col("fact_id").alias("by_fact")]
         of_fact = lineage.select(F.col("fact_id").alias("about"), F.struct(*entry, F.col("op").alias("note")).alias("entry"))
         of_parent = lineage.filter("parent_id IS NOT NULL").select(F.col("parent_id").alias("about"), F.struct(*entry, F.lit("superseded").alias("note")).alias("entry"))
@@ -116,13 +116,23 @@ class Engine:
         """All that is stored of a subject, as a JSON document: facts with history, turns, receipts; each list up to its
         cap, which ``truncated`` names if there is more. ``export``, ``turns`` and ``receipts`` have all rows."""
         caps, out, truncated = CAPS | (caps or {}), {}, []
-        turns = self.turns().withColumn("content", F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")))
-        for name, rows, by in (("facts", self.export(subject), "fact_id"), ("turns", turns, "id"), ("receipts", self.receipts(), "id")):
-            found = rows.filter(F.col("subject_id") == subject).orderBy(by).limit(caps[name] + 1).toJSON().collect()  # at most cap + 1
+        turns = self.turns(subject).withColumn("content", F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")))
+        for name, rows, by in (("facts", self.export(subject), "fact_id"), ("turns", turns, "id"), ("receipts", self.receipts(subject), "id")):
+            found = rows.orderBy(by).limit(caps[name] + 1).toJSON().collect()  # at most cap + 1
             truncated += [name] if len(found) > caps[name] else []
             out[name] = [json.loads(x) for x in found[: caps[name]]]
         return {"subject_id": subject, "complete": not truncated, "truncated": truncated, **out}
 
+    def write_exports(self, path: str) -> None:
+        """An export of every subject as JSON files under ``path``, a document per line: facts, turns and receipts. It is written by the
+        tasks that have the subjects; ``report`` is the same of one subject with caps."""
+        facts, turns = self.facts().filter("status <> 'erased'"), self.turns().withColumn("content", F.when(F.col("redacted"), "(gelöscht)").otherwise(F.col("content")))
+        whole = self.store.read().select("subject_id")
+        for name, rows, by in (("facts", facts, "fact_id"), ("turns", turns, "id"), ("receipts", self.receipts(), "id")):
+            listed = rows.select("subject_id", F.struct(by, *[c for c in rows.columns if c not in ("subject_id", by)]).alias("x")).groupBy("subject_id").agg(F.sort_array(F.collect_list("x")).alias(name))
+            whole = whole.join(listed, "subject_id", "left")
+        whole.write.mode("overwrite").json(path)
+
     def subjects(self) -> DataFrame:
         """Active facts and the last instant per subject."""
         active = self.facts().filter("status = 'active'").groupBy("subject_id").agg(F.count(F.lit(1)).alias("facts"))
@@ -158,11 +168,11 @@ class Engine:
 
     def replay(self, subject: str) -> DataFrame:
         """Ingest the turns of a subject anew, in the order of their instants, and compare the active facts: ``said, side``."""
-        turns = self.turns().filter((F.col("subject_id") == subject) & ~F.col("redacted"))
+        turns = self.turns(subject).filter(~F.col("redacted"))
         target = f"{REPLAYED}{subject}"
         self.ingest(turns.select(F.lit(target).alias("subject_id"), "session_id", F.col("id").alias("turn_id"), "role", "content", F.col("occurred_at").cast("timestamp_ntz").alias("occurred_at")))
-        active = self.facts().filter("status = 'active'").select("subject_id", F.lower("content").alias("said")).distinct()
-        one, other = (active.filter(F.col("subject_id") == s).select("said", F.lit(True).alias(n)) for s, n in ((subject, "original"), (target, "replay")))
+        active = lambda s: self.facts(s).filter("status = 'active'").select(F.lower("content").alias("said")).distinct()
+        one, other = (active(s).withColumn(n, F.lit(True)) for s, n in ((subject, "original"), (target, "replay")))
         side = F.when(F.col("replay").isNull(), "only_original").when(F.col("original").isNull(), "only_replay").otherwise("unchanged")
         return one.join(other, "said", "full_outer").select("said", side.alias("side"))
 

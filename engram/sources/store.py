@@ -60,6 +60,13 @@ class Store:
         rows = self.spark.read.schema("subject_id string, memory string").parquet(*paths)
         return rows.withColumn("bucket", self.bucket())
 
+    def read_subject(self, subject: str | None) -> DataFrame:
+        """As ``read``; of one subject only its bucket's files are read."""
+        if subject is None or not self.manifest():
+            return self.read()
+        own = self.spark.range(1).select(F.lit(subject).alias("subject_id")).select(self.bucket()).first()[0]
+        return self.read([own]).filter(F.col("subject_id") == subject)
+
     def applied(self) -> dict[str, str]:
         """Migration steps that the stored memories have, with their checksums; a new store has all."""
         found = self.manifest()

@@ -237,3 +237,15 @@ def test_evaluation_suite(spark):
     assert naive == {"update_recall": 1.0, "stale": 0.231, "false_retraction": 0.0, "erasure": 0.909}  # it overwrites what is alike only
     broken = suite.run(spark, scenarios=[{"id": "x", "pattern": "p", "turns": [["2026-01-01"]]}]).collect()
     assert [r.kind for r in broken] == ["error"]
+
+
+def test_exports_are_files_and_a_subject_is_read_from_its_bucket(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "store"))
+    engine.ingest(turns_frame(spark, [("a", *MOVE[0]), ("a", *MOVE[1]), *((f"s{k}", "2026-02-01", "Ich mag Kaffee.") for k in range(12))]))
+    engine.write_exports(str(tmp_path / "out"))
+    written = {d["subject_id"]: d for p in (tmp_path / "out").glob("*.json") for d in map(json.loads, p.read_text().splitlines())}
+    assert len(written) == 13 and [f["content"] for f in written["a"]["facts"]] == ["Wohnt in Köln.", "Wohnt in Leipzig."] and [t["content"] for t in written["a"]["turns"]] == [m[1] for m in MOVE[:2]]
+    assert "receipts" not in written["a"] or not written["a"]["receipts"]
+    whole, one = engine.store.read().inputFiles(), engine.store.read_subject("a").inputFiles()
+    assert len(one) < len(whole) and {r.content for r in engine.facts("a").collect()} == {"Wohnt in Köln.", "Wohnt in Leipzig."}
+    assert engine.facts("unknown").count() == 0 and engine.turns("s3").count() == 1
