@@ -9,6 +9,7 @@ from engram.functions.json_text import model_object, redact
 from engram.functions.text import normalise
 from engram.operators import consolidation as C
 from engram.operators import extraction as E
+from engram.operators.extraction_udtf import extract_steps as record_steps
 from engram.operators.extraction_udtf import extract_table
 from engram.sources import views
 
@@ -60,6 +61,20 @@ def extract_candidates(spark, sf_dir):
     return extract_table(views.sql(spark, sf_dir, _SAID)).select("turn_id", "predicate", "content", "confidence", "temporary")
 
 
+_EST = "greatest(1, (length(coalesce({}, '')) + 3) // 4)"
+
+
+@query(
+    "extract_steps",
+    f"SELECT s.turn_id, 'extract' AS stage, 'patterns' AS model, CAST({_EST.format('s.content')} AS BIGINT) AS tokens_in, CAST(coalesce(sum({_EST.format('c.content')}) FILTER (c.content IS NOT NULL), 0) AS BIGINT) AS tokens_out, "
+    f"count(c.content) AS candidates, true AS timed FROM ({_SAID}) s LEFT JOIN ({_CANDIDATES}) c ON s.turn_id = c.turn_id GROUP BY s.turn_id, s.content",
+)
+def extract_steps(spark, sf_dir):
+    """What the recorder keeps of extracting: a step per turn with model, tokens, duration and yield."""
+    steps = record_steps(views.sql(spark, sf_dir, _SAID))
+    return steps.select("turn_id", "stage", "model", "tokens_in", "tokens_out", "candidates", (F.col("duration_us") >= 0).alias("timed"))
+
+
 _SINCE = (
     "SELECT o_orderkey AS id, o_orderdate AS reference, CASE o_orderkey % 5 WHEN 0 THEN 'Ich wohne seit ' || CASE o_orderkey % 3 WHEN 0 THEN 'März' WHEN 1 THEN 'Dezember' ELSE 'dem Mai' END || ' hier' "
     "WHEN 1 THEN 'since ' || CASE o_orderkey % 2 WHEN 0 THEN 'June' ELSE 'October' END || ' ' || (1990 + o_orderkey % 30) WHEN 2 THEN 'seit ' || (1990 + o_orderkey % 30) WHEN 3 THEN 'seit gestern' ELSE 'ohne Angabe' END AS sentence FROM orders"
