@@ -12,7 +12,9 @@ agrees with the probability of the similarity. ``BANDS`` bands of ``ROWS`` bins
 3. Confirmed links and copies give components. A star leaves untested only pairs with a member that its centre refused
    and whose component is still another one. These doubtful members and those who share a bucket with them are searched
    exactly (``_rest``): a pair of the similarity must share one of the rarest few shingles of either set, so the doubtful
-   ones are compared in blocks with all that share such a shingle. No cap, no lost link, and no row per pair.
+   ones are compared in blocks with all that share such a shingle. No cap, no lost link, and no row per pair. In a dense
+   group of n members that hang together loosely, with d doubtful ones, this is d x n comparisons, over d x n /
+   (BLOCK_SHINGLES x VISIT_SHINGLES) tasks in units of shingles.
 
 Where both sides of a join grow with the input, the plan says merge join, so it is the same at every size and nothing of
 that kind is broadcast. A centre meets its members in salted parts, so no task reads all members of one centre. Links and components stay in
