@@ -45,8 +45,9 @@ ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Characters of a block, and blocks whose n-grams a hash partition of the count table is sized for. A larger block adds
 #: up more n-grams before the shuffle and takes more memory: on large executors, raise ``block_chars`` with the input.
 BLOCK_CHARS, BLOCKS_A_BUCKET = 12_000_000, 1
-#: Rows that a block sends per order at most, and senders whose rows are added up at once.
-FAN_OUT = 256
+#: Rows that a block sends per order at most, and senders whose rows are added up at once. A row then still has some KB of
+#: n-grams; a second level (beyond some 49 GB of text) is a further passage of them, so it comes late.
+FAN_OUT = 4096
 
 
 def _pack(numbers: np.ndarray) -> bytes:
