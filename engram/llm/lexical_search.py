@@ -48,6 +48,8 @@ TOP = 10
 BLOCK_DOCS, BLOCK_CHARS, GROUP_ITEMS = 65_536, 6_000_000, 1_024
 #: Children of a node of the tree: 2 to the power of this.
 BITS = 4
+#: Stands for the id of a document without one.
+NAMELESS = -(2**63)
 _LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
 _POSTINGS = "block long, term binary, places binary, times binary"
 
@@ -75,11 +77,11 @@ def _block(number: int, ids: list, texts: list[str]) -> pa.RecordBatch:
     term, place = np.divmod(pairs, len(ids))
     starts = np.flatnonzero(np.diff(term, prepend=-1))
     names = pa.array([None, *seen], pa.binary())
-    own = np.array([-1 if x is None else x for x in ids], dtype=np.int64).view("<u4"), lengths
+    own = np.array([NAMELESS if x is None else x for x in ids], dtype="<i8")
     return pa.RecordBatch.from_arrays(
         [
             pa.array(np.full(len(seen) + 1, number), pa.int64()), names,
-            pa.concat_arrays([pa.array([own[0].tobytes()], pa.binary()), _packed(place, starts)]),
+            pa.concat_arrays([pa.array([own.tobytes()], pa.binary()), _packed(place, starts)]),
             pa.concat_arrays([pa.array([lengths.astype("<u4").tobytes()], pa.binary()), _packed(times, starts)]),
         ],
         names=["block", "term", "places", "times"],
@@ -174,7 +176,7 @@ def tree(term: np.ndarray, place: np.ndarray, gain: np.ndarray, places: int) ->
 
 
 def best(levels: list[Level], wanted: np.ndarray, ids: np.ndarray, k: int) -> list[tuple[int, int]]:
-    """``score, id`` of the k best documents, by score and then smaller id. ``wanted``: repeats of each term; ids below 0 have no name."""
+    """``score, id`` of the k best documents, by score and then smaller id. ``wanted``: repeats of each term."""
     found: list[tuple[int, int]] = []  # the worst one first
     queue = [(-np.inf, len(levels), 0)]
     while queue and (len(found) < k or -queue[0][0] >= found[0][0]):
@@ -185,7 +187,7 @@ def best(levels: list[Level], wanted: np.ndarray, ids: np.ndarray, k: int) -> li
             if height > 1:
                 if len(found) < k or score >= found[0][0]:
                     heapq.heappush(queue, (-score, height - 1, at))
-            elif ids[at] >= 0:
+            elif ids[at] != NAMELESS:
                 entry = (int(score), -int(ids[at]))
                 if len(found) < k:
                     heapq.heappush(found, entry)

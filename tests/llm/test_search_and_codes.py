@@ -178,7 +178,7 @@ def test_search_equals_brute_force(spark, block_docs, group_items):
     r = random.Random(block_docs)
     words = [f"t{i}" for i in range(40)] + ["Été", "niño"]
     draw = lambda n: " ".join(words[min(int(r.expovariate(0.12)), 41)] for _ in range(n))
-    docs = [(k * 7 % 601, draw(r.randint(0, 30))) for k in range(300)] + [(700 + k, "tie tie break") for k in range(30)] + [(900, None), (901, "..."), (None, draw(12)), (902, draw(5000)), (903, "tie"), (903, "tie")]
+    docs = [(k * 7 % 601, draw(r.randint(0, 30))) for k in range(300)] + [(700 + k, "tie tie break") for k in range(30)] + [(900, None), (901, "..."), (None, draw(12)), (902, draw(5000)), (903, "tie"), (903, "tie"), (-5, "tie tie break"), (None, "tie tie break")]
     items = [(k, draw(r.randint(1, 12))) for k in range(8)] + [(20, "tie break T1 t1"), (21, None), (22, "never said"), (23, ""), (24, "Tie")]
     texts = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"block": F.lit("x"), "term": F.lit(1)})
     found = lexical_search.search(texts.repartition(3), spark.createDataFrame([*items, (None, "tie")], "item_id long, text string"), 10, block_docs=block_docs, group_items=group_items)
