@@ -80,6 +80,17 @@ def mix(
     docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
 ) -> DataFrame:
     """The columns of ``docs``, and ``mix_rate, mix_copies, mix_copy`` (from 1) and ``mix_key``, the global order."""
+    return _mixed(docs, weights, epochs, seed, id_col, source_col, text_col).select("row.*", "mix_rate", "mix_copies", "mix_copy", "mix_key")
+
+
+def replicate(
+    docs: DataFrame, weights: dict[str, float] = WEIGHTS, epochs: float = 1.0, seed: str = SEED, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text"
+) -> DataFrame:
+    """The rows of ``mix`` in its order, with the columns of ``docs`` only, whatever they are called."""
+    return _mixed(docs, weights, epochs, seed, id_col, source_col, text_col).select("row.*")
+
+
+def _mixed(docs: DataFrame, weights: dict[str, float], epochs: float, seed: str, id_col: str, source_col: str, text_col: str) -> DataFrame:
     if not weights or min(weights.values()) <= 0 or sum(weights.values()) >= 1:
         raise ValueError("weights must be positive and leave a share for the other sources")
     table_of_rates = F.broadcast(rates(docs, weights, epochs, source_col, text_col))
@@ -94,7 +105,7 @@ def mix(
     name = F.coalesce(F.col("mix_id").cast("string"), F.concat(F.lit("null|"), F.xxhash64("row").cast("string")))
     key = F.md5(F.concat(F.lit(f"{seed}|order|"), name, F.lit("|"), F.col("mix_copy").cast("string")))
     keyed = copies.withColumn("mix_key", F.substring(key, 1, 16)).withColumn("salt", F.monotonically_increasing_id() % SALTS).drop("mix_id")
-    return keyed.repartition("mix_key", "salt").sortWithinPartitions("mix_key").select("row.*", "mix_rate", "mix_copies", "mix_copy", "mix_key")
+    return keyed.repartition("mix_key", "salt").sortWithinPartitions("mix_key")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
