@@ -37,7 +37,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 3: each document occurs as often as its source's rate says, in a random order."""
-    return mixing.mix(docs).select([f"`{c}`" for c in docs.columns])
+    return mixing.replicate(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
