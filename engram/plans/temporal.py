@@ -111,11 +111,11 @@ def _micros(column: str) -> Column:
     "SELECT t.turn_id, count(*) AS facts, min(f.fact_id) AS first_fact, max(f.fact_id) AS last_fact FROM v_turns t JOIN v_facts f ON f.valid_from <= t.occurred_at AND (f.valid_to IS NULL OR f.valid_to > t.occurred_at) GROUP BY t.turn_id",
 )
 def facts_at_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What was true when each turn was said, over all subjects: an interval join of two tables without an equal key."""
+    """What was true when each turn was said, over all subjects: figures of an interval join without an equal key, without its pairs."""
     turns = views.table(spark, sf_dir, "v_turns").select("turn_id", _micros("occurred_at").alias("at"))
     facts = views.facts(spark, sf_dir).select("fact_id", _micros("valid_from").alias("start"), _micros("valid_to").alias("end"))
-    met = intervals.valid_at(turns, facts)
-    return met.groupBy(F.col("point.turn_id").alias("turn_id")).agg(F.count(F.lit(1)).alias("facts"), F.min("interval.fact_id").alias("first_fact"), F.max("interval.fact_id").alias("last_fact"))
+    held = turns.join(intervals.tally_at(turns, facts, "fact_id"), "at")
+    return held.groupBy("turn_id").agg(F.sum("n").alias("facts"), F.min("least").alias("first_fact"), F.max("greatest").alias("last_fact"))
 
 
 @query(

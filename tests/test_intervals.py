@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from engram.operators.intervals import overlapping, valid_at
+from engram.operators.intervals import overlapping, tally_at, valid_at
 
 
 def tables(seed):
@@ -65,3 +65,24 @@ def test_an_endless_interval_costs_as_little_as_a_short_one(spark):
     rows = spark.range(0, 4096).select(F.col("id").alias("a"), F.lit(4096 * 10).alias("b"))
     most = rows.select(F.size(_cover(F.col("a") * 10 + 3, F.col("b"), 10, 12)).alias("n")).agg(F.max("n")).first()[0]
     assert most <= 2 * 12 + 2
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tally_equals_a_range_join_and_makes_no_pair(spark, seed):
+    points, intervals = tables(seed)
+    p, i = frames(spark, points, intervals)
+    got = {r.at: (r.n, r.least, r.greatest) for r in tally_at(p, i, "level").collect()}
+    held = lambda at: [y[0] for y in intervals if y[2] is not None and y[2] <= at and (y[3] is None or y[3] > at)]
+    want = {x[2]: (len(h), min(h), max(h)) for x in points if x[2] is not None and (h := held(x[2]))}
+    assert got == want
+    for x, y in ((p.limit(0), i), (p, i.limit(0)), (p.filter("at IS NULL"), i)):
+        assert tally_at(x, y, "level").collect() == []
+
+
+def test_tally_costs_no_row_per_pair(spark):
+    from pyspark.sql import functions as F
+
+    points = spark.range(20_000).select(F.col("id").alias("at"))
+    facts = spark.range(20_000).select(F.col("id").alias("fact"), F.lit(-1).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))  # 4e8 pairs
+    found = tally_at(points, facts, "fact").agg(F.count("*"), F.min("n"), F.max("n"), F.min("least"), F.max("greatest")).first()
+    assert tuple(found) == (20_000, 20_000, 20_000, 0, 19_999)
