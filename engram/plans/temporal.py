@@ -125,10 +125,9 @@ def facts_at_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     "GROUP BY a.subject_id, a.predicate, b.predicate",
 )
 def facts_side_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often two slots of a subject held at the same time: an interval join within each subject."""
+    """How often two slots of a subject held at the same time: figures of an interval join within each subject."""
     facts = views.facts(spark, sf_dir).select("subject_id", "predicate", _micros("valid_from").alias("start"), _micros("valid_to").alias("end"))
-    met = intervals.overlapping(facts, facts, keys=("subject_id",)).filter("a.predicate < b.predicate")
-    return met.groupBy("a.subject_id", F.col("a.predicate").alias("one"), F.col("b.predicate").alias("other")).agg(F.count(F.lit(1)).alias("pairs"))
+    return intervals.count_overlaps(facts, "subject_id", "predicate")
 
 
 # -- turns, traces, steps ---------------------------------------------------------------------------------------------

@@ -5,7 +5,7 @@ from collections import Counter
 
 import pytest
 
-from engram.operators.intervals import overlapping, tally_at, valid_at
+from engram.operators.intervals import count_overlaps, overlapping, tally_at, valid_at
 
 
 def tables(seed):
@@ -86,3 +86,23 @@ def test_tally_costs_no_row_per_pair(spark):
     facts = spark.range(20_000).select(F.col("id").alias("fact"), F.lit(-1).cast("long").alias("start"), F.lit(None).cast("long").alias("end"))  # 4e8 pairs
     found = tally_at(points, facts, "fact").agg(F.count("*"), F.min("n"), F.max("n"), F.min("least"), F.max("greatest")).first()
     assert tuple(found) == (20_000, 20_000, 20_000, 0, 19_999)
+
+
+@pytest.mark.parametrize("seed", [1, 5])
+def test_counted_overlaps_equal_the_pairs(spark, seed):
+    r = random.Random(seed)
+    _, rows = tables(seed)
+    rows = [(r.choice(["u", "v", None]), kind, start, end) for _, kind, start, end in rows + rows[:40]]
+    rows += [("w", "x", 1, 5), ("w", "y", 5, 9), ("w", "z", 4, None), ("w", "z", 7, 7)]
+    some = [x for x in rows if x[0] and x[1] and x[2] is not None and (x[3] is None or x[2] < x[3])]
+    want = Counter((a[0], a[1], b[1]) for a in some for b in some if a[0] == b[0] and a[1] < b[1] and (b[3] is None or a[2] < b[3]) and (a[3] is None or b[2] < a[3]))
+    df = spark.createDataFrame(rows, "subject string, kind string, start long, end long").repartition(3)
+    assert Counter({(x.subject, x.one, x.other): x.pairs for x in count_overlaps(df, "subject", "kind").collect()}) == want
+    assert count_overlaps(df.limit(0), "subject", "kind").collect() == []
+
+
+def test_counted_overlaps_cost_no_row_per_pair(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(40_000).select(F.lit(1).alias("subject"), (F.col("id") % 2).alias("kind"), F.col("id").alias("start"), F.lit(None).cast("long").alias("end"))  # 4e8 pairs
+    assert [tuple(x) for x in count_overlaps(rows, "subject", "kind").collect()] == [(1, 0, 1, 400_000_000)]
