@@ -2,7 +2,8 @@
 
 Postings (term, document, places of the term in it) lie as Parquet in a folder per hash bucket of the term, sorted by
 term, so a search reads the folders of its terms only and within them the row groups whose range of terms fits. Beside
-them a small table counts documents and occurrences per term. Building is one shuffle; the postings of a term lie in
+them a small table counts documents and occurrences per term. Building is one shuffle of a row per term of a document (not
+per word: equal words of a text are put together before it, on Arrow columns); the postings of a term lie in
 ``SPREAD`` files, dealt by document, so that a word which nearly all documents have is no task of its own.
 
 A ranked query is a list of groups of terms: a document must hold a term of every group (alternatives within a group,
@@ -19,6 +20,11 @@ count words of two or more characters. A query without groups, and one with a gr
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,6 +32,8 @@ from engram.functions import text as T
 from engram.session import stored
 
 BUCKETS, SPREAD = 64, 8
+#: Words that a task puts together at once (whole documents; at least one).
+WORDS_AT_ONCE = 500_000
 #: Worth of a cover without foreign words, in 1e-9 (fixed value: a tenth).
 COVER = 100_000_000
 
@@ -41,6 +49,38 @@ def postings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return places(docs, id_col, text_col).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("occurrences"))
 
 
+def _put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``doc_id, term, places`` of ``doc_id, words``: a row per distinct word of each row."""
+    for batch in batches:
+        ends = np.cumsum(pc.list_value_length(batch.column(1)).to_numpy(zero_copy_only=False))
+        low = 0
+        while low < len(ends):
+            most = (ends[low - 1] if low else 0) + WORDS_AT_ONCE
+            high = max(low + 1, int(np.searchsorted(ends, most, "right")))
+            yield _gathered(batch.slice(low, high - low))
+            low = high
+
+
+def _gathered(batch: pa.RecordBatch) -> pa.RecordBatch:
+    ids, lists = batch.column(0), batch.column(1)
+    lengths, words = pc.list_value_length(lists).to_numpy(zero_copy_only=False), lists.flatten().dictionary_encode()
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + 1).astype(np.int32)
+    code = words.indices.to_numpy()
+    key = row * max(1, len(words.dictionary)) + code
+    order = np.argsort(key, kind="stable")  # so places stay in order
+    firsts = np.flatnonzero(np.diff(key[order], prepend=-1))
+    lists = pa.ListArray.from_arrays(pa.array(np.append(firsts, len(order)).astype(np.int32)), pa.array(place[order]))
+    first = order[firsts]
+    return pa.RecordBatch.from_arrays([ids.take(pa.array(row[first])), words.dictionary.take(pa.array(code[first])), lists], names=["doc_id", "term", "places"])
+
+
+def placed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, term, places``: a row per distinct term of each row of ``docs``."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.transform(T.tokens(F.col(text_col)), F.lower).alias("words"))
+    return rows.mapInArrow(_put_together, "doc_id long, term string, places array<int>")
+
+
 def cover_worth(entries: Column, groups: Column) -> Column:
     """``worth, covers`` of one document. ``entries``: array of (place, groups of the term there), by place.
 
@@ -82,8 +122,11 @@ class TextIndex:
 
     def build(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Write the index anew."""
-        rows = places(docs, id_col, text_col).withColumns({"bucket": self._bucket(F.col("term")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")})
-        met = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "doc_id").agg(F.sort_array(F.collect_list("place")).alias("places")).drop("part")
+        rows = placed(docs, id_col, text_col).withColumns({"bucket": self._bucket(F.col("term")), "part": F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int")})
+        met = rows.repartition("bucket", "part")
+        if not docs.groupBy(id_col).count().filter("count > 1").isEmpty():
+            met = met.groupBy("bucket", "part", "term", "doc_id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
+        met = met.select("term", "doc_id", "places", "bucket")
         met.sortWithinPartitions("bucket", "term", "doc_id").write.partitionBy("bucket").mode("overwrite").parquet(f"{self.path}/postings")
         counts = self.postings().groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.size("places")).alias("occurrences"))
         counts.write.mode("overwrite").parquet(f"{self.path}/terms")

@@ -84,3 +84,22 @@ def test_stored_index_is_built_once_for_the_same_files(spark, tmp_path):
     made.filter("doc_id < 50").select("doc_id", "text").write.mode("overwrite").parquet(path)
     two = TextIndex.stored(spark.read.parquet(path))
     assert two.path != one.path and two.postings().agg(F.max("doc_id")).first()[0] < 50 <= one.postings().agg(F.max("doc_id")).first()[0]
+
+
+def test_postings_are_put_together_before_the_shuffle(spark, monkeypatch):
+    from engram.sources import text_index
+
+    _, docs, made = _corpus(spark, random.Random(5))
+    want = sorted((i, t, [p for p, w in enumerate(words, 1) if w == t]) for i, text in docs for words in [[w.lower() for w in re.findall(r"\w{2,}", text or "")]] for t in set(words))
+    assert sorted(map(tuple, text_index.placed(made).collect())) == want
+    batch = next(iter(made.select("doc_id", F.transform(text_index.T.tokens(F.col("text")), F.lower).alias("words")).toArrow().to_batches()))
+    monkeypatch.setattr(text_index, "WORDS_AT_ONCE", 50)
+    pieces = list(text_index._put_together(iter([batch])))
+    assert len(pieces) > 5 and sorted((r["doc_id"], r["term"], r["places"]) for p in pieces for r in p.to_pylist()) == sorted(w for w in want if w[0] in set(batch.column(0).to_pylist()))
+
+
+def test_rows_that_repeat_an_id_are_one_document(spark, tmp_path):
+    index = TextIndex(spark, str(tmp_path / "index"), buckets=4)
+    index.build(spark.createDataFrame([(1, "aa bb aa"), (1, "bb cc aa"), (2, "aa"), (None, "aa"), (None, "aa dd")], "doc_id long, text string"))
+    got = sorted(((r.term, r.doc_id, r.places) for r in index.postings().collect()), key=repr)
+    assert got == sorted([("aa", 1, [1, 3, 3]), ("bb", 1, [1, 2]), ("cc", 1, [2]), ("aa", 2, [1]), ("aa", None, [1, 1]), ("dd", None, [2])], key=repr)
