@@ -16,6 +16,8 @@ from engram.functions.text import fold
 from engram.operators import nearest
 
 WORD_WEIGHT, GRAM_WEIGHT, GRAM = 1.0, 0.35, 4
+#: Vectors that a task holds at once.
+AT_ONCE = 64
 _TOKEN = re.compile(r"\w+")
 
 
@@ -62,8 +64,9 @@ def embedder(dim: int = 1024):
     @F.pandas_udf(ArrayType(FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         buckets: dict[str, tuple[int, float]] = {}
-        for texts in batches:
-            yield pd.Series([embed_text(t, dim, buckets).astype(np.float32).tolist() for t in texts])
+        for texts in batches:  # vectors leave in small pieces, whatever the size of a batch
+            for at in range(0, len(texts), AT_ONCE):
+                yield pd.Series([embed_text(t, dim, buckets).astype(np.float32) for t in texts.iloc[at : at + AT_ONCE]], dtype=object)
 
     return embed
 
