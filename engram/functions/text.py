@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 MAX_TERMS = 24
+#: Texts that a task holds folded at once.
+AT_ONCE = 256
 #: How sentences are told apart.
 GREETING = (
     "hallo|hi|hey|guten\\s+(?:morgen|tag|abend)|moin|servus|danke|dankeschön|ok(?:ay)?|alles\\s+klar|bis\\s+später|tschüss|ciao|hello|thanks|thank\\s+you|bye"
@@ -23,8 +26,10 @@ def fold(text: str) -> str:
 
 
 @F.pandas_udf(StringType())
-def normalise(text: pd.Series) -> pd.Series:
-    return text.map(fold, na_action="ignore")
+def normalise(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:  # folded texts leave in small pieces, whatever the size of a batch
+        for at in range(0, len(texts), AT_ONCE):
+            yield texts.iloc[at : at + AT_ONCE].map(fold, na_action="ignore")
 
 
 def strip(text: Column) -> Column:

@@ -208,3 +208,17 @@ def test_extraction_columns_agree_with_the_row_function(spark):
 
 def test_bounds_are_those_of_the_suite():
     assert THRESHOLDS == {"update_recall": 0.90, "stale": 0.10, "false_retraction": 0.05, "erasure": 1.0} and Memory("s").facts == []
+
+
+def test_vectors_and_folded_texts_leave_a_task_in_small_pieces(spark):
+    import pandas as pd
+
+    from engram.functions import vector
+
+    texts = pd.Series([f"Wort {k} Ärger" for k in range(1_000)] + [None])
+    pieces = list(embedder(16).func(iter([texts])))
+    assert max(map(len, pieces)) <= vector.AT_ONCE and all((a == embed_text(t, 16, {}).astype(np.float32)).all() for a, t in zip(pd.concat(pieces), texts, strict=True))
+    folded = list(T.normalise.func(iter([texts])))
+    assert max(map(len, folded)) <= T.AT_ONCE and pd.concat(folded).tolist()[:1_000] == [T.fold(t) for t in texts[:1_000]]
+    rows = spark.range(0, 3_000, 1, 1).select("id", F.concat(F.lit("Wort "), F.col("id").cast("string")).alias("text")).select("id", "text", embedder(16)("text").alias("v"), T.normalise("text").alias("n"))
+    assert all(r.n == f"wort {r.id}" and r.v == embed_text(r.text, 16, {}).astype(np.float32).tolist() for r in rows.collect())
