@@ -33,16 +33,20 @@ def _streamed(spark: SparkSession, rows: DataFrame, by: str, schema: str, proces
     return typed_state.latest(spark, out, result, *key)
 
 
+def _arrived_versions(facts: DataFrame) -> DataFrame:
+    return typed_state.stream_versions(facts, typed_state.ArrivedVersions)
+
+
 @query(
     "facts_streamed",
     "SELECT user_id AS subject_id, event_id AS fact_id, event_type AS predicate, value, epoch_us(ts) AS start, epoch_us(lead(ts) OVER slot) AS end, lead(event_id) OVER slot AS successor "
     "FROM events WINDOW slot AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
 )
 def facts_streamed(spark, sf_dir):
-    """Versions of all facts from a stream that delivers them out of order: typed map state, one entry per fact."""
+    """Versions of all facts from a stream that delivers them out of order: typed list state, one entry per batch and subject."""
     events = views.table(spark, sf_dir, "events")
     rows = events.select(F.col("user_id").alias("subject_id"), F.col("event_id").alias("fact_id"), F.col("event_type").alias("predicate"), "value", F.unix_micros(F.col("ts").cast("timestamp")).alias("start"))
-    return _streamed(spark, rows, "fact_id", typed_state.FACT, typed_state.stream_versions, typed_state.VERSION, "subject_id", "fact_id")
+    return _streamed(spark, rows, "fact_id", typed_state.FACT, _arrived_versions, typed_state.VERSION, "subject_id", "fact_id")
 
 
 @query(

@@ -1,8 +1,8 @@
 """Streams with typed keyed state: versions of facts under a map state, contexts of turns under a list state.
 
 Rows may arrive in any order and in any split into batches. A subject's map state has one small typed entry per fact
-(its slot, value and start), so a late fact finds its neighbours in the slot and the facts around it come out anew; a
-session's list state has its turns' numbers, so a late turn renews the contexts of the few turns after it. What a fact
+(its slot, value and start) or a list state one typed entry per batch, so a late fact finds its neighbours in the slot
+and the facts around it come out anew; a session's list state has its turns' numbers, so a late turn renews the contexts of the few turns after it. What a fact
 or a turn came out with last is therefore what a batch query over all rows gives. Nothing is dropped by a watermark, a
 row that comes again changes nothing, and a restart goes on from the checkpoint.
 
@@ -16,8 +16,7 @@ from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -27,43 +26,66 @@ TURN = "subject_id long, session_id long, turn_id long"
 CONTEXT = "subject_id long, session_id long, turn_id long, context array<long>"
 #: Turns before a turn that belong to its context.
 BEFORE = 6
+_VERSION = Row("subject_id", "fact_id", "predicate", "value", "start", "end", "successor")
+_CONTEXT = Row("subject_id", "session_id", "turn_id", "context")
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+def _renewed(subject: int, known: dict[int, tuple], arriving: Iterator[Row]) -> tuple[list[int], list[Row]]:
+    """Facts that are new, which ``known`` (fact: predicate, value, start) then has too, and the versions that they change."""
+    new = []
+    for row in arriving:
+        if row.fact_id not in known:
+            known[row.fact_id] = (row.predicate, row.value, row.start)
+            new.append(row.fact_id)
+    slots: dict[str | None, list[tuple[int, int]]] = defaultdict(list)
+    for fact, (predicate, _, start) in known.items():
+        slots[predicate].append((start, fact))
+    for slot in slots.values():
+        slot.sort()
+    again = set()
+    for fact in new:
+        predicate, _, start = known[fact]
+        at = bisect_left(slots[predicate], (start, fact))
+        again |= {(predicate, k) for k in (at - 1, at) if k >= 0}  # it and the one that it closes
+    out = []
+    for predicate, k in again:
+        slot = slots[predicate]
+        (start, fact), after = slot[k], slot[k + 1] if k + 1 < len(slot) else (None, None)
+        out.append(_VERSION(subject, fact, predicate, known[fact][1], start, *after))
+    return new, out
+
+
 class Versions(StatefulProcessor):
     """Facts of one subject; each slot's facts follow one another by start and id."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.facts = handle.getMapState("facts", "fact_id long", "predicate string, value double, start long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
         known = {k[0]: tuple(v) for k, v in self.facts.iterator()}
-        slots: dict[str | None, list[tuple[int, int]]] = defaultdict(list)
-        for fact, (predicate, _, start) in known.items():
-            slots[predicate].append((start, fact))
-        for slot in slots.values():
-            slot.sort()
-        touched: set[tuple] = set()
-        for frame in rows:
-            for fact, predicate, value, start in frame[["fact_id", "predicate", "value", "start"]].itertuples(index=False):
-                if int(fact) in known:
-                    continue
-                known[int(fact)] = (predicate, float(value), int(start))
-                self.facts.updateValue((int(fact),), known[int(fact)])
-                insort(slots[predicate], (int(start), int(fact)))
-                touched.add((predicate, int(start), int(fact)))
-        again = set()
-        for predicate, start, fact in touched:
-            at = bisect_left(slots[predicate], (start, fact))
-            again |= {(predicate, k) for k in (at - 1, at) if k >= 0}  # it and the one that it closes
-        out = []
-        for predicate, k in again:
-            slot = slots[predicate]
-            (start, fact), after = slot[k], slot[k + 1] if k + 1 < len(slot) else (None, None)
-            out.append((key[0], fact, predicate, known[fact][1], start, *after))
-        frame = pd.DataFrame(out, columns=["subject_id", "fact_id", "predicate", "value", "start", "end", "successor"])
-        yield frame.astype({"end": "Int64", "successor": "Int64"})
+        new, out = _renewed(key[0], known, rows)
+        for fact in new:
+            self.facts.updateValue((fact,), known[fact])
+        yield from out
+
+    def close(self) -> None:
+        pass
+
+
+class ArrivedVersions(StatefulProcessor):
+    """The same from a list state with one entry per batch, typed arrays of what it brought: a call per batch, not per fact."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.arrivals = handle.getListState("arrivals", "fact_id array<long>, predicate array<string>, value array<double>, start array<long>")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        known = {fact: said for facts, *columns in self.arrivals.get() for fact, *said in zip(facts, *columns, strict=True)}
+        new, out = _renewed(key[0], known, rows)
+        if new:
+            self.arrivals.appendValue((new, *(list(column) for column in zip(*(known[fact] for fact in new), strict=True))))
+        yield from out
 
     def close(self) -> None:
         pass
@@ -75,30 +97,34 @@ class Contexts(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getListState("turns", "turn_id long")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        turns = sorted(x[0] for x in self.turns.get()) if self.turns.exists() else []
-        new = sorted({int(t) for frame in rows for t in frame["turn_id"]} - set(turns))
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
+        turns = sorted(x[0] for x in self.turns.get())
+        new = sorted({row.turn_id for row in rows} - set(turns))
+        if new:
+            self.turns.appendList([(turn,) for turn in new])
         for turn in new:
-            self.turns.appendValue((turn,))
             insort(turns, turn)
         places = [bisect_left(turns, turn) for turn in new]
-        again = sorted({k for at in places for k in range(at, min(at + BEFORE + 1, len(turns)))})
-        yield pd.DataFrame({"subject_id": key[0], "session_id": key[1], "turn_id": [turns[k] for k in again], "context": [turns[max(0, k - BEFORE) : k] for k in again]})
+        for k in sorted({k for at in places for k in range(at, min(at + BEFORE + 1, len(turns)))}):
+            yield _CONTEXT(key[0], key[1], turns[k], turns[max(0, k - BEFORE) : k])
 
     def close(self) -> None:
         pass
 
 
-def stream_versions(facts: DataFrame) -> DataFrame:
-    """What a batch added or changed of ``facts`` (as FACT), each fact with its end and successor as they are now."""
+def stream_versions(facts: DataFrame, processor: type[StatefulProcessor] = Versions) -> DataFrame:
+    """What a batch added or changed of ``facts`` (as FACT), each fact with its end and successor as they are now.
+
+    ``ArrivedVersions`` is for streams of many facts, ``Versions`` for a state that is looked into fact by fact.
+    """
     rows = facts.filter("subject_id IS NOT NULL AND fact_id IS NOT NULL AND start IS NOT NULL")
-    return rows.groupBy("subject_id").transformWithStateInPandas(Versions(), VERSION, "Update", "None")
+    return rows.groupBy("subject_id").transformWithState(processor(), VERSION, "Update", "None")
 
 
 def stream_contexts(turns: DataFrame) -> DataFrame:
     """The contexts that a batch added or changed of ``turns`` (as TURN)."""
     rows = turns.filter("subject_id IS NOT NULL AND session_id IS NOT NULL AND turn_id IS NOT NULL")
-    return rows.groupBy("subject_id", "session_id").transformWithStateInPandas(Contexts(), CONTEXT, "Update", "None")
+    return rows.groupBy("subject_id", "session_id").transformWithState(Contexts(), CONTEXT, "Update", "None")
 
 
 @contextmanager

@@ -53,6 +53,24 @@ def test_state_is_typed(spark, tmp_path):
     assert sorted(map(tuple, rows)) == [(1, 7, "a", 2.5, 3), (1, 8, "a", 3.5, 9)]
 
 
+def test_a_state_by_arrivals_gives_the_same_and_grows_by_an_entry_per_batch(spark, tmp_path):
+    r = random.Random(3)
+    rows = [(k % 2, k, r.choice(["a", "b", None]), r.choice([None, float(k)]), r.randint(0, 30)) for k in range(60)]
+    r.shuffle(rows)
+    source = str(tmp_path / "in")
+    arrive(spark, rows + rows[:5], S.FACT, source, 3)
+    found = []
+    for processor in (S.Versions, S.ArrivedVersions):
+        out, checkpoint = (str(tmp_path / f"{x}-{processor.__name__}") for x in ("out", "state"))
+        S.run(S.stream_versions(spark.readStream.schema(S.FACT).option("maxFilesPerTrigger", 1).parquet(source), processor), out, checkpoint)
+        found.append({tuple(x) for x in S.latest(spark, out, S.VERSION, "subject_id", "fact_id").collect()})
+    assert found[0] == found[1] and len(found[1]) == 60
+    with S.state_in_rocksdb(spark):
+        entries = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "arrivals").load()
+        kept = entries.select("list_element.*").collect()
+    assert len(kept) <= 6 and sum(len(x.fact_id) for x in kept) == 60
+
+
 def test_windows_over_a_stream_leave_out_what_is_too_late(spark, tmp_path):
     import datetime as dt
 
