@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.session import Scratch, stored
+from engram.session import Scratch, stored, tasks_for
 
 _NODES, _JUMPS = "fact_id long, chain long, place long", "chain long, place long, to_chain long, to_place long"
 
@@ -39,9 +39,9 @@ def _main(links: DataFrame) -> DataFrame:
     return chosen.groupBy("above").agg(F.min("below").alias("below"))
 
 
-def _placed(ends: DataFrame, main: DataFrame, scratch: Scratch) -> DataFrame:
+def _placed(ends: DataFrame, main: DataFrame, scratch: Scratch, tasks: int) -> DataFrame:
     """``fact_id, chain, place``: each fact's first ancestor along main links, and how many links away that is."""
-    start = ends.join(main.select(F.col("below").alias("fact_id"), "above"), "fact_id", "left")
+    start = ends.repartition(tasks, "fact_id").join(main.select(F.col("below").alias("fact_id"), "above").repartition(tasks, "fact_id"), "fact_id", "left")
     start = scratch.keep(start.select("fact_id", F.coalesce("above", "fact_id").alias("at"), F.col("above").isNotNull().cast("long").alias("place")))
     heads = start.filter("at = fact_id")
     done, active = [heads.select("fact_id", F.col("at").alias("chain"), "place")], start.filter("at <> fact_id")
@@ -49,7 +49,7 @@ def _placed(ends: DataFrame, main: DataFrame, scratch: Scratch) -> DataFrame:
         # a fact whose pointer is at a finished fact is finished; else its pointer's pointer is twice as far
         finished = reduce(DataFrame.union, done).select(F.col("fact_id").alias("at"), F.col("chain").alias("then"), F.col("place").alias("more"), F.lit(True).alias("over"))
         going = active.select(F.col("fact_id").alias("at"), F.col("at").alias("then"), F.col("place").alias("more"), F.lit(False).alias("over"))
-        moved = scratch.keep_new(active.join(finished.union(going), "at").select("fact_id", F.col("then").alias("at"), (F.col("place") + F.col("more")).alias("place"), "over"))
+        moved = scratch.keep_new(active.repartition(tasks, "at").join(finished.union(going).repartition(tasks, "at"), "at").select("fact_id", F.col("then").alias("at"), (F.col("place") + F.col("more")).alias("place"), "over"))
         if moved is None:
             break
         done.append(moved.filter("over").select("fact_id", F.col("at").alias("chain"), "place"))
@@ -57,11 +57,12 @@ def _placed(ends: DataFrame, main: DataFrame, scratch: Scratch) -> DataFrame:
     return reduce(DataFrame.union, done)
 
 
-def _jumps(links: DataFrame, nodes: DataFrame) -> DataFrame:
+def _jumps(links: DataFrame, nodes: DataFrame, tasks: int) -> DataFrame:
     """The links between labels that a search needs."""
     above = nodes.select(F.col("fact_id").alias("above"), "chain", "place")
     below = nodes.select(F.col("fact_id").alias("below"), F.col("chain").alias("to_chain"), F.col("place").alias("to_place"))
-    between = links.join(above, "above").join(below, "below").filter("chain <> to_chain OR to_place < place")
+    dealt = lambda df, c: df.repartition(tasks, c)
+    between = dealt(dealt(links, "above").join(dealt(above, "above"), "above"), "below").join(dealt(below, "below"), "below").filter("chain <> to_chain OR to_place < place")
     first = between.groupBy("chain", "place", "to_chain").agg(F.min("to_place").alias("to_place"))
     later = Window.partitionBy("chain", "to_chain").orderBy(F.desc("place")).rowsBetween(Window.unboundedPreceding, -1)
     return first.withColumn("before", F.min("to_place").over(later)).filter("before IS NULL OR to_place < before").select("chain", "place", "to_chain", "to_place")
@@ -88,14 +89,15 @@ class ChainIndex:
     def _write(self, links: DataFrame, mode: str) -> None:
         with Scratch(self.spark) as scratch:
             links = scratch.keep(links)
+            tasks = tasks_for(self.spark, links.count())
             ends = links.select(F.col("above").alias("fact_id")).union(links.select("below")).distinct()
             inner = links
             if mode == "append":
                 ends = scratch.keep(ends.join(self.nodes(), "fact_id", "left_anti"))
                 inner = links.join(ends.withColumnRenamed("fact_id", "above"), "above", "left_semi").join(ends.withColumnRenamed("fact_id", "below"), "below", "left_semi").select("above", "below")
-            nodes = scratch.keep(_placed(ends, _main(inner), scratch))
+            nodes = scratch.keep(_placed(ends, _main(inner), scratch, tasks))
             known = nodes if mode == "overwrite" else self.nodes().union(nodes)
-            jumps = scratch.keep(_jumps(links, known))
+            jumps = scratch.keep(_jumps(links, known, tasks))
             nodes.repartitionByRange("chain", "place").sortWithinPartitions("chain", "place").write.mode(mode).parquet(f"{self.path}/nodes")
             jumps.write.mode(mode).parquet(f"{self.path}/jumps")
 

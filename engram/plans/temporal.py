@@ -235,7 +235,7 @@ def lineage_closure(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def derivations(spark: SparkSession, sf_dir: str) -> ChainIndex:
     """The chain index of what was derived from what; built when the table of events has none yet."""
-    return ChainIndex.stored(views.table(spark, sf_dir, "v_derivations"), "derivations")
+    return ChainIndex.stored(views.by_slot(spark, sf_dir, "v_derivations"), "derivations")
 
 
 shared(

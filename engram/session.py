@@ -42,6 +42,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Rows that a task of a join over whole tables holds.
+TASK_ROWS = 250_000
+
+
+def tasks_for(spark: SparkSession, rows: int) -> int:
+    """Partitions for so many rows. Ids compress well, so by bytes a task would get ever more of them; a stated number stays."""
+    return max(spark.sparkContext.defaultParallelism, 1 + rows // TASK_ROWS)
+
+
 def stored(df: DataFrame, what: str, build: Callable[[str], None]) -> str:
     """Folder of what ``build(path)`` derives from the files that ``df`` reads, in the shared checkpoint folder.
 

@@ -7,6 +7,8 @@ import re
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from engram.session import tasks_for
+
 SPARK_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 #: SQL of each derived table; timestamps are without zone on both engines.
@@ -48,6 +50,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def by_slot(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table derived by windows over the slots of ``events``, dealt to tasks of a bounded size once for all its windows."""
+    events = table(spark, sf_dir, "events")
+    return sql(spark, sf_dir, SQL[name], events=events.repartition(tasks_for(spark, events.count()), "user_id", "event_type"))
+
+
 def _used(text: str) -> list[str]:
     return [t for t in (*SQL, *SPARK_TABLES) if re.search(rf"\b(?:FROM|JOIN)\s+{t}\b", text)]
 
