@@ -45,16 +45,20 @@ def named_ids(steps: DataFrame, json: str, names: tuple[str, ...], key: str = "s
     Level by level through the VARIANT's members, without Python and without a schema; a member of a list goes by the
     list's name. Members below ``levels`` aren't read. What isn't JSON, or repeats a key, names nothing.
     """
+    return each_named_id(steps, json, names, key, levels).distinct()
+
+
+def each_named_id(steps: DataFrame, json: str, names: tuple[str, ...], key: str = "step_id", levels: int = LEVELS) -> DataFrame:
+    """The same as often as it is named, so without a shuffle. A text is read once; what is found goes along to the last level."""
     spark = steps.sparkSession
-    level = steps.select(F.col(key).alias("_key"), F.lit(None).cast("string").alias("_name"), F.try_parse_json(F.col(json)).alias("_value")).filter("_value IS NOT NULL")
-    found = []
+    level = steps.select(F.col(key).alias("_key"), F.lit(None).cast("string").alias("_name"), F.try_parse_json(F.col(json)).alias("_value"), F.lit(None).cast("long").alias("_id")).filter("_value IS NOT NULL")
     for _ in range(levels):
-        members = spark.sql("SELECT _key, coalesce(m.key, _name) AS _name, m.value AS _value FROM {level}, LATERAL variant_explode(_value) AS m", level=level)
+        members = spark.sql("SELECT _key, coalesce(m.key, _name) AS _name, m.value AS _value, _id FROM {level}, LATERAL variant_explode_outer(_value) AS m", level=level)
         kind = F.schema_of_variant("_value")
         nested = F.startswith(kind, F.lit("OBJECT")) | F.startswith(kind, F.lit("ARRAY"))
-        found.append(members.filter(F.col("_name").isin(*names) & (kind == "BIGINT")).select(F.col("_key").alias(key), F.variant_get("_value", "$", "bigint").alias("id")))
-        level = members.filter(nested)
-    return reduce(DataFrame.union, found).distinct()
+        found = F.when(F.col("_name").isin(*names) & (kind == "BIGINT"), F.variant_get("_value", "$", "bigint"))
+        level = members.select("_key", "_name", F.when(nested, F.col("_value")).alias("_value"), F.coalesce("_id", found).alias("_id")).filter("_id IS NOT NULL OR _value IS NOT NULL")
+    return level.filter("_id IS NOT NULL").select(F.col("_key").alias(key), F.col("_id").alias("id"))
 
 
 def model_object(text: Column) -> Column:

@@ -104,3 +104,26 @@ def test_table_function_equals_the_column_version_on_all_turns(spark):
     turns = said.union(views.table(spark, DATA, "v_turns").select("turn_id", "role", "content", "occurred_at"))
     plain, table, _ = plain_and_table(spark, turns)
     assert plain == table and table
+
+
+def test_named_ids_read_a_text_once_and_the_preview_reads_steps_once(spark):
+    from engram.functions.json_text import each_named_id
+    from engram.plans import governance
+
+    rows = [(1, 10, '{"included": [5, 6], "fused": [{"fact_id": 5}], "other": {"id": 7, "x": {"id": {"y": 8}}}}'), (2, 20, "no JSON"), (3, 30, "[]"), (4, None, '{"id": 9}')]
+    steps = spark.createDataFrame(rows, "step_id int, trace_id int, output string")
+    keyed = steps.selectExpr("struct(step_id, trace_id) AS step", "output")
+    found = each_named_id(keyed, "output", governance.NAMES, "step")
+    assert sorted((x.step.step_id, x.id) for x in found.collect()) == [(1, 5), (1, 5), (1, 6), (1, 7), (4, 9)]
+    assert found._jdf.queryExecution().executedPlan().toString().lower().count("parse_json") <= 2  # the value and its null check
+
+
+def test_rows_of_a_task_stay_bounded_whatever_their_bytes(spark, monkeypatch):
+    from engram import session
+    from engram.sources import views
+
+    monkeypatch.setattr(session, "TASK_ROWS", 50)
+    n = session.tasks_for(spark, spark.read.parquet("/root/testdata/sf0.001/events.parquet").count())
+    assert n > 10
+    for name in ("v_derivations", "v_lineage"):
+        assert views.by_slot(spark, "/root/testdata/sf0.001", name).rdd.getNumPartitions() % n == 0
