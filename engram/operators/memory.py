@@ -193,6 +193,20 @@ class Memory:
             known[text] = embed_text(text, self.dim, self.__dict__.setdefault("_buckets", {}))
         return known[text]
 
+    def _open_facts(self) -> list[dict]:
+        """What was open when last asked and still is, and newer facts: a closed fact doesn't open again, so it is looked at once."""
+        seen, rows = self.__dict__.get("_open", (0, []))
+        rows = [f for f in [*rows, *self.facts[seen:]] if f["invalidated_at"] is None and f["status"] != "erased"]
+        self.__dict__["_open"] = (len(self.facts), rows)
+        return rows
+
+    def _edges_of(self, fact_id: int) -> list[dict]:
+        seen, by_fact = self.__dict__.get("_edges", (0, {}))
+        for e in self.edges[seen:]:
+            by_fact.setdefault(e["fact_id"], []).append(e)
+        self.__dict__["_edges"] = (len(self.edges), by_fact)
+        return by_fact.get(fact_id, [])
+
     # -- write path -----------------------------------------------------------------------------------------------
 
     def ingest(self, turn: dict) -> list[str]:
@@ -202,8 +216,8 @@ class Memory:
         return [self._consolidate(c, turn) for c in candidates(turn)]
 
     def _consolidate(self, c: dict, turn: dict) -> str:
-        own, is_open = self._vector(c["content"]), [f for f in self.facts if f["invalidated_at"] is None and f["status"] != "erased"]
-        near = [{**f, "similarity": float(own @ self._vector(f["content"])), "anchored": False} for f in is_open]
+        own = self._vector(c["content"])
+        near = [{**f, "similarity": float(own @ self._vector(f["content"])), "anchored": False} for f in self._open_facts()]
         near.sort(key=lambda n: (-n["similarity"], n["id"]))
         anchored = sorted((n for n in near if (n["triple"] or {}).get("predicate") in c["predicates"] or any(t.lower() in n["content"].lower() for t in c["terms"])), key=lambda n: -n["id"])[:NEIGHBOURS]
         for n in anchored:
@@ -239,8 +253,8 @@ class Memory:
                 raise ValueError(f"fact {fact_id} of {self.subject_id} would end before it starts")
             valid_to = fact["valid_from"]
         fact.update(status=status, invalidated_at=at, valid_to=fact["valid_to"] or valid_to)
-        for e in self.edges:
-            if e["fact_id"] == fact_id and e["valid_to"] is None:
+        for e in self._edges_of(fact_id):
+            if e["valid_to"] is None:
                 e["valid_to"] = valid_to
 
     # -- read path ------------------------------------------------------------------------------------------------

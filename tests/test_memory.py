@@ -249,3 +249,24 @@ def test_exports_are_files_and_a_subject_is_read_from_its_bucket(spark, tmp_path
     whole, one = engine.store.read().inputFiles(), engine.store.read_subject("a").inputFiles()
     assert len(one) < len(whole) and {r.content for r in engine.facts("a").collect()} == {"Wohnt in Köln.", "Wohnt in Leipzig."}
     assert engine.facts("unknown").count() == 0 and engine.turns("s3").count() == 1
+
+
+def test_a_turn_looks_at_open_facts_only():
+    class Closed(dict):
+        def __getitem__(self, name):
+            raise AssertionError(f"a closed row's {name} was read")
+
+    memory = Memory("s", on_late="clamp")
+    say = lambda k: memory.ingest({"role": "user", "content": f"Ich wohne jetzt in Ort{k}.", "occurred_at": f"2024-01-01T00:{k:02d}:00"})
+    for k in range(20):
+        say(k)
+    closed = [f["id"] for f in memory.facts if f["invalidated_at"] is not None]
+    assert len(closed) == 19
+    kept = list(memory.facts), list(memory.edges)
+    memory.facts[:19], memory.edges[:19] = map(Closed, memory.facts[:19]), map(Closed, memory.edges[:19])
+    assert say(20) == ["update"]
+    memory.facts[:19], memory.edges[:19] = kept[0][:19], kept[1][:19]
+    again = Memory.from_json(memory.to_json())
+    again.ingest({"role": "user", "content": "Ich wohne jetzt in Ulm.", "occurred_at": "2024-01-01T01:00:00"})
+    assert [f["status"] for f in again.facts] == ["superseded"] * 21 + ["active"]
+    assert [e["valid_to"] is None for e in again.edges] == [False] * 21 + [True]
