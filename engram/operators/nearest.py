@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, queries of a part, and queries that are scored at once.
 BLOCK_ROWS, PART_QUERIES, AT_ONCE = 4096, 16_384, 256
+#: Numbers in the payloads of a block, on average: long rows come in blocks of fewer rows.
+BLOCK_NUMBERS = 1 << 19
 #: Rows that centres are learnt from, for each cell.
 SAMPLE_PER_CELL = 256
 #: Rows that the number of probed cells is measured on, how many nearest of each, and the share of them to be found.
@@ -52,16 +54,18 @@ def by_cosine(vectors: list) -> Callable[[list], Iterator[np.ndarray]]:
 
 def by_occurrences(texts: list) -> Callable[[list], Iterator[np.ndarray]]:
     """How often any of a query's terms occurs in each row; terms are 64-bit hashes."""
+    many = len(texts)
     said = np.concatenate([np.asarray(x, dtype=np.int64) for x in texts])
-    row = np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+    row = np.repeat(np.arange(many, dtype=np.int32), [len(x) for x in texts])
     order = np.argsort(said, kind="stable")
     said, row = said[order], row[order]
+    del order, texts
 
     def score(asked: list) -> Iterator[np.ndarray]:
         for terms in asked:
             low, high = np.searchsorted(said, terms, "left"), np.searchsorted(said, terms, "right")
             hits = np.concatenate([row[a:b] for a, b in zip(low, high, strict=True)]) if len(terms) else row[:0]
-            found = np.bincount(hits, minlength=len(texts)).astype(np.float64)
+            found = np.bincount(hits, minlength=many).astype(np.float64)
             found[found == 0] = -np.inf
             yield found
 
@@ -93,10 +97,11 @@ def _meeting(scorer: Scorer, k: int) -> Callable:
                     ids.append(frame["id"].to_numpy(dtype=np.int64)[a:b])
                     rows += some
                     continue
-                if not rows:
-                    continue
                 if score is None:
+                    if not rows:
+                        continue
                     names, score = np.concatenate(ids), scorer(rows)
+                    ids, rows = [], []  # the scorer has what it needs
                 queries = frame["id"].to_numpy(dtype=np.int64)[a:b]
                 for start in range(0, len(some), AT_ONCE):
                     out = []
@@ -116,8 +121,10 @@ def top_k(queries: DataFrame, corpus: DataFrame, k: int, scorer: Scorer = by_cos
     """
     fine = F.col("id").isNotNull() & F.col("group").isNotNull() & F.col("payload").isNotNull()
     queries, corpus = (df.select(F.col("id").cast("long").alias("id"), F.col("group").cast("string").alias("group"), "payload").filter(fine) for df in (queries, corpus))
-    number = lambda df, size, name: df.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / size).cast("int").alias(name))
-    sizes = number(corpus, block_rows, "blocks").join(number(queries, part_queries, "parts"), "group")
+    number = lambda df, *sizes, name: df.groupBy("group").agg(F.greatest(*(F.ceil(n / size) for n, size in sizes)).cast("int").alias(name))
+    rows, numbers = F.count(F.lit(1)), F.sum(F.size("payload"))
+    blocks, parts = number(corpus, (rows, block_rows), (numbers, BLOCK_NUMBERS), name="blocks"), number(queries, (rows, part_queries), (numbers, 4 * BLOCK_NUMBERS), name="parts")
+    sizes = blocks.join(parts, "group")
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     dealt = lambda n: F.pmod(F.xxhash64("id", "payload"), F.col(n)).cast("int")
     hosts = corpus.join(sizes, "group").select("group", dealt("blocks").alias("block"), upto("parts").alias("part"), F.lit(False).alias("asks"), "id", "payload")

@@ -75,3 +75,15 @@ def test_inverted_file_of_few_rows(spark, tmp_path):
         index = IvfIndex(spark, str(tmp_path / name))
         index.build(some)
         assert index.search(rows, 3, probes=5).count() == 2 * some.count()
+
+
+def test_long_rows_come_in_blocks_of_fewer_rows(spark, monkeypatch):
+    def small(texts):
+        assert len(texts) < 30, "one block"
+        return by_occurrences(texts)
+
+    rows = spark.createDataFrame([(k, "g", [k % 7, *range(100, 180)]) for k in range(40)], "id long, group string, payload array<long>")
+    asked = spark.createDataFrame([(900, "g", [3])], "id long, group string, payload array<long>")
+    monkeypatch.setattr("engram.operators.nearest.BLOCK_NUMBERS", 500)
+    found = top_k(asked, rows, 3, small)
+    assert [(x.vec_id, x.score) for x in found.orderBy("place").collect()] == [(3, 1.0), (10, 1.0), (17, 1.0)]
