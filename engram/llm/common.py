@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +31,40 @@ def packed(docs: DataFrame) -> Column:
     return F.struct(*[docs[f"`{c}`"] for c in docs.columns])
 
 
+def in_blocks(batch: pa.RecordBatch, most: int, size: Callable[[int], int] = int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices, not copies, each closed by the row at which ``size`` of the code points of its ``text`` adds up to ``most``.
+
+    A batch may be all of a task's texts, so only a slice of it becomes Python objects at once.
+    """
+    start = total = 0
+    for k, length in enumerate(pc.utf8_length(batch.column("text")).to_pylist()):
+        total += size(length)
+        if total >= most:
+            yield batch.slice(start, k + 1 - start)
+            start, total = k + 1, 0
+    if start < batch.num_rows:
+        yield batch.slice(start)
+
+
+def lean(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run``, after which a Python worker returns to the system what it has freed.
+
+    Workers outlive their tasks: what one keeps counts for its executor in every later stage, also in those without Python.
+    """
+
+    @wraps(run)
+    def to_the_end(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+            if trim is not None:
+                trim(0)
+
+    return to_the_end
+
+
 def words_of(text: str | None) -> list[bytes]:
     """Words ``[^\\x20\\x09-\\x0D]+`` of the text with A-Z lower-cased, as UTF-8."""
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []

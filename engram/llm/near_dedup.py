@@ -35,11 +35,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import WordHashes, id_and_text, mixed, packed, table, windows, words_of
+from engram.llm.common import WordHashes, id_and_text, in_blocks, lean, mixed, packed, table, windows, words_of
 from engram.llm.components import connected_components
 from engram.session import Scratch
 
@@ -48,6 +49,8 @@ BANDS, ROWS = 32, 4
 BINS = BANDS * ROWS
 #: Shingles that a block of the exact search holds in memory (some 40 bytes each), and that a task streams past it.
 BLOCK_SHINGLES, VISIT_SHINGLES = 1_000_000, 4_000_000
+#: Code points of texts that become Python objects at once when sets are described.
+BLOCK_CHARS = 1_000_000
 #: Members that meet one copy of their centre's text.
 SALT_MEMBERS = 1024
 _EDGES = (np.arange(BINS, dtype=object) * 2**64 // BINS).astype(np.uint64)
@@ -103,17 +106,18 @@ def bands(values: np.ndarray) -> np.ndarray:
 
 
 def _describer(bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray]) -> Callable:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, probes = WordHashes(), _Probes()
-        for frame in frames:
-            out = []
-            for doc_id, text in zip(frame["doc_id"], frame["text"], strict=True):
+        for block in (block for batch in batches for block in in_blocks(batch, BLOCK_CHARS)):
+            sizes, digests, keys = [], [], []
+            for text in block.column("text").to_pylist():
                 found = shingles(text, hashes)
-                keys = bucket_keys(found, probes) if len(found) else np.empty(0, dtype=np.int64)
-                out.append((doc_id, len(found), xxhash.xxh3_128_digest(found.tobytes()), keys))
-            if out:
-                described = pd.DataFrame(out, columns=["doc_id", "n_shingles", "set_hash", "bands"])
-                yield described.assign(doc_id=described["doc_id"].astype("Int64"))
+                sizes.append(len(found))
+                digests.append(xxhash.xxh3_128_digest(found.tobytes()))
+                keys.append(bucket_keys(found, probes) if len(found) else np.empty(0, dtype=np.int64))
+            columns = [block.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "set_hash", "bands"])
 
     return run
 
@@ -122,6 +126,7 @@ def minhash_keys(found: np.ndarray, probes: _Probes) -> np.ndarray:
     return bands(signature(found, probes))
 
 
+@lean
 def _confirm(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Pairs whose full sets are similar enough. Rows of one centre come together, so its set is made once."""
     hashes, last, centre = WordHashes(), None, None
@@ -163,6 +168,7 @@ def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).drop("a_in", "b_in")
 
 
+@lean
 def _explode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     hashes = WordHashes()
     for frame in frames:
@@ -187,6 +193,7 @@ def _rare_groups(texts: DataFrame) -> DataFrame:
     return ranked.filter(F.col("nth") <= first).select(F.col("shingle").alias("key"), "vertex", "doubtful", "n").distinct()
 
 
+@lean
 def _compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Links between the members of a block and its visitors. Rows come sorted by block, part and role, members first.
 
@@ -272,7 +279,7 @@ def _split_groups(groups: DataFrame, found: DataFrame) -> DataFrame:
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bucket_keys: Callable[[np.ndarray, _Probes], np.ndarray] = minhash_keys) -> DataFrame:
     """``doc_id, n_shingles, set_hash, bands`` of every row."""
-    return id_and_text(docs, id_col, text_col).mapInPandas(_describer(bucket_keys), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
+    return id_and_text(docs, id_col, text_col).mapInArrow(_describer(bucket_keys), "doc_id long, n_shingles long, set_hash binary, bands array<long>")
 
 
 def components(

@@ -28,10 +28,11 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from engram.llm.common import id_and_text, mixed, packed, table
+from engram.llm.common import id_and_text, in_blocks, lean, mixed, packed, table
 
 PASSAGE_WORDS = 64
 MAX_TRAINING, MAX_TRAINING_CHARS = 3000, 40_000_000
@@ -292,6 +293,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     chosen = sized.withColumn("so_far", so_far).filter((F.col("so_far") == 0) | (F.col("so_far") + F.col("chars") <= most_chars)).select("label_id", "label")
     bags = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("label_id")).groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
+    @lean
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = PassageEncoder()
         for frame in frames:
@@ -309,23 +311,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def _scorer(model: Model | None, docs: DataFrame):
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-        start = size = 0
-        for k, text in enumerate(texts):
-            size += len(text) // 6 + 1
-            if size >= BLOCK_WORDS:
-                yield start, k + 1
-                start, size = k + 1, 0
-        if start < len(texts):
-            yield start, len(texts)
-
-    def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = PassageEncoder()
-        for frame in frames:
-            texts, scores = frame.pop("text").tolist(), np.full(len(frame), 0.5)
-            for start, end in blocks(texts) if shared.value is not None else ():
-                scores[start:end] = shared.value.score(*encoder.encode(texts[start:end], shared.value.project))
-            yield frame.assign(score=scores)
+    @lean
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, model = PassageEncoder(), shared.value
+        for batch in batches:
+            scores, others = [np.empty(0)], [name for name in batch.schema.names if name != "text"]
+            for block in in_blocks(batch, BLOCK_WORDS, lambda chars: chars // 6 + 1):
+                scores.append(model.score(*encoder.encode(block.column("text").to_pylist(), model.project)) if model else np.full(block.num_rows, 0.5))
+            yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(np.concatenate(scores))], names=[*others, "score"])
 
     return score
 
@@ -333,7 +326,7 @@ def _scorer(model: Model | None, docs: DataFrame):
 def classify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per document: ``doc_id, held_out, score, predicted``."""
     rows = id_and_text(docs, id_col, text_col).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    scored = rows.mapInPandas(_scorer(model, docs), "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(_scorer(model, docs), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -342,7 +335,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", thre
     row = packed(docs)
     rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), row.alias("row"))
     schema = f"row {rows.schema['row'].dataType.simpleString()}, score double"
-    return rows.mapInPandas(_scorer(model, docs), schema).filter(F.col("score") >= threshold).select("row.*")
+    return rows.mapInArrow(_scorer(model, docs), schema).filter(F.col("score") >= threshold).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

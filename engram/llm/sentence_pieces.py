@@ -33,12 +33,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from engram.llm.common import id_and_text, table
+from engram.llm.common import id_and_text, in_blocks, lean, table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 #: A block of texts is closed at so many characters; longer texts are encoded in runs of about as many.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 1_000_000
 #: Words remembered between blocks, and compatible pairs; both are emptied when full.
 CACHED_WORDS, CACHED_CHARS, CACHED_PAIRS = 300_000, 6_000_000, 300_000
 #: What an unknown character costs below the worst piece (unigram).
@@ -263,38 +263,26 @@ class Encoder:
         return whole.decode("utf-8", "replace")
 
 
-def _blocks(texts: list[str]) -> Iterator[tuple[int, int]]:
-    start = size = 0
-    for k, text in enumerate(texts):
-        size += len(text)
-        if size >= BLOCK_CHARS:
-            yield start, k + 1
-            start, size = k + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode(docs: DataFrame, path: str = MODEL, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_tokens, ids, decoded_sha256, round_trip`` (decoding gives the very text)."""
     vocabulary = docs.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
-        for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for start, end in _blocks(texts):
-                ids = encoder.encode_block(texts[start:end])
-                decoded = [encoder.decode(x.tolist()) for x in ids]
-                offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-                values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-                columns = [
-                    batch.column(0).slice(start, end - start),
-                    pa.array(np.diff(offsets).astype(np.int64)),
-                    pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
-                    pa.array([t == s for t, s in zip(decoded, texts[start:end], strict=True)]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
+        for block in (block for batch in batches for block in in_blocks(batch, BLOCK_CHARS)):
+            texts = block.column("text").to_pylist()
+            ids = encoder.encode_block(texts)
+            decoded = [encoder.decode(x.tolist()) for x in ids]
+            offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
+            columns = [
+                block.column("doc_id"),
+                pa.array(np.diff(offsets).astype(np.int64)),
+                pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids))),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
+                pa.array([t == s for t, s in zip(decoded, texts, strict=True)]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids", "decoded_sha256", "round_trip"])
 
     return id_and_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids array<int>, decoded_sha256 string, round_trip boolean")
 
@@ -303,6 +291,7 @@ def decode(encoded: DataFrame, path: str = MODEL, id_col: str = "doc_id", ids_co
     """One row per input row: ``doc_id, text``; null ids decode to the empty text."""
     vocabulary = encoded.sparkSession.sparkContext.broadcast(Vocabulary.read(path))
 
+    @lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(vocabulary.value)
         for batch in batches:

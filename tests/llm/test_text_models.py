@@ -11,10 +11,12 @@ from dataclasses import replace
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from engram.llm import language_id, lm_scoring, quality, sentence_pieces, token_counts
+from engram.llm.common import in_blocks
 
 DATA = "/root/testdata/sf0.01"
 NEEDS_DATA = pytest.mark.skipif(not Path(DATA).exists(), reason="no test tables")
@@ -123,6 +125,36 @@ def test_a_million_unbroken_characters_in_bounded_memory():
     assert int(chars) == 1_000_000 and int(megabytes) < 500 and same == "True"
 
 
+def test_a_task_encodes_a_large_batch_in_bounded_memory():
+    code = (
+        "import random, re\n"
+        "from types import SimpleNamespace as N\n"
+        "import pyarrow as pa\n"
+        "from engram.llm import sentence_pieces as s\n"
+        "size = lambda what: int(re.search(what + r':\\s+(\\d+)', open('/proc/self/status').read())[1]) // 1024\n"
+        "s.id_and_text = lambda *_: N(mapInArrow=lambda run, schema: run)\n"
+        "run = s.encode(N(sparkSession=N(sparkContext=N(broadcast=lambda x: N(value=x)))))\n"
+        "list(run(iter([pa.RecordBatch.from_pydict({'doc_id': [0], 'text': ['слово']})])))\n"
+        "r = random.Random(1); words = [''.join(r.choices('абвгдежзик', k=6)) for _ in range(50)]\n"
+        "texts = pa.array((' '.join(r.choices(words, k=7000)) for _ in range(400)), pa.string())\n"
+        "batch = pa.RecordBatch.from_arrays([pa.array(range(400)), texts], names=['doc_id', 'text'])\n"
+        "before, rows, right = size('VmRSS'), 0, True\n"
+        "for out in run(iter([batch])):\n"
+        "    rows += out.num_rows; right &= all(out.column(4).to_pylist())\n"
+        "print(rows, right, size('VmHWM') - before)\n"
+    )
+    rows, right, peak = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2]).stdout.split()
+    assert (rows, right) == ("400", "True") and int(peak) < 100
+
+
+def test_blocks_of_a_batch_lose_no_row_and_are_closed_by_code_points():
+    texts = ["", "ж" * 3, "a" * 9, "", "b", "", "c" * 4, ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    assert [b.column("doc_id").to_pylist() for b in in_blocks(batch, 4)] == [[0, 1, 2], [3, 4, 5, 6], [7]]
+    assert [b.num_rows for b in in_blocks(batch, 2, lambda n: 1)] == [2, 2, 2, 2]
+    assert not list(in_blocks(batch.slice(0, 0), 4))
+
+
 def test_unigram_finds_the_best_score():
     r = random.Random(3)
     pieces = ["<unk>", "<s>", "▁", *"abc", *{"".join(r.choice("▁abc") if k == 0 else r.choice("abc") for k in range(r.randint(2, 4))) for _ in range(40)}]
